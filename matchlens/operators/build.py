@@ -18,10 +18,11 @@ def with_items(purchases: DataFrame, items: DataFrame) -> DataFrame:
         F.col("key").alias("_key"), "dname", "cost", "qual",
         F.filter("components", lambda c: (c.isNotNull()) & (c != "")).alias("components"))
     clean = purchases.withColumn("key", X.without(F.coalesce("key", F.lit("")), X.ITEM_PREFIX))
-    return (clean.join(dim, F.col("key") == F.col("_key"), "left").drop("_key")
-            .withColumn("item", F.coalesce(F.nullif("dname", F.lit("")), "key"))
-            .withColumn("cost", F.coalesce("cost", F.lit(0)).cast("bigint"))
-            .withColumn("qual", F.coalesce("qual", F.lit(""))).drop("dname"))
+    return clean.join(dim, F.col("key") == F.col("_key"), "left").select(
+        *purchases.columns, "components",
+        F.coalesce(F.nullif("dname", F.lit("")), "key").alias("item"),
+        F.coalesce("cost", F.lit(0)).cast("bigint").alias("cost"),
+        F.coalesce("qual", F.lit("")).alias("qual"))
 
 
 def absorb_components(purchases: DataFrame, order: list[str], chunk: str | None = None) -> DataFrame:
@@ -38,7 +39,10 @@ def absorb_components(purchases: DataFrame, order: list[str], chunk: str | None
         F.coalesce(F.transform("components", lambda c, i: F.struct(
             c.alias("_part"), F.lit(-1).alias("_d"), i.cast("int").alias("_at"))),
             F.array().cast("array<struct<_part:string,_d:int,_at:int>>"))))
-    moves = purchases.select("*", part).drop("components")
+    columns = [c for c in purchases.columns if c != "components"]
+    moves = purchases.select(*columns, part)
+    if chunk is None:
+        moves = moves.repartition(*KEY)      # serves every later window of the same log
     keys = KEY + ["_part"]
     cell = keys + ([chunk] if chunk else [])
     w = Window.partitionBy(*cell).orderBy(*order, "_at")
@@ -56,9 +60,8 @@ def absorb_components(purchases: DataFrame, order: list[str], chunk: str | None
                 .select(*cell, "_later"))
         level = (level.join(ends, cell)
                  .withColumn("_low", F.least("_low", "_later")).drop("_later"))
-    return (level.filter("_d = 1")
-            .withColumn("absorbed", F.coalesce(F.col("_low") < F.col("_level"), F.lit(False)))
-            .drop("_part", "_d", "_at", "_level", "_low"))
+    return level.filter("_d = 1").select(
+        *columns, F.coalesce(F.col("_low") < F.col("_level"), F.lit(False)).alias("absorbed"))
 
 
 def assembled(absorbed: DataFrame, min_cost: int) -> DataFrame:
@@ -77,17 +80,15 @@ def pace_lag(build: DataFrame, gpm: DataFrame, order: list[str], p: Thresholds =
     """
     priced = build.filter((F.col("cost") > 0) & F.col("t").isNotNull())
     paced = carry.prefix_sum(priced, KEY, order, F.col("cost"), "_sum", chunk)
-    rows = (paced.join(gpm.filter("gpm > 0").select(*KEY, "gpm"), KEY)
-            .withColumn("_actual", F.col("t") / 60.0)
-            .withColumn("_expected", F.col("_sum") / F.col("gpm"))
-            .withColumn("_lag", F.col("_actual") - F.col("_expected")))
-    base = carry.median(rows, KEY, "_lag", "_base", bounded=chunk is None)
-    size = rows.groupBy(*KEY).agg(F.count("*").alias("_items")).filter("_items >= 3")
-    late = (rows.join(base.join(size, KEY), KEY)
-            .withColumn("excess", F.col("_lag") - F.col("_base"))
-            .filter((F.col("cost") >= p.lag_min_cost) & (F.col("excess") >= p.lag_minutes)
+    actual, expected = F.col("t") / 60.0, F.col("_sum") / F.col("gpm")
+    rows = paced.join(gpm.filter("gpm > 0").select(*KEY, "gpm"), KEY).select(
+        *KEY, *order, "t", "item", "cost", "gpm", actual.alias("_actual"), expected.alias("_expected"),
+        (actual - expected).alias("_lag"))
+    excess = F.col("_lag") - F.col("_base")
+    late = (carry.with_median(rows, KEY, "_lag", "_base", "_items", chunk is not None)
+            .filter((F.col("_items") >= 3) & (F.col("cost") >= p.lag_min_cost) & (excess >= p.lag_minutes)
                     & (F.col("_actual") >= F.col("_expected") * p.lag_factor))
-            .withColumn("severity", X.clamp01(F.col("excess") / p.lag_scale)))
+            .withColumns({"excess": excess, "severity": X.clamp01(excess / p.lag_scale)}))
     w = Window.partitionBy(*KEY).orderBy(F.col("severity").desc(), *order)
     return (late.withColumn("ord", F.row_number().over(w)).filter(F.col("ord") <= p.max_lags)
             .select(*KEY, F.col("ord").cast("bigint").alias("ord"), "item", X.mmss(F.col("t")).alias("at"),

@@ -17,6 +17,16 @@ UNBOUNDED_BEFORE = Window.unboundedPreceding
 UNBOUNDED_AFTER = Window.unboundedFollowing
 
 
+# Rows of one group a window may hold in a task; beyond it logs are cut into chunks.
+GROUP_LIMIT = 2_000_000
+
+
+def fits(df: DataFrame, keys: list[str], limit: int = GROUP_LIMIT) -> bool:
+    """Whether every group is small enough for a plain window: one counting job over the keys."""
+    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
+    return (largest or 0) <= limit
+
+
 def value_range(value: Column) -> Column:
     """A cell number that never decreases with ``value``: 128 cells per doubling, both signs.
 
@@ -64,15 +74,16 @@ def percent_rank(df: DataFrame, keys: list[str], value: str, out: str) -> DataFr
     return df.join(share, keys + [value])
 
 
-def median(df: DataFrame, keys: list[str], value: str, out: str,
-           bounded: bool = True) -> DataFrame:
-    """Exact median per group (mean of the two middle values for an even count).
+def with_median(df: DataFrame, keys: list[str], value: str, out: str, n: str,
+                chunked: bool = False) -> DataFrame:
+    """Adds each group's exact median (mean of the two middle values when even) and its size.
 
-    ``bounded=False`` is for groups of any size: values are counted per cell first and only
-    the one or two cells that hold the middle are ordered.
+    Groups of any size (``chunked``): values are counted per cell first and only the one or two
+    cells that hold the middle are ordered.
     """
-    if bounded:
-        return df.groupBy(*keys).agg(F.median(value).alias(out))
+    if not chunked:
+        w = Window.partitionBy(*keys)
+        return df.withColumns({out: F.median(value).over(w), n: F.count(value).over(w)})
     counts = (df.filter(F.col(value).isNotNull()).groupBy(*keys, value)
               .agg(F.count("*").alias("_n"))
               .withColumn("_range", value_range(F.col(value))))
@@ -95,7 +106,8 @@ def median(df: DataFrame, keys: list[str], value: str, out: str,
         hit = (F.col("_start") <= F.col(rank)) & (F.col("_end") > F.col(rank))
         return F.max(F.when(hit, F.col(value).cast("double")))
 
-    return inside.groupBy(*keys).agg(((at("_lo") + at("_hi")) / 2).alias(out))
+    middle = inside.groupBy(*keys).agg(((at("_lo") + at("_hi")) / 2).alias(out), F.max("_all").alias(n))
+    return df.join(middle, keys)
 
 
 def densest_span(df: DataFrame, keys: list[str], t: str, span: int) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchlens.functions import text as X
+from matchlens.sources.landing import values
 
 KEY = ["match_id", "idx"]
 
@@ -41,8 +42,7 @@ GROUP_OF = {"limits": "data_limitations"}      # every other section belongs to
 
 
 def templates(spark: SparkSession, lang: str = "en") -> DataFrame:
-    return spark.createDataFrame([(lang, k, v) for k, v in TEMPLATES.items()],
-                                 "lang string, key string, template string")
+    return values(spark, [(lang, k, v) for k, v in TEMPLATES.items()], ["lang", "key", "template"])
 
 
 def missing_templates(entries: DataFrame, languages: list[str], base: str) -> DataFrame:

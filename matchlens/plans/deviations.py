@@ -10,13 +10,19 @@ from matchlens.operators import events as E
 from matchlens.operators import players as P
 from matchlens.operators import series as S
 from matchlens.params import DEFAULTS, Thresholds
+from matchlens.plans.share import keep
 
 
 def late_items(tables, items: DataFrame, order: list[str], chunk: str | None = None,
                p: Thresholds = DEFAULTS) -> DataFrame:
-    """Pace of the whole assembled build (no cost threshold) of every player."""
+    """Pace of the whole assembled build (no cost threshold) of every player.
+
+    The pace reads the build several times; for logs of any size it is kept after the one pass
+    that absorbs the components.
+    """
     taken = B.absorb_components(B.with_items(tables.purchases, items), order, chunk)
-    return B.pace_lag(B.assembled(taken, 0), tables.players, order, p, chunk)
+    build = B.assembled(taken, 0)
+    return B.pace_lag(keep(build) if chunk else build, tables.players, order, p, chunk)
 
 
 def all_deviations(tables, items: DataFrame, lead: DataFrame, order: list[str], chunk: str | None = None,

@@ -26,9 +26,14 @@ REGISTRY: dict[str, Query] = {}
 
 
 def query(fn: Callable[[Bound], DataFrame]) -> Callable[[Bound], DataFrame]:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return plain(fn(Bound(spark, sf_dir)))
-    REGISTRY[fn.__name__] = run
+    """Registers a query over the lazy tables."""
+    REGISTRY[fn.__name__] = lambda spark, sf_dir: plain(fn(Bound(spark, sf_dir)))
+    return fn
+
+
+def wide_query(fn: Callable[[Bound], DataFrame]) -> Callable[[Bound], DataFrame]:
+    """The same for plans whose branches read the player reductions many times."""
+    REGISTRY[fn.__name__] = lambda spark, sf_dir: plain(fn(Bound(spark, sf_dir, shared=True)))
     return fn
 
 
@@ -170,25 +175,25 @@ def combat_counters(b: Bound) -> DataFrame:
     return P.combat_counters(b.players.withColumns(counters))
 
 
-@query
+@wide_query
 def role_metrics(b: Bound) -> DataFrame:
     return P.role_metrics(role_inputs(b, b.requests, LIMITS))
 
 
-@query
+@wide_query
 def benchmark_rows(b: Bound) -> DataFrame:
     return bench.benchmark_rows(b.benchmarks, P.with_roles(b.players))
 
 
 @query
 def full_log(b: Bound) -> DataFrame:
-    log = B.full_log(B.with_items(b.purchases, b.items), LOG, "chunk")
+    log = B.full_log(B.with_items(b.purchases, b.items), LOG, b.chunk)
     return log.select(*KEY, "pos", "event_id", X.mmss(F.col("t")).alias("at"), "item")
 
 
 @query
 def role_items(b: Bound) -> DataFrame:
-    taken = B.absorb_components(B.with_items(b.purchases, b.items), LOG, "chunk")
+    taken = B.absorb_components(B.with_items(b.purchases, b.items), LOG, b.chunk)
     core = B.assembled(taken, LIMITS.own_item_cost)
     support = B.first_per_key(b.purchases, LOG, ("purchase", "view"))
     return B.role_items(P.with_roles(b.players), core, support)
@@ -400,13 +405,13 @@ def early_grid(b: Bound) -> DataFrame:
 
 @query
 def absorb_components(b: Bound) -> DataFrame:
-    taken = B.absorb_components(B.with_items(b.purchases, b.items), LOG, "chunk")
+    taken = B.absorb_components(B.with_items(b.purchases, b.items), LOG, b.chunk)
     return taken.select("event_id", *KEY, "key", "absorbed")
 
 
 @query
 def pace_lag(b: Bound) -> DataFrame:
-    late = V.late_items(b, b.items, LOG, "chunk", LIMITS)
+    late = V.late_items(b, b.items, LOG, b.chunk, LIMITS)
     return late.withColumn("severity", F.round("severity", 6))
 
 
@@ -475,10 +480,10 @@ def det_kp(b: Bound) -> DataFrame:
 
 
 def deviations(b: Bound) -> DataFrame:
-    return V.anomaly_topk(b, b.items, b.adv, LOG, "chunk", LIMITS)
+    return V.anomaly_topk(b, b.items, b.adv, LOG, b.chunk, LIMITS)
 
 
-@query
+@wide_query
 def anomaly_topk(b: Bound) -> DataFrame:
     return deviations(b).withColumn("severity", F.round("severity", 6)).select(
         *KEY, "ord", "det_no", "key", "axis", "severity", "params")
@@ -501,12 +506,10 @@ def digests(b: Bound, found: DataFrame) -> DataFrame:
                           C.minute_value(b.minutes, "lh", 10, "cs10"), found)
 
 
-NO_DEVIATIONS = "match_id bigint, idx bigint, axis string"
-
-
 def plain_digests(b: Bound) -> DataFrame:
     """Digests for reports that do not show the deviation axes."""
-    return digests(b, b.spark.createDataFrame([], NO_DEVIATIONS))
+    none = b.spark.sql("SELECT 0L AS match_id, 0L AS idx, '' AS axis WHERE false")
+    return digests(b, none)
 
 
 @query
@@ -516,9 +519,10 @@ def capped_sample(b: Bound) -> DataFrame:
     return C.capped_sample(b.players, asks, b.matches.filter("parsed"))
 
 
-@query
+@wide_query
 def match_digest(b: Bound) -> DataFrame:
-    return digests(b, deviations(b)).select(
+    chosen = sample(b)
+    return digests(b, deviations(b.narrowed(chosen)).join(chosen, KEY, "left_semi")).select(
         "account_id", "rec_no", "match_id", "hero", "role", "win", X.mmss(F.col("duration")).alias("duration"),
         T.joined(F.col("kills"), F.col("deaths"), F.col("assists"), sep="/").alias("kda"), "gpm", "xpm", "cs10",
         "net_worth", "kp", "lane_eff", "parsed", "axes")
@@ -534,9 +538,10 @@ def profile_trends(b: Bound) -> DataFrame:
     return C.profile_trends(b.benchmarks, sample(b), LIMITS)
 
 
-@query
+@wide_query
 def profile_patterns(b: Bound) -> DataFrame:
-    rows = C.profile_patterns(deviations(b), sample(b), LIMITS)
+    chosen = sample(b)
+    rows = C.profile_patterns(deviations(b.narrowed(chosen)), chosen, LIMITS)
     return rows.withColumn("examples", F.array_join(F.transform("examples", params_text), " / "))
 
 
@@ -603,7 +608,7 @@ def missing_templates(b: Bound) -> DataFrame:
     return T.missing_templates(entries, ["de", "en", "es", "fr"], "en")
 
 
-@query
+@wide_query
 def render_templates(b: Bound) -> DataFrame:
     langs = deviations(b).withColumn("lang", one_of(LANGUAGES, F.col("idx") % 3))
     return T.render_templates(langs, T.templates(b.spark)).select(*KEY, "ord", "lang", "key", "text")
@@ -622,7 +627,7 @@ def fact_lines(b: Bound) -> DataFrame:
         T.limit_lines(b.players, b.matches)])
 
 
-@query
+@wide_query
 def format_lines(b: Bound) -> DataFrame:
     return fact_lines(b)
 
@@ -634,12 +639,12 @@ def shown_lines(b: Bound) -> DataFrame:
     return Q.gated(lines, levels.unionByName(always), KEY)
 
 
-@query
+@wide_query
 def gated_sections(b: Bound) -> DataFrame:
     return shown_lines(b).groupBy(*KEY, "section", "level").agg(F.count("*").alias("n_lines"))
 
 
-@query
+@wide_query
 def assemble_documents(b: Bound) -> DataFrame:
     wrapper = F.try_element_at(F.create_map(*[F.lit(x) for kv in WRAPPERS.items() for x in kv]), F.col("model"))
     lines = (T.with_headings(shown_lines(b).drop("level"))

@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from matchlens.params import DEFAULTS
-from matchlens.operators import players as P
+from matchlens.operators import carry, players as P
+from matchlens.plans.share import keep
+from matchlens.sources.landing import values
 
 LAST_MINUTE = 29          # clock steps of a bound match: 0..29
 CHUNK_SECONDS = 3600      # order-preserving slice of one event log
@@ -26,6 +28,8 @@ LIMITS = replace(DEFAULTS, cluster_span=172800, kp_high=50, collapse_loss=100000
                  lane_phase=2 * 86400, early_kills_until=2 * 86400,
                  late_deaths_from=28 * 86400)
 
+RADIANT = F.col("idx") % 2 == 0       # ten users per match: parity of the user and of its place agree
+
 ITEM_ROWS = [
     ("click", "Click Blade", 500, "component", []),
     ("error", "Error Tango", 90, "consumable", []),
@@ -43,26 +47,46 @@ def whole_seconds(ts: Column) -> Column:
 
 
 class Bound:
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    """Lazy tables. ``shared`` keeps the two reductions (per player, per player and step) for plans
+    with many branches; ``only`` narrows the events to some matches before anything is computed.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str, shared: bool = False,
+                 only: DataFrame | None = None):
         self.spark, self.dir = spark, sf_dir.rstrip("/")
+        self.shared, self.only = shared, only
+
+    def narrowed(self, matches: DataFrame) -> Bound:
+        """The same tables for the given match_ids; percentiles still compare with all players."""
+        part = Bound(self.spark, self.dir, True, matches.select("match_id").distinct())
+        part.benchmarks = self.benchmarks.join(part.only, "match_id", "left_semi")
+        return part
+
+    def _keep(self, df: DataFrame) -> DataFrame:
+        return keep(df) if self.shared else df
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    @cached_property
+    def chunk(self) -> str | None:
+        """The chunk column when some player's log outgrows a task, else None."""
+        return None if carry.fits(self.ev, ["match_id", "idx"]) else "chunk"
+
     @cached_property
     def ev(self) -> DataFrame:
         user, ts = F.col("user_id"), F.col("ts")
-        return self.table("events").select(
+        rows = self.table("events").select(
             "event_id", "ts", "user_id",
             F.floor(user / 10).cast("bigint").alias("match_id"),
             (user % 10).alias("idx"),
             (user % 2 == 0).alias("is_radiant"),
-            (F.floor((user % 10) / 2) % 3 + 1).cast("int").alias("lane"),
             F.date_diff(F.to_date(ts), F.lit("2024-01-01").cast("date")).alias("m"),
             whole_seconds(ts).alias("t"),
             F.round(F.col("value") * 100).cast("bigint").alias("cents"),
             F.get_json_object("props", "$.k").cast("bigint").alias("k"),
             "event_type")
+        return rows if self.only is None else rows.join(self.only, "match_id", "left_semi")
 
     # --- series -----------------------------------------------------------------
 
@@ -79,11 +103,12 @@ class Bound:
 
     @cached_property
     def minutes(self) -> DataFrame:
-        per = self.ev.groupBy("match_id", "idx", "is_radiant", "m").agg(
+        per = self.ev.groupBy("match_id", "idx", "m").agg(
             F.sum("cents").alias("gold"), F.sum("k").alias("xp"),
             F.count_if(F.col("event_type") == "view").alias("lh"),
             F.count_if(F.col("event_type") == "signup").alias("dn"))
-        return self._dense(per, ["match_id", "idx", "is_radiant"], ["gold", "xp", "lh", "dn"])
+        dense = self._dense(per, ["match_id", "idx"], ["gold", "xp", "lh", "dn"])
+        return self._keep(dense.withColumn("is_radiant", RADIANT))
 
     @cached_property
     def adv(self) -> DataFrame:
@@ -102,7 +127,7 @@ class Bound:
         def cents(of: str) -> Column:
             return F.sum(F.when(kind == of, F.col("cents")).otherwise(0))
 
-        return self.ev.groupBy("match_id", "idx", "is_radiant", "lane").agg(
+        return self._keep(self.ev.groupBy("match_id", "idx").agg(
             F.count_if(kind == "purchase").alias("kills"),
             F.count_if(kind == "error").alias("deaths"),
             F.count_if(kind == "click").alias("assists"),
@@ -116,6 +141,8 @@ class Bound:
             cents("signup").alias("hero_healing"),
             cents("error").alias("damage_taken"),
             F.sum(F.when(kind == "error", F.col("k") * 500).otherwise(0)).alias("seconds_dead"))
+            .withColumns({"is_radiant": RADIANT,
+                          "lane": (F.floor(F.col("idx") / 2) % 3 + 1).cast("int")}))
 
     @cached_property
     def players(self) -> DataFrame:
@@ -189,17 +216,14 @@ class Bound:
 
     @cached_property
     def picks(self) -> DataFrame:
-        first = F.min_by("event_type", F.struct("ts", "event_id"))
-        w = Window.partitionBy("match_id").orderBy("ts", "event_id")   # at most ten rows
-        return (self.ev.groupBy("match_id", "idx", "is_radiant")
-                .agg(first.alias("event_type"), F.min(F.struct("ts", "event_id")).alias("_at"))
-                .select("match_id", "idx", "is_radiant",
+        w = Window.partitionBy("match_id").orderBy("_at")             # at most ten rows
+        return (self.ev.groupBy("match_id", "idx")
+                .agg(F.min(F.struct("ts", "event_id", "event_type")).alias("_at"))
+                .select("match_id", "idx", RADIANT.alias("is_radiant"),
                         F.concat(F.lit("hero_"), ((F.col("match_id") * 10 + F.col("idx")) % 25)
                                  .cast("string")).alias("hero_name"),
-                        (F.col("event_type") != "error").alias("is_pick"),
-                        F.col("_at.ts").alias("ts"), F.col("_at.event_id").alias("event_id"))
-                .withColumn("ord", F.row_number().over(w))
-                .drop("ts", "event_id"))
+                        (F.col("_at.event_type") != "error").alias("is_pick"),
+                        F.row_number().over(w).alias("ord")))
 
     @cached_property
     def objectives(self) -> DataFrame:
@@ -243,8 +267,7 @@ class Bound:
 
     @cached_property
     def items(self) -> DataFrame:
-        return self.spark.createDataFrame(
-            ITEM_ROWS, "key string, dname string, cost int, qual string, components array<string>")
+        return values(self.spark, ITEM_ROWS, ["key", "dname", "cost", "qual", "components"])
 
     @cached_property
     def requests(self) -> DataFrame:

@@ -8,6 +8,19 @@ from pyspark.sql import functions as F
 from matchlens.schemas import DIMENSIONS, RAW_MATCH
 
 
+def values(spark: SparkSession, rows: list[tuple], columns: list[str]) -> DataFrame:
+    """A small literal table with known size, so that Spark can decide to broadcast it."""
+    def literal(v) -> str:
+        if v is None:
+            return "NULL"
+        if isinstance(v, list):
+            return f"CAST(array({', '.join(map(literal, v))}) AS array<string>)"
+        return str(v) if isinstance(v, (int, float)) else "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    body = ", ".join("(" + ", ".join(map(literal, row)) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {body} AS t({', '.join(columns)})")
+
+
 def read_matches(spark: SparkSession, path: str) -> DataFrame:
     """Match documents as typed rows; unknown fields are ignored, missing ones are null."""
     return (spark.read.schema(RAW_MATCH).option("mode", "PERMISSIVE")
