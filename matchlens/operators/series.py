@@ -12,14 +12,17 @@ from pyspark.sql import functions as F
 from matchlens.params import DEFAULTS, Thresholds
 
 KEY = ["match_id", "idx"]
-MATCH = Window.partitionBy("match_id").orderBy("m")
+
+
+def by_minute() -> Window:
+    return Window.partitionBy("match_id").orderBy("m")
 
 
 def team_advantage(minutes: DataFrame) -> DataFrame:
     """Radiant-relative gold lead rebuilt from the players' gold; missing points count 0."""
     sign = F.when(F.col("is_radiant"), 1).otherwise(-1)
-    return minutes.groupBy("match_id", "m").agg(
-        F.sum(sign * F.coalesce("gold", F.lit(0))).cast("bigint").alias("gold"))
+    return minutes.filter("gold is not null").groupBy("match_id", "m").agg(
+        F.sum(sign * F.col("gold")).cast("bigint").alias("gold"))
 
 
 def advantage(supplied: DataFrame, minutes: DataFrame) -> DataFrame:
@@ -40,7 +43,7 @@ def sign_swings(adv: DataFrame) -> DataFrame:
     """Minutes whose sign differs from the last non-zero one, for both sides."""
     sign = F.signum("gold").cast("int")
     before = F.last(F.when(F.col("gold") != 0, sign), ignorenulls=True).over(
-        MATCH.rowsBetween(Window.unboundedPreceding, -1))
+        by_minute().rowsBetween(Window.unboundedPreceding, -1))
     turned = (adv.select("match_id", "m", "gold", sign.alias("_sign"), before.alias("_before"))
               .filter("_sign <> 0 and _sign <> _before"))
     return per_side(turned, "gold").select(
@@ -77,7 +80,7 @@ def thin_series(df: DataFrame, keys: list[str], step: int = DEFAULTS.thin_step)
 def longest_stall(minutes: DataFrame, p: Thresholds = DEFAULTS) -> DataFrame:
     """Longest run of minutes with an income below a share of the player's own mean."""
     own = Window.partitionBy(*KEY)
-    steps = (minutes.select(*KEY, "m", "gold")
+    steps = (minutes.select(*KEY, "m", "gold").filter("gold is not null")
              .withColumn("_delta", F.col("gold") - F.lag("gold").over(own.orderBy("m")))
              .withColumn("_mean", F.avg("_delta").over(own))
              .withColumn("_points", F.count("*").over(own))
@@ -99,7 +102,7 @@ def longest_stall(minutes: DataFrame, p: Thresholds = DEFAULTS) -> DataFrame:
 
 def worst_drop(adv: DataFrame, p: Thresholds = DEFAULTS) -> DataFrame:
     """The fixed-length stretch in which a side's lead fell most, when the loss is large."""
-    change = F.lead("gold", p.collapse_window).over(MATCH) - F.col("gold")
+    change = F.lead("gold", p.collapse_window).over(by_minute()) - F.col("gold")
     moves = adv.select("match_id", "m", change.alias("change")).filter("change is not null")
     worst = F.min_by(F.struct("m", "change"), F.struct("change", "m"))
     return (per_side(moves, "change").groupBy("match_id", "is_radiant").agg(worst.alias("_w"))
@@ -119,7 +122,7 @@ def early_grid(players: DataFrame, minutes: DataFrame, upto: int = 10) -> DataFr
 def stage_changes(adv: DataFrame, p: Thresholds = DEFAULTS) -> DataFrame:
     """Change of the lead over consecutive stages of a match; a lone point has none."""
     last = F.max("m").over(Window.partitionBy("match_id"))
-    w = MATCH
+    w = by_minute()
     ahead = F.coalesce(F.lead("gold", p.stage_step).over(w),
                        F.last_value("gold").over(w.rowsBetween(0, Window.unboundedFollowing)))
     return (adv.select("match_id", "m", "gold", last.alias("_last"), ahead.alias("_end"))

@@ -28,7 +28,12 @@ LIMITS = replace(DEFAULTS, cluster_span=172800, kp_high=50, collapse_loss=100000
                  lane_phase=2 * 86400, early_kills_until=2 * 86400,
                  late_deaths_from=28 * 86400)
 
-RADIANT = F.col("idx") % 2 == 0       # ten users per match: parity of the user and of its place agree
+
+
+def radiant() -> Column:
+    """Ten users per match: parity of the user and of its place agree."""
+    return F.col("idx") % 2 == 0
+
 
 ITEM_ROWS = [
     ("click", "Click Blade", 500, "component", []),
@@ -59,6 +64,7 @@ class Bound:
     def narrowed(self, matches: DataFrame) -> Bound:
         """The same tables for the given match_ids; percentiles still compare with all players."""
         part = Bound(self.spark, self.dir, True, matches.select("match_id").distinct())
+        part.chunk = self.chunk
         part.benchmarks = self.benchmarks.join(part.only, "match_id", "left_semi")
         return part
 
@@ -108,7 +114,7 @@ class Bound:
             F.count_if(F.col("event_type") == "view").alias("lh"),
             F.count_if(F.col("event_type") == "signup").alias("dn"))
         dense = self._dense(per, ["match_id", "idx"], ["gold", "xp", "lh", "dn"])
-        return self._keep(dense.withColumn("is_radiant", RADIANT))
+        return self._keep(dense.withColumn("is_radiant", radiant()))
 
     @cached_property
     def adv(self) -> DataFrame:
@@ -141,7 +147,7 @@ class Bound:
             cents("signup").alias("hero_healing"),
             cents("error").alias("damage_taken"),
             F.sum(F.when(kind == "error", F.col("k") * 500).otherwise(0)).alias("seconds_dead"))
-            .withColumns({"is_radiant": RADIANT,
+            .withColumns({"is_radiant": radiant(),
                           "lane": (F.floor(F.col("idx") / 2) % 3 + 1).cast("int")}))
 
     @cached_property
@@ -219,7 +225,7 @@ class Bound:
         w = Window.partitionBy("match_id").orderBy("_at")             # at most ten rows
         return (self.ev.groupBy("match_id", "idx")
                 .agg(F.min(F.struct("ts", "event_id", "event_type")).alias("_at"))
-                .select("match_id", "idx", RADIANT.alias("is_radiant"),
+                .select("match_id", "idx", radiant().alias("is_radiant"),
                         F.concat(F.lit("hero_"), ((F.col("match_id") * 10 + F.col("idx")) % 25)
                                  .cast("string")).alias("hero_name"),
                         (F.col("_at.event_type") != "error").alias("is_pick"),
