@@ -40,3 +40,9 @@ def percentiles(benchmarks: DataFrame) -> DataFrame:
     return (benchmarks.filter(F.col("metric").isin(*METRIC_AXIS) & F.col("pct").isNotNull())
             .select(*KEY, "metric", X.half_even(F.col("pct") * 100).alias("pct"),
                     F.try_element_at(axis, F.col("metric")).alias("axis"), rank.alias("rank")))
+
+
+def metric_list(benchmarks: DataFrame) -> DataFrame:
+    """One row per player: the known metrics as an array, eight at most."""
+    item = F.struct("rank", "metric", "pct", "axis")
+    return percentiles(benchmarks).groupBy(*KEY).agg(F.sort_array(F.collect_list(item)).alias("metrics"))

@@ -58,56 +58,51 @@ def row_numbers(df: DataFrame, keys: list[str], order: list[str], out: str,
     return prefix_sum(df, keys, order, F.lit(1).cast("bigint"), out, chunk)
 
 
-def percent_rank(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
-    """Share of smaller values: (rank - 1) / (rows - 1) inside ``keys``, 0 for a single row.
+def value_counts(df: DataFrame, keys: list[str], value: str, cells: Column | None = None) -> DataFrame:
+    """Counts per value with their place in the group's order: ``_start``, ``_end``, ``_all``.
 
-    Equal values are counted before anything is ordered, and the counts are ordered cell by
-    cell, so a metric shared by every row of the table still spreads.
+    Equal values are counted before anything is ordered and the counts are ordered cell by cell, so
+    a group as large as the table still spreads. ``cells`` keeps only the cells of interest, judged
+    by ``_base`` (rows before the cell), ``_rows`` (rows in it) and ``_all``.
     """
-    counts = (df.groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    counts = (df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
               .withColumn("_range", value_range(F.col(value))))
-    ranked = prefix_sum(counts, keys, [value], F.col("_n"), "_less", chunk="_range", upto=-1)
-    totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_all"))
-    share = ranked.join(totals, keys).select(
-        *keys, value,
-        F.when(F.col("_all") > 1, F.col("_less") / (F.col("_all") - 1)).otherwise(0.0).alias(out))
-    return df.join(share, keys + [value])
+    w = Window.partitionBy(*keys)
+    places = counts.groupBy(*keys, "_range").agg(F.sum("_n").alias("_rows")).select(
+        *keys, "_range", "_rows", F.sum("_rows").over(w).alias("_all"),
+        F.coalesce(F.sum("_rows").over(w.orderBy("_range").rowsBetween(UNBOUNDED_BEFORE, -1)),
+                   F.lit(0)).alias("_base"))
+    inside = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(UNBOUNDED_BEFORE, 0)
+    end = F.sum("_n").over(inside) + F.col("_base")
+    return counts.join(places if cells is None else places.filter(cells), keys + ["_range"]).select(
+        *keys, value, "_all", end.alias("_end"), (end - F.col("_n")).alias("_start"))
+
+
+def percent_rank(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
+    """Share of smaller values: (rank - 1) / (rows - 1) inside ``keys``, 0 for a single row."""
+    share = F.when(F.col("_all") > 1, F.col("_start") / (F.col("_all") - 1)).otherwise(0.0)
+    return df.join(value_counts(df, keys, value).select(*keys, value, share.alias(out)), keys + [value])
 
 
 def with_median(df: DataFrame, keys: list[str], value: str, out: str, n: str,
                 chunked: bool = False) -> DataFrame:
     """Adds each group's exact median (mean of the two middle values when even) and its size.
 
-    Groups of any size (``chunked``): values are counted per cell first and only the one or two
-    cells that hold the middle are ordered.
+    ``chunked`` is for groups of any size: only the one or two cells that hold the middle are ordered.
     """
     if not chunked:
         w = Window.partitionBy(*keys)
         return df.withColumns({out: F.median(value).over(w), n: F.count(value).over(w)})
-    counts = (df.filter(F.col(value).isNotNull()).groupBy(*keys, value)
-              .agg(F.count("*").alias("_n"))
-              .withColumn("_range", value_range(F.col(value))))
-    ranges = counts.groupBy(*keys, "_range").agg(F.sum("_n").alias("_rows"))
-    w = Window.partitionBy(*keys)
-    ranges = (ranges
-              .withColumn("_all", F.sum("_rows").over(w))
-              .withColumn("_base", F.coalesce(F.sum("_rows").over(
-                  w.orderBy("_range").rowsBetween(UNBOUNDED_BEFORE, -1)), F.lit(0)))
-              .withColumn("_lo", F.floor((F.col("_all") - 1) / 2))
-              .withColumn("_hi", F.floor(F.col("_all") / 2))
-              .filter((F.col("_base") <= F.col("_hi"))
-                      & (F.col("_base") + F.col("_rows") > F.col("_lo"))))
-    inside = counts.join(ranges, keys + ["_range"])
-    w = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(UNBOUNDED_BEFORE, 0)
-    inside = (inside.withColumn("_end", F.sum("_n").over(w) + F.col("_base"))
-              .withColumn("_start", F.col("_end") - F.col("_n")))
-
-    def at(rank: str) -> Column:
-        hit = (F.col("_start") <= F.col(rank)) & (F.col("_end") > F.col(rank))
+    lo, hi = F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2)
+    middle = (F.col("_base") <= hi) & (F.col("_base") + F.col("_rows") > lo)
+
+    def at(rank: Column) -> Column:
+        hit = (F.col("_start") <= rank) & (F.col("_end") > rank)
         return F.max(F.when(hit, F.col(value).cast("double")))
 
-    middle = inside.groupBy(*keys).agg(((at("_lo") + at("_hi")) / 2).alias(out), F.max("_all").alias(n))
-    return df.join(middle, keys)
+    found = value_counts(df, keys, value, middle).groupBy(*keys).agg(
+        ((at(lo) + at(hi)) / 2).alias(out), F.max("_all").alias(n))
+    return df.join(found, keys)
 
 
 def densest_span(df: DataFrame, keys: list[str], t: str, span: int) -> DataFrame:

@@ -19,64 +19,86 @@ from matchlens.params import DEFAULTS, Thresholds
 KEY = ["match_id", "idx"]
 
 
-def _rows(df: DataFrame, det_no: int, key: Column, axis: Column, severity: Column,
-          params: dict[str, Column], rnk: Column | None = None) -> DataFrame:
+def finding(det_no: int, key: Column, axis: Column, severity: Column, params: dict[str, Column],
+            rnk: Column | None = None) -> Column:
+    """One deviation as a struct."""
     pairs = [x for name, value in params.items() for x in (F.lit(name), value.cast("string"))]
-    return df.select(*KEY, F.lit(det_no).alias("det_no"),
-                     (F.lit(1) if rnk is None else rnk).cast("int").alias("rnk"),
-                     key.alias("key"), axis.alias("axis"),
-                     X.clamp01(severity).alias("severity"), F.create_map(*pairs).alias("params"))
+    return F.struct(F.lit(det_no).alias("det_no"), (F.lit(1) if rnk is None else rnk).cast("int").alias("rnk"),
+                    key.alias("key"), axis.alias("axis"), X.clamp01(severity).alias("severity"),
+                    F.create_map(*pairs).alias("params"))
+
+
+def emit(df: DataFrame, *findings: Column) -> DataFrame:
+    """One row per finding that is not null; each argument is an array of findings."""
+    return df.select(*KEY, F.inline(F.array_compact(F.concat(*findings))))
 
 
 def item_lag(late_items: DataFrame, p: Thresholds = DEFAULTS) -> DataFrame:
     """Rows of ``build.pace_lag``."""
-    return _rows(late_items, 1, F.lit("item_lag"), F.lit("build"), F.col("severity"),
-                 {"item": F.col("item"), "at": F.col("at"), "excess": F.col("excess"), "gpm": F.col("gpm"),
-                  "expected": X.clock(F.col("expected"))}, F.col("ord"))
+    return emit(late_items, F.array(finding(
+        1, F.lit("item_lag"), F.lit("build"), F.col("severity"),
+        {"item": F.col("item"), "at": F.col("at"), "excess": F.col("excess"), "gpm": F.col("gpm"),
+         "expected": X.clock(F.col("expected"))}, F.col("ord"))))
+
+
+# --- benchmark percentiles: expressions over bench.metric_list ---------------------------
+
+def _edges(p: Thresholds) -> Column:
+    """Percentiles at the edges: up to three low ones and the highest one, most severe first."""
+    def side(key: str, hit, severity, most: int, after: int) -> Column:
+        ordered = F.sort_array(F.transform(F.filter("metrics", hit), lambda m: F.struct(
+            (-X.clamp01(severity(m["pct"]))).alias("s"), m["rank"].alias("rank"), m["metric"].alias("metric"),
+            m["pct"].alias("pct"), m["axis"].alias("axis"))))
+        return F.transform(F.slice(ordered, 1, most), lambda m, i: finding(
+            2, F.lit(key), m["axis"], -m["s"], {"metric": m["metric"], "pct": m["pct"]}, i + after + 1))
+
+    return F.concat(
+        side("bench_low", lambda m: m["pct"] <= p.pct_low, lambda pct: 0.45 + (p.pct_low - pct) / 30.0, p.max_low, 0),
+        side("bench_high", lambda m: (m["pct"] >= p.pct_high) & (m["pct"] > p.pct_low),
+             lambda pct: 0.25 + (pct - p.pct_high) / 60.0, p.max_high, p.max_low))
+
+
+def _spread(p: Thresholds) -> Column:
+    """Best against worst metric when they lie far apart; the first in metric order on ties."""
+    def first(sign: int) -> Column:
+        return F.get(F.sort_array(F.transform("metrics", lambda m: F.struct(
+            (sign * m["pct"]).alias("s"), m["rank"].alias("rank"), m["metric"].alias("metric"), m["pct"].alias("pct")))), 0)
+
+    hi, lo = first(-1), first(1)
+    spread = hi["pct"] - lo["pct"]
+    return F.array(F.when((F.size("metrics") >= 2) & (spread >= p.pct_spread), finding(
+        3, F.lit("bench_spread"), F.lit("fights"), 0.3 + (spread - p.pct_spread) / 50.0,
+        {"high_metric": hi["metric"], "high": hi["pct"], "low_metric": lo["metric"], "low": lo["pct"]})))
 
 
 def bench_edges(benchmarks: DataFrame, p: Thresholds = DEFAULTS) -> DataFrame:
-    """Percentiles at the edges: up to three low ones and the highest one."""
-    pct = F.col("pct")
-    low = pct <= p.pct_low
-    severity = F.when(low, 0.45 + (p.pct_low - pct) / 30.0).otherwise(0.25 + (pct - p.pct_high) / 60.0)
-    edges = (bench.percentiles(benchmarks).filter(low | (pct >= p.pct_high))
-             .withColumn("low", low).withColumn("severity", X.clamp01(severity)))
-    w = Window.partitionBy(*KEY, "low").orderBy(F.col("severity").desc(), "rank")   # eight metrics
-    kept = edges.withColumn("_n", F.row_number().over(w)).filter(
-        F.col("_n") <= F.when(F.col("low"), p.max_low).otherwise(p.max_high))
-    place = F.col("_n") + F.when(F.col("low"), 0).otherwise(p.max_low)
-    return _rows(kept, 2, F.when(F.col("low"), "bench_low").otherwise("bench_high"), F.col("axis"),
-                 F.col("severity"), {"metric": F.col("metric"), "pct": pct}, place)
+    return emit(bench.metric_list(benchmarks), _edges(p))
 
 
 def bench_spread(benchmarks: DataFrame, p: Thresholds = DEFAULTS) -> DataFrame:
-    """Best against worst metric when they lie far apart."""
-    item = F.struct("metric", "pct")
-    ends = (bench.percentiles(benchmarks).groupBy(*KEY)
-            .agg(F.max_by(item, F.struct("pct", -F.col("rank"))).alias("hi"),
-                 F.min_by(item, F.struct("pct", "rank")).alias("lo"), F.count("*").alias("_n")))
-    spread = F.col("hi.pct") - F.col("lo.pct")
-    return _rows(ends.filter((F.col("_n") >= 2) & (spread >= p.pct_spread)), 3, F.lit("bench_spread"),
-                 F.lit("fights"), 0.3 + (spread - p.pct_spread) / 50.0,
-                 {"high_metric": F.col("hi.metric"), "high": F.col("hi.pct"),
-                  "low_metric": F.col("lo.metric"), "low": F.col("lo.pct")})
+    return emit(bench.metric_list(benchmarks), _spread(p))
+
+
+def bench_both(benchmarks: DataFrame, p: Thresholds = DEFAULTS) -> DataFrame:
+    """Edges and spread from one pass over the percentiles."""
+    return emit(bench.metric_list(benchmarks), _edges(p), _spread(p))
 
 
 def farm_stall(stalls: DataFrame, p: Thresholds = DEFAULTS) -> DataFrame:
     """Rows of ``series.longest_stall``."""
-    return _rows(stalls, 4, F.lit("farm_stall"), F.lit("farm"),
-                 0.3 + (F.col("end") - F.col("start")) / 12.0,
-                 {c: F.col(c) for c in ("start", "end", "rate", "average")})
+    return emit(stalls, F.array(finding(
+        4, F.lit("farm_stall"), F.lit("farm"), 0.3 + (F.col("end") - F.col("start")) / 12.0,
+        {c: F.col(c) for c in ("start", "end", "rate", "average")})))
 
 
 def death_cluster(clusters: DataFrame, p: Thresholds = DEFAULTS) -> DataFrame:
     """Rows of ``events.death_cluster``."""
-    return _rows(clusters, 5, F.lit("death_cluster"), F.lit("position"),
-                 0.35 + (F.col("n") - p.cluster_min) / 5.0,
-                 {"count": F.col("n"), "start": X.clock(F.col("start")), "end": X.clock(F.col("end")),
-                  "total": F.col("total")})
+    return emit(clusters, F.array(finding(
+        5, F.lit("death_cluster"), F.lit("position"), 0.35 + (F.col("n") - p.cluster_min) / 5.0,
+        {"count": F.col("n"), "start": X.clock(F.col("start")), "end": X.clock(F.col("end")), "total": F.col("total")})))
+
 
+# --- a player among the ten of the match: expressions over windows by match ------------------
 
 def array_median(values: Column) -> Column:
     """Mean of the two middle elements of a short array, null when it is empty."""
@@ -86,57 +108,69 @@ def array_median(values: Column) -> Column:
 
 
 def median_of_others(players: DataFrame, value: str, out: str) -> DataFrame:
-    """Median of the non-zero values of the other players of the match (ten at most)."""
-    group = players.groupBy("match_id").agg(
-        F.collect_list(F.struct("idx", F.col(value).cast("bigint").alias("v"))).alias("_all"))
-    others = F.transform(F.filter("_all", lambda o: (o["idx"] != F.col("idx")) & (o["v"] != 0)),
-                         lambda o: o["v"])
-    return players.join(group, "match_id").withColumn(out, array_median(others)).drop("_all")
+    """Median of the non-zero values of the other players of the match."""
+    others = F.transform(F.filter(out, lambda o: (o["idx"] != F.col("idx")) & (o[value] != 0)),
+                         lambda o: o[value].cast("bigint"))
+    return players.withColumn(out, P.match_list(value)).withColumn(out, array_median(others))
+
+
+def lane_median(players: DataFrame, value: str, out: str) -> DataFrame:
+    """Rounded median of the lane opponents' known values."""
+    known = F.filter(F.transform("opponents", lambda o: o[value].cast("bigint")), lambda v: v.isNotNull())
+    return P.lane_opponents(players, value).withColumn(out, X.half_even(array_median(known))).drop("opponents")
+
+
+def _dead_share(p: Thresholds) -> Column:
+    dead, typical = F.col("seconds_dead"), F.col("_typical")
+    share = dead / F.nullif(F.col("_length"), F.lit(0))
+    return F.array(F.when((dead > 0) & (share >= p.dead_share) & (dead >= typical * p.dead_factor), finding(
+        6, F.lit("dead_share"), F.lit("position"), 0.3 + share,
+        {"dead": X.clock(dead), "pct": X.half_even(share * 100), "typical": X.clock(F.floor(typical))})))
+
+
+def _lane_gap(p: Thresholds) -> Column:
+    gap = F.col("lane_eff") - F.col("_theirs")
+    return F.array(F.when(F.abs(gap) >= p.lane_gap, finding(
+        7, F.when(gap > 0, "lane_gap_ahead").otherwise("lane_gap_behind"), F.lit("lane"), 0.3 + F.abs(gap) / 60.0,
+        {"mine": F.col("lane_eff"), "theirs": F.col("_theirs"), "gap": F.abs(gap)})))
+
+
+def _kill_share(p: Thresholds) -> Column:
+    kp = F.col("kp")
+    return F.array(F.when((F.col("team_kills") > 0) & ((kp <= p.kp_low) | (kp >= p.kp_high)), finding(
+        8, F.when(kp <= p.kp_low, "kp_low").otherwise("kp_high"), F.lit("fights"), 0.3 + F.abs(kp - 60) / 60.0,
+        {"pct": kp, "kills": F.col("kills"), "assists": F.col("assists"), "team_kills": F.col("team_kills")})))
+
+
+def _with_length(players: DataFrame, matches: DataFrame) -> DataFrame:
+    return players.join(matches.select("match_id", F.col("duration").alias("_length")), "match_id")
 
 
 def dead_share(players: DataFrame, matches: DataFrame, p: Thresholds = DEFAULTS) -> DataFrame:
-    length = matches.select("match_id", F.col("duration").alias("_length"))
-    rows = median_of_others(players, "seconds_dead", "_typical").join(length, "match_id").filter(
-        (F.col("_length") > 0) & (F.col("seconds_dead") > 0))
-    share = F.col("seconds_dead") / F.col("_length")
-    hit = rows.withColumn("_share", share).filter(
-        (F.col("_share") >= p.dead_share)
-        & (F.col("seconds_dead") >= F.col("_typical") * p.dead_factor))
-    return _rows(hit, 6, F.lit("dead_share"), F.lit("position"), 0.3 + F.col("_share"),
-                 {"dead": X.clock(F.col("seconds_dead")), "pct": X.half_even(F.col("_share") * 100),
-                  "typical": X.clock(F.floor("_typical"))})
+    return emit(_with_length(median_of_others(players, "seconds_dead", "_typical"), matches), _dead_share(p))
 
 
 def lane_gap(players: DataFrame, p: Thresholds = DEFAULTS) -> DataFrame:
-    known = F.filter(F.transform("opponents", lambda o: o["lane_eff"].cast("bigint")),
-                     lambda v: v.isNotNull())
-    rows = (P.lane_opponents(players, "lane_eff")
-            .withColumn("_theirs", X.half_even(array_median(known)))
-            .filter(F.col("lane_eff").isNotNull() & F.col("_theirs").isNotNull())
-            .withColumn("_gap", F.col("lane_eff") - F.col("_theirs"))
-            .filter(F.abs("_gap") >= p.lane_gap))
-    gap = F.abs(F.col("_gap"))
-    return _rows(rows, 7, F.when(F.col("_gap") > 0, "lane_gap_ahead").otherwise("lane_gap_behind"),
-                 F.lit("lane"), 0.3 + gap / 60.0,
-                 {"mine": F.col("lane_eff"), "theirs": F.col("_theirs"), "gap": gap})
+    return emit(lane_median(players, "lane_eff", "_theirs"), _lane_gap(p))
 
 
 def kill_share(players_kp: DataFrame, p: Thresholds = DEFAULTS) -> DataFrame:
     """Rows of ``players.kill_participation`` at either edge."""
-    kp = F.col("kp")
-    rows = players_kp.filter((F.col("team_kills") > 0) & ((kp <= p.kp_low) | (kp >= p.kp_high)))
-    return _rows(rows, 8, F.when(kp <= p.kp_low, "kp_low").otherwise("kp_high"), F.lit("fights"),
-                 0.3 + F.abs(kp - 60) / 60.0,
-                 {"pct": kp, "kills": F.col("kills"), "assists": F.col("assists"),
-                  "team_kills": F.col("team_kills")})
+    return emit(players_kp, _kill_share(p))
+
+
+def among_players(players: DataFrame, matches: DataFrame, p: Thresholds = DEFAULTS) -> DataFrame:
+    """Dead share, lane gap and kill share from one pass over the players."""
+    seen = lane_median(median_of_others(P.kill_participation(players), "seconds_dead", "_typical"), "lane_eff", "_theirs")
+    return emit(_with_length(seen, matches), _dead_share(p), _lane_gap(p), _kill_share(p))
 
 
 def gold_collapse(drops: DataFrame, players: DataFrame, p: Thresholds = DEFAULTS) -> DataFrame:
     """Rows of ``series.worst_drop`` given to every player of the side."""
     rows = players.select(*KEY, "is_radiant").join(drops, ["match_id", "is_radiant"])
-    return _rows(rows, 9, F.lit("gold_collapse"), F.lit("fights"),
-                 0.35 + F.col("loss") / p.collapse_scale,
-                 {"start": F.col("start"), "end": F.col("end"), "gold": F.col("loss")})
+    return emit(rows, F.array(finding(
+        9, F.lit("gold_collapse"), F.lit("fights"), 0.35 + F.col("loss") / p.collapse_scale,
+        {"start": F.col("start"), "end": F.col("end"), "gold": F.col("loss")})))
 
 
 def top_deviations(found: list[DataFrame], p: Thresholds = DEFAULTS) -> DataFrame:

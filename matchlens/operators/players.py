@@ -38,16 +38,13 @@ def assign_positions(players: DataFrame) -> DataFrame:
          .orderBy(F.col("net_worth").desc(), "idx"))
     richest = F.row_number().over(w) == 1
     lane, core = F.col("lane_key"), F.col("is_core")
-    return (players
+    position = (F.when(lane == "mid", "2")
+                .when((lane == "safe") & core, "1").when(lane == "safe", "5")
+                .when((lane == "off") & core, "3").when(lane == "off", "4").otherwise("support"))
+    return (players.repartition("match_id")          # one exchange serves every window inside a match
             .withColumn("lane_key", lane_key(F.col("is_roaming"), F.col("lane_role")))
-            .withColumn("_richest", richest)
-            .withColumn("is_core", (lane == "mid") | (F.col("_richest") & lane.isin("safe", "off")))
-            .withColumn("position",
-                        F.when(lane == "mid", "2")
-                        .when((lane == "safe") & core, "1").when(lane == "safe", "5")
-                        .when((lane == "off") & core, "3").when(lane == "off", "4")
-                        .when(core, "core").otherwise("support"))
-            .drop("_richest"))
+            .withColumn("is_core", (lane == "mid") | (richest & lane.isin("safe", "off")))
+            .withColumn("position", position))
 
 
 def effective_role(position: Column, requested: Column | None = None) -> tuple[Column, Column]:
@@ -154,26 +151,22 @@ def top_targets(damage: DataFrame, k: int = DEFAULTS.top_targets) -> DataFrame:
     return damage.withColumn("ord", F.row_number().over(w)).filter(F.col("ord") <= k).drop("pos")
 
 
-def teams(players: DataFrame, *extra: str) -> DataFrame:
-    """Players of a side of a match in list order; a side has at most five."""
-    member = F.struct("idx", *extra)
-    return players.groupBy("match_id", "is_radiant").agg(F.sort_array(F.collect_list(member)).alias("team"))
+def match_list(*columns: str) -> Column:
+    """All players of the row's match in list order; ten at most by the data model."""
+    return F.sort_array(F.collect_list(F.struct("idx", *columns)).over(Window.partitionBy("match_id")))
 
 
 def opponents(players: DataFrame, *extra: str) -> DataFrame:
     """Each player with the other side's players as one array, never as pairs."""
-    other = teams(players, *extra).select(
-        "match_id", (~F.col("is_radiant")).alias("is_radiant"), F.col("team").alias("opponents"))
-    return players.join(other, ["match_id", "is_radiant"], "left").withColumn(
-        "opponents", F.coalesce("opponents", F.array().cast(other.schema["opponents"].dataType)))
+    everyone = players.withColumn("opponents", match_list("is_radiant", *extra))
+    return everyone.withColumn("opponents", F.filter(
+        "opponents", lambda o: o["is_radiant"] != F.col("is_radiant")))
 
 
 def lane_opponents(players: DataFrame, *extra: str) -> DataFrame:
     """The opponents on the same physical lane; a player without a lane has none."""
-    cols = dict.fromkeys(("lane", *extra))
-    facing = opponents(players, *cols)
-    return facing.withColumn("opponents", F.coalesce(
-        F.filter("opponents", lambda o: o["lane"] == F.col("lane")), F.slice("opponents", 1, 0)))
+    return opponents(players, *dict.fromkeys(("lane", *extra))).withColumn(
+        "opponents", F.filter("opponents", lambda o: F.coalesce(o["lane"] == F.col("lane"), F.lit(False))))
 
 
 def roster(players: DataFrame) -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame
 from matchlens.operators import build as B
 from matchlens.operators import detectors as D
 from matchlens.operators import events as E
-from matchlens.operators import players as P
 from matchlens.operators import series as S
 from matchlens.params import DEFAULTS, Thresholds
 from matchlens.plans.share import keep
@@ -27,17 +26,14 @@ def late_items(tables, items: DataFrame, order: list[str], chunk: str | None = N
 
 def all_deviations(tables, items: DataFrame, lead: DataFrame, order: list[str], chunk: str | None = None,
                    p: Thresholds = DEFAULTS) -> list[DataFrame]:
-    """One DataFrame per detector, in detector order. ``lead`` is the supplied advantage only."""
+    """The nine detectors in six passes. ``lead`` is the supplied advantage only."""
     players = tables.players
     return [
         D.item_lag(late_items(tables, items, order, chunk, p), p),
-        D.bench_edges(tables.benchmarks, p),
-        D.bench_spread(tables.benchmarks, p),
+        D.bench_both(tables.benchmarks, p),
         D.farm_stall(S.longest_stall(tables.minutes, p), p),
         D.death_cluster(E.death_cluster(E.death_times(tables.kills, players), p), p),
-        D.dead_share(players, tables.matches, p),
-        D.lane_gap(players, p),
-        D.kill_share(P.kill_participation(players), p),
+        D.among_players(players, tables.matches, p),
         D.gold_collapse(S.worst_drop(lead, p), players, p),
     ]
 

@@ -15,6 +15,7 @@ from matchlens.operators import resolve as R, series as S
 from matchlens.params import FOCUSES, LANGUAGES, MODELS, WRAPPERS
 from matchlens.plans import deviations as V
 from matchlens.plans.role_impact import role_inputs
+from matchlens.plans.share import keep
 from matchlens.sources.bind import LIMITS, Bound
 from matchlens.sources.landing import latest_version
 from matchlens.streaming import feedback as FB
@@ -501,15 +502,15 @@ def sample(b: Bound) -> DataFrame:
     return C.capped_sample(b.players, wanted(b))
 
 
-def digests(b: Bound, found: DataFrame) -> DataFrame:
-    return C.match_digest(P.kill_participation(b.results), sample(b),
+def digests(b: Bound, chosen: DataFrame, found: DataFrame) -> DataFrame:
+    return C.match_digest(P.kill_participation(b.results), chosen,
                           C.minute_value(b.minutes, "lh", 10, "cs10"), found)
 
 
 def plain_digests(b: Bound) -> DataFrame:
     """Digests for reports that do not show the deviation axes."""
     none = b.spark.sql("SELECT 0L AS match_id, 0L AS idx, '' AS axis WHERE false")
-    return digests(b, none)
+    return digests(b, sample(b), none)
 
 
 @query
@@ -521,8 +522,8 @@ def capped_sample(b: Bound) -> DataFrame:
 
 @wide_query
 def match_digest(b: Bound) -> DataFrame:
-    chosen = sample(b)
-    return digests(b, deviations(b.narrowed(chosen)).join(chosen, KEY, "left_semi")).select(
+    chosen = keep(sample(b))
+    return digests(b, chosen, deviations(b.narrowed(chosen))).select(
         "account_id", "rec_no", "match_id", "hero", "role", "win", X.mmss(F.col("duration")).alias("duration"),
         T.joined(F.col("kills"), F.col("deaths"), F.col("assists"), sep="/").alias("kda"), "gpm", "xpm", "cs10",
         "net_worth", "kp", "lane_eff", "parsed", "axes")
@@ -540,7 +541,7 @@ def profile_trends(b: Bound) -> DataFrame:
 
 @wide_query
 def profile_patterns(b: Bound) -> DataFrame:
-    chosen = sample(b)
+    chosen = keep(sample(b))
     rows = C.profile_patterns(deviations(b.narrowed(chosen)), chosen, LIMITS)
     return rows.withColumn("examples", F.array_join(F.transform("examples", params_text), " / "))
 
@@ -619,9 +620,7 @@ def fact_lines(b: Bound) -> DataFrame:
     return T.union([
         T.meta_lines(P.match_meta(b.matches, b.players)),
         T.scoreboard_lines(P.scoreboard(b.players)),
-        T.deviation_lines(D.top_deviations([
-            D.dead_share(b.players, b.matches, LIMITS), D.lane_gap(b.players, LIMITS),
-            D.kill_share(P.kill_participation(b.players), LIMITS)], LIMITS), T.templates(b.spark)),
+        T.deviation_lines(D.top_deviations([D.among_players(b.players, b.matches, LIMITS)], LIMITS), T.templates(b.spark)),
         T.swing_lines(S.top_swings(S.sign_swings(b.adv)), b.players),
         T.bench_lines(bench.benchmark_rows(b.benchmarks, players)),
         T.limit_lines(b.players, b.matches)])
