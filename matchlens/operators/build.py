@@ -45,18 +45,20 @@ def absorb_components(purchases: DataFrame, order: list[str], chunk: str | None
         moves = moves.repartition(*KEY)      # serves every later window of the same log
     keys = KEY + ["_part"]
     cell = keys + ([chunk] if chunk else [])
-    w = Window.partitionBy(*cell).orderBy(*order, "_at")
-    level = (moves
-             .withColumn("_level", F.sum("_d").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-             .withColumn("_low", F.min("_level").over(w.rowsBetween(1, Window.unboundedFollowing))))
+    # The look-ahead runs backwards: a frame open to the end would be added up anew for every row.
+    along = [*order, "_at"]
+    ahead = Window.partitionBy(*cell).orderBy(*along).rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy(*cell).orderBy(*[F.col(c).desc() for c in along]).rowsBetween(
+        Window.unboundedPreceding, -1)
+    level = (moves.withColumn("_level", F.sum("_d").over(ahead))
+             .withColumn("_low", F.min("_level").over(back)))
     if chunk:
         ends = level.groupBy(*cell).agg(F.sum("_d").alias("_total"), F.min("_level").alias("_min"))
-        along = Window.partitionBy(*keys).orderBy(chunk)
+        before = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+        after = Window.partitionBy(*keys).orderBy(F.col(chunk).desc()).rowsBetween(Window.unboundedPreceding, -1)
         ends = (ends
-                .withColumn("_base", F.coalesce(F.sum("_total").over(
-                    along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-                .withColumn("_later", F.min(F.col("_base") + F.col("_min")).over(
-                    along.rowsBetween(1, Window.unboundedFollowing)) - F.col("_base"))
+                .withColumn("_base", F.coalesce(F.sum("_total").over(before), F.lit(0)))
+                .withColumn("_later", F.min(F.col("_base") + F.col("_min")).over(after) - F.col("_base"))
                 .select(*cell, "_later"))
         level = (level.join(ends, cell)
                  .withColumn("_low", F.least("_low", "_later")).drop("_later"))

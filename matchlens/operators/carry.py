@@ -18,7 +18,7 @@ UNBOUNDED_AFTER = Window.unboundedFollowing
 
 
 # Rows of one group a window may hold in a task; beyond it logs are cut into chunks.
-GROUP_LIMIT = 2_000_000
+GROUP_LIMIT = 500_000
 
 
 def fits(df: DataFrame, keys: list[str], limit: int = GROUP_LIMIT) -> bool:
@@ -108,22 +108,24 @@ def with_median(df: DataFrame, keys: list[str], value: str, out: str, n: str,
 def densest_span(df: DataFrame, keys: list[str], t: str, span: int) -> DataFrame:
     """Largest number of rows inside any closed interval of ``span``, first reached on ties.
 
-    Rows are counted per time value, then every value is placed in its own span-wide cell
-    and, as look-back only, in the next one: a cell sees all it needs and never holds more
-    than two spans of distinct times.
+    Rows are counted per time value and put into span-wide cells. The interval ending at t covers
+    its own cell up to t and the previous cell from t - span on; both parts come from running sums,
+    the second one read by a probe placed at t - span. A sliding frame would add up each interval
+    anew; this stays linear, and a cell never holds more than two spans of distinct times.
     """
     cell = F.floor(F.col(t) / span)
     counted = df.groupBy(*keys, t).agg(F.count("*").alias("_n"))
-    placed = counted.select(*keys, t, "_n", F.inline(F.array(
-        F.struct(cell.alias("_cell"), F.lit(True).alias("_own")),
-        F.struct((cell + 1).alias("_cell"), F.lit(False).alias("_own")))))
-    w = Window.partitionBy(*keys, "_cell").orderBy(t).rangeBetween(-span, 0)
-    spans = (placed
-             .withColumn("_count", F.sum("_n").over(w))
-             .withColumn("_from", F.min(t).over(w))
-             .filter("_own"))
-    best = F.max_by(F.struct(F.col("_count").alias("n"), F.col("_from").alias("start"),
-                             F.col(t).alias("end")),
-                    F.struct(F.col("_count"), -F.col(t)))
-    return (spans.groupBy(*keys).agg(best.alias("_best"), F.sum("_n").alias("total"))
-            .select(*keys, "_best.n", "_best.start", "_best.end", "total"))
+    placed = counted.select(*keys, t, F.inline(F.array(
+        F.struct(cell.alias("_cell"), F.col(t).alias("_at"), F.lit(1).alias("_kind"), F.col("_n").alias("_add")),
+        F.struct((cell - 1).alias("_cell"), (F.col(t) - span).alias("_at"), F.lit(0).alias("_kind"),
+                 F.lit(0).cast("bigint").alias("_add")))))
+    w = Window.partitionBy(*keys, "_cell")
+    upto = F.sum("_add").over(w.orderBy("_at", "_kind").rowsBetween(UNBOUNDED_BEFORE, 0))
+    rest = F.sum("_add").over(w) - upto
+    spans = (placed.select(*keys, t, F.when(F.col("_kind") == 1, upto).otherwise(rest).alias("_part"))
+             .groupBy(*keys, t).agg(F.sum("_part").alias("_rows")))
+    best = spans.groupBy(*keys).agg(F.max(F.struct(F.col("_rows").alias("n"), (-F.col(t)).alias("end"))).alias("_best"))
+    end = -F.col("_best.end")
+    return counted.join(best, keys).groupBy(*keys).agg(
+        F.first("_best.n").alias("n"), F.min(F.when(F.col(t) >= end - span, F.col(t))).alias("start"),
+        F.first(end).alias("end"), F.sum("_n").alias("total"))

@@ -124,7 +124,7 @@ def stage_changes(adv: DataFrame, p: Thresholds = DEFAULTS) -> DataFrame:
     last = F.max("m").over(Window.partitionBy("match_id"))
     w = by_minute()
     ahead = F.coalesce(F.lead("gold", p.stage_step).over(w),
-                       F.last_value("gold").over(w.rowsBetween(0, Window.unboundedFollowing)))
+                       F.last_value("gold").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     return (adv.select("match_id", "m", "gold", last.alias("_last"), ahead.alias("_end"))
             .filter((F.col("m") % p.stage_step == 0) & (F.col("m") < F.least("_last", F.lit(p.stage_last))))
             .select("match_id", F.col("m").alias("start"), (F.col("_end") - F.col("gold")).alias("change")))

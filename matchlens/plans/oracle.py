@@ -529,7 +529,7 @@ QUERIES["early_grid"] = "SELECT match_id, idx, m, lh, dn, gold, xp FROM minutes
 QUERIES["absorb_components"] = "SELECT event_id, match_id, idx, key, absorbed FROM absorbed"
 QUERIES["pace_lag"] = f"""
 SELECT match_id, idx, ord, item, {clock('t')} AS at, {half('lag - base')} AS excess, gpm,
-       CAST(floor((expected + base) * 60) AS BIGINT) AS expected, round(severity, 6) AS severity FROM late"""
+       CAST(floor((expected + base) * 60) AS BIGINT) AS expected, CAST(floor(severity * 1e6 + 0.5e0) AS BIGINT) AS severity FROM late"""
 PARTS["dump"] = """
 SELECT match_id, 'kill' AS kind, t, CAST(killer AS VARCHAR) AS who, 'npc_' || victim AS what
 FROM kills JOIN windows USING (match_id) WHERE t BETWEEN lo AND hi
@@ -554,7 +554,7 @@ QUERIES["metric_percentiles"] = "SELECT metric, value, match_id, idx, pct FROM b
 QUERIES["median_of_others"] = "SELECT * FROM typical"
 for name, part in {"det_bench_edges": 2, "det_bench_spread": 3, "det_dead_share": 6, "det_lane_gap": 7, "det_kp": 8}.items():
     QUERIES[name] = f"SELECT match_id, idx, det_no, rnk, key, axis, severity, params FROM det{part}"
-QUERIES["anomaly_topk"] = "SELECT match_id, idx, ord, det_no, key, axis, round(severity, 6) AS severity, params FROM devs"
+QUERIES["anomaly_topk"] = "SELECT match_id, idx, ord, det_no, key, axis, CAST(floor(severity * 1e6 + 0.5e0) AS BIGINT) AS severity, params FROM devs"
 SAMPLE_ROLES = ["1", None, "2", "3", None, "4", "5", None, "1", None]
 PARTS["wishes"] = table([(i, 20 if i == 9 else 4, r or "", ROLE_LANE.get(r, 0)) for i, r in enumerate(SAMPLE_ROLES)],
                         "account_id, n, role, lane_role")

@@ -413,7 +413,7 @@ def absorb_components(b: Bound) -> DataFrame:
 @query
 def pace_lag(b: Bound) -> DataFrame:
     late = V.late_items(b, b.items, LOG, b.chunk, LIMITS)
-    return late.withColumn("severity", F.round("severity", 6))
+    return late.withColumn("severity", millionths())
 
 
 @query
@@ -480,13 +480,18 @@ def det_kp(b: Bound) -> DataFrame:
     return D.kill_share(P.kill_participation(b.players), LIMITS)
 
 
+def millionths() -> Column:
+    """Severity in whole millionths: engines round decimals of doubles differently."""
+    return F.floor(F.col("severity") * 1000000.0 + 0.5).cast("bigint")
+
+
 def deviations(b: Bound) -> DataFrame:
     return V.anomaly_topk(b, b.items, b.adv, LOG, b.chunk, LIMITS)
 
 
 @wide_query
 def anomaly_topk(b: Bound) -> DataFrame:
-    return deviations(b).withColumn("severity", F.round("severity", 6)).select(
+    return deviations(b).withColumn("severity", millionths()).select(
         *KEY, "ord", "det_no", "key", "axis", "severity", "params")
 
 
