@@ -21,10 +21,10 @@ UNBOUNDED_AFTER = Window.unboundedFollowing
 GROUP_LIMIT = 500_000
 
 
-def fits(df: DataFrame, keys: list[str], limit: int = GROUP_LIMIT) -> bool:
+def fits(df: DataFrame, keys: list[str], limit: int | None = None) -> bool:
     """Whether every group is small enough for a plain window: one counting job over the keys."""
     largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
-    return (largest or 0) <= limit
+    return (largest or 0) <= (GROUP_LIMIT if limit is None else limit)
 
 
 def value_range(value: Column) -> Column:
