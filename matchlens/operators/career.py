@@ -28,17 +28,19 @@ def capped_sample(players: DataFrame, wanted: DataFrame, available: DataFrame |
                   p: Thresholds = DEFAULTS) -> DataFrame:
     """Matches that enter each account's profile.
 
-    ``wanted(account_id, n, role)`` gives size (clamped to 2..20) and optional position. With a
-    position the history is twice as long, narrowed to the position's lane, and rows of other
-    positions are passed over. Matches missing from ``available`` are skipped, not replaced
-    unless a position made the history longer.
+    ``wanted(account_id, n, role[, hero_id])`` gives size (clamped to 2..20), optional position and
+    optional hero. With a position the history is twice as long, narrowed to the position's lane,
+    and rows of other positions are passed over. Matches missing from ``available`` are skipped, not
+    replaced unless a position made the history longer.
     """
+    hero = F.col("hero_id") if "hero_id" in wanted.columns else F.lit(None).cast("int")
     ask = wanted.select("account_id", F.greatest(F.lit(p.min_matches), F.least(F.lit(p.max_matches), "n"))
-                        .alias("_n"), F.col("role").alias("_role"))
+                        .alias("_n"), F.col("role").alias("_role"), hero.alias("_hero"))
     lanes = F.create_map(*[F.lit(x) for kv in ROLE_LANE.items() for x in kv])
     lane = F.try_element_at(lanes, F.col("_role"))
     history = (players.join(ask, "account_id")
-               .filter(F.col("_role").isNull() | (F.col("lane_role") == lane)))
+               .filter((F.col("_role").isNull() | (F.col("lane_role") == lane))
+                       & (F.col("_hero").isNull() | (F.col("hero_id") == F.col("_hero")))))
     budget = F.when(F.col("_role").isNull(), F.col("_n")).otherwise(2 * F.col("_n"))
     tried = recent(history, "account_id", [F.col("match_id").desc()], budget, "_tried", 2 * p.max_matches)
     if available is not None:

@@ -108,10 +108,6 @@ def bench_lines(rows: DataFrame) -> DataFrame:
                   joined(F.col("metric"), F.coalesce(F.col("pct").cast("string"), F.lit("?")), sep=" "))
 
 
-def item_lines(build: DataFrame, order: Column) -> DataFrame:
-    return _lines(build, "items", order, joined(X.mmss(F.col("t")), F.col("item"), sep=" "))
-
-
 def fight_lines(outcome: DataFrame) -> DataFrame:
     c = F.col
     score = F.concat(c("my_losses").cast("string"), F.lit(":"), c("enemy_losses").cast("string"))
@@ -119,21 +115,6 @@ def fight_lines(outcome: DataFrame) -> DataFrame:
     return _lines(outcome, "teamfights", c("fight_no"), joined(span, score, c("verdict"), X.signed(c("my_gold_delta"))))
 
 
-def objective_lines(objectives: DataFrame, players: DataFrame, order: str) -> DataFrame:
-    c = F.col
-    rows = players.select(*KEY).join(objectives, "match_id")
-    return _lines(rows, "objectives", c(order), joined(
-        X.mmss(c("t")), c("kind"), c("attacker"), c("building"), c("short"),
-        F.coalesce("hero", F.when(c("by_creeps"), "creeps")), c("side"), sep=" "))
-
-
-def combat_lines(combat: DataFrame) -> DataFrame:
-    cols = ["best_streak", "best_multikill", "stuns_sec", "camps_stacked", "runes", "obs", "sen", "buybacks",
-            "time_dead"]
-    return _lines(combat, "combat", F.lit(1), F.concat_ws(" | ", *[
-        F.concat(F.lit(f"{c} "), F.col(c).cast("string")) for c in cols]))
-
-
 def limit_lines(players: DataFrame, matches: DataFrame) -> DataFrame:
     """Fixed limits and one more for a match without a parsed replay."""
     rows = players.select(*KEY).join(matches.select("match_id", "parsed"), "match_id")

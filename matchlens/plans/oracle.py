@@ -565,6 +565,9 @@ QUALIFY tried <= CASE WHEN w.role = '' THEN w.n ELSE 2 * w.n END"""
 QUERIES["capped_sample"] = """
 SELECT account_id, match_id, idx, row_number() OVER (PARTITION BY account_id ORDER BY tried) AS rec_no
 FROM tried JOIN matches USING (match_id) WHERE parsed AND (role = '' OR position = role) QUALIFY rec_no <= n"""
+QUERIES["hero_sample"] = """
+SELECT account_id, match_id, idx, row_number() OVER (PARTITION BY account_id ORDER BY match_id DESC) AS rec_no
+FROM players WHERE uid % 25 = account_id % 5 QUALIFY rec_no <= 4"""
 QUERIES["match_digest"] = f"""
 SELECT account_id, rec_no, d.match_id, hero, role, win, {clock('duration')} AS duration,
        kills || '/' || deaths || '/' || assists AS kda, gpm, xpm, cs10, net_worth, kp, lane_eff, parsed,

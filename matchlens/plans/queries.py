@@ -525,6 +525,12 @@ def capped_sample(b: Bound) -> DataFrame:
     return C.capped_sample(b.players, asks, b.matches.filter("parsed"))
 
 
+@query
+def hero_sample(b: Bound) -> DataFrame:
+    asks = wanted(b).withColumns({"n": F.lit(4), "hero_id": F.col("account_id") % 5})
+    return C.capped_sample(b.players, asks)
+
+
 @wide_query
 def match_digest(b: Bound) -> DataFrame:
     chosen = keep(sample(b))

@@ -1,9 +1,7 @@
-"""Session defaults and the shared checkpoint folder."""
+"""Session defaults."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
@@ -22,14 +20,3 @@ def build(app: str = "matchlens", master: str | None = None, **conf: str) -> Spa
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
-
-
-def checkpoint_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one only where none is set (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="matchlens-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root

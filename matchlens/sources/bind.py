@@ -52,8 +52,8 @@ def whole_seconds(ts: Column) -> Column:
 
 
 class Bound:
-    """Lazy tables. ``shared`` keeps the two reductions (per player, per player and step) for plans
-    with many branches; ``only`` narrows the events to some matches before anything is computed.
+    """Lazy tables. ``shared`` keeps the reduction to one row per player for plans with many branches;
+    ``only`` narrows the events to some matches before anything is computed.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str, shared: bool = False,
@@ -68,9 +68,6 @@ class Bound:
         part.benchmarks = self.benchmarks.join(part.only, "match_id", "left_semi")
         return part
 
-    def _keep(self, df: DataFrame) -> DataFrame:
-        return keep(df) if self.shared else df
-
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
@@ -114,7 +111,7 @@ class Bound:
             F.count_if(F.col("event_type") == "view").alias("lh"),
             F.count_if(F.col("event_type") == "signup").alias("dn"))
         dense = self._dense(per, ["match_id", "idx"], ["gold", "xp", "lh", "dn"])
-        return self._keep(dense.withColumn("is_radiant", radiant()))
+        return dense.withColumn("is_radiant", radiant())
 
     @cached_property
     def adv(self) -> DataFrame:
@@ -133,7 +130,8 @@ class Bound:
         def cents(of: str) -> Column:
             return F.sum(F.when(kind == of, F.col("cents")).otherwise(0))
 
-        return self._keep(self.ev.groupBy("match_id", "idx").agg(
+        rows = self.ev.groupBy("match_id", "idx").agg(
+            F.max("t").alias("last_t"),
             F.count_if(kind == "purchase").alias("kills"),
             F.count_if(kind == "error").alias("deaths"),
             F.count_if(kind == "click").alias("assists"),
@@ -147,8 +145,9 @@ class Bound:
             cents("signup").alias("hero_healing"),
             cents("error").alias("damage_taken"),
             F.sum(F.when(kind == "error", F.col("k") * 500).otherwise(0)).alias("seconds_dead"))
-            .withColumns({"is_radiant": radiant(),
-                          "lane": (F.floor(F.col("idx") / 2) % 3 + 1).cast("int")}))
+        rows = rows.withColumns({"is_radiant": radiant(),
+                                 "lane": (F.floor(F.col("idx") / 2) % 3 + 1).cast("int")})
+        return keep(rows) if self.shared else rows
 
     @cached_property
     def players(self) -> DataFrame:
@@ -172,9 +171,9 @@ class Bound:
     @cached_property
     def matches(self) -> DataFrame:
         sign = F.when(F.col("is_radiant"), 1).otherwise(-1)
-        return self.ev.groupBy("match_id").agg(
-            (F.sum(sign * F.col("cents")) > 0).alias("radiant_win"),
-            F.max("t").alias("duration")).select(
+        return self.totals.groupBy("match_id").agg(
+            (F.sum(sign * F.col("total_gold")) > 0).alias("radiant_win"),
+            F.max("last_t").alias("duration")).select(
             "*", F.concat(F.lit("mode_"), (F.col("match_id") % 3).cast("string")).alias("mode"),
             F.concat(F.lit("lobby_"), (F.col("match_id") % 2).cast("string")).alias("lobby"),
             F.concat(F.lit("7."), (30 + F.col("match_id") % 4).cast("string")).alias("patch"),

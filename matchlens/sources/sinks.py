@@ -20,6 +20,11 @@ def write_documents(documents: DataFrame, path: str) -> None:
     documents.select("filename", "document").write.mode("overwrite").parquet(path)
 
 
+def write_text_files(documents: DataFrame, path: str) -> None:
+    """One text file per document under filename=<name>/; for small selections."""
+    (documents.select("document", "filename").write.mode("overwrite").partitionBy("filename").text(path))
+
+
 def write_json_lines(rows: DataFrame, path: str) -> None:
     """Appends one JSON object per line."""
     rows.select(F.to_json(F.struct("*")).alias("value")).write.mode("append").text(path)
