@@ -17,10 +17,15 @@ SAMPLE = ["account_id", "match_id", "idx", "rec_no"]
 
 
 def recent(rows: DataFrame, account: str, recency: list[Column], limit: int | Column, out: str = "rec_no",
-           at_most: int = 40) -> DataFrame:
-    """The newest rows per account, numbered from the newest; never more than ``at_most``."""
+           at_most: int = 40, ties: bool = False) -> DataFrame:
+    """The newest rows per account, numbered from the newest; never more than ``at_most``.
+
+    With ``ties`` equal recencies share a number. The constant bound lets Spark drop older rows
+    before the shuffle.
+    """
     w = Window.partitionBy(account).orderBy(*recency)
-    return (rows.filter(F.col(account).isNotNull()).withColumn(out, F.row_number().over(w))
+    number = F.dense_rank() if ties else F.row_number()
+    return (rows.filter(F.col(account).isNotNull()).withColumn(out, number.over(w))
             .filter((F.col(out) <= at_most) & (F.col(out) <= limit)))
 
 
@@ -42,7 +47,9 @@ def capped_sample(players: DataFrame, wanted: DataFrame, available: DataFrame |
                .filter((F.col("_role").isNull() | (F.col("lane_role") == lane))
                        & (F.col("_hero").isNull() | (F.col("hero_id") == F.col("_hero")))))
     budget = F.when(F.col("_role").isNull(), F.col("_n")).otherwise(2 * F.col("_n"))
-    tried = recent(history, "account_id", [F.col("match_id").desc()], budget, "_tried", 2 * p.max_matches)
+    tried = recent(history, "account_id", [F.col("match_id").desc()], budget, "_tried", 2 * p.max_matches, ties=True)
+    once = Window.partitionBy("account_id", "match_id").orderBy("idx")    # the first player of that account counts
+    tried = tried.withColumn("_nth", F.row_number().over(once)).filter("_nth = 1").drop("_nth")
     if available is not None:
         tried = tried.join(available.select("match_id").distinct(), "match_id", "left_semi")
     passed = tried.filter(F.col("_role").isNull() | (F.col("position") == F.col("_role")))

@@ -15,6 +15,7 @@ from matchlens.functions import text as X
 from matchlens.operators import career as C, documents as T, players as P, series as S
 from matchlens.params import DEFAULTS, WRAPPERS, Thresholds
 from matchlens.plans.deviations import anomaly_topk
+from matchlens.plans.share import keep
 from matchlens.sources.sinks import profile_filename
 
 KEY = ["match_id", "idx"]
@@ -24,16 +25,22 @@ SECTIONS = {"averages": "AVERAGES", "trends": "TRENDS", "patterns": "RECURRING D
 
 class AccountProfile:
     def __init__(self, tables, wanted: DataFrame, limits: Thresholds = DEFAULTS):
-        self.t, self.wanted, self.p = tables, wanted, limits
+        self.all, self.wanted, self.p = tables, wanted, limits
 
     @cached_property
     def sample(self) -> DataFrame:
-        return C.capped_sample(self.t.players, self.wanted, self.t.matches, self.p)
+        return keep(C.capped_sample(self.all.players, self.wanted, self.all.matches, self.p))
+
+    @cached_property
+    def t(self):
+        """The tables of the sampled matches."""
+        return self.all.narrowed(self.sample)
 
     @cached_property
     def deviations(self) -> DataFrame:
+        """Deviations of the sampled players; read by the patterns, their examples and the digests."""
         found = anomaly_topk(self.t, self.t.dims["items"], self.t.supplied_adv, self.t.order, self.t.chunk, self.p)
-        return found.join(self.sample.select(*KEY), KEY, "left_semi")
+        return keep(found.join(self.sample.select(*KEY), KEY, "left_semi"))
 
     @cached_property
     def digests(self) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchlens.functions import lookup as L
@@ -19,6 +19,8 @@ from matchlens.operators import players as P
 from matchlens.operators import series as S
 
 KEY = ["match_id", "idx"]
+TABLES = ("matches", "players", "minutes", "supplied_adv", "purchases", "kills", "abilities", "buffs", "damage",
+          "benchmarks", "picks", "objectives", "fights", "fight_players")
 
 
 def number(column: str, kind: str = "bigint") -> Column:
@@ -168,9 +170,38 @@ class Silver:
                            "fp.gold_delta", "fp.xp_delta", killed.alias("killed"))
         return rows.join(self._unfolded.select(*KEY, "is_radiant"), KEY)
 
+    # --- stored once, read many times -----------------------------------------------
+
     def write(self, path: str) -> None:
         """All tables as Parquet, each match's rows together."""
-        for name in ("matches", "players", "minutes", "supplied_adv", "purchases", "kills", "abilities",
-                     "buffs", "damage", "benchmarks", "picks", "objectives", "fights", "fight_players"):
+        for name in TABLES:
             (getattr(self, name).repartition("match_id").sortWithinPartitions("match_id")
              .write.mode("overwrite").parquet(f"{path}/{name}"))
+
+    @classmethod
+    def read(cls, spark: SparkSession, path: str, dims: dict[str, DataFrame]) -> Silver:
+        """The tables ``write`` left: columns are pruned and filters pushed, no document is parsed again."""
+        return cls._of({n: spark.read.parquet(f"{path}/{n}") for n in TABLES}, dims)
+
+    def save_bucketed(self, prefix: str, path: str, buckets: int) -> None:
+        """All tables bucketed by match: windows and joins inside a match then need no exchange."""
+        for name in TABLES:
+            (getattr(self, name).repartition(buckets, "match_id").write.mode("overwrite")
+             .bucketBy(buckets, "match_id").sortBy("match_id").option("path", f"{path}/{name}")
+             .saveAsTable(f"{prefix}_{name}"))
+
+    @classmethod
+    def bucketed(cls, spark: SparkSession, prefix: str, dims: dict[str, DataFrame]) -> Silver:
+        return cls._of({n: spark.table(f"{prefix}_{n}") for n in TABLES}, dims)
+
+    def narrowed(self, matches: DataFrame) -> Silver:
+        """The same tables for the given match_ids only."""
+        ids = matches.select("match_id").distinct()
+        return self._of({n: getattr(self, n).join(ids, "match_id", "left_semi") for n in TABLES}, self.dims)
+
+    @classmethod
+    def _of(cls, tables: dict[str, DataFrame], dims: dict[str, DataFrame]) -> Silver:
+        out = cls(tables["matches"], dims)
+        for name, df in tables.items():
+            setattr(out, name, df)
+        return out

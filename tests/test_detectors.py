@@ -163,6 +163,8 @@ def test_sample_rules(silver, spark):
     gone = t.matches.filter("match_id <> 303")
     assert [r.match_id for r in C.capped_sample(t.players, wanted(spark, n=2), gone).collect()] == [302]  # not refilled
     assert ids(account=7) == []
+    twice = t.players.unionByName(t.players.filter("account_id = 42").withColumn("idx", F.lit(9)))
+    assert rows(C.capped_sample(twice, wanted(spark)), "rec_no", "match_id", "idx") == [(1, 303, 0), (2, 302, 0), (3, 301, 0)]
     hero = wanted(spark).withColumn("hero_id", F.lit(3))
     assert [r.match_id for r in C.capped_sample(t.players, hero).collect()] == [301]
 

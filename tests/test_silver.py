@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from conftest import hero, match, person, rows
 from matchlens.functions import text as X
+from matchlens.sources.silver import Silver
 from matchlens.operators import build as B, draft, events as E, fights as G, players as P, series as S
 
 ME = "match_id = 1 and idx = 0"
@@ -147,11 +148,20 @@ def test_early_grid_keeps_missing_minutes(silver):
     assert rows(grid.filter("m <= 2"), "m", "gold", "lh") == [(1, 1, None), (2, None, None)] and grid.count() == 10
 
 
-def test_write_and_reread(spark, silver, tmp_path):
+def test_write_and_reread(spark, silver, dims, tmp_path):
     t = silver(match())
     t.write(str(tmp_path / "silver"))
-    again = spark.read.parquet(str(tmp_path / "silver/players"))
-    assert rows(again, "idx", "position") == rows(t.players, "idx", "position")
+    again = Silver.read(spark, str(tmp_path / "silver"), dims)
+    assert rows(again.players, "idx", "position") == rows(t.players, "idx", "position")
+    assert rows(again.adv) == rows(t.adv)
+
+
+def test_buckets_need_no_exchange(spark, silver, dims, tmp_path):
+    silver(match(), match(2)).save_bucketed("silver_test", str(tmp_path / "b"), 4)
+    t = Silver.bucketed(spark, "silver_test", dims)
+    share = P.kill_participation(t.players).join(t.matches.hint("merge"), "match_id")
+    assert "Exchange" not in share._jdf.queryExecution().executedPlan().toString()
+    assert share.count() == 8
 
 
 def test_utility_first_purchases(silver):
