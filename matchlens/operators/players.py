@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchlens.functions import text as X
-from matchlens.params import (DEFAULTS, LANE_KEYS, ROLES, ROLE_METRICS, Thresholds)
+from matchlens.params import DEFAULTS, LANE_KEYS, ROLES, ROLE_METRICS
 
 KEY = ["match_id", "idx"]
 

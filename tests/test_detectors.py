@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import match, person, rows
 from matchlens.operators import bench, career as C, detectors as D, players as P, series as S
-from matchlens.params import DEFAULTS, GENERAL_BENCH
+from matchlens.params import GENERAL_BENCH
 from matchlens.plans.account_profile import AccountProfile
 from matchlens.plans.deviations import anomaly_topk
 from matchlens.plans.match_facts import MatchFacts

@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from conftest import match, person, rows
+from conftest import match, rows
 from matchlens.sources import sinks
 from matchlens.streaming import feedback as FB, landing
 
