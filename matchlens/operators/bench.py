@@ -26,9 +26,10 @@ def shown_metrics(role: Column) -> Column:
 
 def benchmark_rows(benchmarks: DataFrame, players: DataFrame) -> DataFrame:
     """Rows of the focal player in the order of its role; metrics without a value are left out."""
-    wanted = players.select(*KEY, F.posexplode(shown_metrics(F.col("role"))).alias("_pos", "metric"))
+    keys = [*KEY, *[c for c in ("request_id",) if c in players.columns]]
+    wanted = players.select(*keys, F.posexplode(shown_metrics(F.col("role"))).alias("_pos", "metric"))
     return (wanted.join(benchmarks.filter(F.col("raw").isNotNull()), KEY + ["metric"])
-            .select(*KEY, (F.col("_pos") + 1).cast("bigint").alias("ord"), "metric",
+            .select(*keys, (F.col("_pos") + 1).cast("bigint").alias("ord"), "metric",
                     X.half_even(F.col("raw"), 1).alias("raw"),
                     X.half_even(F.col("pct") * 100).alias("pct")))
 

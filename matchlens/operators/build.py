@@ -116,7 +116,7 @@ def full_log(purchases: DataFrame, order: list[str], chunk: str | None = None) -
 
 def role_items(players: DataFrame, key_items: DataFrame, utility: DataFrame) -> DataFrame:
     """Assembled items for roles 1 and 2, first utility purchases for roles 3 to 5."""
-    role = players.select(*KEY, "role")
+    role = players.select(*KEY, *[c for c in ("request_id",) if c in players.columns], "role")
     core = key_items.select(*KEY, "key", "t").join(role.filter(F.col("role").isin("1", "2")), KEY)
     support = utility.select(*KEY, "key", "t").join(role.filter(F.col("role").isin("3", "4", "5")), KEY)
     return (core.withColumn("kind", F.lit("key_items"))

@@ -17,16 +17,6 @@ UNBOUNDED_BEFORE = Window.unboundedPreceding
 UNBOUNDED_AFTER = Window.unboundedFollowing
 
 
-# Rows of one group a window may hold in a task; beyond it logs are cut into chunks.
-GROUP_LIMIT = 500_000
-
-
-def fits(df: DataFrame, keys: list[str], limit: int | None = None) -> bool:
-    """Whether every group is small enough for a plain window: one counting job over the keys."""
-    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
-    return (largest or 0) <= (GROUP_LIMIT if limit is None else limit)
-
-
 def value_range(value: Column) -> Column:
     """A cell number that never decreases with ``value``: 128 cells per doubling, both signs.
 

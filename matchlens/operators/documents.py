@@ -69,8 +69,13 @@ def render_templates(rows: DataFrame, table: DataFrame, out: str = "text") -> Da
 
 # --- lines: (match_id, idx, section, ord, line) --------------------------------------
 
+def _document(df: DataFrame) -> list[str]:
+    """Key of the document a row belongs to: the focal player, and the request where there is one."""
+    return [*KEY, *[c for c in ("request_id",) if c in df.columns]]
+
+
 def _lines(df: DataFrame, section: str, order: Column, line: Column) -> DataFrame:
-    return df.select(*KEY, F.lit(section).alias("section"), order.cast("bigint").alias("ord"), line.alias("line"))
+    return df.select(*_document(df), F.lit(section).alias("section"), order.cast("bigint").alias("ord"), line.alias("line"))
 
 
 def joined(*parts: Column, sep: str = " | ") -> Column:
@@ -117,11 +122,11 @@ def fight_lines(outcome: DataFrame) -> DataFrame:
 
 def limit_lines(players: DataFrame, matches: DataFrame) -> DataFrame:
     """Fixed limits and one more for a match without a parsed replay."""
-    rows = players.select(*KEY).join(matches.select("match_id", "parsed"), "match_id")
+    rows = players.select(*_document(players)).join(matches.select("match_id", "parsed"), "match_id")
     texts = F.array_compact(F.array(F.lit("series have one point per minute"),
                                     F.lit("positions are inferred from lane and net worth"),
                                     F.when(~F.col("parsed"), "the replay is not parsed")))
-    listed = rows.select(*KEY, F.posexplode(texts).alias("_pos", "_text"))
+    listed = rows.select(*_document(rows), F.posexplode(texts).alias("_pos", "_text"))
     return _lines(listed, "limits", F.col("_pos") + 1, F.col("_text"))
 
 

@@ -138,10 +138,11 @@ def role_metrics(players: DataFrame) -> DataFrame:
         F.lit(n), (F.col(n) if n in have else F.lit(None)).cast("string"))])
     lists = F.create_map(*[x for role, ms in ROLE_METRICS.items() for x in (
         F.lit(role), F.array(*[F.lit(m) for m in ms]))])
+    keys = [*KEY, *[c for c in ("request_id",) if c in have]]
     return (players.filter(F.col("role").isin(*ROLES))
-            .select(*KEY, "role", values.alias("_values"),
+            .select(*keys, "role", values.alias("_values"),
                     F.posexplode(F.try_element_at(lists, F.col("role"))).alias("_pos", "metric"))
-            .select(*KEY, "role", (F.col("_pos") + 1).cast("bigint").alias("ord"), "metric",
+            .select(*keys, "role", (F.col("_pos") + 1).cast("bigint").alias("ord"), "metric",
                     F.try_element_at("_values", F.col("metric")).alias("value")))
 
 

@@ -26,10 +26,13 @@ def team_advantage(minutes: DataFrame) -> DataFrame:
 
 
 def advantage(supplied: DataFrame, minutes: DataFrame) -> DataFrame:
-    """The supplied lead where a match has one, else the rebuilt one (without experience)."""
-    have = supplied.filter(F.col("gold").isNotNull()).select("match_id").distinct()
-    rebuilt = team_advantage(minutes.join(have, "match_id", "left_anti"))
-    return supplied.unionByName(rebuilt.withColumn("xp", F.lit(None).cast("bigint")))
+    """The supplied lead where a match has one, else the rebuilt one; supplied experience stays beside it."""
+    own = supplied.groupBy("match_id", "m").agg(F.max("gold").alias("_own"), F.max("xp").alias("xp"))
+    have = own.groupBy("match_id").agg((F.count("_own") > 0).alias("_have"))
+    both = own.join(team_advantage(minutes), ["match_id", "m"], "full").join(have, "match_id", "left")
+    rebuilt = ~F.coalesce("_have", F.lit(False))
+    return (both.filter(rebuilt | F.col("_own").isNotNull() | F.col("xp").isNotNull())
+            .select("match_id", "m", F.when(rebuilt, F.col("gold")).otherwise(F.col("_own")).alias("gold"), "xp"))
 
 
 def per_side(df: DataFrame, *values: str) -> DataFrame:
@@ -71,10 +74,17 @@ def peak_trough(adv: DataFrame) -> DataFrame:
 
 
 def thin_series(df: DataFrame, keys: list[str], step: int = DEFAULTS.thin_step) -> DataFrame:
-    """Every ``step``-th minute and the last one."""
-    last = F.max("m").over(Window.partitionBy(*keys))
-    return (df.withColumn("_last", last)
-            .filter((F.col("m") % step == 0) | (F.col("m") == F.col("_last"))).drop("_last"))
+    """Every ``step``-th minute and the match's last one; minutes that a series lacks are null.
+
+    All series of a match share one grid, which ends with the longest of them.
+    """
+    match = Window.partitionBy("match_id")
+    grid = (df.groupBy(*keys).agg(F.min("m").alias("_from"), F.max("m").alias("_to"))
+            .withColumns({"_from": F.least(F.min("_from").over(match), F.lit(0)), "_to": F.max("_to").over(match)})
+            .select(*keys, F.explode(F.filter(
+                F.sequence("_from", F.greatest("_from", "_to")),
+                lambda m: (m % step == 0) | (m == F.col("_to")))).alias("m"), "_to").drop("_to"))
+    return grid.join(df, [*keys, "m"], "left")
 
 
 def longest_stall(minutes: DataFrame, p: Thresholds = DEFAULTS) -> DataFrame:
@@ -121,6 +131,7 @@ def early_grid(players: DataFrame, minutes: DataFrame, upto: int = 10) -> DataFr
 
 def stage_changes(adv: DataFrame, p: Thresholds = DEFAULTS) -> DataFrame:
     """Change of the lead over consecutive stages of a match; a lone point has none."""
+    adv = adv.filter("gold is not null")
     last = F.max("m").over(Window.partitionBy("match_id"))
     w = by_minute()
     ahead = F.coalesce(F.lead("gold", p.stage_step).over(w),

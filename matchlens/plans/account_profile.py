@@ -1,6 +1,7 @@
 """Documents about accounts over their sampled matches.
 
-``wanted`` is a table (account_id, n, role, model). The sample is taken first; detectors and
+``wanted`` is a table (account_id, n, role, model[, request_id]); several requests may name one account, each gets its own
+document. The sample is taken first; detectors and
 series then run on the sampled matches only.
 """
 
@@ -8,7 +9,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchlens.functions import text as X
@@ -67,7 +68,7 @@ class AccountProfile:
         return C.hero_mix(self.digests)
 
     def caveats(self) -> DataFrame:
-        return C.sample_caveats(self.digests, self.wanted)
+        return C.sample_caveats(self.digests, self.wanted, self.p)
 
     # --- documents -------------------------------------------------------------------
 
@@ -75,7 +76,7 @@ class AccountProfile:
         c = F.col
 
         def line(df: DataFrame, section: str, order: Column, *parts: Column) -> DataFrame:
-            return df.select("account_id", F.lit(section).alias("section"), order.cast("bigint").alias("ord"),
+            return df.select(*C.who(df), F.lit(section).alias("section"), order.cast("bigint").alias("ord"),
                              T.joined(*parts).alias("line"))
 
         def named(df: DataFrame, cols: list[str]) -> list[Column]:
@@ -83,20 +84,22 @@ class AccountProfile:
 
         avg = self.averages().withColumn("duration", X.mmss(c("duration")))
         templates = T.templates(self.wanted.sparkSession)
-        examples = self.patterns().select("*", F.posexplode("examples").alias("_pos", "params")).withColumn(
+        place = F.row_number().over(Window.partitionBy(*C.who(self.wanted)).orderBy("key"))
+        patterns = self.patterns().withColumn("_place", place)
+        examples = patterns.select("*", F.posexplode("examples").alias("_pos", "params")).withColumn(
             "lang", F.lit("en"))
         order = -c("count") * 1000
-        by_key = order + F.abs(F.hash("key")) % 100 * 10
+        by_key = order + F.col("_place") * 10
         digest = self.digests
         verdict = self.verdicts()
         weak = F.array_join(F.transform("weak", lambda s: F.concat_ws("-", s["start"].cast("string"),
                                                                       s["end"].cast("string"))), ", ")
         caveats = self.caveats()
         return T.union([
-            line(avg, "averages", F.lit(1), *named(avg, [x for x in avg.columns if x != "account_id"])),
+            line(avg, "averages", F.lit(1), *named(avg, [x for x in avg.columns if x not in C.who(avg)])),
             line(self.trends(), "trends", F.array_position(F.array(*map(F.lit, C.TREND_METRICS)), c("metric")),
                  c("metric"), *named(avg, ["avg", "low", "high", "samples"]), T.joined(c("direction"), c("delta"), sep=" ")),
-            line(self.patterns(), "patterns", by_key, F.concat(F.lit("["), c("axis"), F.lit("] "), c("key")),
+            line(patterns, "patterns", by_key, F.concat(F.lit("["), c("axis"), F.lit("] "), c("key")),
                  F.concat(c("count").cast("string"), F.lit(" of "), c("total").cast("string")),
                  F.concat(c("share").cast("string"), F.lit("%"))),
             line(T.render_templates(examples, templates), "patterns", by_key + 1 + c("_pos"),
@@ -121,7 +124,8 @@ class AccountProfile:
             line(caveats.filter("patches is not null"), "limits", F.lit(5), F.concat(F.lit("patches "), c("patches")))])
 
     def documents(self) -> DataFrame:
-        """(account_id, wrapper, document, filename)."""
+        """(account_id[, request_id], wrapper, document, filename)."""
+        by = C.who(self.wanted)
         names = list(SECTIONS)
         heading = F.create_map(*[F.lit(x) for kv in SECTIONS.items() for x in kv])
         limits = F.col("section") == "limits"
@@ -131,7 +135,7 @@ class AccountProfile:
                  .withColumn("section_ord", F.array_position(F.array(*map(F.lit, names)), F.col("section")))
                  .withColumn("group_ord", F.when(limits, 2).otherwise(1))
                  .withColumn("group_tag", F.when(limits, "data_limitations").otherwise("profile_data"))
-                 .join(self.wanted.select("account_id", wrapper.alias("wrapper")), "account_id"))
-        size = self.sample.groupBy("account_id").agg(F.count("*").alias("_n"))
-        return (T.assemble(parts, ["account_id"]).join(size, "account_id")
-                .withColumn("filename", profile_filename(F.col("account_id"), F.col("_n"))).drop("_n"))
+                 .join(self.wanted.select(*by, wrapper.alias("wrapper")), by))
+        size = self.sample.groupBy(*by).agg(F.count("*").alias("_n"))
+        name = profile_filename(F.col("account_id"), F.coalesce("_n", F.lit(0)), *[F.col(c) for c in by if c != "account_id"])
+        return T.assemble(parts, by).join(size, by, "left").withColumn("filename", name).drop("_n")

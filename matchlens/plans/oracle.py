@@ -9,8 +9,7 @@ from __future__ import annotations
 import re
 
 from matchlens.operators.documents import GROUP_OF, HEADINGS, TEMPLATES
-from matchlens.operators.requests import MATCH_RULES
-from matchlens.params import (DEPTHS, FOCUSES, FOCUS_LEVELS, GENERAL_BENCH, LANGUAGES, METRIC_AXIS, MODELS,
+from matchlens.params import (DEPTHS, FOCUSES, FOCUS_LEVELS, GENERAL_BENCH, LANGUAGES, MATCH_RULES, METRIC_AXIS, MODELS,
                               ROLE_BENCH, ROLE_FOCUSES, ROLE_LANE, ROLE_METRICS, ROLES, SECTION_BASE,
                               TREND_METRICS, WRAPPERS)
 from matchlens.sources.bind import ITEM_ROWS, LIMITS as P
@@ -69,7 +68,9 @@ PARTS["minutes"] = """
 SELECT g.match_id, g.idx, g.is_radiant, g.m, CAST(sum(coalesce(d.gold, 0)) OVER w AS BIGINT) AS gold,
        CAST(sum(coalesce(d.xp, 0)) OVER w AS BIGINT) AS xp, CAST(sum(coalesce(d.lh, 0)) OVER w AS BIGINT) AS lh,
        CAST(sum(coalesce(d.dn, 0)) OVER w AS BIGINT) AS dn
-FROM (SELECT u.*, r.m FROM (SELECT DISTINCT match_id, idx, is_radiant FROM ev) u, range(30) r(m)) g
+FROM (SELECT match_id, idx, is_radiant, unnest(range(lo, hi + 1)) AS m
+      FROM (SELECT DISTINCT match_id, idx, is_radiant FROM ev)
+      JOIN (SELECT match_id, least(min(m), 0) AS lo, greatest(max(m), 0) AS hi FROM ev GROUP BY match_id) USING (match_id)) g
 LEFT JOIN days d ON d.match_id = g.match_id AND d.idx = g.idx AND d.m = g.m
 WINDOW w AS (PARTITION BY g.match_id, g.idx ORDER BY g.m)"""
 PARTS["adv"] = """
@@ -88,14 +89,15 @@ SELECT match_id, idx, is_radiant, lane, count(*) FILTER (event_type = 'purchase'
        CAST(coalesce(sum(cents) FILTER (event_type = 'click'), 0) AS BIGINT) AS tower_damage,
        CAST(coalesce(sum(cents) FILTER (event_type = 'signup'), 0) AS BIGINT) AS hero_healing,
        CAST(coalesce(sum(cents) FILTER (event_type = 'error'), 0) AS BIGINT) AS damage_taken,
-       CAST(coalesce(sum(k * 500) FILTER (event_type = 'error'), 0) AS BIGINT) AS seconds_dead
+       CAST(coalesce(sum(k * 500) FILTER (event_type = 'error'), 0) AS BIGINT) AS seconds_dead,
+       greatest(max(max(t)) OVER (PARTITION BY match_id) // 86400 + 1, 1) AS steps
 FROM ev GROUP BY match_id, idx, is_radiant, lane"""
 PARTS["lanes"] = """
 SELECT *, match_id * 10 + idx AS uid, idx AS account_id, 'hero_' || ((match_id * 10 + idx) % 25) AS hero_name,
        CASE WHEN (match_id * 10 + idx) % 11 = 0 THEN NULL ELSE lane END AS lane_role,
        CASE WHEN last_hits + assists > 0
             THEN CAST(round_even(100 * last_hits / CAST(last_hits + assists AS DOUBLE), 0) AS BIGINT) END AS lane_eff,
-       total_gold // 43200 AS gpm, xp // 30 AS xpm, seconds_dead / 1000e0 AS stuns, total_gold AS net_worth,
+       total_gold // (steps * 1440) AS gpm, xp // steps AS xpm, seconds_dead / 1000e0 AS stuns, total_gold AS net_worth,
        CASE WHEN (match_id * 10 + idx) % 13 = 0 THEN 'roaming'
             WHEN (match_id * 10 + idx) % 11 = 0 THEN 'unknown'
             ELSE ['safe', 'mid', 'off'][lane] END AS lane_key FROM totals"""
@@ -325,7 +327,7 @@ PARTS["changes"] = f"""
 SELECT match_id, is_radiant, m AS start,
        coalesce(lead(gold, {P.stage_step}) OVER w, last_value(gold) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) - gold AS change
 FROM sided WINDOW w AS (PARTITION BY match_id, is_radiant ORDER BY m)
-QUALIFY m % {P.stage_step} = 0 AND m < 29"""
+QUALIFY m % {P.stage_step} = 0 AND m < least(max(m) OVER (PARTITION BY match_id), {P.stage_last})"""
 PARTS["stages"] = f"""
 SELECT s.account_id, c.start, least(c.start + {P.stage_step}, {P.stage_last}) AS "end", {half('avg(c.change)')} AS change,
        count(*) AS samples
@@ -351,7 +353,8 @@ SELECT match_id, idx, hero_name, is_radiant, kills, deaths, assists, last_hits,
 QUERIES["net_worth_fallback"] = """
 SELECT t.match_id, t.idx, CASE WHEN t.idx % 3 = 0 THEN 0 ELSE total_gold END AS net_worth_final,
        CASE WHEN t.idx % 3 = 0 OR total_gold = 0 THEN m.gold ELSE total_gold END AS net_worth
-FROM totals t JOIN minutes m ON m.match_id = t.match_id AND m.idx = t.idx AND m.m = 29"""
+FROM totals t JOIN minutes m ON m.match_id = t.match_id AND m.idx = t.idx
+QUALIFY m.m = max(m.m) OVER (PARTITION BY t.match_id)"""
 QUERIES["assign_positions"] = "SELECT match_id, idx, lane_key, is_core, position FROM players"
 QUERIES["classify_events"] = "SELECT * FROM objectives"
 QUERIES["major_events"] = "SELECT match_id, event_id, t, kind FROM objectives WHERE NOT minor"
@@ -443,7 +446,7 @@ SELECT event_id, k, CASE WHEN n_nationkey IS NULL THEN 'ability_' || k WHEN k %
 FROM ev LEFT JOIN nation ON n_nationkey = k LEFT JOIN region ON r_regionkey = n_regionkey"""
 PARTS["asked"] = """
 SELECT event_id AS request_id, match_id, CASE WHEN k % 3 > 0 THEN k % 13 END AS account_id,
-       CASE WHEN k % 5 > 0 THEN 'ro_' || (k % 25) END AS needle FROM ev WHERE event_type = 'signup'"""
+       CASE WHEN k % 5 > 0 THEN 'ro_' || (k % 25) END AS needle FROM ev"""
 PARTS["hits"] = """
 SELECT a.request_id, a.match_id, min(p.idx) FILTER (p.account_id = a.account_id) AS by_account,
        min(p.idx) FILTER (contains(p.hero_name, a.needle)) AS by_hero
@@ -517,11 +520,11 @@ SELECT match_id, idx, CASE WHEN is_radiant THEN 'Radiant' ELSE 'Dire' END AS sid
 QUERIES["team_advantage"] = "SELECT match_id, m, gold FROM adv"
 QUERIES["sign_swings"] = "SELECT * FROM swings"
 QUERIES["top_swings"] = """
-SELECT * FROM swings QUALIFY row_number() OVER (PARTITION BY match_id, is_radiant ORDER BY abs(gold) DESC, m) <= 3"""
+SELECT * FROM swings QUALIFY row_number() OVER (PARTITION BY match_id, is_radiant ORDER BY abs(gold) DESC, m) <= 8"""
 QUERIES["peak_trough"] = """
 SELECT match_id, is_radiant, first(m ORDER BY gold DESC, m) AS best_m, max(gold) AS best_gold,
        first(m ORDER BY gold, m) AS worst_m, min(gold) AS worst_gold FROM sided GROUP BY 1, 2"""
-QUERIES["thin_series"] = "SELECT match_id, idx, m, gold FROM minutes WHERE m % 5 = 0 OR m = 29"
+QUERIES["thin_series"] = "SELECT match_id, idx, m, gold FROM minutes QUALIFY m % 5 = 0 OR m = max(m) OVER (PARTITION BY match_id)"
 QUERIES["longest_stall"] = "SELECT * FROM stalls"
 QUERIES["densest_cluster"] = cluster("errors")
 QUERIES["worst_drop"] = "SELECT * FROM drops"
@@ -620,12 +623,20 @@ FROM (SELECT DISTINCT account_id, coverage FROM covered) c LEFT JOIN fair f ON f
 QUERIES["hero_mix"] = """
 SELECT account_id, hero, games, wins, row_number() OVER (PARTITION BY account_id ORDER BY games DESC, seen) AS ord
 FROM (SELECT account_id, hero, count(*) AS games, count(*) FILTER (win) AS wins, min(rec_no) AS seen FROM digest GROUP BY 1, 2)"""
+PARTS["asks"] = """
+SELECT a.account_id, r.request_id, CASE WHEN r.request_id = 1 THEN 10 + a.account_id WHEN a.account_id % 2 = 0 THEN 20 ELSE 2 END AS n
+FROM (SELECT DISTINCT idx AS account_id FROM ev) a, (VALUES (1), (2)) r(request_id)
+UNION ALL SELECT DISTINCT 99, 3, 20 FROM ev WHERE idx = 9"""
+PARTS["ranked"] = """
+SELECT account_id, position, patch, parsed, row_number() OVER (PARTITION BY account_id ORDER BY p.match_id DESC) AS rk
+FROM players p JOIN matches m ON m.match_id = p.match_id"""
 QUERIES["sample_caveats"] = f"""
-SELECT account_id, 10 + account_id AS requested, count(*) AS analyzed, count(*) FILTER (NOT parsed) AS unparsed,
-       nullif(nullif(count(DISTINCT role) FILTER (role IN {ROLES}), 1), 0) AS mixed_roles,
+SELECT a.account_id, a.request_id, a.n AS requested, count(r.rk) AS analyzed, count(*) FILTER (NOT parsed) AS unparsed,
+       nullif(nullif(count(DISTINCT position) FILTER (position IN {ROLES}), 1), 0) AS mixed_roles,
        CASE WHEN count(DISTINCT patch) > 1 THEN string_agg(DISTINCT patch, ', ' ORDER BY patch) END AS patches,
-       CASE WHEN count(*) FILTER (NOT parsed) > 0 THEN 'unparsed' WHEN count(*) < 10 + account_id THEN 'short' END AS warning
-FROM digest GROUP BY account_id"""
+       CASE WHEN count(r.rk) = 0 THEN 'empty' WHEN count(*) FILTER (NOT parsed) > 0 THEN 'unparsed'
+            WHEN count(r.rk) < a.n THEN 'short' END AS warning
+FROM asks a LEFT JOIN ranked r ON r.account_id = a.account_id AND r.rk <= a.n GROUP BY a.account_id, a.request_id, a.n"""
 
 
 def nth(options, at: str) -> str:
@@ -646,7 +657,7 @@ SELECT request_id, depth, focus, role, model, CASE WHEN k % 4 = 3 THEN 'ru' ELSE
 FROM wide_asked"""
 QUERIES["effective_role"] = "SELECT match_id, idx, position, role, role_source FROM roles"
 PARTS["base_levels"] = table([(s, q, d) for s, (q, d) in SECTION_BASE.items()] + [("window", 0, 0)], "section, quick, deep")
-PARTS["focus_levels"] = table([(f, w.split("=")[0], int(w.split("=")[1])) for f, t in FOCUS_LEVELS.items() for w in t.split()],
+PARTS["focus_levels"] = table([(f, k, v) for f, levels in FOCUS_LEVELS.items() for k, v in levels.items()],
                               "focus, section, lvl")
 PARTS["section_level"] = """
 SELECT r.match_id, r.idx, r.depth, r.focus, r.has_window, b.section, CAST(CASE
@@ -656,7 +667,7 @@ SELECT r.match_id, r.idx, r.depth, r.focus, r.has_window, b.section, CAST(CASE
          ELSE coalesce(f.lvl, CASE r.depth WHEN 'deep' THEN b.deep ELSE b.quick END) END AS BIGINT) AS level
 FROM requests r CROSS JOIN base_levels b LEFT JOIN focus_levels f ON f.focus = r.focus AND f.section = b.section"""
 QUERIES["section_levels"] = "SELECT * FROM section_level"
-RULES = [r.split(":") for r in MATCH_RULES]
+RULES = [(key, need or "") for key, need in MATCH_RULES]
 PARTS["rules"] = table([(i, k, n) for i, (k, n) in enumerate(RULES)], "place, rule, need")
 QUERIES["rule_list"] = """
 SELECT match_id, idx, CASE WHEN u.rule = 'role' THEN 'role.' || r.role ELSE u.rule END AS rule,

@@ -270,7 +270,7 @@ def lookup_cascade(b: Bound) -> DataFrame:
 @query
 def resolve_focal(b: Bound) -> DataFrame:
     k = F.col("k")
-    asked = b.ev.filter("event_type = 'signup'").select(
+    asked = b.ev.select(
         F.col("event_id").alias("request_id"), "match_id",
         F.when(k % 3 > 0, k % 13).alias("account_id"),
         F.when(k % 5 > 0, F.concat(F.lit("RO_"), (k % 25).cast("string"))).alias("hero"))
@@ -370,7 +370,7 @@ def sign_swings(b: Bound) -> DataFrame:
 
 @query
 def top_swings(b: Bound) -> DataFrame:
-    return S.top_swings(S.sign_swings(b.adv), 3)
+    return S.top_swings(S.sign_swings(b.adv))
 
 
 @query
@@ -513,9 +513,10 @@ def digests(b: Bound, chosen: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def plain_digests(b: Bound) -> DataFrame:
-    """Digests for reports that do not show the deviation axes."""
+    """Digests for reports that do not show the deviation axes, reduced from the sampled matches only."""
     none = b.spark.sql("SELECT 0L AS match_id, 0L AS idx, '' AS axis WHERE false")
-    return digests(b, sample(b), none)
+    chosen = keep(sample(b))
+    return digests(b.narrowed(chosen), chosen, none)
 
 
 @query
@@ -557,28 +558,45 @@ def profile_patterns(b: Bound) -> DataFrame:
     return rows.withColumn("examples", F.array_join(F.transform("examples", params_text), " / "))
 
 
+def stages(b: Bound) -> DataFrame:
+    chosen = keep(sample(b))
+    part = b.narrowed(chosen)
+    return C.stage_profile(S.stage_changes(part.adv, LIMITS), chosen, part.players, LIMITS)
+
+
 @query
 def stage_profile(b: Bound) -> DataFrame:
-    return C.stage_profile(S.stage_changes(b.adv, LIMITS), sample(b), b.players, LIMITS)
+    return stages(b)
 
 
 @query
 def stage_verdict(b: Bound) -> DataFrame:
-    stages = C.stage_profile(S.stage_changes(b.adv, LIMITS), sample(b), b.players, LIMITS)
     weak = F.transform("weak", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string")))
-    return C.stage_verdict(stages, LIMITS).select(
+    return C.stage_verdict(stages(b), LIMITS).select(
         "account_id", "coverage", "thin", weak.alias("weak"), F.col("strong.start").alias("strong_start"),
         F.col("strong.change").alias("strong_change"))
 
 
 @query
 def hero_mix(b: Bound) -> DataFrame:
-    return C.hero_mix(plain_digests(b))
+    chosen = keep(sample(b))
+    part = b.narrowed(chosen)
+    return C.hero_mix(chosen.join(part.results.drop("account_id"), KEY).withColumn("hero", F.col("hero_name")))
 
 
 @query
 def sample_caveats(b: Bound) -> DataFrame:
-    return C.sample_caveats(plain_digests(b), wanted(b))
+    """Two requests per account, sizes outside 2..20 among them, and one for an account without matches."""
+    more = F.when(F.col("account_id") % 2 == 0, 50).otherwise(1)
+    asked = F.inline(F.array(*[F.struct(F.lit(k).cast("bigint").alias("request_id"), n.alias("n"), a.cast("bigint").alias("account_id"))
+                               for k, n, a in ((1, F.col("n"), F.col("account_id")), (2, more, F.col("account_id")),
+                                               (3, F.lit(50), F.when(F.col("account_id") == 9, 99)))]))
+    asks = wanted(b).select(asked, "role").filter("account_id is not null")
+    narrow = b.narrowed(C.capped_sample(b.players, asks))
+    chosen = C.capped_sample(narrow.players, asks)
+    axes = b.spark.sql("SELECT 0L AS match_id, 0L AS idx, '' AS axis WHERE false")
+    none = narrow.totals.select(*KEY, F.lit(None).cast("bigint").alias("cs10"))
+    return C.sample_caveats(C.match_digest(P.kill_participation(narrow.results), chosen, none, axes), asks)
 
 
 # --- requests and documents ------------------------------------------------------------------

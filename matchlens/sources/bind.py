@@ -19,8 +19,7 @@ from matchlens.operators import carry, players as P
 from matchlens.plans.share import keep
 from matchlens.sources.landing import values
 
-LAST_MINUTE = 29          # clock steps of a bound match: 0..29
-CHUNK_SECONDS = 3600      # order-preserving slice of one event log
+CHUNK_SECONDS = 300       # order-preserving slice of one event log
 
 # The same rules on the scale of cents, days and seconds-in-a-month.
 LIMITS = replace(DEFAULTS, cluster_span=172800, kp_high=50, collapse_loss=100000,
@@ -53,9 +52,12 @@ def whole_seconds(ts: Column) -> Column:
 
 class Bound:
     """Lazy tables. ``shared`` keeps the reduction to one row per player for plans with many branches;
-    ``only`` narrows the events to some matches before anything is computed.
+    ``only`` narrows the events to some matches before anything is computed. Logs are always read
+    chunk by chunk, whatever their size.
     """
 
+    chunk = "chunk"
+
     def __init__(self, spark: SparkSession, sf_dir: str, shared: bool = False,
                  only: DataFrame | None = None):
         self.spark, self.dir = spark, sf_dir.rstrip("/")
@@ -64,18 +66,12 @@ class Bound:
     def narrowed(self, matches: DataFrame) -> Bound:
         """The same tables for the given match_ids; percentiles still compare with all players."""
         part = Bound(self.spark, self.dir, True, matches.select("match_id").distinct())
-        part.chunk = self.chunk
         part.benchmarks = self.benchmarks.join(part.only, "match_id", "left_semi")
         return part
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
-    @cached_property
-    def chunk(self) -> str | None:
-        """The chunk column when some player's log outgrows a task, else None."""
-        return None if carry.fits(self.ev, ["match_id", "idx"]) else "chunk"
-
     @cached_property
     def ev(self) -> DataFrame:
         user, ts = F.col("user_id"), F.col("ts")
@@ -95,10 +91,14 @@ class Bound:
 
     @staticmethod
     def _dense(per: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-        """One row per clock step 0..LAST_MINUTE with running totals; at most 30 per group."""
+        """Running totals for every clock step of the match: from its start (0, or its first step if
+        that is earlier) to the last step any of its players has. A row per step and player at most.
+        """
+        match = Window.partitionBy("match_id")
         points = F.map_from_entries(F.collect_list(F.struct("m", F.struct(*values))))
-        rows = (per.groupBy(*keys).agg(points.alias("_points"))
-                .select(*keys, "_points", F.explode(F.sequence(F.lit(0), F.lit(LAST_MINUTE))).alias("m"))
+        spans = per.withColumns({"_from": F.least(F.min("m").over(match), F.lit(0)), "_to": F.max("m").over(match)})
+        rows = (spans.groupBy(*keys, "_from", "_to").agg(points.alias("_points"))
+                .select(*keys, "_points", F.explode(F.sequence("_from", F.greatest("_from", "_to"))).alias("m"))
                 .select(*keys, "m", F.try_element_at("_points", F.col("m")).alias("_p")))
         w = Window.partitionBy(*keys).orderBy("m").rowsBetween(Window.unboundedPreceding, 0)
         return rows.select(*keys, "m", *[
@@ -146,6 +146,7 @@ class Bound:
             cents("error").alias("damage_taken"),
             F.sum(F.when(kind == "error", F.col("k") * 500).otherwise(0)).alias("seconds_dead"))
         rows = rows.withColumns({"is_radiant": radiant(),
+                                 "steps": F.greatest(F.floor(F.max("last_t").over(Window.partitionBy("match_id")) / 86400) + 1, F.lit(1)),
                                  "lane": (F.floor(F.col("idx") / 2) % 3 + 1).cast("int")})
         return keep(rows) if self.shared else rows
 
@@ -163,8 +164,8 @@ class Bound:
             (user % 13 == 0).alias("is_roaming"),
             F.when(lane_sum > 0, F.bround(100 * F.col("last_hits") / F.nullif(lane_sum, F.lit(0)))
                    .cast("bigint")).alias("lane_eff"),
-            F.floor(F.col("total_gold") / 43200).cast("bigint").alias("gpm"),
-            F.floor(F.col("xp") / 30).cast("bigint").alias("xpm"),
+            F.floor(F.col("total_gold") / (F.col("steps") * 1440)).cast("bigint").alias("gpm"),
+            F.floor(F.col("xp") / F.col("steps")).cast("bigint").alias("xpm"),
             (F.col("seconds_dead") / 1000.0).alias("stuns"))
         return P.assign_positions(base.withColumn("net_worth", F.col("total_gold")))
 

@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def match_filename(match_id: Column) -> Column:
-    return F.concat(match_id.cast("string"), F.lit(".txt"))
+def match_filename(match_id: Column, idx: Column, request_id: Column) -> Column:
+    """One name per document: a match may have many focal players, and a player many requests."""
+    return F.concat(F.concat_ws("_", match_id.cast("string"), idx.cast("string"), request_id.cast("string")), F.lit(".txt"))
 
 
-def profile_filename(account_id: Column, analyzed: Column) -> Column:
-    return F.concat(F.lit("profile_"), account_id.cast("string"), F.lit("_"),
-                    analyzed.cast("string"), F.lit(".txt"))
+def profile_filename(account_id: Column, analyzed: Column, *request_id: Column) -> Column:
+    parts = [c.cast("string") for c in (account_id, analyzed, *request_id)]
+    return F.concat(F.concat_ws("_", F.lit("profile"), *parts), F.lit(".txt"))
 
 
 def write_documents(documents: DataFrame, path: str) -> None:

@@ -160,6 +160,29 @@ def test_thin_series_keeps_last(spark):
     assert rows(S.thin_series(series(spark, range(13)), ["match_id"]), "m") == [(0,), (10,), (12,), (5,)]
 
 
+def test_series_of_a_match_share_one_grid(spark):
+    df = spark.createDataFrame([(1, i, m, 10 * m) for i, n in ((0, 17), (1, 14)) for m in range(n)], "match_id int, idx int, m int, gold long")
+    got = S.thin_series(df, ["match_id", "idx"])
+    assert rows(got.filter("idx = 1"), "m", "gold") == [(0, 0), (10, 100), (15, None), (16, None), (5, 50)]
+    assert rows(got.filter("idx = 0"), "m") == [(0,), (10,), (15,), (16,), (5,)]
+
+
+def test_supplied_experience_beside_rebuilt_gold(spark):
+    minutes = spark.createDataFrame([(x, i, i == 0, m, 100 * m * (i + 1)) for x in (1, 2) for i in (0, 1) for m in range(4)],
+                                    "match_id int, idx int, is_radiant boolean, m int, gold long")
+    supplied = spark.createDataFrame([(1, m, None, 5 * m) for m in range(6)] + [(2, m, 7 * m, m) for m in range(3)],
+                                     "match_id int, m int, gold long, xp long")
+    got = S.advantage(supplied, minutes)
+    assert rows(got.filter("match_id = 1"), "m", "gold", "xp") == sorted(
+        [(m, -100 * m if m < 4 else None, 5 * m) for m in range(6)], key=repr)
+    assert rows(got.filter("match_id = 2"), "m", "gold", "xp") == [(m, 7 * m, m) for m in range(3)]
+
+
+def test_stages_end_with_the_gold(spark):
+    lead = spark.createDataFrame([(1, m, 100 * m if m < 7 else None, m) for m in range(16)], "match_id int, m int, gold long, xp long")
+    assert rows(S.stage_changes(lead), "start", "change") == [(0, 500), (5, 100)]
+
+
 def test_worst_drop(spark):
     got = S.worst_drop(series(spark, [0, 9000, 9000, 8000, 3000, 2000, 2500, 2000]))
     assert rows(got, "is_radiant", "start", "end", "loss") == [(True, 2, 7, 7000)] or rows(
@@ -190,7 +213,3 @@ def test_pace_lag(spark, chunk):
     assert B.pace_lag(shifted, gpm, ["pos"], DEFAULTS, chunk).count() == 0
     assert B.pace_lag(late, gpm.withColumn("gpm", F.lit(0)), ["pos"], DEFAULTS, chunk).count() == 0
 
-
-def test_group_size_check(spark):
-    df = spark.createDataFrame([(1,), (1,), (2,)], "k int")
-    assert carry.fits(df, ["k"], 2) and not carry.fits(df, ["k"], 1)

@@ -221,7 +221,7 @@ def texts(spark, dims, tmp_path_factory):
 def test_document_markdown(texts):
     doc = texts["plain"]
     text = doc.document
-    assert doc.filename == "1.txt" and text.startswith("## MATCH\n1 | 7.36 | all draft")
+    assert doc.filename == "1_0_0.txt" and text.startswith("## MATCH\n1 | 7.36 | all draft")
     for part in ("## SCOREBOARD\n★ [R] Hero 1 | 20 | 9/3/2", "## ITEMS\n★ [R] Hero 1: 4:00 Treads, 7:00 Blink Dagger",
                  "## DRAFT", "pick 1 of 4; first", "## LANE", "5:30 killed by Hero 3", "## FIGHTS\n8:40-9:20 | 0:2 | win",
                  "## QUESTION\nwhy did\nwe lose?", "1. note_priority", "## UNUSUAL IN THE DATA", "## OBJECTIVES\n1:10 firstblood"):
@@ -229,6 +229,33 @@ def test_document_markdown(texts):
     assert "courier" not in text and "## DAMAGE" not in text and text.endswith("\n") and not text.endswith("\n\n")
 
 
+def test_requests_for_one_player_do_not_mix(spark, dims, tmp_path, texts):
+    (tmp_path / "raw.json").write_text(json.dumps(match(1)))
+    tables = Silver(read_matches(spark, str(tmp_path / "raw.json")), dims)
+    names = ["plain", "deep", "farm"]
+    asked = spark.createDataFrame([(k, *ask(1, **SETTINGS[n])) for k, n in enumerate(names)], "request_id int, " + ASK)
+    found = {r.request_id: r for r in MatchFacts(tables, asked).documents().collect()}
+    assert {r.filename for r in found.values()} == {f"1_0_{k}.txt" for k in range(3)}
+    first = lambda text: text.split("\n")[1].split(" | ")[1:]
+    for k, n in enumerate(names):
+        assert found[k].document.split("\n")[2:] == texts[n].document.split("\n")[2:]
+        assert first(found[k].document) == first(texts[n].document)
+
+
+def test_requests_for_one_account_do_not_mix(spark, silver):
+    one = wanted(spark).withColumn("request_id", F.lit(1))
+    two = one.withColumn("request_id", F.lit(2)).withColumn("n", F.lit(2))
+    none = one.withColumn("request_id", F.lit(3)).withColumn("account_id", F.lit(-5).cast(one.schema["account_id"].dataType)).withColumn("n", F.lit(50))
+    profile = AccountProfile(silver(*career_docs()), one.union(two.select(*one.columns)).union(none.select(*one.columns)))
+    assert rows(profile.sample.groupBy("request_id").count()) == [(1, 3), (2, 2)]
+    caveats = {r.request_id: r for r in profile.caveats().collect()}
+    assert (caveats[1].analyzed, caveats[2].analyzed, caveats[2].warning) == (3, 2, None)
+    assert (caveats[3].requested, caveats[3].analyzed, caveats[3].warning) == (20, 0, "empty")
+    texts = {r.request_id: r for r in profile.documents().collect()}
+    assert "aggregate of 3 matches" in texts[1].document and "aggregate of 2 matches" in texts[2].document
+    assert texts[1].filename == "profile_42_3_1.txt" and texts[2].filename == "profile_42_2_2.txt"
+
+
 def test_deep_document_is_larger(texts):
     quick, deep = texts["plain"].document, texts["deep"].document
     assert len(deep) > len(quick) and "courier" in deep and "## DAMAGE" in deep and "## BUFFS" in deep

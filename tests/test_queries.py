@@ -7,12 +7,14 @@ import re
 import pytest
 
 import __spark_entry__ as entry
-from matchlens.operators import carry
+from matchlens.plans.oracle import oracle_sql
+from matchlens.plans.queries import REGISTRY
+from matchlens.sources.bind import Bound
 
 DATA = "/root/testdata/sf0.001"
 TABLES = """region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels
 conversations""".split()
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = dict(REGISTRY), oracle_sql()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="test tables are not mounted")
 
@@ -51,11 +53,41 @@ def test_query_equals_sql(spark, duck, name):
     assert spark_table(spark, name) == duck_table(duck, name)
 
 
-@pytest.mark.parametrize("name", ["absorb_components", "full_log", "pace_lag", "role_items", "anomaly_topk"])
-def test_chunked_logs_equal_sql(spark, duck, name, monkeypatch):
-    """With no log small enough for a plain window everything runs chunk by chunk."""
-    monkeypatch.setattr(carry, "GROUP_LIMIT", 1)
-    assert spark_table(spark, name) == duck_table(duck, name)
+def test_entry_registers_them():
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
+
+
+@pytest.mark.parametrize("name", ["absorb_components", "full_log", "pace_lag", "role_items", "recent_n_per_account", "team_advantage"])
+def test_no_job_runs_while_a_query_is_built(spark, name):
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup()
+    spark.sparkContext.setJobGroup("building", name)
+    try:
+        frame = QUERIES[name].__wrapped__(Bound(spark, DATA)) if hasattr(QUERIES[name], "__wrapped__") else QUERIES[name](spark, DATA)
+        # Reading a file's schema runs a job of its own; nothing else may.
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("building")) <= len(TABLES)
+        assert frame.columns and before is not None
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+
+
+def test_late_steps_stay_in_the_series(spark, tmp_path):
+    """Events moved to day 45 and one before day 0: totals and series agree."""
+    from pyspark.sql import functions as F
+    events = spark.read.parquet(f"{DATA}/events.parquet")
+    moved = events.withColumn("ts", F.when(F.col("event_id") % 3 == 0, F.col("ts") + F.expr("INTERVAL 45 DAYS")).otherwise(F.col("ts")))
+    moved = moved.withColumn("ts", F.when(F.col("event_id") == 1, F.lit("2023-12-29").cast("timestamp_ntz")).otherwise(F.col("ts")))
+    moved.write.parquet(f"{tmp_path}/events.parquet")
+    b = Bound(spark, str(tmp_path))
+    ends = b.minutes.groupBy("match_id", "idx").agg(F.max_by("gold", "m").alias("gold"), F.max("m").alias("to"), F.min("m").alias("from"))
+    joined = b.totals.join(ends, ["match_id", "idx"]).collect()
+    assert joined and all(r.gold == r.total_gold for r in joined)
+    assert max(r.to for r in joined) >= 45 and min(r["from"] for r in joined) == -3
+
+
+def test_recent_returns_as_many_as_asked(spark):
+    from matchlens.operators.career import recent
+    df = spark.range(100).selectExpr("1 as a", "id")
+    assert recent(df, "a", [df["id"].desc()], 60).count() == 60
 
 
 def plan(spark, name):

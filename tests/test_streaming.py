@@ -83,11 +83,11 @@ def test_landing_keeps_parsed(spark, tmp_path):
 
 def test_sinks(spark, tmp_path):
     docs = spark.createDataFrame([(7, "a\nb\n")], "match_id long, document string").withColumn(
-        "filename", sinks.match_filename(F.col("match_id")))
+        "filename", sinks.match_filename(F.col("match_id"), F.lit(3), F.lit(0)))
     sinks.write_documents(docs, str(tmp_path / "docs"))
-    assert rows(spark.read.parquet(str(tmp_path / "docs"))) == [("7.txt", "a\nb\n")]
+    assert rows(spark.read.parquet(str(tmp_path / "docs"))) == [("7_3_0.txt", "a\nb\n")]
     sinks.write_text_files(docs, str(tmp_path / "text"))
-    assert [p.read_text() for p in (tmp_path / "text/filename=7.txt").glob("*.txt")] == ["a\nb\n\n"]
+    assert [p.read_text() for p in (tmp_path / "text/filename=7_3_0.txt").glob("*.txt")] == ["a\nb\n\n"]
     for _ in range(2):
         sinks.write_json_lines(docs.select("match_id"), str(tmp_path / "log"))
     assert rows(spark.read.json(str(tmp_path / "log"))) == [(7,), (7,)]
