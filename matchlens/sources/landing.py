@@ -21,12 +21,26 @@ def values(spark: SparkSession, rows: list[tuple], columns: list[str]) -> DataFr
     return spark.sql(f"SELECT * FROM VALUES {body} AS t({', '.join(columns)})")
 
 
-def read_matches(spark: SparkSession, path: str) -> DataFrame:
-    """Match documents as typed rows; unknown fields are ignored, missing ones are null."""
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """All documents as typed rows, with the text of those that can't be read in ``_bad``."""
     return (spark.read.schema(RAW_MATCH).option("mode", "PERMISSIVE")
             .option("columnNameOfCorruptRecord", "_bad").json(path))
 
 
+def read_matches(spark: SparkSession, path: str) -> DataFrame:
+    """Match documents as typed rows; unknown fields are ignored, missing ones are null.
+
+    Documents that can't be read or name no match are left out; ``rejected`` has them.
+    """
+    return read_documents(spark, path).filter("_bad is null and match_id is not null")
+
+
+def rejected(spark: SparkSession, path: str) -> DataFrame:
+    """The documents that ``read_matches`` leaves out: their text, or the document without a match."""
+    bad = read_documents(spark, path).filter("_bad is not null or match_id is null")
+    return bad.select(F.coalesce("_bad", F.to_json(F.struct(*[c for c in bad.columns if c != "_bad"]))).alias("document"))
+
+
 def read_dimension(spark: SparkSession, name: str, path: str | None = None) -> DataFrame:
     """A look-up table, or an empty one where it is not available: names then fall back."""
     schema = DIMENSIONS[name]
@@ -43,7 +57,8 @@ def read_dimensions(spark: SparkSession, paths: dict[str, str] | None = None) ->
 def latest_version(rows: DataFrame, key: str, final: Column, recency: list[Column]) -> DataFrame:
     """One row per key: a final (parsed) version beats any other, then the newest.
 
-    An aggregate, not a ranking: versions of a hot key are reduced before the shuffle.
+    An aggregate, not a ranking: versions of a hot key are reduced before the shuffle. Callers give a recency
+    without ties where equal ones can differ.
     """
     rank = F.struct(final.cast("int").alias("final"), *[c.alias(f"r{i}") for i, c in enumerate(recency)])
     rest = [c for c in rows.columns if c != key]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,7 +38,8 @@ def problem() -> Column:
             .when(outside("role", ROLES), "role").when(outside("depth", DEPTHS), "depth")
             .when(outside("focus", FOCUSES), "focus")
             .when(F.length("window") > 16, "window")
-            .when(c("prompt_bytes") < 0, "prompt_bytes"))
+            .when(c("prompt_bytes") < 0, "prompt_bytes")
+            .when(F.try_to_timestamp("created_at").isNull(), "created_at"))
 
 
 def validate_feedback(records: DataFrame) -> DataFrame:
@@ -66,48 +68,72 @@ def vote_tally(records: DataFrame, every: str = "1 day", ts: str = "ts") -> Data
 
 
 def tally_stream(records: DataFrame, late: str = "10 minutes", every: str = "1 day") -> DataFrame:
-    """The tally with a watermark, for append or update mode."""
-    stamped = records.withColumn("ts", F.to_timestamp("created_at")).withWatermark("ts", late)
+    """The tally with a watermark, for append or update mode; records with a problem are not counted."""
+    sound = records.filter("problem is null") if "problem" in records.columns else records
+    stamped = sound.withColumn("ts", F.try_to_timestamp("created_at")).filter("ts is not null").withWatermark("ts", late)
     return vote_tally(stamped, every)
 
 
-def anchored_cap(records: DataFrame, by: str, limit: int = MAX_PER_MINUTE, seconds: int = 60) -> DataFrame:
+def anchored_cap(records: DataFrame, by: str, limit: int = MAX_PER_MINUTE, seconds: int = 60, idle: int = 3600) -> DataFrame:
     """Streaming cap whose window starts at the first record after the previous window ended.
 
-    State per key is the window's start and its count; a batch arrives as an iterator of Arrow
-    chunks, so a busy key is never held whole. Only passed records are returned.
+    Within a batch a key's records are taken in order of time, whichever Arrow chunks bring them: a first pass keeps times
+    and places only, the second one yields the rows. A record older than the window it meets counts in that window. Records
+    without a readable time are not passed. State per key is the window's start and its count; it ends after ``idle``
+    seconds without a record.
     """
     schema = records.schema
 
     def step(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         anchor, count = state.get if state.exists else (None, 0)
-        for chunk in chunks:
-            chunk = chunk.sort_values("created_at", kind="stable")
-            keep = []
-            for at in pd.to_datetime(chunk["created_at"], utc=True).astype("int64") // 10 ** 9:
-                if anchor is None or at - anchor >= seconds:
-                    anchor, count = int(at), 0
-                count += 1
-                keep.append(count <= limit)
-            state.update((anchor, count))
-            yield chunk[keep]
+        held = [chunk for chunk in chunks if len(chunk)]
+        times = [pd.to_datetime(chunk["created_at"], utc=True, errors="coerce", format="ISO8601") for chunk in held]
+        at = np.concatenate([t.to_numpy(dtype="datetime64[s]").astype("int64") for t in times]) if times else np.zeros(0, "int64")
+        known = np.concatenate([t.notna().to_numpy() for t in times]) if times else np.zeros(0, bool)
+        passed = np.zeros(len(at), bool)
+        order = np.flatnonzero(known)[np.argsort(at[known], kind="stable")]
+        done = 0
+        while done < len(order):
+            if anchor is None or at[order[done]] - anchor >= seconds:
+                anchor, count = int(at[order[done]]), 0
+            inside = int(np.searchsorted(at[order], anchor + seconds))  # records before the window's end
+            passed[order[done:inside][:max(0, limit - count)]] = True
+            count += inside - done
+            done = inside
+        if anchor is not None:
+            state.update((anchor, min(count, 2 ** 62)))
+            state.setTimeoutDuration(idle * 1000)
+        ends = np.cumsum([len(c) for c in held])
+        for chunk, end in zip(held, ends, strict=True):
+            yield chunk[passed[end - len(chunk):end]]
 
     return records.groupBy(by).applyInPandasWithState(
-        step, schema, "anchor long, count long", "append", GroupStateTimeout.NoTimeout)
+        step, schema, "anchor long, count long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 Sink = Callable[[DataFrame, int], None]
 
 
 def fan_out(sinks: dict[str, Sink], failures: dict[str, int]) -> Sink:
-    """A foreachBatch writer giving each sink the batch; a failing sink is counted, not fatal."""
+    """A foreachBatch writer giving each sink the batch.
+
+    One sink's failure doesn't keep the batch from the others; after all were tried it fails the batch, so Spark
+    replays it once the sink is back. Sinks must take a replayed batch without harm, as ``folder_sink`` does.
+    """
     def write(batch: DataFrame, epoch: int) -> None:
+        broken = []
         for name, sink in sinks.items():
             try:
                 sink(batch, epoch)
             except Exception:                                   # noqa: BLE001
                 failures[name] = failures.get(name, 0) + 1
+                broken.append(name)
                 log.exception("sink %s rejected batch %s", name, epoch)
+        if broken:
+            raise RuntimeError(f"batch {epoch} is not in {', '.join(broken)}")
     return write
 
 
@@ -122,11 +148,14 @@ def ingest(records: DataFrame, accepted: dict[str, Sink], quarantine: Sink, chec
            failures: dict[str, int]):
     """Validated records to every accepted sink, the others to quarantine; returns the query."""
     def write(batch: DataFrame, epoch: int) -> None:
-        checked = validate_feedback(batch)
+        checked = validate_feedback(batch).persist()              # read and validated once for all sinks
         good = checked.filter("problem is null").drop("problem")
         bad = checked.filter("problem is not null")
-        fan_out({**{n: (lambda _, e, s=s: s(good, e)) for n, s in accepted.items()},
-                 "quarantine": lambda _, e: quarantine(bad, e)}, failures)(batch, epoch)
+        try:
+            fan_out({**{n: (lambda _, e, s=s: s(good, e)) for n, s in accepted.items()},
+                     "quarantine": lambda _, e: quarantine(bad, e)}, failures)(batch, epoch)
+        finally:
+            checked.unpersist()
 
     return (records.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

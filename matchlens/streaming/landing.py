@@ -11,25 +11,31 @@ from matchlens.sources.landing import latest_version
 
 def read_stream(spark: SparkSession, path: str) -> DataFrame:
     return (spark.readStream.schema(RAW_MATCH).option("columnNameOfCorruptRecord", "_bad").json(path)
-            .withColumn("ingest_ts", F.current_timestamp()))
+            .withColumns({"ingest_ts": F.current_timestamp(), "file_ts": F.col("_metadata.file_modification_time"),
+                          "file_name": F.col("_metadata.file_path")}))
 
 
 def land(stream: DataFrame, path: str, checkpoint: str, buckets: int = 64):
     """Appends every batch under its own folder, spread over match buckets.
 
     Landing never rewrites history; ``current`` picks the version that counts. A replayed batch
-    overwrites its own folder, so a lost executor or driver leaves no duplicates.
+    overwrites its own folder, so a lost executor or driver leaves no duplicates. Documents that can't be
+    read, or name no match, go to ``<path>_quarantine`` with their text.
     """
     def write(batch: DataFrame, epoch: int) -> None:
-        (batch.drop("_bad").withColumn("bucket", F.pmod(F.xxhash64("match_id"), F.lit(buckets)))
+        broken = F.col("_bad").isNotNull() | F.col("match_id").isNull()
+        (batch.filter(broken).select("_bad", "match_id", "ingest_ts", "file_ts", "file_name")
+         .write.mode("overwrite").parquet(f"{path}_quarantine/batch={epoch}"))
+        (batch.filter(~broken).drop("_bad").withColumn("bucket", F.pmod(F.xxhash64("match_id"), F.lit(buckets)))
          .repartition("bucket").write.mode("overwrite").partitionBy("bucket")
          .parquet(f"{path}/batch={epoch}"))
 
-    return (stream.filter("match_id is not null").writeStream.foreachBatch(write)
+    return (stream.writeStream.foreachBatch(write)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
 def current(spark: SparkSession, path: str) -> DataFrame:
     """The landed table with one row per match: parsed copies supersede unparsed ones."""
     rows = spark.read.parquet(path).drop("batch", "bucket")
-    return latest_version(rows, "match_id", F.col("version").isNotNull(), [F.col("ingest_ts")])
+    recency = [F.col("ingest_ts"), F.col("file_ts"), F.col("file_name")]
+    return latest_version(rows, "match_id", F.col("version").isNotNull(), recency).drop("file_ts", "file_name")

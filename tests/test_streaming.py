@@ -2,10 +2,13 @@
 
 import json
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from conftest import match, rows
 from matchlens.sources import sinks
+from matchlens.sources.landing import read_matches, rejected
 from matchlens.streaming import feedback as FB, landing
 
 
@@ -33,11 +36,18 @@ def test_ingest_isolates_sinks(spark, tmp_path):
                       {"broken": broken, "table": FB.folder_sink(str(tmp_path / "out"), "parquet"),
                        "lines": FB.folder_sink(str(tmp_path / "lines"), "json")},
                       FB.folder_sink(str(tmp_path / "bad"), "parquet"), str(tmp_path / "cp"), failures)
-    query.awaitTermination(120)
+    with pytest.raises(StreamingQueryException):
+        query.awaitTermination(120)
     assert rows(spark.read.parquet(str(tmp_path / "out")), "match_id", "comment") == [(1, "hi"), (4, None)]
     assert rows(spark.read.json(str(tmp_path / "lines")), "match_id") == [(1,), (4,)]
     assert rows(spark.read.parquet(str(tmp_path / "bad")), "match_id", "problem") == [(2, "rating"), (3, "mode")]
     assert failures == {"broken": 1}
+    # The sink is back: the same batch is replayed and nothing is written twice.
+    FB.ingest(FB.read_feedback(spark, str(tmp_path / "in")),
+              {"broken": FB.folder_sink(str(tmp_path / "back"), "parquet"), "table": FB.folder_sink(str(tmp_path / "out"), "parquet")},
+              FB.folder_sink(str(tmp_path / "bad"), "parquet"), str(tmp_path / "cp"), failures).awaitTermination(120)
+    assert rows(spark.read.parquet(str(tmp_path / "back")), "match_id") == [(1,), (4,)]
+    assert rows(spark.read.parquet(str(tmp_path / "out")), "match_id") == [(1,), (4,)]
     assert "account_id" not in spark.read.parquet(str(tmp_path / "out")).columns
 
 
@@ -64,6 +74,43 @@ def test_tally_emits_closed_periods(spark, tmp_path):
     assert rows(spark.table("tally"), F.to_date("start").cast("string"), "votes", "balance") == [("2024-01-01", 2, 0)]
 
 
+def test_tally_survives_bad_times(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    write(tmp_path / "in/a.json", record(1), record(2, "yesterday"), record(3, None), record(4, rating=7), record(5, "2024-01-03T00:00:00+00:00"))
+    run(FB.tally_stream(FB.validate_feedback(FB.read_feedback(spark, str(tmp_path / "in")))), "tally_bad")
+    assert rows(spark.table("tally_bad"), "votes", "balance") == [(1, 1)]
+
+
+def test_anchored_cap_orders_across_chunks(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    write(tmp_path / "in/a.json", *[record(n, stamp(n * 7 % 600)) for n in range(600)], record(1000, "odd"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        run(FB.anchored_cap(FB.read_feedback(spark, str(tmp_path / "in")), "mode", limit=3), "ordered")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    times = sorted(n * 7 % 600 for n in range(600))
+    expected, anchor, count = [], None, 0
+    for t in times:
+        if anchor is None or t - anchor >= 60:
+            anchor, count = t, 0
+        count += 1
+        if count <= 3:
+            expected.append(t)
+    assert sorted(r.match_id * 7 % 600 for r in spark.table("ordered").collect()) == expected
+
+
+def test_landing_quarantines_broken_documents(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.json").write_text(json.dumps(match(1)) + "\n{broken\n" + json.dumps({"duration": 5}))
+    where = str(tmp_path / "landed")
+    landing.land(landing.read_stream(spark, str(tmp_path / "in")), where, str(tmp_path / "cp")).awaitTermination(120)
+    assert rows(landing.current(spark, where), "match_id") == [(1,)]
+    assert rows(spark.read.parquet(f"{where}_quarantine"), "_bad") == [("{broken",), (None,)]
+    assert read_matches(spark, str(tmp_path / "in")).count() == 1
+    assert rejected(spark, str(tmp_path / "in")).count() == 2
+
+
 def test_cap_per_aligned_minute(spark):
     df = spark.createDataFrame([(n, "match", n) for n in range(130)], "id int, mode string, s int").withColumn(
         "ts", F.timestamp_seconds("s"))
