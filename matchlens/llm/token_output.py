@@ -23,7 +23,7 @@ from matchlens.llm.tokens import TOKENIZER, word_ids
 #: Ids per word and bits per id of selectors 0 to 13.
 LAYOUTS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 BLOCK = 1024
-CHUNK_IDS = 1 << 18
+CHUNK_IDS = 1 << 20
 ESCAPE = 1 << 60
 FILE_SCHEMA = ("shard int, chunk int, n_ids long, words binary, offsets array<int>, doc_ids array<long>, ends array<long>, "
                "escape_at array<long>, escape_ids array<decimal(20,0)>")
@@ -40,11 +40,15 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     flat[apart] = 0
     grid[:, :BLOCK] = flat.reshape(blocks, BLOCK)
     selector = np.full((blocks, BLOCK), len(LAYOUTS) - 1, np.int8)
+    widest = {1: bit_lengths(grid)}                                  # widest of the next 1, 2, 4, ... ids
+    for span in (2, 4, 8, 16, 32):
+        half = widest[span // 2]
+        widest[span] = np.maximum(half[:, :half.shape[1] - span // 2], half[:, span // 2:])
     for k in range(len(LAYOUTS) - 2, -1, -1):                        # the layout with most ids wins
         count, bits = LAYOUTS[k]
-        wide = np.zeros((blocks, grid.shape[1] + 1), np.int32)
-        np.cumsum(grid >> np.uint64(bits) != 0, axis=1, out=wide[:, 1:])
-        selector[wide[:, count:count + BLOCK] == wide[:, :BLOCK]] = k
+        span = 1 << (count.bit_length() - 1)
+        ahead = np.maximum(widest[span][:, :BLOCK], widest[span][:, count - span:count - span + BLOCK])
+        selector[ahead <= bits] = k
     taken = np.array([c for c, _ in LAYOUTS])
     size = np.full(blocks, BLOCK)
     if blocks:
@@ -71,6 +75,15 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return words, np.searchsorted(row, np.arange(blocks)), apart
 
 
+def bit_lengths(ids: np.ndarray) -> np.ndarray:
+    """Bits of each number, by the exponents of its halves."""
+    low = np.frexp((ids & np.uint64(0xFFFFFFFF)).astype(np.float64))[1].astype(np.uint8)
+    high = ids >> np.uint64(32)
+    if not high.any():
+        return low
+    return np.where(high != 0, np.frexp(high.astype(np.float64))[1].astype(np.uint8) + np.uint8(32), low)
+
+
 def unpack(words: np.ndarray, offsets: np.ndarray, n_ids: int) -> np.ndarray:
     """The ids of a chunk; those kept apart are 0."""
     out = np.zeros(n_ids, np.uint64)
@@ -159,7 +172,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     decoded = pa.schema([("shard", pa.int32()), ("chunk", pa.int32()), ("before", pa.int64()), ("doc_id", pa.int64()),
                          ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
     files = spark.read.schema(FILE_SCHEMA).parquet(path)
-    # One row per chunk of a quarter million ids: the running sum over shards and chunks stays small.
+    # One row per chunk of a million ids: the running sum over shards and chunks stays small.
     first = files.select("shard", "chunk", "n_ids").withColumn(
         "in_shard", F.sum("n_ids").over(Window.partitionBy("shard").orderBy("chunk")) - F.col("n_ids"))
     shards = files.groupBy("shard").agg(F.sum("n_ids").alias("ids")).withColumn(

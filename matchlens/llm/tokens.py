@@ -7,6 +7,7 @@ each Python worker tokenizes a word once and looks it up from then on, in a tabl
 from __future__ import annotations
 
 import os
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 class WordIds:
-    """The ids of the words met so far. At `most` words the table starts anew."""
+    """The ids of the words met so far. Beyond `most` words those met only once are forgotten."""
 
     def __init__(self, tokenizer: str, most: int = 1_500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -29,22 +30,44 @@ class WordIds:
         self.ids = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 16, np.int64)
         self.lengths = np.zeros(1 << 16, np.int64)
+        self.seen = np.zeros(1 << 16, np.int32)
         self.words, self.used = _Numbered(), 0
 
+    def _forget(self) -> None:
+        """Keeps the words that were met more than once."""
+        kept = np.flatnonzero(self.seen[:len(self.words)] > 1)
+        words = list(self.words)
+        starts, lengths, ids = self.starts[kept], self.lengths[kept], self.ids
+        self.clear()
+        if 2 * len(kept) > self.most:
+            return
+        for k in kept:
+            self.words[words[k]] = len(self.words)
+        upto = np.concatenate([[0], np.cumsum(lengths)])
+        self.ids = _room(self.ids, int(upto[-1]))
+        self.ids[:upto[-1]] = ids[np.repeat(starts - upto[:-1], lengths) + np.arange(upto[-1])]
+        self.starts, self.lengths = _room(self.starts, len(kept)), _room(self.lengths, len(kept))
+        self.starts[:len(kept)], self.lengths[:len(kept)] = upto[:-1], lengths
+        self.used = int(upto[-1])
+
     def _learn(self) -> None:
         """Tokenizes the words that were numbered since the last call."""
         new, self.words.new = self.words.new, []
         if not new:
             return
-        # A letter word with a closing comma or full stop is the word's ids and the mark's.
-        cores = [w[:-1] if w[-1:] in (",", ".") and w[:-1].isalpha() else w for w in new]
-        distinct = list(dict.fromkeys([*cores, ",", "."]))
-        known = dict(zip(distinct, (e.ids for e in self.tokenizer.encode_batch_fast(distinct, add_special_tokens=False)),
-                         strict=True))
-        ids = [known[c] if len(c) == len(w) else known[c] + known[w[-1]] for c, w in zip(cores, new, strict=True)]
         first, count = len(self.words) - len(new), len(new)
+        # A letter word with a closing comma or full stop is the word's ids and the mark's; capitals A-Z don't matter.
+        cores = [w[:-1] if w[-1:] in (",", ".") and w[:-1].isalpha() else w for w in new]
+        plain = [c.lower() if c.isascii() and c.isalpha() else c for c in cores]
+        number = self.words.get
+        at = [number(c, first) for c in plain]
+        fresh = list(dict.fromkeys([c for c, n in zip(plain, at, strict=True) if n >= first] + [",", "."]))
+        known = dict(zip(fresh, (e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)), strict=True))
+        starts, lengths, table = self.starts, self.lengths, self.ids
+        ids = [known[c] if n >= first else table[starts[n]:starts[n] + lengths[n]].tolist() for c, n in zip(plain, at, strict=True)]
+        ids = [x if len(c) == len(w) else x + known[w[-1]] for x, c, w in zip(ids, cores, new, strict=True)]
         lengths = np.fromiter(map(len, ids), np.int64, count)
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum()))
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))
         self.ids = _room(self.ids, self.used + len(flat))
         self.starts, self.lengths = _room(self.starts, first + count), _room(self.lengths, first + count)
         self.ids[self.used:self.used + len(flat)] = flat
@@ -55,7 +78,7 @@ class WordIds:
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in turn (null: none), each followed by `end`, and the bounds of each text in them."""
         if len(self.words) > self.most:
-            self.clear()
+            self._forget()
         number, counts, numbers = self.words.__getitem__, [], []
         for text in texts.to_pylist():
             words = text.replace("\n", " ").split(" ") if text else []
@@ -63,6 +86,9 @@ class WordIds:
             numbers.append(np.fromiter(map(number, words), np.int64, len(words)))
         self._learn()
         at = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
+        self.seen = _room(self.seen, len(self.words))
+        met = np.bincount(at, minlength=len(self.seen)).astype(np.int32)
+        np.add(self.seen, met, out=self.seen)
         lengths = self.lengths[at]
         upto = np.concatenate([[0], np.cumsum(lengths)])
         flat = self.ids[np.repeat(self.starts[at] - upto[:-1], lengths) + np.arange(upto[-1])]
