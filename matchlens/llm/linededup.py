@@ -18,6 +18,7 @@ import pyarrow.compute
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from matchlens.llm.common import salted_join, slices, written
 
@@ -156,5 +157,5 @@ def deduped(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
                 arrays["n_chars"] = pa.compute.if_else(pa.array(same_text), batch.column("n_chars"), new)
             yield pa.RecordBatch.from_arrays([*arrays.values(), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())],
                                              [*arrays, "n_lines", "n_dropped"])
-    schema = docs.schema.add("n_lines", "long").add("n_dropped", "long")
+    schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     return joined.mapInArrow(rewrite, schema)
