@@ -3,7 +3,7 @@
 Text is folded to 32 symbols (letters without accents, space, digits, marks, line end), so a gram of four symbols is a number below 2^20
 and a model is bounded: counts of all trusted text are summed in shards by language and gram, and joined across orders for continuation
 counts, discounts and interpolation weights. Scoring is then one look-up per symbol, without a shuffle of texts.
-A document is kept if its perplexity isn't above its language's quantile among trusted documents.
+A document is kept if its perplexity isn't above its language's quantile among trusted documents, with some slack for short texts.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ BITS = 5
 GRAMS = 1 << ORDER * BITS
 MOST_LANGUAGES = 64          # the models of the most frequent languages; the rest share the pooled one
 QUANTILE = 0.995
+SLACK = 2.0                  # the mean over n symbols is uncertain: a text's limit is exp(SLACK / sqrt(n)) times its language's
 POOLED = ""
 SPACE, DIGIT, STOP, MARK, OTHER, LINE = 0, 27, 28, 29, 30, 31
 
@@ -168,6 +169,7 @@ def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> Da
     seen = scored.join(good, F.col("doc_id") == F.col("_good"), "left_semi").where("perplexity is not null")
     seen = seen.select(F.explode(F.array_distinct(F.array(F.col("model"), F.lit(POOLED)))).alias("model"), "perplexity")
     limits = seen.groupBy("model").agg(F.percentile_approx("perplexity", quantile, 10000).alias("threshold"))
-    return scored.join(limits, "model", "left").select(
+    own = F.col("threshold") * F.exp(SLACK / F.sqrt(F.nullif(F.col("n_symbols"), F.lit(0)).cast("double")))
+    return scored.join(limits, "model", "left").withColumn("threshold", own).select(
         "doc_id", "lang", "n_symbols", "perplexity", "threshold",
         F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("keep"))

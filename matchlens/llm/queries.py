@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from matchlens.llm import langid, linededup, media, mixing, packing, partenum, permutation, quality, token_output, warc
 from matchlens.llm.common import table
+from matchlens.llm.oracle import ORACLE_SQL
 
 
 def op1_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +58,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "REGISTRY"]
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_permutation_index, op2_line_templates, op3_pivotal_mix, op4_partenum_join, op5_kneser_ney, op6_interleaved_media,
