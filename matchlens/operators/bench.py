@@ -35,9 +35,10 @@ def benchmark_rows(benchmarks: DataFrame, players: DataFrame) -> DataFrame:
 
 
 def percentiles(benchmarks: DataFrame) -> DataFrame:
-    """Known metrics as whole percentiles with their axis and fixed rank."""
+    """Known metrics as whole percentiles with their axis and rank: the document's order where it is known."""
     axis = F.create_map(*[F.lit(x) for kv in METRIC_AXIS.items() for x in kv])
-    rank = F.array_position(F.array(*[F.lit(m) for m in METRIC_AXIS]), F.col("metric"))
+    rank = (F.col("pos").cast("bigint") if "pos" in benchmarks.columns
+            else F.array_position(F.array(*[F.lit(m) for m in METRIC_AXIS]), F.col("metric")))
     return (benchmarks.filter(F.col("metric").isin(*METRIC_AXIS) & F.col("pct").isNotNull())
             .select(*KEY, "metric", X.half_even(F.col("pct") * 100).alias("pct"),
                     F.try_element_at(axis, F.col("metric")).alias("axis"), rank.alias("rank")))

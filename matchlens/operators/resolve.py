@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchlens.functions import text as X
@@ -29,25 +29,38 @@ def unresolved(resolved: DataFrame) -> DataFrame:
     return resolved.filter(F.col("idx").isNull())
 
 
+def _grams(text: Column, size: int) -> Column:
+    """The distinct pieces of ``size`` characters."""
+    last = F.length(text) - size + 1
+    pieces = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda s: F.substring(text, s, F.lit(size)))
+    return F.when(last >= 1, F.array_distinct(pieces)).otherwise(F.array().cast("array<string>"))
+
+
 def resolve_name(requests: DataFrame, names: DataFrame) -> DataFrame:
     """Id of each (request_id, needle): exact name first, else the only name containing it.
 
-    Names are short, so every substring of every distinct name becomes an index row and the
-    containment test an equi-join. A substring is unique when its smallest and largest id agree.
+    Names are indexed by their pieces of one to three characters, linear in their length. A longer needle looks only
+    at the names that have its rarest piece, and these are then searched. A needle is unique when the smallest and the largest
+    id found agree.
     """
     label = X.normal_name(F.col("name"))
     known = names.select(label.alias("_label"), F.col("id").cast("bigint").alias("id")).filter("_label <> ''")
     known = known.groupBy("_label").agg(F.max("id").alias("id"))        # a repeated name: the last wins
-    length = F.length("_label")
-    starts = known.select("id", "_label", F.explode(F.sequence(F.lit(1), length)).alias("_s"))
-    pieces = starts.select("id", "_label", F.explode(F.transform(
-        F.sequence(F.lit(1), length - F.col("_s") + 1),
-        lambda n: F.substring("_label", F.col("_s"), n))).alias("_piece"))
-    index = pieces.groupBy("_piece").agg(
-        F.min("id").alias("_lo"), F.max("id").alias("_hi"),
-        F.max(F.when(F.col("_piece") == F.col("_label"), F.col("id"))).alias("_exact"))
+    pieces = known.select("id", "_label", F.explode(F.concat(*[_grams(F.col("_label"), n) for n in (1, 2, 3)])).alias("_piece"))
+    index = pieces.groupBy("_piece").agg(F.count("*").alias("_n"), F.min("id").alias("_lo"), F.max("id").alias("_hi"))
     asked = requests.withColumn("_needle", X.normal_name(F.col("needle")))
-    return (asked.join(index, F.col("_needle") == F.col("_piece"), "left")
+    needles = asked.select("_needle").distinct().filter("_needle <> ''")
+    short = needles.join(index, F.col("_needle") == F.col("_piece")).select("_needle", "_lo", "_hi")
+    parts = needles.filter(F.length("_needle") > 3).select(
+        "_needle", F.size(_grams(F.col("_needle"), 3)).alias("_all"), F.explode(_grams(F.col("_needle"), 3)).alias("_piece"))
+    rarest = (parts.join(index, "_piece").groupBy("_needle", "_all")
+              .agg(F.count("*").alias("_found"), F.min_by("_piece", F.struct("_n", "_piece")).alias("_piece"))
+              .filter("_found = _all"))                                 # a piece no name has: no name contains the needle
+    longer = (rarest.join(pieces, "_piece").filter(F.contains("_label", "_needle"))
+              .groupBy("_needle").agg(F.min("id").alias("_lo"), F.max("id").alias("_hi")))
+    found = short.unionByName(longer)
+    exact = known.select(F.col("_label").alias("_needle"), F.col("id").alias("_exact"))
+    return (asked.join(found, "_needle", "left").join(exact, "_needle", "left")
             .select("request_id", "needle", F.coalesce(
                 "_exact", F.when(F.col("_lo") == F.col("_hi"), F.col("_lo"))).alias("id")))
 

@@ -135,8 +135,9 @@ class Silver:
 
     @cached_property
     def benchmarks(self) -> DataFrame:
-        return (self._unfolded.select(*KEY, F.explode("benchmarks").alias("metric", "b"))
-                .select(*KEY, "metric", F.col("b.raw").alias("raw"), F.col("b.pct").alias("pct")))
+        """With each metric's place in the document, which decides between equal percentiles."""
+        return (self._unfolded.select(*KEY, F.posexplode("benchmarks").alias("pos", "metric", "b"))
+                .select(*KEY, "metric", F.col("b.raw").alias("raw"), F.col("b.pct").alias("pct"), "pos"))
 
     @cached_property
     def picks(self) -> DataFrame:
@@ -154,7 +155,9 @@ class Silver:
 
     @cached_property
     def _fights(self) -> DataFrame:
-        return self.raw.select("match_id", F.posexplode("teamfights").alias("fight_no", "f"))
+        """Fights with the sides of the document's players, in list order."""
+        sides = F.transform("players", lambda p: F.coalesce(p["player_slot"], F.lit(0)) < 128)
+        return self.raw.select("match_id", sides.alias("sides"), F.posexplode("teamfights").alias("fight_no", "f"))
 
     @cached_property
     def fights(self) -> DataFrame:
@@ -164,18 +167,23 @@ class Silver:
     @cached_property
     def fight_players(self) -> DataFrame:
         """Rows of a fight belong to players by their place in the list."""
-        rows = self._fights.select("match_id", "fight_no", F.posexplode("f.players").alias("idx", "fp"))
+        rows = self._fights.select("match_id", "fight_no", "sides", F.posexplode("f.players").alias("idx", "fp"))
         killed = F.map_keys(F.map_filter("fp.killed", lambda k, v: k.startswith(X.HERO_PREFIX) & (v != 0)))
-        rows = rows.select("match_id", "fight_no", "idx", "fp.deaths", "fp.damage", "fp.healing",
-                           "fp.gold_delta", "fp.xp_delta", killed.alias("killed"))
-        return rows.join(self._unfolded.select(*KEY, "is_radiant"), KEY)
+        return rows.select("match_id", "fight_no", "idx", "fp.deaths", "fp.damage", "fp.healing",
+                           "fp.gold_delta", "fp.xp_delta", killed.alias("killed"),
+                           F.get("sides", F.col("idx")).alias("is_radiant")).filter("is_radiant is not null")
 
     # --- stored once, read many times -----------------------------------------------
 
     def write(self, path: str) -> None:
-        """All tables as Parquet, each match's rows together."""
+        """All tables as Parquet, each match's rows together.
+
+        The documents are parsed once, into ``<path>/documents``; every table then reads its own fields of these.
+        """
+        self.raw.write.mode("overwrite").parquet(f"{path}/documents")
+        stored = Silver(self.raw.sparkSession.read.parquet(f"{path}/documents"), self.dims)
         for name in TABLES:
-            (getattr(self, name).repartition("match_id").sortWithinPartitions("match_id")
+            (getattr(stored, name).repartition("match_id").sortWithinPartitions("match_id")
              .write.mode("overwrite").parquet(f"{path}/{name}"))
 
     @classmethod

@@ -105,7 +105,7 @@ def test_role_benchmarks(spark):
     assert "gold_per_min" not in [r.metric for r in bench.benchmark_rows(df, who).collect()]
     nobody = who.withColumn("role", F.lit(None).cast("string"))
     ordered = bench.benchmark_rows(df, nobody).orderBy("ord").collect()
-    assert [r.metric for r in ordered] == GENERAL_BENCH
+    assert [r.metric for r in ordered] == list(GENERAL_BENCH)
 
 
 # --- several matches ------------------------------------------------------------------
@@ -256,6 +256,22 @@ def test_requests_for_one_account_do_not_mix(spark, silver):
     assert texts[1].filename == "profile_42_3_1.txt" and texts[2].filename == "profile_42_2_2.txt"
 
 
+def test_equal_percentiles_go_by_document_order(spark):
+    df = spark.createDataFrame([(1, 0, "xp_per_min", 1.0, 0.99, 0), (1, 0, "gold_per_min", 1.0, 0.99, 1)],
+                               "match_id int, idx int, metric string, raw double, pct double, pos int")
+    found = D.bench_edges(df).collect()
+    assert [r.params["metric"] for r in found if r.key == "bench_high"] == ["xp_per_min"]
+
+
+def test_documents_are_parsed_once(spark, dims, tmp_path):
+    (tmp_path / "raw.json").write_text(json.dumps(match(1)))
+    tables = Silver(read_matches(spark, str(tmp_path / "raw.json")), dims)
+    tables.write(str(tmp_path / "silver"))
+    (tmp_path / "raw.json").write_text("")
+    again = Silver.read(spark, str(tmp_path / "silver"), dims)
+    assert again.players.count() == 4 and again.fight_players.count() > 0
+
+
 def test_deep_document_is_larger(texts):
     quick, deep = texts["plain"].document, texts["deep"].document
     assert len(deep) > len(quick) and "courier" in deep and "## DAMAGE" in deep and "## BUFFS" in deep

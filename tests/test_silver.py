@@ -30,7 +30,9 @@ def test_missing_fields_default(silver):
 def test_bad_document_is_kept_apart(spark, tmp_path):
     from matchlens.sources.landing import read_matches
     (tmp_path / "x.json").write_text('{"match_id": 1}\n{"match_id": oops\n')
-    assert rows(read_matches(spark, str(tmp_path)).cache(), "match_id") == [(1,), (None,)]
+    from matchlens.sources.landing import rejected
+    assert rows(read_matches(spark, str(tmp_path)), "match_id") == [(1,)]
+    assert rows(rejected(spark, str(tmp_path))) == [('{"match_id": oops',)]
 
 
 def test_player_projection(silver):
