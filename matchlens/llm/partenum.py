@@ -226,29 +226,39 @@ def _possible(percent: int, a: str, b: str) -> Column:
     return (F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent) & (apart * (100 + percent) <= (n_a + n_b) * (100 - percent))
 
 
+PAIRS = 1024                 # pairs that one copy of a set serves
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of which 100 |A and B| >= percent |A or B|."""
-    with_b = pairs.join(sets.select(F.col("set").alias("b"), F.col("shingles").alias("of_b")), "b")
-    both = salted_join(with_b, sets.select(F.col("set").alias("a"), F.col("shingles").alias("of_a")), ["a"], ["b"])
+    """The pairs (a, b) of which 100 |A and B| >= percent |A or B|.
+
+    Set a may be that of very many pairs: it is sent once for every PAIRS of them.
+    """
+    pairs = written(pairs, "pairs")
+    fan = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PAIRS).cast("int").alias("parts"))
+    dealt = salted_join(pairs, fan, ["a"], ["b"]).select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
+    of_a = sets.join(fan, sets["set"] == fan["a"]).select(
+        "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("shingles").alias("of_a"))
+    both = dealt.join(sets.select(F.col("set").alias("b"), F.col("shingles").alias("of_b")), "b").join(of_a, ["a", "part"])
     common = F.size(F.array_intersect("of_a", "of_b"))
     union = F.size("of_a") + F.size("of_b") - common
     return both.where(common * 100 >= union * percent).select("a", "b")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """set and shingles of the wanted sets (set, doc_id: a document that has it)."""
+    """set and shingles of the documents wanted (doc_id); a repeated doc_id may bring sets of other texts, which nobody asks for."""
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            keys, found = [], []
-            for key, text in zip(batch.column("set").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            found = {}
+            for text in batch.column("text").to_pylist():
                 shingles = shingle_set(text, width)
-                if set_key(shingles) == key:         # another text of a repeated doc_id has another key
-                    keys.append(key)
-                    found.append(shingles.astype(np.int64))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["set", "shingles"])
+                found[set_key(shingles)] = shingles.astype(np.int64)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.list_(pa.int64()))],
+                                                 ["set", "shingles"])
     texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.col("text").cast("string").alias("text"))
-    joined = texts.join(wanted, texts["_doc"].eqNullSafe(wanted["doc_id"])).select("set", "text")
+    wanted = written(wanted.select("doc_id").distinct(), "wanted")
+    joined = texts.join(wanted, texts["_doc"].eqNullSafe(wanted["doc_id"]), "left_semi").select("text")
     return written(joined.mapInArrow(build, "set long, shingles array<long>").dropDuplicates(["set"]), "sets")
 
 
@@ -257,8 +267,12 @@ def links(docs: DataFrame, documents: DataFrame, members: DataFrame, width: int,
     flags = [F.col("flags")[k].alias(f"f{k}") for k in range(FLAGS // 64)]
     distinct = documents.where("n > 0").groupBy("set").agg(F.min("n").alias("n"), F.min("flags").alias("flags"), F.min("doc_id").alias("doc_id"))
     distinct = written(distinct.select("set", "n", "doc_id", *flags), "distinct-sets")
-    sizes = members.groupBy("signature").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    wide = salted_join(members, sizes, ["signature"], ["set"]).join(distinct.drop("doc_id"), "set")
+    # Close copies share most of their signatures: of groups with the same members one is enough.
+    members = written(members, "signature-members")
+    groups = members.groupBy("signature").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("set")).alias("who"),
+                                              F.bit_xor(F.xxhash64("set", F.lit(1))).alias("again")).where("m > 1")
+    groups = groups.groupBy("m", "who", "again").agg(F.min("signature").alias("signature")).select("signature", "m")
+    wide = salted_join(members, written(groups, "groups"), ["signature"], ["set"]).join(distinct.drop("doc_id"), "set")
     wide = wide.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
     wide = written(wide.drop("m"), "members")
     # Only sets with a possible partner go on; first in the own block, then, in groups of several blocks, in the others.
@@ -269,7 +283,7 @@ def links(docs: DataFrame, documents: DataFrame, members: DataFrame, width: int,
     more = rest.alias("a").join(wide.where("blocks > 1").alias("b"), same & _possible(percent, "a", "b"), "left_semi").select("set").distinct()
     hopeful = written(hopeful.union(more), "hopeful")
     wide = written(wide.join(hopeful, "set", "left_semi"), "hopeful-members")
-    sets = _sets(docs, distinct.join(hopeful, "set", "left_semi").select("set", "doc_id"), width)
+    sets = _sets(docs, distinct.join(hopeful, "set", "left_semi").select("doc_id"), width)
     # Every member against the group's smallest set.
     hub = wide.groupBy("signature").agg(F.min(F.struct("set", "n", *(f"f{k}" for k in range(FLAGS // 64)))).alias("hub"))
     near = salted_join(wide, hub, ["signature"], ["set"]).where("set <> hub.set")
@@ -309,5 +323,6 @@ def without_near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> D
 
     Repeated rows of the smallest doc_id of a component all stay if their doc_id is equal.
     """
-    gone = jaccard_components(docs, width, percent).where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    found = jaccard_components(docs, width, percent).where("component_id < doc_id")
+    gone = written(found.select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
