@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchlens.functions import text as X
@@ -59,3 +59,8 @@ def draft_my_pick(picks: DataFrame, players: DataFrame) -> DataFrame:
 
 def draft_rows(picks: DataFrame) -> DataFrame:
     return picks.select("match_id", "ord", "is_pick", X.side(F.col("is_radiant")).alias("side"), "hero_name")
+
+
+def pick_side(team: Column) -> Column:
+    """Team 0 is Radiant; another code, or none, is Dire."""
+    return F.coalesce(team == 0, F.lit(False))

@@ -146,6 +146,16 @@ def role_metrics(players: DataFrame) -> DataFrame:
                     F.try_element_at("_values", F.col("metric")).alias("value")))
 
 
+def on_heroes(damage: Column) -> Column:
+    """The entries of a damage map that name heroes."""
+    return F.map_filter(damage, lambda k, _: k.startswith(X.HERO_PREFIX))
+
+
+def positive_stacks(buffs: DataFrame) -> DataFrame:
+    """Stacking buffs with the time of the grant; a zero stack only says that an upgrade is owned, a zero time is unknown."""
+    return buffs.filter("stack_count > 0").withColumn("since", F.nullif("grant_time", F.lit(0)))
+
+
 def top_targets(damage: DataFrame, k: int = DEFAULTS.top_targets) -> DataFrame:
     """The k largest entries per player of (match_id, idx, target, damage, pos)."""
     w = Window.partitionBy(*KEY).orderBy(F.col("damage").desc(), "pos")

@@ -553,6 +553,16 @@ QUERIES["top_targets"] = """
 SELECT match_id, idx, damage, 'npc_' || pos AS target, row_number() OVER (PARTITION BY match_id, idx ORDER BY damage DESC, pos) AS ord
 FROM (SELECT match_id, idx, k % 10 AS pos, CAST(sum(cents) AS BIGINT) AS damage FROM ev WHERE event_type = 'purchase' GROUP BY 1, 2, 3)
 QUALIFY ord <= 5"""
+QUERIES["hero_damage"] = """
+SELECT match_id, idx, 'npc_dota_hero_' || (k % 10) AS npc, CAST(sum(cents) AS BIGINT) AS damage FROM ev WHERE k % 3 = 0 GROUP BY 1, 2, 3"""
+QUERIES["positive_stacks"] = """
+SELECT event_id, match_id, idx, k % 4 AS stack_count, nullif(t % 7, 0) AS since FROM ev WHERE k % 4 > 0"""
+QUERIES["pick_side"] = "SELECT event_id, k % 4 = 0 AS is_radiant FROM ev"
+QUERIES["file_names"] = """
+SELECT match_id, idx, match_id || '_' || idx || '_' || deaths || '.txt' AS of_match,
+       'profile_' || idx || '_' || kills || '_' || match_id || '.txt' AS of_profile FROM totals"""
+QUERIES["json_lines"] = """
+SELECT event_id, '{"match_id":' || match_id || ',"idx":' || idx || ',"event_type":"' || event_type || '"}' AS line FROM ev"""
 QUERIES["metric_percentiles"] = "SELECT metric, value, match_id, idx, pct FROM bench"
 QUERIES["median_of_others"] = "SELECT * FROM typical"
 for name, part in {"det_bench_edges": 2, "det_bench_spread": 3, "det_dead_share": 6, "det_lane_gap": 7, "det_kp": 8}.items():
@@ -623,11 +633,11 @@ FROM (SELECT DISTINCT account_id, coverage FROM covered) c LEFT JOIN fair f ON f
 QUERIES["hero_mix"] = """
 SELECT account_id, hero, games, wins, row_number() OVER (PARTITION BY account_id ORDER BY games DESC, seen) AS ord
 FROM (SELECT account_id, hero, count(*) AS games, count(*) FILTER (win) AS wins, min(rec_no) AS seen FROM digest GROUP BY 1, 2)"""
-PARTS["asks"] = """
+PARTS["profile_asks"] = """
 SELECT a.account_id, r.request_id, CASE WHEN r.request_id = 1 THEN 10 + a.account_id WHEN a.account_id % 2 = 0 THEN 20 ELSE 2 END AS n
 FROM (SELECT DISTINCT idx AS account_id FROM ev) a, (VALUES (1), (2)) r(request_id)
 UNION ALL SELECT DISTINCT 99, 3, 20 FROM ev WHERE idx = 9"""
-PARTS["ranked"] = """
+PARTS["by_recency"] = """
 SELECT account_id, position, patch, parsed, row_number() OVER (PARTITION BY account_id ORDER BY p.match_id DESC) AS rk
 FROM players p JOIN matches m ON m.match_id = p.match_id"""
 QUERIES["sample_caveats"] = f"""
@@ -636,7 +646,7 @@ SELECT a.account_id, a.request_id, a.n AS requested, count(r.rk) AS analyzed, co
        CASE WHEN count(DISTINCT patch) > 1 THEN string_agg(DISTINCT patch, ', ' ORDER BY patch) END AS patches,
        CASE WHEN count(r.rk) = 0 THEN 'empty' WHEN count(*) FILTER (NOT parsed) > 0 THEN 'unparsed'
             WHEN count(r.rk) < a.n THEN 'short' END AS warning
-FROM asks a LEFT JOIN ranked r ON r.account_id = a.account_id AND r.rk <= a.n GROUP BY a.account_id, a.request_id, a.n"""
+FROM profile_asks a LEFT JOIN by_recency r ON r.account_id = a.account_id AND r.rk <= a.n GROUP BY a.account_id, a.request_id, a.n"""
 
 
 def nth(options, at: str) -> str:

@@ -17,6 +17,7 @@ from matchlens.plans import deviations as V
 from matchlens.plans.role_impact import role_inputs
 from matchlens.plans.share import keep
 from matchlens.sources.bind import LIMITS, Bound
+from matchlens.sources import sinks
 from matchlens.sources.landing import latest_version
 from matchlens.streaming import feedback as FB
 
@@ -443,6 +444,40 @@ def top_targets(b: Bound) -> DataFrame:
     return P.top_targets(hits)
 
 
+@query
+def hero_damage(b: Bound) -> DataFrame:
+    """Damage maps of every player, heroes' entries only."""
+    npc = F.concat(F.when(F.col("k") % 3 == 0, X.HERO_PREFIX).otherwise("npc_creep_"), (F.col("k") % 10).cast("string"))
+    sums = b.ev.groupBy(*KEY, npc.alias("npc")).agg(F.sum("cents").alias("damage"))
+    maps = sums.groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("npc", "damage"))).alias("all"))   # thirteen keys at most
+    return maps.select(*KEY, F.explode(P.on_heroes(F.col("all"))).alias("npc", "damage"))
+
+
+@query
+def positive_stacks(b: Bound) -> DataFrame:
+    buffs = b.ev.select("event_id", *KEY, (F.col("k") % 4).alias("stack_count"), (F.col("t") % 7).alias("grant_time"))
+    return P.positive_stacks(buffs).drop("grant_time")
+
+
+@query
+def pick_side(b: Bound) -> DataFrame:
+    team = F.when(F.col("k") % 4 < 3, F.col("k") % 4)
+    return b.ev.select("event_id", draft.pick_side(team).alias("is_radiant"))
+
+
+@query
+def file_names(b: Bound) -> DataFrame:
+    """Names of the text files of match and profile documents."""
+    return b.totals.select(*KEY, sinks.match_filename(F.col("match_id"), F.col("idx"), F.col("deaths")).alias("of_match"),
+                           sinks.profile_filename(F.col("idx"), F.col("kills"), F.col("match_id")).alias("of_profile"))
+
+
+@query
+def json_lines(b: Bound) -> DataFrame:
+    """The lines of the JSON sink."""
+    return b.ev.select("event_id", sinks.json_line("match_id", "idx", "event_type").alias("line"))
+
+
 # --- benchmarks and detectors -------------------------------------------------------------
 
 @query

@@ -85,7 +85,7 @@ class Bound:
             F.round(F.col("value") * 100).cast("bigint").alias("cents"),
             F.get_json_object("props", "$.k").cast("bigint").alias("k"),
             "event_type")
-        return rows if self.only is None else rows.join(self.only, "match_id", "left_semi")
+        return rows if self.only is None else keep(rows.join(self.only, "match_id", "left_semi"))
 
     # --- series -----------------------------------------------------------------
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from matchlens.functions import lookup as L
 from matchlens.functions import text as X
-from matchlens.operators import players as P
+from matchlens.operators import draft, players as P
 from matchlens.operators import series as S
 
 KEY = ["match_id", "idx"]
@@ -119,17 +119,15 @@ class Silver:
     @cached_property
     def buffs(self) -> DataFrame:
         """Stacking buffs; a zero stack only says that an upgrade is owned."""
-        df = self._log("permanent_buffs").select(*KEY, "pos", "e.*").filter("stack_count > 0").select(
-            *KEY, "pos", "permanent_buff", F.col("stack_count").alias("stacks"),
-            F.nullif("grant_time", F.lit(0)).alias("since"))
+        df = P.positive_stacks(self._log("permanent_buffs").select(*KEY, "pos", "e.*")).select(
+            *KEY, "pos", "permanent_buff", F.col("stack_count").alias("stacks"), "since")
         return L.buff_names(df, self.dims["permanent_buffs"], self.dims["items"], self.dims["abilities"],
                             "permanent_buff")
 
     @cached_property
     def damage(self) -> DataFrame:
         """Damage on heroes only, in document order."""
-        on_heroes = F.map_filter("damage", lambda k, _: k.startswith(X.HERO_PREFIX))
-        df = self._unfolded.select(*KEY, F.posexplode(on_heroes).alias("pos", "npc", "damage"))
+        df = self._unfolded.select(*KEY, F.posexplode(P.on_heroes(F.col("damage"))).alias("pos", "npc", "damage"))
         return L.with_name(df, "npc", self.dims["heroes"], "name", "localized_name", "target",
                            X.without(F.col("npc"), X.HERO_PREFIX)).select(*KEY, "pos", "target", "damage")
 
@@ -144,7 +142,7 @@ class Silver:
         df = self.raw.select("match_id", F.inline("picks_bans")).select(
             "match_id", F.coalesce("order", F.lit(0)).alias("ord"),
             F.coalesce("is_pick", F.lit(False)).alias("is_pick"), "hero_id",
-            F.coalesce(F.col("team") == 0, F.lit(False)).alias("is_radiant"))
+            draft.pick_side(F.col("team")).alias("is_radiant"))
         return L.hero_names(df, self.dims["heroes"])
 
     @cached_property

@@ -26,6 +26,15 @@ def write_text_files(documents: DataFrame, path: str) -> None:
     (documents.select("document", "filename").write.mode("overwrite").partitionBy("filename").text(path))
 
 
-def write_json_lines(rows: DataFrame, path: str) -> None:
-    """Appends one JSON object per line."""
-    rows.select(F.to_json(F.struct("*")).alias("value")).write.mode("append").text(path)
+def json_line(*columns: str) -> Column:
+    """One row as a JSON object, fields without a value left out."""
+    return F.to_json(F.struct(*columns))
+
+
+def write_json_lines(rows: DataFrame, path: str, batch: int | str | None = None) -> None:
+    """One JSON object per line. A named batch has its own folder, which its replay overwrites; without one rows are appended."""
+    lines = rows.select(json_line("*").alias("value"))
+    if batch is None:
+        lines.write.mode("append").text(path)
+    else:
+        lines.write.mode("overwrite").text(f"{path}/batch={batch}")
