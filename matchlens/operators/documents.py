@@ -86,7 +86,7 @@ def meta_lines(meta: DataFrame) -> DataFrame:
     c = F.col
     text = joined(c("match_id"), c("patch"), c("mode"), c("lobby"), c("duration"),
                   F.when(c("win"), "won").otherwise("lost"), c("my_side"), c("hero_name"),
-                  F.concat(c("position"), F.lit("/"), c("lane_key")))
+                  F.concat(c("position"), F.lit("/"), c("lane_key")), *([c("role_source")] if "role_source" in meta.columns else []))
     return _lines(meta, "meta", F.lit(1), text)
 
 
@@ -114,10 +114,19 @@ def bench_lines(rows: DataFrame) -> DataFrame:
 
 
 def fight_lines(outcome: DataFrame) -> DataFrame:
+    """Time, losses of both sides, verdict and own gold; then who fell (``names``, if given) and what the focal player did."""
     c = F.col
+    own = [F.concat(F.lit("died "), F.nullif(c("my_deaths"), F.lit(0)).cast("string")),
+           F.concat(F.lit("damage "), F.nullif(c("my_damage"), F.lit(0)).cast("string"))]
+    if "killed" in outcome.columns:
+        victims = F.array_join(F.transform("killed", lambda k: X.without(k, X.HERO_PREFIX)), ", ")
+        own.append(F.concat(F.lit("killed "), F.nullif(victims, F.lit(""))))
+    if "names" in outcome.columns:
+        dead = F.array_join(F.transform("fallen", lambda i: F.try_element_at("names", i)), ", ")
+        own.insert(0, F.concat(F.lit("fallen "), F.nullif(dead, F.lit(""))))
     score = F.concat(c("my_losses").cast("string"), F.lit(":"), c("enemy_losses").cast("string"))
     span = F.concat(X.mmss(c("start")), F.lit("-"), X.mmss(c("end")))
-    return _lines(outcome, "teamfights", c("fight_no"), joined(span, score, c("verdict"), X.signed(c("my_gold_delta"))))
+    return _lines(outcome, "teamfights", c("fight_no"), joined(span, score, c("verdict"), X.signed(c("my_gold_delta")), *own))
 
 
 def limit_lines(players: DataFrame, matches: DataFrame) -> DataFrame:

@@ -239,10 +239,15 @@ class MatchFacts:
             F.col("since").isNotNull(), F.concat(F.lit(" since "), X.mmss(F.col("since")))).otherwise(""))
         return self._player_lines(listed(rows, DOC + ["who"], ["pos"], text), "buffs")
 
+    @cached_property
+    def _hero_names(self) -> DataFrame:
+        """Heroes of a match by player, ten at most."""
+        return self.players.groupBy("match_id").agg(F.map_from_entries(F.collect_list(F.struct("idx", "hero_name"))).alias("names"))
+
     def teamfights(self) -> DataFrame:
         focal = self.shown("teamfights").select(*DOC, "level", F.col("focus").alias("_focus"))
         rows = (G.fight_outcome(self.t.fights, self.t.fight_players, self.players, self.p).join(focal, KEY)
-                .filter((F.col("_focus") != "laning") | F.col("in_lane")))
+                .join(self._hero_names, "match_id").filter((F.col("_focus") != "laning") | F.col("in_lane")))
         return T.union([T.fight_lines(rows).withColumn("ord", F.col("ord") * 100),
                         self._participants(rows.filter("level >= 2"), "teamfights")])
 
