@@ -736,7 +736,7 @@ SELECT event_id, m, ts, CASE WHEN k % 10 = 9 THEN 0 WHEN k % 2 = 0 THEN 1 ELSE -
 QUERIES["validate_feedback"] = """
 SELECT event_id, CAST(rating AS BIGINT) AS rating, mode, CASE WHEN k % 4 > 0 THEN event_type END AS comment, followup,
        CASE WHEN rating = 0 THEN 'rating' WHEN mode = 'other' THEN 'mode' WHEN match_id <= 0 THEN 'match_id'
-            WHEN k % 3 = 2 THEN 'depth' END AS problem FROM feedback"""
+            WHEN k % 3 = 2 THEN 'depth' WHEN k % 23 = 0 THEN 'created_at' END AS problem FROM feedback"""
 QUERIES["cap_per_window"] = """
 SELECT event_id, mode FROM feedback
 QUALIFY row_number() OVER (PARTITION BY mode, CAST(ts AS DATE) ORDER BY ts, event_id) <= 60"""

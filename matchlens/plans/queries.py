@@ -726,7 +726,8 @@ def feedback(b: Bound) -> DataFrame:
         F.when(k % 4 == 0, "   ").otherwise(F.concat(F.lit("  "), F.col("event_type"), F.lit(" "))).alias("comment"),
         "match_id", F.lit(None).cast("string").alias("role"), one_of(["quick", "deep", "odd"], k % 3).alias("depth"),
         F.lit(None).cast("string").alias("focus"), F.lit("5-10").alias("window"),
-        F.col("cents").alias("prompt_bytes"), (F.col("event_type") == "click").alias("followup"))
+        F.col("cents").alias("prompt_bytes"), (F.col("event_type") == "click").alias("followup"),
+        F.when(k % 23 == 0, "yesterday").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).alias("created_at"))
 
 
 @query
