@@ -1,12 +1,13 @@
 """WARC archives of web pages: written as request, response (or revisit) and metadata records, read back as captures.
 
-Archives are plain .warc files that Spark's text writer makes: a record is one value, the blank lines after it are the line
+Archives are gzipped WARC files that Spark's text writer makes: a record is one value, the blank lines after it are the line
 separator. Only a page whose payload no page of smaller id has is stored whole; the others revisit it.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -74,19 +75,19 @@ def write_archives(pages: DataFrame, path: str, min_revisit: int = 0) -> None:
     bodies = pages.select(page.cast("long").alias("page_id"), "html").withColumn("digest", base32_sha1(payload.cast("binary")))
     whole = stored.join(bodies, stored["page_id"].eqNullSafe(bodies["page_id"]) & (stored["digest"] == bodies["digest"])).select(
         stored["*"], bodies["html"])
-    whole = whole.select(F.xxhash64(page, digest).alias("key"), _record(
+    whole = whole.select(_record(
         "response", response, [("WARC-Target-URI", target), ("WARC-Payload-Digest", labelled)], http,
         F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"), payload)).alias("value"))
     small = []
-    small.append(known.where("refers_to is not null").select(F.xxhash64(page, digest).alias("key"), _record(
+    small.append(known.where("refers_to is not null").select(_record(
         "revisit", response, [("WARC-Target-URI", target), ("WARC-Payload-Digest", labelled),
                               ("WARC-Refers-To", _urn("response", F.col("refers_to"), digest)),
                               ("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))],
         http, F.lit("HTTP/1.1 200 OK\r\n\r\n")).alias("value")))
-    small.append(known.select(F.xxhash64(page, digest).alias("key"), _record(
+    small.append(known.select(_record(
         "request", request, [("WARC-Target-URI", target), ("WARC-Concurrent-To", response)],
         "application/http; msgtype=request", F.concat(F.lit("GET "), target, F.lit(" HTTP/1.1\r\n\r\n"))).alias("value")))
-    small.append(known.select(F.xxhash64(page, digest).alias("key"), _record(
+    small.append(known.select(_record(
         "metadata", metadata, [("WARC-Target-URI", target), ("WARC-Concurrent-To", response)], "application/warc-fields",
         F.concat_ws("\r\n", F.concat(F.lit("page-id: "), F.coalesce(page.cast("string"), F.lit(""))), F.concat(F.lit("payload-bytes: "), F.col("size").cast("string")),
                     F.concat(F.lit("rows: "), n), F.concat(F.lit("refers-to-page: "), F.coalesce(F.col("refers_to").cast("string"), F.lit(""))),
@@ -94,9 +95,10 @@ def write_archives(pages: DataFrame, path: str, min_revisit: int = 0) -> None:
     records = whole
     for part in small:
         records = records.unionByName(part)
-    volume = known.agg(F.sum(F.when(F.col("refers_to").isNull(), F.col("size")).otherwise(0) + 1500)).first()[0] or 0
-    files = max(1, -(-int(volume) // FILE_BYTES))
-    records.repartition(files, "key").select("value").write.option("lineSep", "\r\n\r\n").text(path)
+    total = known.agg(F.sum(F.when(F.col("refers_to").isNull(), F.col("size")).otherwise(0) + 1500), F.count(F.lit(1))).first()
+    per_file = max(1, int(FILE_BYTES * (total[1] or 1) / (total[0] or 1)))
+    # No exchange of payloads but that of the join: its partitions are written as they are, in files of about FILE_BYTES.
+    records.select("value").write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
 _RAW = ("kind string, record_id string, concurrent_to string, digest string, refers_to string, block_bytes long, payload_bytes long, "
@@ -126,12 +128,12 @@ def _fields(block: bytes) -> dict[str, str]:
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record of the archives; a file is one row of bytes in its task and holds FILE_BYTES or one long record."""
+    """One row per record of the archives; a file is one row of bytes in its task and holds about FILE_BYTES, or few long records."""
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column("content"):
                 rows = []
-                for head, block in records_of(content.as_py()):
+                for head, block in records_of(gzip.decompress(content.as_py())):
                     kind, number = head["WARC-Type"], lambda x: int(x) if x else None
                     row = {"kind": kind, "record_id": head["WARC-Record-ID"], "concurrent_to": head.get("WARC-Concurrent-To"),
                            "digest": head.get("WARC-Payload-Digest", "").removeprefix("sha1:") or None,
@@ -148,7 +150,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=_RAW_ARROW)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt.gz").load(path)
     return files.select("content").mapInArrow(parse, _RAW)
 
 
