@@ -61,6 +61,13 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20)
 
 
 SALTS = 16
+BROADCAST_IDS = 1_000_000    # 8 MB of ids
+
+
+def small_ids(ids: DataFrame, name: str) -> DataFrame:
+    """The ids (one column of longs), written, and broadcast if they are few; more of them meet the rows by a shuffle."""
+    ids = written(ids.distinct(), name)
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
 def salted_join(rows: DataFrame, small: DataFrame, keys: list[str], by: list[str], how: str = "inner") -> DataFrame:

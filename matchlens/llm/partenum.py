@@ -4,6 +4,8 @@ Sets are dealt to bands of sizes so that similar sets are in one band or in two
 k = 2 r (1 - t) / (1 + t) elements at most. The domain of shingles is cut into n1 parts of which one has at most k2 of these
 differences, and each part into n2 pieces of which n2 - k2 are then equal: every choice of n2 - k2 pieces is a signature,
 so sets that are similar enough share one. Signatures are sums of scattered shingles, so one pass over the sorted set makes them all.
+Long sets have some spare parts, and drop the signatures of choices without any shingle if these lie in no more parts than spare ones:
+one of either of two such sets is then enough to share a signature with content.
 
 A group of sets that share a signature isn't expanded into pairs. Its members are compared with one of them (a hub) first;
 after connected components are known, only members of different components are compared further.
@@ -20,14 +22,18 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchlens.llm.common import salted_join, slices, written
+from matchlens.llm.common import salted_join, slices, small_ids, written
 from matchlens.llm.components import components
 from matchlens.llm.shingles import mixed, shingle_set
 
-PIECES = 2
 WRONG_PIECES = 1
 
 
+def pieces_of(percent: int) -> int:
+    """Pieces of a part: at low similarities parts are small, and two equal pieces of three tell more than one of two."""
+    return 2 if percent >= 85 else 3
+
+
 def bands(most: int, percent: int) -> list[int]:
     """Largest size of each band up to the size `most`: a band's sizes are all similar enough to its smallest."""
     out, low = [0], 1
@@ -54,17 +60,24 @@ def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
     for band in (own, own + 1):
         k = differences(nearest[band], percent)
         wrong = min(WRONG_PIECES, k)
-        pieces = PIECES if wrong else 1
+        pieces = pieces_of(percent) if wrong else 1
         parts = (k + 1 + wrong) // (wrong + 1)
+        spare = parts // 40 + 2 if parts >= 8 else 0
+        parts += spare                                   # so of similar sets spare + 1 parts at least have no more wrong pieces
         edges = np.arange(1, parts * pieces, dtype=np.float64) * (2.0 ** 64 / (parts * pieces))
         at = np.concatenate([[0], np.searchsorted(shingles, edges.astype(np.uint64)), [len(shingles)]])
-        held = (sums[at[1:]] - sums[at[:-1]]).reshape(parts, pieces)
-        for choice in combinations(range(pieces), pieces - wrong):
+        held, full = (sums[at[1:]] - sums[at[:-1]]).reshape(parts, pieces), np.diff(at).reshape(parts, pieces) > 0
+        choices = list(combinations(range(pieces), pieces - wrong))
+        bare = np.array([~full[:, c].any(axis=1) for c in choices])
+        # Choices without any shingle bring strangers together. A set with these in few parts needs none of them: a spare part is left.
+        needless = bare.any(axis=0).sum() <= spare
+        for choice, empty in zip(choices, bare, strict=True):
             content = np.full(parts, np.uint64(0))
             for piece in choice:
                 content = mixed(content + held[:, piece] + np.uint64(piece + 1))
             code = np.uint64(sum(1 << c for c in choice) + (band << 8))
-            out.append(mixed(content + mixed(np.arange(parts, dtype=np.uint64) * np.uint64(1 << 20) + code)))
+            made = mixed(content + mixed(np.arange(parts, dtype=np.uint64) * np.uint64(1 << 20) + code))
+            out.append(made[~empty] if needless else made)
     return np.unique(np.concatenate(out))
 
 
@@ -72,12 +85,13 @@ def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
 
 ENTRIES = 2_000_000          # signatures of a part, and those that a task holds before it deals them out
 BLOCK = 256                  # members of a large group that others are compared with at once
-FLAGS = 256                  # bits of a set's parity: their differences count at most the sets' differences
+FLAGS = 512                  # bits of a set's parity: their differences count at most the sets' differences
+LONG = 1000                  # larger sets have a second parity, of as many bits as shingles at least
 _PACKED = "part long, kind int, signatures binary, owners binary, sets binary"
-_FOUND = "kind int, doc_id long, set long, n long, flags array<long>, signature long"
+_FOUND = "kind int, doc_id long, set long, n long, flags array<long>, more array<long>, signature long"
 _PACKED_ARROW = pa.schema([("part", pa.int64()), ("kind", pa.int32()), ("signatures", pa.binary()), ("owners", pa.binary()), ("sets", pa.binary())])
 _FOUND_ARROW = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("set", pa.int64()), ("n", pa.int64()), ("flags", pa.list_(pa.int64())),
-                          ("signature", pa.int64())])
+                          ("more", pa.list_(pa.int64())), ("signature", pa.int64())])
 _NONE = np.iinfo(np.int64).min
 DOCUMENT, LOCAL, FIRST = 0, 1, 2
 
@@ -89,11 +103,16 @@ def set_key(shingles: np.ndarray) -> int:
     return int((mixed(shingles).sum(dtype=np.uint64) ^ mixed(np.array([len(shingles)], np.uint64))[0]).astype(np.int64)) or 1
 
 
-def parities(shingles: np.ndarray) -> np.ndarray:
-    odd = np.bincount((shingles % np.uint64(FLAGS)).astype(np.int64), minlength=FLAGS).astype(np.uint8) & 1
+def parities(shingles: np.ndarray, bits: int = FLAGS) -> np.ndarray:
+    odd = np.bincount((shingles % np.uint64(bits)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
     return np.packbits(odd).view("<i8")
 
 
+def long_bits(n: int) -> int:
+    """Bits of the second parity: a power of two, so that the longer of two folds to the shorter."""
+    return 1 << (n - 1).bit_length() if n > LONG else 0
+
+
 class _Dealer:
     """Signatures of the documents of one task, dealt to parts. A set that the task met before deals none."""
 
@@ -102,12 +121,15 @@ class _Dealer:
         self.sets: list[int] = []
         self.lists: list[np.ndarray] = []
         self.documents: list[tuple] = []
+        self.longer: list[np.ndarray] = []
         self.met: set[int] = set()
         self.held = self.turns = 0
 
     def add(self, doc_id: int | None, shingles: np.ndarray) -> None:
         key = set_key(shingles)
         self.documents.append((_NONE if doc_id is None else doc_id, key, len(shingles), *parities(shingles)))
+        if len(shingles) > LONG:
+            self.longer.append(parities(shingles, long_bits(len(shingles))))
         if len(shingles) and key not in self.met:
             self.met.add(key)
             self.sets.append(key)
@@ -115,6 +137,9 @@ class _Dealer:
             self.held += len(self.lists[-1])
         self.held += 1
 
+    def _part(self, signature: np.ndarray) -> np.ndarray:
+        return (signature % np.uint64(self.parts)).astype(np.int64)
+
     def rows(self, task: int) -> pa.RecordBatch:
         """Documents as they are; signatures that several sets here share, with all of them; one set for every signature."""
         keys = np.array(self.sets, np.int64)
@@ -131,19 +156,20 @@ class _Dealer:
             for name, value in zip(out, (part, kind, signatures, owners, sets), strict=True):
                 out[name].append(value)
         apart = self.parts + (task * 7919 + self.turns) % self.parts
-        put(apart, DOCUMENT, b"", b"", np.array(self.documents, "<i8").tobytes())
+        longer = np.concatenate(self.longer) if self.longer else np.zeros(0, "<i8")
+        put(apart, DOCUMENT, b"", longer.astype("<i8").tobytes(), np.array(self.documents, "<i8").tobytes())
         if shared.any():
-            put(apart, LOCAL, sig[shared].astype("<u8").tobytes(), b"", keys[owner[shared]].astype("<i8").tobytes())
+            named = self._part(sig[shared]).astype("<u8") << np.uint64(32) | sig[shared] >> np.uint64(32)
+            put(apart, LOCAL, named.astype("<u8").tobytes(), b"", keys[owner[shared]].astype("<i8").tobytes())
         sig, owner = sig[first], owner[first]
-        part = (sig % np.uint64(self.parts)).astype(np.int64)
+        part = self._part(sig)
         order = np.argsort(part, kind="stable")
         sig, owner, part = sig[order], owner[order], part[order]
         for p, lo, hi in zip(*_runs(part), strict=True):
             mine, numbers = np.unique(owner[lo:hi], return_inverse=True)
-            # Six bytes of a signature do: a set that meets others by chance is compared with them in vain, no more.
-            short = (sig[lo:hi] >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-            put(int(p), FIRST, short.tobytes(), numbers.astype("<u2" if len(mine) <= 65536 else "<u4").tobytes(), keys[mine].astype("<i8").tobytes())
-        self.sets, self.lists, self.documents, self.held, self.turns = [], [], [], 0, self.turns + 1
+            # Four bytes of a signature do inside a part: sets that meet by chance are compared in vain, no more.
+            put(int(p), FIRST, (sig[lo:hi] >> np.uint64(32)).astype("<u4").tobytes(), numbers.astype("<u2" if len(mine) <= 65536 else "<u4").tobytes(), keys[mine].astype("<i8").tobytes())
+        self.sets, self.lists, self.documents, self.longer, self.held, self.turns = [], [], [], [], 0, self.turns + 1
         if len(self.met) > 1_000_000:
             self.met = set()
         types = dict(zip(_PACKED_ARROW.names, _PACKED_ARROW.types, strict=True))
@@ -163,22 +189,23 @@ def _rows_of_part(packed: pa.Table) -> Iterator[pa.RecordBatch]:
         n = len(key)
         nothing = pa.nulls(n, pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), nothing, pa.array(key), nothing, pa.nulls(n, pa.list_(pa.int64())),
-                                           pa.array(signature.astype(np.int64))], schema=_FOUND_ARROW)
-    for kind, signature, owners, keys in zip(*(packed.column(c) for c in ("kind", "signatures", "owners", "sets")), strict=True):
-        kind, signature, owners, keys = kind.as_py(), signature.as_py(), owners.as_py(), np.frombuffer(keys.as_py(), "<i8")
+                                           pa.nulls(n, pa.list_(pa.int64())), pa.array(signature.astype(np.int64))], schema=_FOUND_ARROW)
+    for part, kind, signature, owners, keys in zip(*(packed.column(c) for c in _PACKED_ARROW.names), strict=True):
+        part, kind, signature, owners, keys = part.as_py(), kind.as_py(), signature.as_py(), owners.as_py(), np.frombuffer(keys.as_py(), "<i8")
         if kind == DOCUMENT:
             rows = keys.reshape(-1, 3 + FLAGS // 64)
             n = len(rows)
+            ends = np.cumsum([long_bits(k) // 64 for k in rows[:, 2].tolist()])
+            longer = np.frombuffer(owners, "<i8").tolist()
+            more = [longer[a:b] if b > a else None for a, b in zip([0, *ends[:-1]], ends, strict=True)]
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.zeros(n, np.int32)), pa.array(rows[:, 0], pa.int64(), mask=rows[:, 0] == _NONE), pa.array(rows[:, 1].copy()),
-                pa.array(rows[:, 2].copy()), pa.array(rows[:, 3:].tolist(), pa.list_(pa.int64())), pa.nulls(n, pa.int64())], schema=_FOUND_ARROW)
+                pa.array(rows[:, 2].copy()), pa.array(rows[:, 3:].tolist(), pa.list_(pa.int64())), pa.array(more, pa.list_(pa.int64())),
+                pa.nulls(n, pa.int64())], schema=_FOUND_ARROW)
         elif kind == LOCAL:
-            yield members(np.frombuffer(signature, "<u8") >> np.uint64(16), keys)
+            yield members(np.frombuffer(signature, "<u8"), keys)
         else:
-            short = np.frombuffer(signature, np.uint8).reshape(-1, 6)
-            whole = np.zeros((len(short), 8), np.uint8)
-            whole[:, :6] = short
-            sigs.append(whole.view("<u8").ravel())
+            sigs.append(np.frombuffer(signature, "<u4").astype(np.uint64) | np.uint64(part << 32))
             sets.append(keys[np.frombuffer(owners, "<u2" if len(keys) <= 65536 else "<u4")])
     if sigs:
         sig, key = np.concatenate(sigs), np.concatenate(sets)
@@ -213,7 +240,7 @@ def sketches(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Data
     def meet(packed: pa.Table) -> pa.Table:
         return pa.Table.from_batches(list(_rows_of_part(packed)), schema=_FOUND_ARROW)
     found = written(texts.mapInArrow(deal, _PACKED).groupBy("part").applyInArrow(meet, _FOUND), "sketches")
-    return (found.where("kind = 0").select("doc_id", "set", "n", "flags"),
+    return (found.where("kind = 0").select("doc_id", "set", "n", "flags", "more"),
             found.where("kind = 1").select("signature", "set").distinct())
 
 
@@ -223,7 +250,17 @@ def _possible(percent: int, a: str, b: str) -> Column:
     apart = F.bit_count(F.col(f"{a}.f0").bitwiseXOR(F.col(f"{b}.f0"))).cast("long")
     for k in range(1, FLAGS // 64):
         apart = apart + F.bit_count(F.col(f"{a}.f{k}").bitwiseXOR(F.col(f"{b}.f{k}")))
-    return (F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent) & (apart * (100 + percent) <= (n_a + n_b) * (100 - percent))
+    allowed = (n_a + n_b) * (100 - percent)
+    likely = (F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent) & (apart * (100 + percent) <= allowed)
+    more_a, more_b = F.col(f"{a}.more"), F.col(f"{b}.more")
+    short = F.least(F.size(more_a), F.size(more_b))
+
+    def folded(x: Column) -> Column:
+        half = F.zip_with(F.slice(x, F.lit(1), short), F.slice(x, short + 1, short), lambda p, q: p.bitwiseXOR(q))
+        return F.when(F.size(x) > short, half).otherwise(x)
+    far = F.aggregate(F.zip_with(folded(more_a), folded(more_b), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, x: t + x)
+    both = more_a.isNotNull() & more_b.isNotNull()
+    return likely & (~both | (far.cast("long") * (100 + percent) <= allowed))
 
 
 PAIRS = 1024                 # pairs that one copy of a set serves
@@ -257,7 +294,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.list_(pa.int64()))],
                                                  ["set", "shingles"])
     texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.col("text").cast("string").alias("text"))
-    wanted = written(wanted.select("doc_id").distinct(), "wanted")
+    wanted = small_ids(wanted.select("doc_id"), "wanted")
     joined = texts.join(wanted, texts["_doc"].eqNullSafe(wanted["doc_id"]), "left_semi").select("text")
     return written(joined.mapInArrow(build, "set long, shingles array<long>").dropDuplicates(["set"]), "sets")
 
@@ -265,8 +302,10 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 def links(docs: DataFrame, documents: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (a, b) between sets which connect all that similar sets connect."""
     flags = [F.col("flags")[k].alias(f"f{k}") for k in range(FLAGS // 64)]
-    distinct = documents.where("n > 0").groupBy("set").agg(F.min("n").alias("n"), F.min("flags").alias("flags"), F.min("doc_id").alias("doc_id"))
-    distinct = written(distinct.select("set", "n", "doc_id", *flags), "distinct-sets")
+    distinct = documents.where("n > 0").groupBy("set").agg(F.min("n").alias("n"), F.min("flags").alias("flags"), F.min("more").alias("more"),
+                                                                F.min("doc_id").alias("doc_id"))
+    distinct = written(distinct.select("set", "n", "doc_id", "more", *flags), "distinct-sets")
+    columns = ["n", "more", *(f"f{k}" for k in range(FLAGS // 64))]
     # Close copies share most of their signatures: of groups with the same members one is enough.
     members = written(members, "signature-members")
     groups = members.groupBy("signature").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("set")).alias("who"),
@@ -285,10 +324,13 @@ def links(docs: DataFrame, documents: DataFrame, members: DataFrame, width: int,
     wide = written(wide.join(hopeful, "set", "left_semi"), "hopeful-members")
     sets = _sets(docs, distinct.join(hopeful, "set", "left_semi").select("doc_id"), width)
     # Every member against the group's smallest set.
-    hub = wide.groupBy("signature").agg(F.min(F.struct("set", "n", *(f"f{k}" for k in range(FLAGS // 64)))).alias("hub"))
-    near = salted_join(wide, hub, ["signature"], ["set"]).where("set <> hub.set")
-    near = near.select(F.struct("set", "n", *(f"f{k}" for k in range(FLAGS // 64))).alias("own"), "hub").where(_possible(percent, "own", "hub"))
-    first = written(_verified(near.select(F.col("hub.set").alias("a"), F.col("own.set").alias("b")).distinct(), sets, percent), "links")
+    hub = wide.groupBy("signature").agg(F.min("set").alias("a"))
+    near = salted_join(wide.select("signature", F.col("set").alias("b")), hub, ["signature"], ["b"]).where("a <> b").select("a", "b")
+    near = written(near.distinct(), "near")
+    own = distinct.drop("doc_id").join(hopeful, "set", "left_semi")
+    for side in ("a", "b"):
+        near = near.join(own.select(F.col("set").alias(side), F.struct(*columns).alias(f"of_{side}")), side)
+    first = written(_verified(near.where(_possible(percent, "of_a", "of_b")).select("a", "b"), sets, percent), "links")
     # Members whose component isn't that of the hub, against those of all other components.
     labels = components(first)
     marked = wide.join(labels.withColumnRenamed("node", "set"), "set", "left").withColumn("label", F.coalesce("label", "set"))
@@ -324,5 +366,5 @@ def without_near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> D
     Repeated rows of the smallest doc_id of a component all stay if their doc_id is equal.
     """
     found = jaccard_components(docs, width, percent).where("component_id < doc_id")
-    gone = written(found.select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    gone = small_ids(found.select(F.col("doc_id").alias("_gone")), "gone")
     return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
