@@ -23,6 +23,7 @@ DIMENSIONS = 1 << 16
 EXHAUSTIVE = 5
 SMOOTHING = 0.1
 UNKNOWN = "und"
+SLICE = 1 << 20              # bytes of text that are scored at once
 
 
 def codebook(languages: int, seed: int = 10) -> np.ndarray:
@@ -82,7 +83,7 @@ class Model:
         hashed, starts, ends = trigrams(texts)
         bounds = np.stack([starts, ends], axis=1).ravel()
         counts = ends - starts
-        sums = np.add.reduceat(np.concatenate([self.ratios[hashed], np.zeros((1, self.ratios.shape[1]), np.float32)]), bounds, axis=0)[::2]
+        sums = np.add.reduceat(self.ratios[np.append(hashed, 0)], bounds, axis=0)[::2]      # one more row: a bound may be the end
         margins = np.where(counts[:, None] > 0, sums, 0) / np.maximum(counts, 1)[:, None] * self.scale * np.minimum(counts, 64)[:, None] ** 0.5
         loss = np.log1p(np.exp(-np.clip(self.book[None] * margins[:, None, :], -50, 50)))
         loss = (loss * self.weights[None]).sum(axis=2)
@@ -141,7 +142,7 @@ def predict(docs: DataFrame, model: Model | None = None, least_lead: float = 0.0
     model = model or train(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             names, scores, unclear = _judged(model, batch.column("text"), least_lead)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()),
                                               pa.array(scores, pa.float64()), pa.array(unclear, pa.bool_())],
@@ -155,7 +156,7 @@ def accepted(docs: DataFrame, least_lead: float = 0.05) -> DataFrame:
     model = train(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             names, _, unclear = _judged(model, batch.column("text").cast(pa.string()), least_lead)
             keep = [n != UNKNOWN and not u for n, u in zip(names, unclear, strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-MOST_WORDS = 1_500_000
+MOST_WORDS = 400_000         # in a worker's table, some 70 MB; then it starts anew
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 

@@ -18,7 +18,7 @@ TOKENIZER = "word_bpe_49k.json"
 class WordIds:
     """The ids of the words met so far. Beyond `most` words those met only once are forgotten."""
 
-    def __init__(self, tokenizer: str, most: int = 1_500_000):
+    def __init__(self, tokenizer: str, most: int = 800_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import public_tokenizers
         from tokenizers import Tokenizer
