@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchlens.llm.common import slices, written
+from matchlens.llm.common import slices, small_ids, written
 
 ORDER = 4
 BITS = 5
@@ -158,9 +158,10 @@ def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> Da
     MOST_LANGUAGES most frequent uses the pooled model and threshold. Texts without symbols, and all texts if nothing is trusted, have a
     null perplexity and are kept. Repeated rows count each; labels may repeat.
     """
-    good = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").cast("long").alias("_good")).distinct()
+    good = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").cast("long").alias("_good"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit(POOLED)).alias("lang"),
                         F.col("text").cast("string").alias("text")).where("text is not null")
+    good = small_ids(good, "trusted")
     trusted = texts.join(good, F.col("doc_id") == F.col("_good"), "left_semi")
     counted = written(counts(trusted).groupBy("lang", "gram").agg(F.sum("n").alias("n")), "quality-counts")
     largest = counted.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES + 1)
@@ -170,6 +171,7 @@ def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> Da
     seen = seen.select(F.explode(F.array_distinct(F.array(F.col("model"), F.lit(POOLED)))).alias("model"), "perplexity")
     limits = seen.groupBy("model").agg(F.percentile_approx("perplexity", quantile, 10000).alias("threshold"))
     own = F.col("threshold") * F.exp(SLACK / F.sqrt(F.nullif(F.col("n_symbols"), F.lit(0)).cast("double")))
-    return scored.join(limits, "model", "left").withColumn("threshold", own).select(
+    # One row per model: MOST_LANGUAGES + 1 at most.
+    return scored.join(F.broadcast(limits), "model", "left").withColumn("threshold", own).select(
         "doc_id", "lang", "n_symbols", "perplexity", "threshold",
         F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("keep"))
