@@ -17,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchlens.llm.common import new_path, slices
+from matchlens.llm.common import new_path, salted_join, slices, written
 
 WIDTH = 64
-SALTS = 16
+HOT = 1024                   # references to a payload that one copy of its row serves
 MEDIA_TAGS = ("img", "video", "audio", "source")
 HIDDEN = ("script", "style", "noscript", "template")
 
@@ -175,13 +175,17 @@ def sequences(pages: DataFrame, key: str, page: str, keep_text: bool = True) ->
 def resolve(sequenced: DataFrame, payloads: DataFrame, key: str) -> DataFrame:
     """One row per media reference: key, position, ref, caption and the payload's columns (null: no such payload).
 
-    One payload may be referred to by a third of all rows: references are dealt over salts and each payload's row to all of them.
+    One payload may be referred to by a third of all rows: references to it are dealt over parts of HOT, and only such a
+    payload's row is sent more than once.
     """
     refs = sequenced.select(key, F.explode("parts").alias("part")).where("part.kind = 'media'").select(
         key, "part.position", "part.ref", "part.caption")
-    refs = refs.withColumn("salt", F.pmod(F.xxhash64(key, "position"), F.lit(SALTS)).cast("int"))
-    spread = payloads.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return refs.join(spread, ["ref", "salt"], "left").drop("salt")
+    hot = written(refs.groupBy("ref").agg(F.ceil(F.count(F.lit(1)) / HOT).cast("int").alias("parts")).where("parts > 1"), "hot-payloads")
+    dealt = salted_join(refs, hot, ["ref"], [key, "position"], "left").withColumn(
+        "part", F.coalesce(F.pmod(F.xxhash64(key, "position"), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
+    spread = payloads.join(hot, "ref", "left").withColumn(
+        "part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1))).drop("parts")
+    return dealt.join(spread, ["ref", "part"], "left").drop("part")
 
 
 def document_pages(docs: DataFrame) -> DataFrame:
