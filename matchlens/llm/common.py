@@ -65,9 +65,13 @@ BROADCAST_IDS = 1_000_000    # 8 MB of ids
 
 
 def small_ids(ids: DataFrame, name: str) -> DataFrame:
-    """The ids (one column of longs), written, and broadcast if they are few; more of them meet the rows by a shuffle."""
-    ids = written(ids.distinct(), name)
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    """The ids (one column), written, and broadcast if they are few; more of them meet the rows by a shuffle."""
+    return small_rows(written(ids.distinct(), name))
+
+
+def small_rows(rows: DataFrame) -> DataFrame:
+    """Rows of a few fields, broadcast if they are few."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
 
 
 def salted_join(rows: DataFrame, small: DataFrame, keys: list[str], by: list[str], how: str = "inner") -> DataFrame:

@@ -1,9 +1,9 @@
-"""Quality by perplexity under an interpolated modified Kneser-Ney model of symbols, trained on trusted text per language.
+"""Quality by perplexity under an interpolated modified Kneser-Ney model of word trigrams, trained on all trusted text per language.
 
-Text is folded to 32 symbols (letters without accents, space, digits, marks, line end), so a gram of four symbols is a number below 2^20
-and a model is bounded: counts of all trusted text are summed in shards by language and gram, and joined across orders for continuation
-counts, discounts and interpolation weights. Scoring is then one look-up per symbol, without a shuffle of texts.
-A document is kept if its perplexity isn't above its language's quantile among trusted documents, with some slack for short texts.
+A document is kept if its perplexity isn't above its language's quantile among trusted documents, with some slack for short texts. The model
+(wordmodel) grows with the trusted text and stays in sharded tables.
+
+The model of four folded symbols below is bounded by construction; `judged` doesn't use it.
 """
 
 from __future__ import annotations
@@ -17,14 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchlens.llm.common import slices, small_ids, written
+from matchlens.llm import wordmodel
+from matchlens.llm.common import slices, small_ids, small_rows, written
 
 ORDER = 4
 BITS = 5
 GRAMS = 1 << ORDER * BITS
-MOST_LANGUAGES = 64          # the models of the most frequent languages; the rest share the pooled one
 QUANTILE = 0.995
-SLACK = 2.0                  # the mean over n symbols is uncertain: a text's limit is exp(SLACK / sqrt(n)) times its language's
+SLACK = 2.0                  # the mean over n tokens is uncertain: a text's limit is exp(SLACK / sqrt(n)) times its language's
 POOLED = ""
 SPACE, DIGIT, STOP, MARK, OTHER, LINE = 0, 27, 28, 29, 30, 31
 
@@ -130,48 +130,34 @@ def models(rows: DataFrame) -> dict[str, np.ndarray]:
     return out
 
 
-def perplexities(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
-    """doc_id, lang, model (the language whose model is used), n_symbols, perplexity (null for texts without symbols)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)         # at most (MOST_LANGUAGES + 1) * 4 MB
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = shared.value
-        for batch in slices(batches, "text"):
-            texts, langs = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
-            grams, bounds = grams_of(texts)
-            used = [n if n in tables else POOLED for n in langs]
-            values: list[float | None] = []
-            for (a, b), name in zip(bounds, used, strict=True):
-                known = b > a and name in tables
-                values.append(float(np.exp(tables[name][grams[a:b]].mean(dtype=np.float64))) if known else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(used, pa.string()),
-                                              pa.array(bounds[:, 1] - bounds[:, 0], pa.int64()), pa.array(values, pa.float64())],
-                                             ["doc_id", "lang", "model", "n_symbols", "perplexity"])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(
-        score, "doc_id long, lang string, model string, n_symbols long, perplexity double")
-
-
 def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """Per row of docs: doc_id, lang, n_symbols, perplexity, threshold, keep.
+    """Per row of docs: doc_id, lang, n_symbols, perplexity (per token), threshold, keep.
 
-    Trusted are all documents that labels call quality 1 and not toxic. A null language, one without trusted text, or one beyond the
-    MOST_LANGUAGES most frequent uses the pooled model and threshold. Texts without symbols, and all texts if nothing is trusted, have a
-    null perplexity and are kept. Repeated rows count each; labels may repeat.
+    Trusted are all documents that labels call quality 1 and not toxic. A null language, or one without trusted text, uses the pooled model
+    and threshold. Texts without symbols, and all texts if nothing is trusted, have a null perplexity and are kept. Repeated rows count each;
+    labels may repeat.
     """
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").cast("long").alias("_good"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit(POOLED)).alias("lang"),
-                        F.col("text").cast("string").alias("text")).where("text is not null")
-    good = small_ids(good, "trusted")
-    trusted = texts.join(good, F.col("doc_id") == F.col("_good"), "left_semi")
-    counted = written(counts(trusted).groupBy("lang", "gram").agg(F.sum("n").alias("n")), "quality-counts")
-    largest = counted.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES + 1)
-    model = models(discounted(counted.join(largest.select("lang"), "lang", "left_semi")))
-    scored = written(perplexities(docs, model), "perplexities")
-    seen = scored.join(good, F.col("doc_id") == F.col("_good"), "left_semi").where("perplexity is not null")
+    good = small_ids(good, "trusted").withColumn("_is", F.lit(True))
+    text, lang = F.col("text").cast("string"), F.col("lang").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), F.coalesce(lang, F.lit(POOLED)).alias("_own"), text.alias("text"),
+                       F.coalesce(F.length(text), F.lit(0)).cast("long").alias("n_symbols"))
+    rows = rows.join(good, F.col("doc_id") == F.col("_good"), "left").withColumn("trusted", F.coalesce("_is", F.lit(False))).drop("_good", "_is")
+    trusted = rows.where("trusted and n_symbols > 0").select(F.col("_own").alias("lang"), "text")
+    languages = small_ids(trusted.select(F.col("lang").alias("_known")).distinct(), "languages")
+    rows = rows.join(languages, F.col("_own") == F.col("_known"), "left").withColumn("model", F.coalesce("_known", F.lit(POOLED))).drop("_own", "_known")
+    rows = rows.withColumn("row", F.xxhash64("doc_id", "lang", "text"))
+    # The pooled model is counted only if a row needs it.
+    pooled = not rows.where((F.col("model") == POOLED) & (F.col("n_symbols") > 0)).isEmpty()
+    table, unknown = wordmodel.values(written(wordmodel.counted(trusted, pooled), "gram-counts"))
+    sums = wordmodel.scored(rows.where("n_symbols > 0").select("row", "model", "text", "trusted"), table)
+    found = rows.drop("text").join(sums, "row", "left").join(small_rows(unknown.withColumnRenamed("lang", "model")), "model", "left")
+    perplexity = F.when(F.col("n_symbols") > 0, F.exp(-F.col("unknown") - F.col("total") / F.col("tokens")))
+    found = written(found.withColumn("perplexity", perplexity), "perplexities")
+    seen = found.where("trusted and perplexity is not null")
     seen = seen.select(F.explode(F.array_distinct(F.array(F.col("model"), F.lit(POOLED)))).alias("model"), "perplexity")
     limits = seen.groupBy("model").agg(F.percentile_approx("perplexity", quantile, 10000).alias("threshold"))
-    own = F.col("threshold") * F.exp(SLACK / F.sqrt(F.nullif(F.col("n_symbols"), F.lit(0)).cast("double")))
-    # One row per model: MOST_LANGUAGES + 1 at most.
-    return scored.join(F.broadcast(limits), "model", "left").withColumn("threshold", own).select(
+    own = F.col("threshold") * F.exp(SLACK / F.sqrt(F.nullif(F.col("tokens"), F.lit(0)).cast("double")))
+    return found.join(small_rows(limits), "model", "left").withColumn("threshold", own).select(
         "doc_id", "lang", "n_symbols", "perplexity", "threshold",
         F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("keep"))

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from matchlens.llm import langid, quality
+from matchlens.llm import langid, quality, wordmodel
 
 SF = "/root/testdata/sf0.01"
 
@@ -134,3 +134,78 @@ def test_noise_is_less_likely(spark):
     both = found.join(labels, how="inner")
     assert both[(both["quality"] == 1) & (both["toxic"] == 0)]["keep"].mean() > 0.98
     assert both[both["quality"] == 0]["keep"].mean() < 0.5
+
+
+def test_word_order_and_vocabulary_count(spark):
+    random = np.random.default_rng(2)
+    words = ["".join(random.choice(list("aeioulmnrst"), 5)) for _ in range(60)]
+    follow = {w: random.permutation(words)[:3] for w in words}
+
+    def text(n):
+        out = [words[int(random.integers(60))]]
+        while len(out) < n:
+            out.append(str(random.choice(follow[out[-1]])))
+        return out
+    clean = [text(80) for _ in range(200)]
+    rows = [(k, " ".join(x), "en") for k, x in enumerate(clean)]
+    for k, x in enumerate(clean[100:]):                  # the same words in another order, and other words of the same letters
+        rows.append((1000 + k, " ".join(random.permutation(x)), "en"))
+        rows.append((2000 + k, " ".join(w[::-1] for w in x), "en"))
+    chinese = ["".join(chr(0x4e00 + int(c)) for c in random.integers(0, 40, 90)) for _ in range(60)]
+    rows += [(3000 + k, x, "zh") for k, x in enumerate(chinese)] + [(4000, "".join(chr(0x5e00 + int(c)) for c in random.integers(0, 40, 90)), "zh")]
+    labels = spark.createDataFrame([(k, 1, 0) for k in [*range(100), *range(3000, 3050)]], "doc_id long, quality int, toxic int")
+    for hot in (1, 1 << 16):                             # grams by the join, and sent to every task
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(wordmodel, "HOT_SHARE", hot)
+            found = {r.doc_id: (r.keep, r.perplexity) for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string"), labels).collect()}
+        if hot > 1:
+            assert all(found[k][1] == pytest.approx(last[k][1]) for k in found)
+        last = found
+    assert np.mean([found[k][0] for k in range(100, 200)]) > 0.9 and np.mean([found[k][0] for k in range(3050, 3060)]) > 0.9
+    assert not any(found[k][0] for k in [*range(1000, 1100), *range(2000, 2100), 4000])
+
+
+def brute_words(texts):
+    """Interpolated modified Kneser-Ney over words by dictionaries."""
+    counts = [{} for _ in range(4)]
+    for text in texts:
+        own = ["<", "<", *wordmodel.tokens(text), ">"]
+        for k in range(2, len(own)):
+            gram = tuple(own[k - 2:k + 1])
+            counts[3][gram] = counts[3].get(gram, 0) + 1
+    for size in (2, 1):
+        for gram in counts[size + 1]:
+            counts[size][gram[1:]] = counts[size].get(gram[1:], 0) + 1
+
+    def cuts(size):
+        n = [sum(v == k for v in counts[size].values()) for k in range(5)]
+        if not n[1]:
+            return [0, 0.5, 1, 1.5]
+        y = n[1] / (n[1] + 2 * n[2])
+        return [0] + [min(max(k - (k + 1) * y * n[k + 1] / n[k], 0), k) if n[k] else k / 2 for k in (1, 2, 3)]
+    d = [None] + [cuts(size) for size in (1, 2, 3)]
+
+    def p(gram):
+        if not gram:
+            return 1 / (len(counts[1]) + 1)
+        own = {g: n for g, n in counts[len(gram)].items() if g[:-1] == gram[:-1]}
+        if not own:
+            return p(gram[1:])
+        cut = lambda n: d[len(gram)][min(n, 3)]
+        gamma = max(sum(map(cut, own.values())) / sum(own.values()), 1e-6)
+        n = own.get(gram, 0)
+        return (n - cut(n)) / sum(own.values()) + gamma * p(gram[1:])
+    return p
+
+
+def test_word_model_equals_dictionaries(spark):
+    trusted = ["a b c a b d", "b c d, a b c", "c a\nb c e", "d d a b c"]
+    other = ["a b c d", "x a b y", "b b", "e", "\n", "b c d, a b c"]
+    rows = [(k, t, "en") for k, t in enumerate(trusted + other)]
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(len(trusted))], "doc_id long, quality int, toxic int")
+    found = {r.doc_id: r.perplexity for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string"), labels).collect()}
+    p = brute_words(trusted)
+    for k, text in enumerate(other, len(trusted)):
+        own = ["<", "<", *wordmodel.tokens(text), ">"]
+        logs = [math.log(p(tuple(own[j - 2:j + 1]))) for j in range(2, len(own))]
+        assert found[k] == pytest.approx(math.exp(-sum(logs) / len(logs)), rel=1e-6)
