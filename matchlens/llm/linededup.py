@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,18 @@ DEPTH = 3
 MIN_TOKENS = 3
 MIN_DOCUMENTS = 3
 LEAST_CONSTANT = 0.5
+
+
+@dataclass(frozen=True)
+class Rule:
+    """Which lines recur. Without changes the rule is that of op2's SQL."""
+    min_documents: int = MIN_DOCUMENTS
+    vote_share: float = 0.0      # a constant has votes of this part of its leaf's documents, besides those of min_documents
+    content: bool = False        # the leading tokens, which all lines of a leaf share, don't count as constants; mostly variable lines aren't masked
+
+
+#: What the pipeline uses.
+WHOLE = Rule(vote_share=0.25, content=True)
 _VARIABLE = re.compile(rb"[0-9@]").search
 STAR = b"<*>"
 
@@ -45,7 +58,12 @@ def leaf_of(tokens: list[bytes]) -> int:
 _LINES = "doc_id long, doc_hash long, line int, leaf long, body long"
 
 
-def _lines(texts: DataFrame) -> DataFrame:
+def body_of(line: bytes, tokens: list[bytes], rule: Rule) -> int:
+    """The name of the masked line; where the rule asks for content and most tokens are variable, that of the line itself."""
+    return _hash(line.split() if rule.content and 2 * tokens.count(STAR) > len(tokens) else tokens)
+
+
+def _lines(texts: DataFrame, rule: Rule) -> DataFrame:
     """Leaf and masked body of every line that has enough tokens."""
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -54,7 +72,7 @@ def _lines(texts: DataFrame) -> DataFrame:
                 for at, line in enumerate((text or "").encode("utf-8", "surrogatepass").split(b"\n")):
                     tokens = masked(line)
                     if len(tokens) >= MIN_TOKENS:
-                        for column, value in zip(out, (doc_id, doc_hash, at, leaf_of(tokens), _hash(tokens)), strict=True):
+                        for column, value in zip(out, (doc_id, doc_hash, at, leaf_of(tokens), body_of(line, tokens, rule)), strict=True):
                             column.append(value)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()),
@@ -92,30 +110,36 @@ def _documents(rows: DataFrame, keys: list[str]) -> DataFrame:
     return single.groupBy(*keys).agg(F.count(F.lit(1)).alias("docs"), F.min("first").alias("first"))
 
 
-def _templates(texts: DataFrame, lines: DataFrame, min_documents: int) -> DataFrame:
+def _templates(texts: DataFrame, lines: DataFrame, rule: Rule) -> DataFrame:
     """leaf, body, template for the lines of leaves in which several bodies may share one; n_constant and n_tokens with it."""
     bodies = written(_documents(lines, ["leaf", "body"]), "bodies")
     leaves = bodies.groupBy("leaf").agg(F.sum("docs").alias("in_leaf"), F.count(F.lit(1)).alias("bodies"), F.min("docs").alias("least")).where(
-        f"bodies > 1 and in_leaf >= {min_documents} and least < {min_documents}")
+        f"bodies > 1 and in_leaf >= {rule.min_documents} and least < {rule.min_documents}")
+    leaves = written(leaves, "leaves")
     wanted = salted_join(bodies, leaves.select("leaf"), ["leaf"], ["body"])
     tokens = _tokens(texts, wanted.select("first.doc_id", "first.doc_hash", "first.line", "leaf", "body"))
     tokens = written(tokens.dropDuplicates(["leaf", "body"]).join(bodies.select("leaf", "body", "docs"), ["leaf", "body"]), "line-tokens")
     each = tokens.select("leaf", "body", "docs", F.posexplode("tokens").alias("at", "token"))
-    constant = each.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("votes")).where(f"votes >= {min_documents}")
+    constant = each.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("votes")).where(F.col("votes") >= rule.min_documents)
+    if rule.vote_share:
+        constant = constant.join(leaves.select("leaf", "in_leaf"), "leaf").where(F.col("votes") >= F.col("in_leaf") * rule.vote_share).drop("in_leaf")
     kept = salted_join(each, constant.where(F.col("token") != _hash([STAR])).drop("votes"), ["leaf", "at", "token"], ["body"])
-    found = kept.groupBy("leaf", "body").agg(F.bit_xor(F.xxhash64("at", "token")).alias("template"), F.count(F.lit(1)).alias("n_constant"))
+    lead = DEPTH if rule.content else 0
+    found = kept.groupBy("leaf", "body").agg(F.bit_xor(F.xxhash64("at", "token")).alias("template"), F.sum((F.col("at") >= lead).cast("long")).alias("n_constant"))
+    n_constant, n_content = F.coalesce("n_constant", F.lit(0)), F.col("n_tokens") - lead
+    enough = (n_constant >= n_content * LEAST_CONSTANT) & (n_constant >= (1 if rule.content else 0))
     return tokens.select("leaf", "body", F.size("tokens").alias("n_tokens")).join(found, ["leaf", "body"], "left").select(
-        "leaf", "body", F.when(F.coalesce(F.col("n_constant"), F.lit(0)) >= F.col("n_tokens") * LEAST_CONSTANT, F.col("template")).otherwise(F.col("body")).alias("template"))
+        "leaf", "body", F.when(enough, F.col("template")).otherwise(F.col("body")).alias("template"))
 
 
-def recurring_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
+def recurring_lines(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """doc_id, doc_hash and drops (numbers of the lines that go) of the documents that lose lines."""
     texts = _texts(docs)
-    lines = written(_lines(texts), "lines")
-    templates = written(_templates(texts, lines, min_documents), "templates")
+    lines = written(_lines(texts, rule), "lines")
+    templates = written(_templates(texts, lines, rule), "templates")
     # A body may stand in a third of all lines: its template is sent to salted rows.
     named = salted_join(lines, templates, ["leaf", "body"], ["doc_hash", "line"], "left").withColumn("template", F.coalesce("template", "body"))
-    recurring = _documents(named, ["leaf", "template"]).where(F.col("docs") >= min_documents)
+    recurring = _documents(named, ["leaf", "template"]).where(F.col("docs") >= rule.min_documents)
     hit = salted_join(named, recurring, ["leaf", "template"], ["doc_hash", "line"])
     first = (F.col("doc_id").eqNullSafe(F.col("first.doc_id"))) & (F.col("line") == F.col("first.line")) & (F.col("doc_hash") == F.col("first.doc_hash"))
     return hit.where(~first).groupBy("doc_id", "doc_hash").agg(F.collect_set("line").alias("drops"))
@@ -129,14 +153,14 @@ def _doc_hash() -> Column:
     return F.xxhash64(F.col("text").cast("string"))
 
 
-def deduped(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
+def deduped(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """The rows of docs with the columns n_lines and n_dropped added, text without the lines that go, n_chars (if there) to match.
 
     A null text stays null and has no lines; an empty one has one. Lines of fewer than MIN_TOKENS tokens stay. Repeated rows are treated alike. A
     document that loses all its lines stays, with an empty text.
     """
     columns = docs.columns
-    drops = recurring_lines(docs, min_documents).withColumnsRenamed({"doc_id": "_doc", "doc_hash": "_hash"})
+    drops = recurring_lines(docs, rule).withColumnsRenamed({"doc_id": "_doc", "doc_hash": "_hash"})
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (_doc_hash() == F.col("_hash"))
     joined = docs.join(drops, same, "left").select(*columns, F.coalesce("drops", F.array().cast("array<int>")).alias("_drops"))
 

@@ -156,3 +156,23 @@ def test_copies_alone_drop_nothing(spark):
 
 def test_no_documents_no_lines(no_documents):
     assert linededup.deduped(no_documents).collect() == []
+
+
+def whole_lines(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: r.n_dropped for r in linededup.deduped(docs, linededup.WHOLE).collect()}
+
+
+def test_lines_that_begin_alike_stay(spark):
+    texts = ["Was erlytion that. A, reha.", "Was erlytion that. Ing eresnt.", "Was erlytion that. Oues ereaha.", "Was erlytion that. Heesat reorly thederble.",
+             "Was erlytion that. Eaed heeaat en."]
+    random = np.random.default_rng(1)                    # a large leaf, in which a frequent word stands at each place by chance
+    texts += ["One two three " + " ".join(random.choice(["of", "the", *("w" + chr(97 + k) + x for k in range(20) for x in "abcdefgh")], 4,
+                                                        p=[0.1, 0.1, *[0.8 / 160] * 160])) for _ in range(300)]
+    texts += [f"{k} {k + 1} {k + 7} {k * k} 5" for k in range(9)]
+    assert len(set(texts)) == len(texts) and set(whole_lines(spark, texts).values()) == {0}
+
+
+def test_shared_content_is_a_template(spark):
+    found = whole_lines(spark, [f"This was posted by {n} on the old board" for n in ("ann", "bob", "cem", "dia")] + ["Page 1 of the book", "Page 2 of the book", "Page 3 of the book"])
+    assert [found[k] for k in range(7)] == [0, 1, 1, 1, 0, 1, 1]
