@@ -35,10 +35,12 @@ class Rule:
     min_documents: int = MIN_DOCUMENTS
     vote_share: float = 0.0      # a constant has votes of this part of its leaf's documents, besides those of min_documents
     content: bool = False        # the leading tokens, which all lines of a leaf share, don't count as constants; mostly variable lines aren't masked
+    long_tokens: int | None = None       # equal lines of more tokens recur from long_documents on
+    long_documents: int = 2
 
 
 #: What the pipeline uses.
-WHOLE = Rule(vote_share=0.25, content=True)
+WHOLE = Rule(vote_share=0.25, content=True, long_tokens=50)
 _VARIABLE = re.compile(rb"[0-9@]").search
 STAR = b"<*>"
 
@@ -55,7 +57,7 @@ def leaf_of(tokens: list[bytes]) -> int:
     return _hash([b"%d" % len(tokens), *tokens[:DEPTH]])
 
 
-_LINES = "doc_id long, doc_hash long, line int, leaf long, body long"
+_LINES = "doc_id long, doc_hash long, line int, leaf long, body long, size int"
 
 
 def body_of(line: bytes, tokens: list[bytes], rule: Rule) -> int:
@@ -67,16 +69,16 @@ def _lines(texts: DataFrame, rule: Rule) -> DataFrame:
     """Leaf and masked body of every line that has enough tokens."""
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             for doc_id, doc_hash, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "doc_hash", "text")), strict=True):
                 for at, line in enumerate((text or "").encode("utf-8", "surrogatepass").split(b"\n")):
                     tokens = masked(line)
                     if len(tokens) >= MIN_TOKENS:
-                        for column, value in zip(out, (doc_id, doc_hash, at, leaf_of(tokens), body_of(line, tokens, rule)), strict=True):
+                        for column, value in zip(out, (doc_id, doc_hash, at, leaf_of(tokens), body_of(line, tokens, rule), len(tokens)), strict=True):
                             column.append(value)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()),
-                                                                                strict=True)], ["doc_id", "doc_hash", "line", "leaf", "body"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()),
+                                                                                strict=True)], ["doc_id", "doc_hash", "line", "leaf", "body", "size"])
     return texts.mapInArrow(parse, _LINES)
 
 
@@ -141,8 +143,17 @@ def recurring_lines(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     named = salted_join(lines, templates, ["leaf", "body"], ["doc_hash", "line"], "left").withColumn("template", F.coalesce("template", "body"))
     recurring = _documents(named, ["leaf", "template"]).where(F.col("docs") >= rule.min_documents)
     hit = salted_join(named, recurring, ["leaf", "template"], ["doc_hash", "line"])
-    first = (F.col("doc_id").eqNullSafe(F.col("first.doc_id"))) & (F.col("line") == F.col("first.line")) & (F.col("doc_hash") == F.col("first.doc_hash"))
-    return hit.where(~first).groupBy("doc_id", "doc_hash").agg(F.collect_set("line").alias("drops"))
+    gone = hit.where(~_is_first()).select("doc_id", "doc_hash", "line")
+    if rule.long_tokens is not None:
+        long = lines.where(F.col("size") > rule.long_tokens)
+        copied = _documents(long, ["leaf", "body"]).where(F.col("docs") >= rule.long_documents)
+        # The first line of a template is the first of its body too, so no line loses its last copy.
+        gone = gone.unionByName(salted_join(long, copied, ["leaf", "body"], ["doc_hash", "line"]).where(~_is_first()).select("doc_id", "doc_hash", "line"))
+    return gone.groupBy("doc_id", "doc_hash").agg(F.collect_set("line").alias("drops"))
+
+
+def _is_first() -> Column:
+    return F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line") == F.col("first.line")) & (F.col("doc_hash") == F.col("first.doc_hash"))
 
 
 def _texts(docs: DataFrame) -> DataFrame:

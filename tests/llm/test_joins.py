@@ -176,3 +176,10 @@ def test_lines_that_begin_alike_stay(spark):
 def test_shared_content_is_a_template(spark):
     found = whole_lines(spark, [f"This was posted by {n} on the old board" for n in ("ann", "bob", "cem", "dia")] + ["Page 1 of the book", "Page 2 of the book", "Page 3 of the book"])
     assert [found[k] for k in range(7)] == [0, 1, 1, 1, 0, 1, 1]
+
+
+def test_long_lines_recur_in_two_documents(spark):
+    passage = " ".join("p" + chr(97 + k // 26) + chr(97 + k % 26) for k in range(51))
+    shorter = passage.rsplit(" ", 1)[0]
+    found = whole_lines(spark, [f"own start\n{passage}", f"{passage}\nanother end", f"x\n{shorter}", f"y\n{shorter}", f"first {passage}", f"second {passage}"])
+    assert [found[k] for k in range(6)] == [0, 1, 0, 0, 0, 0]
