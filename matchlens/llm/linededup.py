@@ -37,10 +37,11 @@ class Rule:
     content: bool = False        # the leading tokens, which all lines of a leaf share, don't count as constants; mostly variable lines aren't masked
     long_tokens: int | None = None       # equal lines of more tokens recur from long_documents on
     long_documents: int = 2
+    short_documents: int | None = None   # equal lines of fewer than MIN_TOKENS tokens recur from so many on; None: they aren't parsed
 
 
 #: What the pipeline uses.
-WHOLE = Rule(vote_share=0.25, content=True, long_tokens=50)
+WHOLE = Rule(vote_share=0.25, content=True, long_tokens=50, short_documents=5)
 _VARIABLE = re.compile(rb"[0-9@]").search
 STAR = b"<*>"
 
@@ -66,14 +67,16 @@ def body_of(line: bytes, tokens: list[bytes], rule: Rule) -> int:
 
 
 def _lines(texts: DataFrame, rule: Rule) -> DataFrame:
-    """Leaf and masked body of every line that has enough tokens."""
+    """Leaf, body and number of tokens of every line, or of those that have enough tokens."""
+    least = MIN_TOKENS if rule.short_documents is None else 1
+
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             out: list[list] = [[], [], [], [], [], []]
             for doc_id, doc_hash, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "doc_hash", "text")), strict=True):
                 for at, line in enumerate((text or "").encode("utf-8", "surrogatepass").split(b"\n")):
                     tokens = masked(line)
-                    if len(tokens) >= MIN_TOKENS:
+                    if len(tokens) >= least:
                         for column, value in zip(out, (doc_id, doc_hash, at, leaf_of(tokens), body_of(line, tokens, rule), len(tokens)), strict=True):
                             column.append(value)
             if out[0]:
@@ -114,8 +117,8 @@ def _documents(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def _templates(texts: DataFrame, lines: DataFrame, rule: Rule) -> DataFrame:
     """leaf, body, template for the lines of leaves in which several bodies may share one; n_constant and n_tokens with it."""
-    bodies = written(_documents(lines, ["leaf", "body"]), "bodies")
-    leaves = bodies.groupBy("leaf").agg(F.sum("docs").alias("in_leaf"), F.count(F.lit(1)).alias("bodies"), F.min("docs").alias("least")).where(
+    bodies = written(_documents(lines, ["leaf", "body", "size"]), "bodies")
+    leaves = bodies.where(f"size >= {MIN_TOKENS}").groupBy("leaf").agg(F.sum("docs").alias("in_leaf"), F.count(F.lit(1)).alias("bodies"), F.min("docs").alias("least")).where(
         f"bodies > 1 and in_leaf >= {rule.min_documents} and least < {rule.min_documents}")
     leaves = written(leaves, "leaves")
     wanted = salted_join(bodies, leaves.select("leaf"), ["leaf"], ["body"])
@@ -141,7 +144,8 @@ def recurring_lines(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     templates = written(_templates(texts, lines, rule), "templates")
     # A body may stand in a third of all lines: its template is sent to salted rows.
     named = salted_join(lines, templates, ["leaf", "body"], ["doc_hash", "line"], "left").withColumn("template", F.coalesce("template", "body"))
-    recurring = _documents(named, ["leaf", "template"]).where(F.col("docs") >= rule.min_documents)
+    least = F.when(F.col("size") < MIN_TOKENS, rule.short_documents or 0).otherwise(rule.min_documents)
+    recurring = _documents(named, ["leaf", "template", "size"]).where(F.col("docs") >= least).drop("size")
     hit = salted_join(named, recurring, ["leaf", "template"], ["doc_hash", "line"])
     gone = hit.where(~_is_first()).select("doc_id", "doc_hash", "line")
     if rule.long_tokens is not None:
@@ -167,7 +171,8 @@ def _doc_hash() -> Column:
 def deduped(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """The rows of docs with the columns n_lines and n_dropped added, text without the lines that go, n_chars (if there) to match.
 
-    A null text stays null and has no lines; an empty one has one. Lines of fewer than MIN_TOKENS tokens stay. Repeated rows are treated alike. A
+    A null text stays null and has no lines; an empty one has one. Lines of fewer than MIN_TOKENS tokens stay
+    unless the rule names short_documents. Repeated rows are treated alike. A
     document that loses all its lines stays, with an empty text.
     """
     columns = docs.columns

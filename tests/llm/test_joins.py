@@ -183,3 +183,9 @@ def test_long_lines_recur_in_two_documents(spark):
     shorter = passage.rsplit(" ", 1)[0]
     found = whole_lines(spark, [f"own start\n{passage}", f"{passage}\nanother end", f"x\n{shorter}", f"y\n{shorter}", f"first {passage}", f"second {passage}"])
     assert [found[k] for k in range(6)] == [0, 1, 0, 0, 0, 0]
+
+
+def test_short_lines_recur(spark):
+    texts = [f"Log in\nown {x} text\n{k}\nRead more\n\n12 {k}" for k, x in enumerate("abcdef")] + ["Rare\nown g text", "Rare\nown h text", "Rare\nown i text", "Rare\nown j text"]
+    found = whole_lines(spark, texts)
+    assert [found[k] for k in range(10)] == [0] + [2] * 5 + [0] * 4
