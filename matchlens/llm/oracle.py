@@ -49,6 +49,24 @@ smallest AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_i
 SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, coalesce(m.component_id, d.doc_id) AS component_id
 FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN smallest m ON m.doc_id = d.doc_id"""
 
+# The same for pairs of words; equal sets meet the others once.
+ORACLE_SQL["op12_setsketch"] = rf"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all({LOWER.format("text")}, '{WORDS}') AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 1], ' ') AS s FROM (
+               SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+sets AS (SELECT doc_id, md5(string_agg(s, chr(0) ORDER BY s)) AS h FROM shingles GROUP BY doc_id),
+firsts AS (SELECT h, min(doc_id) AS doc_id FROM sets GROUP BY h),
+own AS (SELECT s.doc_id, s.s FROM shingles s JOIN firsts f ON f.doc_id = s.doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM own a JOIN own b ON a.s = b.s AND a.doc_id <> b.doc_id
+           GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+reach AS (SELECT DISTINCT a AS doc_id, a AS other FROM links UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other),
+smallest AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id),
+found AS (SELECT t.doc_id, coalesce(m.component_id, f.doc_id) AS component_id FROM sets t JOIN firsts f ON f.h = t.h LEFT JOIN smallest m ON m.doc_id = f.doc_id)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id, coalesce(c.component_id, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN found c ON c.doc_id = d.doc_id"""
+
 BASE32 = " || ".join(
     f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, {k + 1}, 5) AS BIGINT) // {1 << shift}) % 32 + 1 AS BIGINT), 1)"
     for k in range(0, 40, 5) for shift in (15, 10, 5, 0))

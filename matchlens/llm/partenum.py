@@ -266,7 +266,7 @@ def _possible(percent: int, a: str, b: str) -> Column:
 PAIRS = 1024                 # pairs that one copy of a set serves
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of which 100 |A and B| >= percent |A or B|.
 
     Set a may be that of very many pairs: it is sent once for every PAIRS of them.
@@ -282,7 +282,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(common * 100 >= union * percent).select("a", "b")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """set and shingles of the documents wanted (doc_id); a repeated doc_id may bring sets of other texts, which nobody asks for."""
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -322,7 +322,7 @@ def links(docs: DataFrame, documents: DataFrame, members: DataFrame, width: int,
     more = rest.alias("a").join(wide.where("blocks > 1").alias("b"), same & _possible(percent, "a", "b"), "left_semi").select("set").distinct()
     hopeful = written(hopeful.union(more), "hopeful")
     wide = written(wide.join(hopeful, "set", "left_semi"), "hopeful-members")
-    sets = _sets(docs, distinct.join(hopeful, "set", "left_semi").select("doc_id"), width)
+    sets = sets_of(docs, distinct.join(hopeful, "set", "left_semi").select("doc_id"), width)
     # Every member against the group's smallest set.
     hub = wide.groupBy("signature").agg(F.min("set").alias("a"))
     near = salted_join(wide.select("signature", F.col("set").alias("b")), hub, ["signature"], ["b"]).where("a <> b").select("a", "b")
@@ -330,7 +330,7 @@ def links(docs: DataFrame, documents: DataFrame, members: DataFrame, width: int,
     own = distinct.drop("doc_id").join(hopeful, "set", "left_semi")
     for side in ("a", "b"):
         near = near.join(own.select(F.col("set").alias(side), F.struct(*columns).alias(f"of_{side}")), side)
-    first = written(_verified(near.where(_possible(percent, "of_a", "of_b")).select("a", "b"), sets, percent), "links")
+    first = written(verified(near.where(_possible(percent, "of_a", "of_b")).select("a", "b"), sets, percent), "links")
     # Members whose component isn't that of the hub, against those of all other components.
     labels = components(first)
     marked = wide.join(labels.withColumnRenamed("node", "set"), "set", "left").withColumn("label", F.coalesce("label", "set"))
@@ -340,7 +340,7 @@ def links(docs: DataFrame, documents: DataFrame, members: DataFrame, width: int,
     left = others.alias("a").join(marked.alias("b"), (F.col("a.signature") == F.col("b.signature")) & (F.col("a.block") == F.col("b.block"))
                                   & (F.col("a.label") != F.col("b.label")) & _possible(percent, "a", "b"))
     pairs = left.select(F.least("a.set", "b.set").alias("a"), F.greatest("a.set", "b.set").alias("b")).distinct()
-    return first.union(written(_verified(pairs, sets, percent), "links"))
+    return first.union(written(verified(pairs, sets, percent), "links"))
 
 
 def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
