@@ -76,3 +76,25 @@ WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS h, strlen(coalesce(html,
 f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first_id FROM p)
 SELECT page_id, payload_bytes, {BASE32} AS payload_digest, CASE WHEN first_id < page_id THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN first_id < page_id THEN first_id END AS refers_to FROM f"""
+
+# CRC-32 byte by byte with its table of 256 numbers; pairs of near words by what is left without one letter.
+ORACLE_SQL["op11_fm_variants"] = rf"""
+WITH RECURSIVE steps AS (SELECT range AS i, 0 AS k, range::BIGINT AS c FROM range(256)
+  UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM steps WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8),
+runs AS (SELECT doc_id, {LOWER.format("run")} AS run, count(*) AS m
+         FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents) WHERE length(run) >= 7 GROUP BY 1, 2),
+bytes AS (SELECT r.*, t, [('0x' || x)::BIGINT FOR x IN regexp_extract_all(hex(encode(concat(doc_id, ':', run))), '..')] AS b FROM runs r, crc),
+hashed AS (SELECT run, m, xor(list_reduce(b, lambda c, x: xor(c // 256, t[xor(c % 256, x) + 1]), 4294967295), 4294967295) AS h FROM bytes),
+kept AS (SELECT m, CASE WHEN h % 31 = 0 THEN left(run, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word FROM hashed),
+words AS (SELECT word, sum(m)::BIGINT AS n FROM kept WHERE length(word) >= 7 GROUP BY word HAVING sum(m) >= 2),
+less AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS (SELECT a.word, b.word AS near, b.n AS near_n FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+          UNION SELECT a.word, b.word, b.n FROM less a JOIN words b ON a.rest = b.word
+          UNION SELECT b.word, a.word, a.n FROM less a JOIN words b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS near, max(near_n) AS near_n FROM pairs GROUP BY word),
+forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * n THEN near END AS form, CASE WHEN near_n >= 10 * n THEN near_n END AS form_n
+          FROM words w LEFT JOIN best b ON b.word = w.word),
+chain AS (SELECT word, word AS root FROM forms UNION ALL SELECT c.word, f.form FROM chain c JOIN forms f ON f.word = c.root WHERE f.form IS NOT NULL),
+ends AS (SELECT c.word, c.root FROM chain c JOIN forms f ON f.word = c.root WHERE f.form IS NULL)
+SELECT f.word, f.form, e.root, f.n, f.n_near, f.form_n FROM forms f JOIN ends e ON e.word = f.word"""

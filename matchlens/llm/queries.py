@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlens.llm import langid, linededup, media, mixing, packing, partenum, permutation, quality, setsketch, token_output, warc, whitening
+from matchlens.llm import langid, linededup, media, mixing, packing, partenum, permutation, quality, setsketch, token_output, variants, warc, whitening
 from matchlens.llm.common import table
 from matchlens.llm.oracle import ORACLE_SQL
 
@@ -53,6 +53,10 @@ def op10_output_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(table(spark, sf_dir, "documents"))
 
 
+def op11_fm_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_forms(table(spark, sf_dir, "documents"))
+
+
 def op12_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
@@ -71,4 +75,4 @@ __all__ = ["ORACLE_SQL", "REGISTRY"]
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_permutation_index, op2_line_templates, op3_pivotal_mix, op4_partenum_join, op5_kneser_ney, op6_interleaved_media,
                             op7_cost_packing, op8_warc_transactions, op9_simple8b, op10_output_codes,
-                            op12_setsketch, op13_spectrum_whitening, pipeline)}
+                            op11_fm_variants, op12_setsketch, op13_spectrum_whitening, pipeline)}
