@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute
@@ -18,9 +19,11 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of this machine only where none is set, as in tests."""
+    """The folder that driver and executors share. Where none is set, one of this machine in local mode; a cluster's executors couldn't see that."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="matchlens-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -60,6 +63,23 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20)
             yield batch.slice(start)
 
 
+def until_end(batches: Iterator[pa.RecordBatch], *endings: Callable[[], None]) -> Iterator[pa.RecordBatch]:
+    """The batches, and the endings after the last one: what a task kept for its rows doesn't stay in a worker that later tasks use."""
+    try:
+        yield from batches
+    finally:
+        for ending in endings:
+            ending()
+        pa.default_memory_pool().release_unused()
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as no column of df has (Spark's names don't tell capitals apart)."""
+    taken = {c.lower() for c in df.columns}
+    longest = max((len(c) for c in taken), default=0)
+    return [n if n.lower() not in taken else n + "_" * (longest + 1 - len(n)) for n in names]
+
+
 SALTS = 16
 BROADCAST_IDS = 1_000_000    # 8 MB of ids
 

@@ -2,7 +2,7 @@
 
 A line's leaf is given by its token count and its first tokens; tokens with a digit or an @ are variable from the start. In a
 leaf, a token is constant if lines of enough documents have it at that position; the other positions are variable fields. Lines with equal
-constants share a template, and a template that recurs across documents is boilerplate: its first occurrence stays, all others go.
+constants, also some behind the first tokens, share a template, and a template that recurs across documents is boilerplate: its first occurrence stays, all others go.
 
 Equal texts count as one document, so a copied document alone makes no line boilerplate.
 """
@@ -21,27 +21,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from matchlens.llm.common import salted_join, slices, written
+from matchlens.llm.common import free_names, salted_join, slices, written
 
 DEPTH = 3
-MIN_TOKENS = 3
-MIN_DOCUMENTS = 3
-LEAST_CONSTANT = 0.5
+MIN_TOKENS = 3               # shorter lines have no tokens besides the leading ones
+LEAST_CONSTANT = 0.5         # of the tokens after the leading ones
 
 
 @dataclass(frozen=True)
 class Rule:
-    """Which lines recur. Without changes the rule is that of op2's SQL."""
-    min_documents: int = MIN_DOCUMENTS
-    vote_share: float = 0.0      # a constant has votes of this part of its leaf's documents, besides those of min_documents
-    content: bool = False        # the leading tokens, which all lines of a leaf share, don't count as constants; mostly variable lines aren't masked
-    long_tokens: int | None = None       # equal lines of more tokens recur from long_documents on
+    """Which lines recur."""
+    min_documents: int = 3       # that share a template, and votes of a constant
+    vote_share: float = 0.25     # a constant has votes of this part of its leaf's documents as well
+    long_tokens: int = 50        # equal lines of more tokens recur from long_documents on
     long_documents: int = 2
-    short_documents: int | None = None   # equal lines of fewer than MIN_TOKENS tokens recur from so many on; None: they aren't parsed
+    short_documents: int = 5     # equal lines of fewer than MIN_TOKENS tokens recur from so many on
 
 
-#: What the pipeline uses.
-WHOLE = Rule(vote_share=0.25, content=True, long_tokens=50, short_documents=5)
 _VARIABLE = re.compile(rb"[0-9@]").search
 STAR = b"<*>"
 
@@ -61,23 +57,21 @@ def leaf_of(tokens: list[bytes]) -> int:
 _LINES = "doc_id long, doc_hash long, line int, leaf long, body long, size int"
 
 
-def body_of(line: bytes, tokens: list[bytes], rule: Rule) -> int:
-    """The name of the masked line; where the rule asks for content and most tokens are variable, that of the line itself."""
-    return _hash(line.split() if rule.content and 2 * tokens.count(STAR) > len(tokens) else tokens)
+def body_of(line: bytes, tokens: list[bytes]) -> int:
+    """The name of the masked line; where most tokens are variable, that of the line itself."""
+    return _hash(line.split() if 2 * tokens.count(STAR) > len(tokens) else tokens)
 
 
-def _lines(texts: DataFrame, rule: Rule) -> DataFrame:
-    """Leaf, body and number of tokens of every line, or of those that have enough tokens."""
-    least = MIN_TOKENS if rule.short_documents is None else 1
-
+def _lines(texts: DataFrame) -> DataFrame:
+    """Leaf, body and number of tokens of every line that has tokens."""
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             out: list[list] = [[], [], [], [], [], []]
             for doc_id, doc_hash, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "doc_hash", "text")), strict=True):
                 for at, line in enumerate((text or "").encode("utf-8", "surrogatepass").split(b"\n")):
                     tokens = masked(line)
-                    if len(tokens) >= least:
-                        for column, value in zip(out, (doc_id, doc_hash, at, leaf_of(tokens), body_of(line, tokens, rule), len(tokens)), strict=True):
+                    if tokens:
+                        for column, value in zip(out, (doc_id, doc_hash, at, leaf_of(tokens), body_of(line, tokens), len(tokens)), strict=True):
                             column.append(value)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()),
@@ -126,13 +120,11 @@ def _templates(texts: DataFrame, lines: DataFrame, rule: Rule) -> DataFrame:
     tokens = written(tokens.dropDuplicates(["leaf", "body"]).join(bodies.select("leaf", "body", "docs"), ["leaf", "body"]), "line-tokens")
     each = tokens.select("leaf", "body", "docs", F.posexplode("tokens").alias("at", "token"))
     constant = each.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("votes")).where(F.col("votes") >= rule.min_documents)
-    if rule.vote_share:
-        constant = constant.join(leaves.select("leaf", "in_leaf"), "leaf").where(F.col("votes") >= F.col("in_leaf") * rule.vote_share).drop("in_leaf")
+    constant = constant.join(leaves.select("leaf", "in_leaf"), "leaf").where(F.col("votes") >= F.col("in_leaf") * rule.vote_share).drop("in_leaf")
     kept = salted_join(each, constant.where(F.col("token") != _hash([STAR])).drop("votes"), ["leaf", "at", "token"], ["body"])
-    lead = DEPTH if rule.content else 0
-    found = kept.groupBy("leaf", "body").agg(F.bit_xor(F.xxhash64("at", "token")).alias("template"), F.sum((F.col("at") >= lead).cast("long")).alias("n_constant"))
-    n_constant, n_content = F.coalesce("n_constant", F.lit(0)), F.col("n_tokens") - lead
-    enough = (n_constant >= n_content * LEAST_CONSTANT) & (n_constant >= (1 if rule.content else 0))
+    found = kept.groupBy("leaf", "body").agg(F.bit_xor(F.xxhash64("at", "token")).alias("template"), F.sum((F.col("at") >= DEPTH).cast("long")).alias("n_constant"))
+    n_constant = F.coalesce("n_constant", F.lit(0))
+    enough = (n_constant >= (F.col("n_tokens") - DEPTH) * LEAST_CONSTANT) & (n_constant > 0)
     return tokens.select("leaf", "body", F.size("tokens").alias("n_tokens")).join(found, ["leaf", "body"], "left").select(
         "leaf", "body", F.when(enough, F.col("template")).otherwise(F.col("body")).alias("template"))
 
@@ -140,19 +132,18 @@ def _templates(texts: DataFrame, lines: DataFrame, rule: Rule) -> DataFrame:
 def recurring_lines(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """doc_id, doc_hash and drops (numbers of the lines that go) of the documents that lose lines."""
     texts = _texts(docs)
-    lines = written(_lines(texts, rule), "lines")
+    lines = written(_lines(texts), "lines")
     templates = written(_templates(texts, lines, rule), "templates")
     # A body may stand in a third of all lines: its template is sent to salted rows.
     named = salted_join(lines, templates, ["leaf", "body"], ["doc_hash", "line"], "left").withColumn("template", F.coalesce("template", "body"))
-    least = F.when(F.col("size") < MIN_TOKENS, rule.short_documents or 0).otherwise(rule.min_documents)
+    least = F.when(F.col("size") < MIN_TOKENS, rule.short_documents).otherwise(rule.min_documents)
     recurring = _documents(named, ["leaf", "template", "size"]).where(F.col("docs") >= least).drop("size")
     hit = salted_join(named, recurring, ["leaf", "template"], ["doc_hash", "line"])
     gone = hit.where(~_is_first()).select("doc_id", "doc_hash", "line")
-    if rule.long_tokens is not None:
-        long = lines.where(F.col("size") > rule.long_tokens)
-        copied = _documents(long, ["leaf", "body"]).where(F.col("docs") >= rule.long_documents)
-        # The first line of a template is the first of its body too, so no line loses its last copy.
-        gone = gone.unionByName(salted_join(long, copied, ["leaf", "body"], ["doc_hash", "line"]).where(~_is_first()).select("doc_id", "doc_hash", "line"))
+    long = lines.where(F.col("size") > rule.long_tokens)
+    copied = _documents(long, ["leaf", "body"]).where(F.col("docs") >= rule.long_documents)
+    # The first line of a template is the first of its body too, so no line loses its last copy.
+    gone = gone.unionByName(salted_join(long, copied, ["leaf", "body"], ["doc_hash", "line"]).where(~_is_first()).select("doc_id", "doc_hash", "line"))
     return gone.groupBy("doc_id", "doc_hash").agg(F.collect_set("line").alias("drops"))
 
 
@@ -168,22 +159,24 @@ def _doc_hash() -> Column:
     return F.xxhash64(F.col("text").cast("string"))
 
 
-def deduped(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """The rows of docs with the columns n_lines and n_dropped added, text without the lines that go, n_chars (if there) to match.
+def deduped(docs: DataFrame, rule: Rule = Rule(), counts: bool = True) -> DataFrame:
+    """The rows of docs, text without the lines that go and n_chars (if there) to match; with the counts n_lines and n_dropped, in
+    place of columns of that name, if wanted.
 
-    A null text stays null and has no lines; an empty one has one. Lines of fewer than MIN_TOKENS tokens stay
-    unless the rule names short_documents. Repeated rows are treated alike. A
+    A null text stays null and has no lines; an empty one has one. Lines without tokens stay. Repeated rows are treated alike. A
     document that loses all its lines stays, with an empty text.
     """
-    columns = docs.columns
-    drops = recurring_lines(docs, rule).withColumnsRenamed({"doc_id": "_doc", "doc_hash": "_hash"})
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (_doc_hash() == F.col("_hash"))
-    joined = docs.join(drops, same, "left").select(*columns, F.coalesce("drops", F.array().cast("array<int>")).alias("_drops"))
+    added = ["n_lines", "n_dropped"] if counts else []
+    columns = [c for c in docs.columns if c.lower() not in added]
+    name, hashed, lines = free_names(docs, "doc", "hash", "drops")
+    drops = recurring_lines(docs, rule).withColumnsRenamed({"doc_id": name, "doc_hash": hashed, "drops": lines})
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col(name)) & (F.xxhash64(docs["text"].cast("string")) == F.col(hashed))
+    joined = docs.join(drops, same, "left").select(*(docs[c] for c in columns), F.coalesce(lines, F.array().cast("array<int>")).alias(lines))
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             texts, n_lines, n_dropped = [], [], []
-            for text, drop in zip(batch.column("text").to_pylist(), batch.column("_drops").to_pylist(), strict=True):
+            for text, drop in zip(batch.column("text").to_pylist(), batch.column(lines).to_pylist(), strict=True):
                 own = [] if text is None else text.split("\n")
                 gone = set(drop)
                 texts.append(text if not gone else "\n".join(x for k, x in enumerate(own) if k not in gone))
@@ -195,7 +188,7 @@ def deduped(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
                 same_text = np.array(n_dropped) == 0
                 new = pa.array(lengths, pa.int64(), mask=lengths < 0).cast(batch.column("n_chars").type)
                 arrays["n_chars"] = pa.compute.if_else(pa.array(same_text), batch.column("n_chars"), new)
-            yield pa.RecordBatch.from_arrays([*arrays.values(), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())],
-                                             [*arrays, "n_lines", "n_dropped"])
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+            counted = {"n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array(n_dropped, pa.int64())} if counts else {}
+            yield pa.RecordBatch.from_arrays([*arrays.values(), *counted.values()], [*arrays, *counted])
+    schema = T.StructType([docs.schema[c] for c in columns] + [T.StructField(c, T.LongType()) for c in added])
     return joined.mapInArrow(rewrite, schema)

@@ -1,9 +1,9 @@
 """Mixing of sources to target weights by pivotal dependent rounding.
 
 A document of a source of s words with target t gets t / s copies. The whole part is certain; the fractions are rounded
-in pairs: mass, counted in words, moves at random from one of two documents to the other until one of them is 0 or 1. The
-words of a source so stay at the target, up to the last fraction. Documents meet in buckets of some thousand; each bucket leaves one
-fraction, and these meet again, 64 at a time, in the next level of a tree.
+in pairs: mass, counted in words, moves at random from one of two documents to the other until one of them is 0 or 1. A large
+document that would stay open is settled against many small ones. The words of a source so stay at the target, up to the last fraction, a small
+document's. Documents meet in buckets of some thousand; each bucket leaves one fraction, and these meet again, 64 at a time, in the next level of a tree.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchlens.llm.common import word_count, written
+from matchlens.llm.common import free_names, word_count, written
 
 BUCKET = 4096
 FAN_IN = 64
@@ -45,35 +45,63 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float
                       .otherwise(left * F.col("weight") / free).alias("target"))
 
 
+def _transfer(part: np.ndarray, size: np.ndarray, a: int, b: int, draw: float) -> None:
+    """Moves words at random between the fractions of a and b until one of them is 0 or 1; each keeps its expectation."""
+    up = min((1 - part[a]) * size[a], part[b] * size[b])         # words that may move from b to a
+    down = min(part[a] * size[a], (1 - part[b]) * size[b])       # and from a to b
+    to_a = draw * (up + down) < down
+    moved = up if to_a else -down
+    # The one that reaches its bound is set to it, so that no rest of rounding keeps it open.
+    if to_a:
+        a_done, b_done = up >= (1 - part[a]) * size[a], up >= part[b] * size[b]
+    else:
+        a_done, b_done = down >= part[a] * size[a], down >= (1 - part[b]) * size[b]
+    new_a = (1.0 if to_a else 0.0) if a_done else part[a] + moved / size[a]
+    new_b = (0.0 if to_a else 1.0) if b_done else part[b] - moved / size[b]
+    part[a], part[b] = min(1.0, max(0.0, new_a)), min(1.0, max(0.0, new_b))
+
+
+def _settle(part: np.ndarray, size: np.ndarray, a: int, reserve: np.ndarray, draw: float) -> None:
+    """Settles a against the reserve at once: its mass moves from or to documents of the reserve, each by the same share of it either way."""
+    up, down = (1 - part[a]) * size[a], part[a] * size[a]
+    share = np.minimum(part[reserve] * size[reserve] / up, (1 - part[reserve]) * size[reserve] / down)
+    last = int(np.searchsorted(np.cumsum(share), 1.0)) + 1       # no more of them than needed
+    reserve, share = reserve[:last], share[:last] / share[:last].sum()
+    to_a = draw * (up + down) < down
+    moved = -up if to_a else down
+    part[a] = 1.0 if to_a else 0.0
+    part[reserve] = np.clip(part[reserve] + moved * share / size[reserve], 0.0, 1.0)
+
+
 def _round_group(frame: pd.DataFrame, level: int, seed: int) -> pd.DataFrame:
-    """Settles all fractions of a group but one at most, which stays a fraction."""
+    """Settles all fractions of a group but one at most, which stays a fraction.
+
+    Documents pair off by descending size. What stays open of a pair is mostly the larger one, so before the smaller ones become too few
+    to take its mass, they settle it together, and go on among themselves: the last fraction is a small document's.
+    """
     frame = frame.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable", na_position="first").reset_index(drop=True)
     source = frame["source"].iloc[0]
     name = b"" if source is None or source != source else str(source).encode("utf-8", "surrogatepass")
     random = np.random.default_rng([seed, level, zlib.crc32(name), int(frame["bucket"].iloc[0])])
     part, size = frame["part"].to_numpy(dtype=float, copy=True), frame["size"].to_numpy(dtype=float)
-    draws = random.random(len(part))
-    open_at = -1
-    for at in range(len(part)):
-        if not 0 < part[at] < 1:
-            continue
-        if open_at < 0:
-            open_at = at
-            continue
-        a, b = open_at, at
-        up = min((1 - part[a]) * size[a], part[b] * size[b])         # words that may move from b to a
-        down = min(part[a] * size[a], (1 - part[b]) * size[b])       # and from a to b
-        to_a = draws[at] * (up + down) < down                        # keeps each document's expectation
-        moved = up if to_a else -down
-        # The one that reaches its bound is set to it, so that no rest of rounding keeps it open.
-        if to_a:
-            a_done, b_done = up >= (1 - part[a]) * size[a], up >= part[b] * size[b]
-        else:
-            a_done, b_done = down >= part[a] * size[a], down >= (1 - part[b]) * size[b]
-        new_a = (1.0 if to_a else 0.0) if a_done else part[a] + moved / size[a]
-        new_b = (0.0 if to_a else 1.0) if b_done else part[b] - moved / size[b]
-        part[a], part[b] = min(1.0, max(0.0, new_a)), min(1.0, max(0.0, new_b))
-        open_at = next((i for i in (a, b) if 0 < part[i] < 1), -1)
+    rest = np.flatnonzero((part > 0) & (part < 1))
+    while len(rest) > 1:
+        # What the documents from each place on can take or give at least.
+        room = np.cumsum((size[rest] * np.minimum(part[rest], 1 - part[rest]))[::-1])[::-1]
+        draws = random.random(len(rest))
+        open_at, at = rest[0], 1
+        while at < len(rest):
+            if room[at] >= size[open_at] and (at + 1 == len(rest) or room[at + 1] < max(size[open_at], size[rest[at]])):
+                _settle(part, size, open_at, rest[at:][::-1], draws[at])
+                break
+            _transfer(part, size, open_at, rest[at], draws[at])
+            open_at = next((i for i in (open_at, rest[at]) if 0 < part[i] < 1), -1)
+            at += 1
+            if open_at < 0:
+                break
+        # Settled by the smaller ones, or nothing open: they go on. Else the open one is the last.
+        rest = rest[at:]
+        rest = rest[(part[rest] > 0) & (part[rest] < 1)]
     frame["part"] = part
     return frame
 
@@ -140,13 +168,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, most: int = 3, seed: int = 20) -> DataFrame:
     """The mix itself: the rows of docs with all their columns, as often as they are taken."""
     columns = docs.columns
-    keyed = docs.withColumn("_size", word_count(F.col("text")))
-    got = copies(keyed.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.col("_size").alias("size")),
-                 weights, share, most, seed).select(F.col("doc_id").alias("_doc"), F.col("source").alias("_source"),
-                                                    F.col("size").alias("_of"), "n", "total").where("total > 0")
-    keys = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_size") == F.col("_of"))
+    size, doc, of, name, n, total, k, copy = free_names(docs, "size", "doc", "of", "name", "n", "total", "k", "copy")
+    keyed = docs.withColumn(size, word_count(F.col("text")))
+    got = copies(keyed.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.col(size).alias("size")), weights, share, most, seed)
+    got = got.where("total > 0").select(F.col("doc_id").alias(doc), F.col("source").alias(name), F.col("size").alias(of),
+                                        F.col("n").alias(n), F.col("total").alias(total))
+    keys = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & F.col("source").eqNullSafe(F.col(name)) & (F.col(size) == F.col(of))
     joined = keyed.join(got, keys)
-    joined = joined.withColumn("_k", F.row_number().over(Window.partitionBy("_doc", "_source", "_of").orderBy(F.xxhash64("text"))))
-    times = F.array_repeat(F.lit(0), _shared("total", "n", "_k").cast("int"))
-    return joined.withColumn("_copy", F.explode(times)).select(*columns)
-
+    joined = joined.withColumn(k, F.row_number().over(Window.partitionBy(doc, name, of).orderBy(F.xxhash64("text"))))
+    times = F.array_repeat(F.lit(0), _shared(total, n, k).cast("int"))
+    return joined.withColumn(copy, F.explode(times)).select(*columns)

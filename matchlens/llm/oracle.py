@@ -11,24 +11,27 @@ ORACLE_SQL: dict[str, str] = {}
 ORACLE_SQL["op2_line_templates"] = rf"""
 WITH texts AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
 raw AS (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM texts),
-split AS (SELECT doc_id, text, line, [CASE WHEN regexp_matches(x, '[0-9@]') THEN '<*>' ELSE x END
-                 FOR x IN regexp_extract_all(string_split(text, chr(10))[line], '{WORDS}')] AS tokens FROM raw),
-lines AS (SELECT *, len(tokens) || chr(0) || array_to_string(tokens[1:3], chr(0)) AS leaf, array_to_string(tokens, chr(0)) AS body
-          FROM split WHERE len(tokens) >= 3),
-bodies AS (SELECT leaf, body, count(DISTINCT text) AS docs, any_value(tokens) AS tokens FROM lines GROUP BY leaf, body),
-leaves AS (SELECT leaf FROM bodies GROUP BY leaf HAVING count(*) > 1 AND sum(docs) >= 3 AND min(docs) < 3),
-each AS (SELECT leaf, body, docs, place, tokens[place] AS token FROM (
-           SELECT b.*, unnest(range(1, len(b.tokens) + 1)) AS place FROM bodies b JOIN leaves USING (leaf))),
-fixed AS (SELECT leaf, place, token FROM each WHERE token <> '<*>' GROUP BY leaf, place, token HAVING sum(docs) >= 3),
-found AS (SELECT leaf, body, count(*) AS n, string_agg(place || chr(1) || token, chr(0) ORDER BY place) AS template
+words AS (SELECT doc_id, text, line, regexp_extract_all(string_split(text, chr(10))[line], '{WORDS}') AS own FROM raw),
+split AS (SELECT *, len(own) AS size, [CASE WHEN regexp_matches(x, '[0-9@]') THEN '<*>' ELSE x END FOR x IN own] AS tokens FROM words WHERE len(own) > 0),
+lines AS (SELECT doc_id, text, line, size, tokens, size || chr(0) || array_to_string(tokens[1:3], chr(0)) AS leaf,
+                 array_to_string(CASE WHEN 2 * len([x FOR x IN tokens IF x = '<*>']) > size THEN own ELSE tokens END, chr(0)) AS body FROM split),
+bodies AS (SELECT leaf, body, size, count(DISTINCT text) AS docs, any_value(tokens) AS tokens FROM lines GROUP BY leaf, body, size),
+leaves AS (SELECT leaf, sum(docs) AS in_leaf FROM bodies WHERE size >= 3 GROUP BY leaf HAVING count(*) > 1 AND sum(docs) >= 3 AND min(docs) < 3),
+each AS (SELECT leaf, in_leaf, body, docs, place, tokens[place] AS token FROM (
+           SELECT b.*, in_leaf, unnest(range(1, len(b.tokens) + 1)) AS place FROM bodies b JOIN leaves USING (leaf))),
+fixed AS (SELECT leaf, place, token FROM each WHERE token <> '<*>' GROUP BY leaf, place, token HAVING sum(docs) >= 3 AND sum(docs) >= 0.25 * any_value(in_leaf)),
+found AS (SELECT leaf, body, count(*) FILTER (place > 3) AS n, string_agg(place || chr(1) || token, chr(0) ORDER BY place) AS template
           FROM each JOIN fixed USING (leaf, place, token) GROUP BY leaf, body),
-named AS (SELECT l.doc_id, l.text, l.line, l.leaf,
-                 CASE WHEN f.n >= len(l.tokens) * 0.5 THEN 'T' || f.template ELSE 'B' || l.body END AS template
+named AS (SELECT l.doc_id, l.text, l.line, l.size, l.leaf, l.body,
+                 CASE WHEN f.n >= (l.size - 3) * 0.5 AND f.n > 0 THEN 'T' || f.template ELSE 'B' || l.body END AS template
           FROM lines l LEFT JOIN found f ON f.leaf = l.leaf AND f.body = l.body),
-spread AS (SELECT leaf, template FROM named GROUP BY leaf, template HAVING count(DISTINCT text) >= 3),
+spread AS (SELECT leaf, template FROM named GROUP BY leaf, template, size HAVING count(DISTINCT text) >= CASE WHEN size < 3 THEN 5 ELSE 3 END),
+long AS (SELECT leaf, body FROM lines WHERE size > 50 GROUP BY leaf, body HAVING count(DISTINCT text) >= 2),
 hit AS (SELECT n.doc_id, n.text, n.line, row_number() OVER (PARTITION BY n.leaf, n.template ORDER BY n.doc_id NULLS FIRST, n.line) AS nth
-        FROM named n JOIN spread s ON s.leaf = n.leaf AND s.template = n.template),
-gone AS (SELECT doc_id, text, list(line) AS drops FROM hit WHERE nth > 1 GROUP BY doc_id, text)
+        FROM named n JOIN spread s ON s.leaf = n.leaf AND s.template = n.template
+        UNION ALL SELECT n.doc_id, n.text, n.line, row_number() OVER (PARTITION BY n.leaf, n.body ORDER BY n.doc_id NULLS FIRST, n.line)
+        FROM lines n JOIN long s ON s.leaf = n.leaf AND s.body = n.body),
+gone AS (SELECT doc_id, text, list(DISTINCT line) AS drops FROM hit WHERE nth > 1 GROUP BY doc_id, text)
 SELECT d.doc_id, CASE WHEN g.drops IS NULL THEN d.text ELSE array_to_string([string_split(d.text, chr(10))[i]
          FOR i IN range(1, len(string_split(d.text, chr(10))) + 1) IF NOT list_contains(g.drops, i)], chr(10)) END AS text,
        CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.text, chr(10))) END AS n_lines,

@@ -22,9 +22,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchlens.llm.common import salted_join, slices, small_ids, written
+from matchlens.llm.common import free_names, salted_join, slices, small_ids, until_end, written
 from matchlens.llm.components import components
-from matchlens.llm.shingles import mixed, shingle_set
+from matchlens.llm.shingles import forget_words, mixed, shingle_set
 
 WRONG_PIECES = 1
 
@@ -83,7 +83,8 @@ def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
 
 # --- the join ----------------------------------------------------------------------------------------------------------
 
-ENTRIES = 2_000_000          # signatures of a part, and those that a task holds before it deals them out
+ENTRIES = 1_000_000          # signatures of a part, and those that a task holds before it deals them out
+MOST_MET = 200_000           # names of sets that a task remembers
 BLOCK = 256                  # members of a large group that others are compared with at once
 FLAGS = 512                  # bits of a set's parity: their differences count at most the sets' differences
 LONG = 1000                  # larger sets have a second parity, of as many bits as shingles at least
@@ -120,14 +121,14 @@ class _Dealer:
         self.parts, self.percent = parts, percent
         self.sets: list[int] = []
         self.lists: list[np.ndarray] = []
-        self.documents: list[tuple] = []
+        self.documents: list[np.ndarray] = []
         self.longer: list[np.ndarray] = []
         self.met: set[int] = set()
         self.held = self.turns = 0
 
     def add(self, doc_id: int | None, shingles: np.ndarray) -> None:
         key = set_key(shingles)
-        self.documents.append((_NONE if doc_id is None else doc_id, key, len(shingles), *parities(shingles)))
+        self.documents.append(np.concatenate([np.array([_NONE if doc_id is None else doc_id, key, len(shingles)], "<i8"), parities(shingles)]))
         if len(shingles) > LONG:
             self.longer.append(parities(shingles, long_bits(len(shingles))))
         if len(shingles) and key not in self.met:
@@ -157,7 +158,7 @@ class _Dealer:
                 out[name].append(value)
         apart = self.parts + (task * 7919 + self.turns) % self.parts
         longer = np.concatenate(self.longer) if self.longer else np.zeros(0, "<i8")
-        put(apart, DOCUMENT, b"", longer.astype("<i8").tobytes(), np.array(self.documents, "<i8").tobytes())
+        put(apart, DOCUMENT, b"", longer.astype("<i8").tobytes(), np.concatenate(self.documents).tobytes())
         if shared.any():
             named = self._part(sig[shared]).astype("<u8") << np.uint64(32) | sig[shared] >> np.uint64(32)
             put(apart, LOCAL, named.astype("<u8").tobytes(), b"", keys[owner[shared]].astype("<i8").tobytes())
@@ -170,7 +171,7 @@ class _Dealer:
             # Four bytes of a signature do inside a part: sets that meet by chance are compared in vain, no more.
             put(int(p), FIRST, (sig[lo:hi] >> np.uint64(32)).astype("<u4").tobytes(), numbers.astype("<u2" if len(mine) <= 65536 else "<u4").tobytes(), keys[mine].astype("<i8").tobytes())
         self.sets, self.lists, self.documents, self.longer, self.held, self.turns = [], [], [], [], 0, self.turns + 1
-        if len(self.met) > 1_000_000:
+        if len(self.met) > MOST_MET:
             self.met = set()
         types = dict(zip(_PACKED_ARROW.names, _PACKED_ARROW.types, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(v, types[c]) for c, v in out.items()], schema=_PACKED_ARROW)
@@ -229,7 +230,7 @@ def sketches(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Data
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dealer, task = _Dealer(parts, percent), TaskContext.get().partitionId()
-        for batch in slices(batches, "text"):
+        for batch in until_end(slices(batches, "text"), forget_words):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 dealer.add(doc_id, shingle_set(text, width))
                 if dealer.held >= ENTRIES:
@@ -285,7 +286,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """set and shingles of the documents wanted (doc_id); a repeated doc_id may bring sets of other texts, which nobody asks for."""
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in until_end(slices(batches, "text"), forget_words):
             found = {}
             for text in batch.column("text").to_pylist():
                 shingles = shingle_set(text, width)
@@ -366,5 +367,6 @@ def without_near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> D
     Repeated rows of the smallest doc_id of a component all stay if their doc_id is equal.
     """
     found = jaccard_components(docs, width, percent).where("component_id < doc_id")
-    gone = small_ids(found.select(F.col("doc_id").alias("_gone")), "gone")
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    name, = free_names(docs, "gone")
+    gone = small_ids(found.select(F.col("doc_id").alias(name)), "gone")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone[name], "left_anti")

@@ -17,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchlens.llm.common import salted_join, slices, written
+from matchlens.llm.common import salted_join, slices, until_end, written
 from matchlens.llm.components import components
 from matchlens.llm.partenum import BLOCK, set_key, sets_of, verified
-from matchlens.llm.shingles import mixed, shingle_set
+from matchlens.llm.shingles import forget_words, mixed, shingle_set
 
 BANDS, WIDTH = 40, 5         # a pair of similarity 0.8 is no candidate with chance (1 - 0.8 ** 5) ** 40, below 2 in ten million
 M = BANDS * WIDTH
@@ -109,7 +109,7 @@ _SKETCH = "doc_id long, set long, n long, registers binary"
 def sketches(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, set (its 64-bit name), n (its size) and registers of every document; a set without shingles has none."""
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in until_end(slices(batches, "text"), forget_words):
             keys, sizes, values = [], [], []
             for text in batch.column("text").to_pylist():
                 shingles = shingle_set(text, width)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-MOST_WORDS = 400_000         # in a worker's table, some 70 MB; then it starts anew
+MOST_WORDS = 200_000         # in a task's table, some 35 MB; then it starts anew
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -20,6 +20,10 @@ class _WordHashes(dict):
 _hashes = _WordHashes()
 
 
+def forget_words() -> None:
+    _hashes.clear()
+
+
 def mixed(values: np.ndarray) -> np.ndarray:
     """Each 64-bit number scattered over all 64-bit numbers, one to one."""
     x = values ^ (values >> np.uint64(30))

@@ -98,7 +98,7 @@ def test_one_document_of_each_group_stays(documents):
 # --- lines --------------------------------------------------------------------------------
 
 
-def brute_lines(rows, least):
+def brute_lines(rows):
     """Templates by plain loops: (doc_id, text) -> kept text."""
     def tokens(line):
         return tuple("<*>" if re.search("[0-9@]", t) else t for t in WORD.findall(line))
@@ -106,31 +106,42 @@ def brute_lines(rows, least):
     for doc_id, text in rows:
         if text is not None:
             distinct.setdefault((doc_id, text), None)
-    lines = [(d, t, at, tokens(line)) for d, t in distinct for at, line in enumerate(t.split("\n")) if len(tokens(line)) >= 3]
+    lines = []                                            # document, text, place, body, masked tokens
+    for d, t in distinct:
+        for at, line in enumerate(t.split("\n")):
+            own = tokens(line)
+            if own:
+                lines.append((d, t, at, tuple(WORD.findall(line)) if 2 * own.count("<*>") > len(own) else own, own))
     bodies, leaves = {}, {}
-    for _, t, _, own in lines:
-        bodies.setdefault(own, set()).add(t)
-    for own in bodies:
-        leaves.setdefault((len(own), own[:3]), []).append(own)
-    template = {own: own for own in bodies}
+    for _, t, _, body, own in lines:
+        bodies.setdefault((body, own), set()).add(t)
+    for key in bodies:
+        leaves.setdefault((len(key[1]), key[1][:3]), []).append(key)
+    template = {key: key[0] for key in bodies}
     for members in leaves.values():
         docs = [len(bodies[m]) for m in members]
-        if len(members) > 1 and sum(docs) >= least and min(docs) < least:
+        if len(members) > 1 and sum(docs) >= 3 and min(docs) < 3 and len(members[0][1]) >= 3:
             votes = {}
-            for own in members:
-                for at, token in enumerate(own):
-                    votes[at, token] = votes.get((at, token), 0) + len(bodies[own])
-            for own in members:
-                fixed = tuple((at, x) for at, x in enumerate(own) if votes[at, x] >= least and x != "<*>")
-                if len(fixed) >= len(own) / 2:
-                    template[own] = (own[:3], len(own), fixed)
-    where = {}
-    for d, t, at, own in lines:
-        where.setdefault((len(own), own[:3], template[own]), []).append((d is not None, d or 0, at, t))
+            for key in members:
+                for at, token in enumerate(key[1]):
+                    votes[at, token] = votes.get((at, token), 0) + len(bodies[key])
+            for key in members:
+                own = key[1]
+                fixed = tuple((at, x) for at, x in enumerate(own) if votes[at, x] >= max(3, sum(docs) / 4) and x != "<*>")
+                content = sum(at >= 3 for at, _ in fixed)
+                if content and content >= (len(own) - 3) / 2:
+                    template[key] = ("T", fixed)
+    where, long = {}, {}
+    for d, t, at, body, own in lines:
+        place = (d is not None, d or 0, at, t)
+        where.setdefault((len(own), own[:3], template[body, own]), []).append(place)
+        if len(own) > 50:
+            long.setdefault((own[:3], body), []).append(place)
     gone = set()
-    for hits in where.values():
-        if len({t for *_, t in hits}) >= least:
-            gone |= {(d if known else None, t, at) for known, d, at, t in sorted(hits, key=lambda h: h[:3])[1:]}
+    for least, groups in ((None, where), (2, long)):
+        for key, hits in groups.items():
+            if len({t for *_, t in hits}) >= (least or (3 if key[0] >= 3 else 5)):
+                gone |= {(d if known else None, t, at) for known, d, at, t in sorted(hits, key=lambda h: h[:3])[1:]}
     return sorted(repr((d, t if t is None else "\n".join(x for at, x in enumerate(t.split("\n")) if (d, t, at) not in gone))) for d, t in rows)
 
 
@@ -138,11 +149,11 @@ def test_lines_equal_brute_force(documents):
     rows = [(r.doc_id, r.text) for r in documents.select("doc_id", "text").collect()]
     found = linededup.deduped(documents)
     assert found.columns == [*documents.columns, "n_lines", "n_dropped"]
-    assert sorted(repr((r.doc_id, r.text)) for r in found.collect()) == brute_lines(rows, 3)
+    assert sorted(repr((r.doc_id, r.text)) for r in found.collect()) == brute_lines(rows)
 
 
 def test_variable_fields_make_one_template(spark):
-    texts = [f"This was posted by {n} on the board\nbody of {n} alone" for n in ("ann", "bob", "cem", "dia")]
+    texts = [f"This was posted by {n} on the old board\nbody of {n} alone" for n in ("ann", "bob", "cem", "dia")]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in linededup.deduped(docs).collect()}
     assert found[0][1:] == (2, 0)
@@ -160,7 +171,7 @@ def test_no_documents_no_lines(no_documents):
 
 def whole_lines(spark, texts):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    return {r.doc_id: r.n_dropped for r in linededup.deduped(docs, linededup.WHOLE).collect()}
+    return {r.doc_id: r.n_dropped for r in linededup.deduped(docs).collect()}
 
 
 def test_lines_that_begin_alike_stay(spark):
