@@ -19,7 +19,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops lines whose template recurs across documents, but for the first."""
-    return linededup.deduped(docs, linededup.WHOLE).drop("n_lines", "n_dropped")
+    return linededup.deduped(docs, counts=False)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
