@@ -740,6 +740,12 @@ SELECT event_id, CAST(rating AS BIGINT) AS rating, mode, CASE WHEN k % 4 > 0 THE
 QUERIES["cap_per_window"] = """
 SELECT event_id, mode FROM feedback
 QUALIFY row_number() OVER (PARTITION BY mode, CAST(ts AS DATE) ORDER BY ts, event_id) <= 60"""
+QUERIES["anchored_cap"] = """
+SELECT event_id, f.mode FROM feedback f ASOF JOIN (
+  WITH RECURSIVE starts AS (SELECT mode, min(ts) AS anchor FROM feedback GROUP BY mode
+    UNION ALL SELECT s.mode, (SELECT min(g.ts) FROM feedback g WHERE g.mode = s.mode AND g.ts >= s.anchor + INTERVAL 1 DAY) FROM starts s WHERE s.anchor IS NOT NULL)
+  SELECT mode, anchor FROM starts WHERE anchor IS NOT NULL) s ON s.mode = f.mode AND f.ts >= s.anchor
+QUALIFY row_number() OVER (PARTITION BY f.mode, s.anchor ORDER BY f.ts, event_id) <= 60"""
 QUERIES["vote_tally"] = """
 SELECT m, mode, model, count(*) AS votes, CAST(sum(rating) AS BIGINT) AS balance FROM feedback WHERE NOT followup GROUP BY 1, 2, 3"""
 

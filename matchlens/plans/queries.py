@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from matchlens.functions import lookup as L
 from matchlens.functions import text as X
-from matchlens.operators import bench, build as B, career as C, detectors as D, documents as T
+from matchlens.operators import anchored as A, bench, build as B, career as C, detectors as D, documents as T
 from matchlens.operators import draft, events as E, fights as G, players as P, requests as Q
 from matchlens.operators import resolve as R, series as S
 from matchlens.params import FOCUSES, LANGUAGES, MODELS, WRAPPERS
@@ -741,6 +741,11 @@ def cap_per_window(b: Bound) -> DataFrame:
                              seconds=86400).select("event_id", "mode")
 
 
+@query
+def anchored_cap(b: Bound) -> DataFrame:
+    return A.anchored_cap(feedback(b), "mode", "ts", ("event_id",), limit=FB.MAX_PER_MINUTE, seconds=86400).select("event_id", "mode")
+
+
 @query
 def vote_tally(b: Bound) -> DataFrame:
     day = F.date_diff(F.to_date("start"), F.lit("2024-01-01").cast("date"))
