@@ -1,9 +1,8 @@
-"""Feedback records as a stream: validation, rate cap, tally and isolated sinks."""
+"""Feedback records as a stream: validation, rate cap, tally, and ingestion to isolated sinks."""
 
 from __future__ import annotations
 
-import logging
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,8 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from matchlens.params import DEPTHS, FOCUSES, MAX_COMMENT, MAX_PER_MINUTE, MODELS, ROLES
 from matchlens.schemas import FEEDBACK
-
-log = logging.getLogger(__name__)
+from matchlens.streaming.fanout import FanOut, Sink
 
 MODES = ("match", "profile")
 
@@ -114,29 +112,6 @@ def anchored_cap(records: DataFrame, by: str, limit: int = MAX_PER_MINUTE, secon
         step, schema, "anchor long, count long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-Sink = Callable[[DataFrame, int], None]
-
-
-def fan_out(sinks: dict[str, Sink], failures: dict[str, int]) -> Sink:
-    """A foreachBatch writer giving each sink the batch.
-
-    One sink's failure doesn't keep the batch from the others; after all were tried it fails the batch, so Spark
-    replays it once the sink is back. Sinks must take a replayed batch without harm, as ``folder_sink`` does.
-    """
-    def write(batch: DataFrame, epoch: int) -> None:
-        broken = []
-        for name, sink in sinks.items():
-            try:
-                sink(batch, epoch)
-            except Exception:                                   # noqa: BLE001
-                failures[name] = failures.get(name, 0) + 1
-                broken.append(name)
-                log.exception("sink %s rejected batch %s", name, epoch)
-        if broken:
-            raise RuntimeError(f"batch {epoch} is not in {', '.join(broken)}")
-    return write
-
-
 def folder_sink(path: str, fmt: str) -> Sink:
     """One folder per batch, overwritten when the batch is replayed: no duplicates on retry."""
     def write(batch: DataFrame, epoch: int) -> None:
@@ -144,18 +119,17 @@ def folder_sink(path: str, fmt: str) -> Sink:
     return write
 
 
-def ingest(records: DataFrame, accepted: dict[str, Sink], quarantine: Sink, checkpoint: str,
-           failures: dict[str, int]):
-    """Validated records to every accepted sink, the others to quarantine; returns the query."""
-    def write(batch: DataFrame, epoch: int) -> None:
-        checked = validate_feedback(batch).persist()              # read and validated once for all sinks
-        good = checked.filter("problem is null").drop("problem")
-        bad = checked.filter("problem is not null")
-        try:
-            fan_out({**{n: (lambda _, e, s=s: s(good, e)) for n, s in accepted.items()},
-                     "quarantine": lambda _, e: quarantine(bad, e)}, failures)(batch, epoch)
-        finally:
-            checked.unpersist()
-
-    return (records.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+def ingest(spark: SparkSession, records: DataFrame, accepted: dict[str, Sink], quarantine: Sink, path: str, **limits):
+    """Validated records to every accepted sink, the others to quarantine: the query and its fan-out.
+
+    Checkpoint, spool and ledgers are below path. The query ends when the input is read, whatever state the sinks are in.
+    """
+    def only(sink: Sink, good: bool) -> Sink:
+        def write(batch: DataFrame, epoch: int) -> None:
+            sink(batch.filter("problem is null").drop("problem") if good else batch.filter("problem is not null"), epoch)
+        return write
+    sinks = {**{name: only(sink, True) for name, sink in accepted.items()}, "quarantine": only(quarantine, False)}
+    fan = FanOut(spark, sinks, f"{path}/fanout", **limits)
+    query = (records.writeStream.foreachBatch(lambda batch, epoch: fan(validate_feedback(batch), epoch))
+             .option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start())
+    return query, fan

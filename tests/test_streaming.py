@@ -1,9 +1,8 @@
 """Streams driven to completion over files."""
 
 import json
+import threading
 
-import pytest
-from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from conftest import match, rows
@@ -24,31 +23,112 @@ def stamp(seconds):
     return f"2024-01-01T00:{seconds // 60:02d}:{seconds % 60:02d}+00:00"
 
 
-def test_ingest_isolates_sinks(spark, tmp_path):
-    (tmp_path / "in").mkdir()
-    write(tmp_path / "in/a.json", record(1, comment="  hi "), record(2, rating=5), record(3, mode="x"), record(4, account_id=9))
-    failures = {}
+class Switched:
+    """A sink that is down while its switch is off, or for certain batches."""
+
+    def __init__(self, sink, up=True, refuses=()):
+        self.sink, self.up, self.refuses, self.offered = sink, up, set(refuses), []
+
+    def __call__(self, batch, epoch):
+        self.offered.append(epoch)
+        if not self.up or epoch in self.refuses:
+            raise RuntimeError("down")
+        self.sink(batch, epoch)
+
+
+def one_by_one(spark, where):
+    return spark.readStream.schema(FB.FEEDBACK).option("maxFilesPerTrigger", 1).json(where)
 
-    def broken(batch, epoch):
-        raise RuntimeError("down")
 
-    query = FB.ingest(FB.read_feedback(spark, str(tmp_path / "in")),
-                      {"broken": broken, "table": FB.folder_sink(str(tmp_path / "out"), "parquet"),
-                       "lines": FB.folder_sink(str(tmp_path / "lines"), "json")},
-                      FB.folder_sink(str(tmp_path / "bad"), "parquet"), str(tmp_path / "cp"), failures)
-    with pytest.raises(StreamingQueryException):
-        query.awaitTermination(120)
+def feed(path, first, batches):
+    for k in range(first, first + batches):
+        write(path / f"{k:03}.json", record(2 * k + 2), record(2 * k + 1, rating=5))
+
+
+def ids(spark, path):
+    return sorted(r.match_id for r in spark.read.parquet(str(path)).collect())
+
+
+def test_ingest_splits_good_and_bad(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    write(tmp_path / "in/a.json", record(1, comment="  hi "), record(2, rating=5), record(3, mode="x"), record(4, account_id=9))
+    query, fan = FB.ingest(spark, FB.read_feedback(spark, str(tmp_path / "in")),
+                           {"table": FB.folder_sink(str(tmp_path / "out"), "parquet"), "lines": FB.folder_sink(str(tmp_path / "lines"), "json")},
+                           FB.folder_sink(str(tmp_path / "bad"), "parquet"), str(tmp_path / "work"))
+    query.awaitTermination(120)
     assert rows(spark.read.parquet(str(tmp_path / "out")), "match_id", "comment") == [(1, "hi"), (4, None)]
     assert rows(spark.read.json(str(tmp_path / "lines")), "match_id") == [(1,), (4,)]
     assert rows(spark.read.parquet(str(tmp_path / "bad")), "match_id", "problem") == [(2, "rating"), (3, "mode")]
-    assert failures == {"broken": 1}
-    # The sink is back: the same batch is replayed and nothing is written twice.
-    FB.ingest(FB.read_feedback(spark, str(tmp_path / "in")),
-              {"broken": FB.folder_sink(str(tmp_path / "back"), "parquet"), "table": FB.folder_sink(str(tmp_path / "out"), "parquet")},
-              FB.folder_sink(str(tmp_path / "bad"), "parquet"), str(tmp_path / "cp"), failures).awaitTermination(120)
-    assert rows(spark.read.parquet(str(tmp_path / "back")), "match_id") == [(1,), (4,)]
-    assert rows(spark.read.parquet(str(tmp_path / "out")), "match_id") == [(1,), (4,)]
     assert "account_id" not in spark.read.parquet(str(tmp_path / "out")).columns
+    assert all(fan.pending(n) is None for n in ("table", "lines", "quarantine"))
+
+
+def test_a_broken_sink_falls_behind_alone(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    feed(tmp_path / "in", 0, 3)
+    good, down = FB.folder_sink(str(tmp_path / "good"), "parquet"), Switched(FB.folder_sink(str(tmp_path / "back"), "parquet"), up=False)
+
+    def go():
+        query, fan = FB.ingest(spark, one_by_one(spark, str(tmp_path / "in")), {"good": good, "down": down},
+                               FB.folder_sink(str(tmp_path / "bad"), "parquet"), str(tmp_path / "work"))
+        assert query.awaitTermination(120) and query.exception() is None
+        return fan
+    fan = go()
+    assert ids(spark, tmp_path / "good") == [2, 4, 6] and ids(spark, tmp_path / "bad") == [1, 3, 5]
+    assert not (tmp_path / "back").exists()
+    assert set(down.offered) == {0} and fan.state("down").failures >= 2      # the circuit: later batches aren't offered
+    assert sorted(r.match_id for r in fan.pending("down").filter("problem is null").collect()) == [2, 4, 6]
+    assert [fan.state(n).upto for n in ("good", "down", "quarantine")] == [2, -1, 2]
+    # Back again, after a restart of the driver: it catches up in order, nobody gets anything twice.
+    down.up, down.offered = True, []
+    feed(tmp_path / "in", 3, 3)
+    fan = go()
+    assert down.offered == [0, 1, 2, 3, 4, 5]
+    assert ids(spark, tmp_path / "back") == ids(spark, tmp_path / "good") == [2, 4, 6, 8, 10, 12]
+    assert fan.pending("down") is None and fan._spooled() == [5]
+
+
+def test_refused_batches_become_dead_letters(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    picky = Switched(FB.folder_sink(str(tmp_path / "out"), "parquet"), refuses=[1])
+    feed(tmp_path / "in", 0, 6)
+    query, fan = FB.ingest(spark, one_by_one(spark, str(tmp_path / "in")), {"picky": picky}, FB.folder_sink(str(tmp_path / "bad"), "parquet"),
+                           str(tmp_path / "work"), most_attempts=2)
+    query.awaitTermination(120)
+    assert fan.state("picky").dead == [1] and ids(spark, tmp_path / "out") == [2, 6, 8, 10, 12]
+    assert fan.replay("picky") == 1 and 1 in fan._spooled()
+    picky.refuses.clear()
+    assert fan.replay("picky") == 0 and ids(spark, tmp_path / "out") == [2, 4, 6, 8, 10, 12]
+    assert fan._spooled() == [5]
+
+
+def test_a_slow_sink_holds_nobody_up(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    feed(tmp_path / "in", 0, 3)
+    gate, quick = threading.Event(), FB.folder_sink(str(tmp_path / "quick"), "parquet")
+
+    def slow(batch, epoch):
+        assert gate.wait(60)
+        FB.folder_sink(str(tmp_path / "slow"), "parquet")(batch, epoch)
+    query, fan = FB.ingest(spark, one_by_one(spark, str(tmp_path / "in")), {"quick": quick, "slow": slow}, FB.folder_sink(str(tmp_path / "bad"), "parquet"),
+                           str(tmp_path / "work"), patience=1.0)
+    assert query.awaitTermination(120)
+    assert fan.state("slow").upto == -1
+    gate.set()
+    assert fan.wait(60) and fan.replay("quick") == 0 and ids(spark, tmp_path / "slow") == ids(spark, tmp_path / "quick") == [2, 4, 6]
+
+
+def test_records_survive_broken_writes(spark, tmp_path):
+    from matchlens.streaming.store import Record, Store
+    store = Store(spark, str(tmp_path))
+    one = Record(store, "ledger/a")
+    assert one.get({"x": 0}) == {"x": 0}
+    for k in range(3):
+        one.put({"x": k})
+    store.write("ledger/a/9.json", "{")                                      # the driver died while it wrote
+    assert one.get({}) == {"x": 2}
+    one.put({"x": 3})
+    assert Record(store, "ledger/a").get({}) == {"x": 3} and store.names("ledger/a") == ["10.json"]
 
 
 def run(stream, name, mode="append"):
