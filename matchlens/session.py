@@ -15,6 +15,7 @@ def build(app: str = "matchlens", master: str | None = None, **conf: str) -> Spa
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         "spark.python.sql.dataFrameDebugging.enabled": "false",     # no call-site capture per expression
     }
     for key, value in {**defaults, **conf}.items():

@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from matchlens.params import DEPTHS, FOCUSES, MAX_COMMENT, MAX_PER_MINUTE, MODELS, ROLES
 from matchlens.schemas import FEEDBACK
@@ -72,46 +67,6 @@ def tally_stream(records: DataFrame, late: str = "10 minutes", every: str = "1 d
     return vote_tally(stamped, every)
 
 
-def anchored_cap(records: DataFrame, by: str, limit: int = MAX_PER_MINUTE, seconds: int = 60, idle: int = 3600) -> DataFrame:
-    """Streaming cap whose window starts at the first record after the previous window ended.
-
-    Within a batch a key's records are taken in order of time, whichever Arrow chunks bring them: a first pass keeps times
-    and places only, the second one yields the rows. A record older than the window it meets counts in that window. Records
-    without a readable time are not passed. State per key is the window's start and its count; it ends after ``idle``
-    seconds without a record.
-    """
-    schema = records.schema
-
-    def step(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        anchor, count = state.get if state.exists else (None, 0)
-        held = [chunk for chunk in chunks if len(chunk)]
-        times = [pd.to_datetime(chunk["created_at"], utc=True, errors="coerce", format="ISO8601") for chunk in held]
-        at = np.concatenate([t.to_numpy(dtype="datetime64[s]").astype("int64") for t in times]) if times else np.zeros(0, "int64")
-        known = np.concatenate([t.notna().to_numpy() for t in times]) if times else np.zeros(0, bool)
-        passed = np.zeros(len(at), bool)
-        order = np.flatnonzero(known)[np.argsort(at[known], kind="stable")]
-        done = 0
-        while done < len(order):
-            if anchor is None or at[order[done]] - anchor >= seconds:
-                anchor, count = int(at[order[done]]), 0
-            inside = int(np.searchsorted(at[order], anchor + seconds))  # records before the window's end
-            passed[order[done:inside][:max(0, limit - count)]] = True
-            count += inside - done
-            done = inside
-        if anchor is not None:
-            state.update((anchor, min(count, 2 ** 62)))
-            state.setTimeoutDuration(idle * 1000)
-        ends = np.cumsum([len(c) for c in held])
-        for chunk, end in zip(held, ends, strict=True):
-            yield chunk[passed[end - len(chunk):end]]
-
-    return records.groupBy(by).applyInPandasWithState(
-        step, schema, "anchor long, count long", "append", GroupStateTimeout.ProcessingTimeTimeout)
-
-
 def folder_sink(path: str, fmt: str) -> Sink:
     """One folder per batch, overwritten when the batch is replayed: no duplicates on retry."""
     def write(batch: DataFrame, epoch: int) -> None:

@@ -137,16 +137,6 @@ def run(stream, name, mode="append"):
     return query
 
 
-def test_anchored_cap(spark, tmp_path):
-    (tmp_path / "in").mkdir()
-    # anchors at 0, 65 and 130: an aligned minute would cut elsewhere
-    times = [0, 10, 50, 59, 65, 70, 119, 124, 130]
-    write(tmp_path / "in/a.json", *[record(n, stamp(t)) for n, t in enumerate(times)])
-    stream = FB.anchored_cap(FB.read_feedback(spark, str(tmp_path / "in")), "mode", limit=2)
-    run(stream, "capped")
-    assert rows(spark.table("capped"), "match_id") == [(0,), (1,), (4,), (5,), (8,)]
-
-
 def test_tally_emits_closed_periods(spark, tmp_path):
     (tmp_path / "in").mkdir()
     write(tmp_path / "in/a.json", record(1), record(2, rating=-1), record(3, followup=True), record(4, "2024-01-03T00:00:00+00:00"))
@@ -161,25 +151,6 @@ def test_tally_survives_bad_times(spark, tmp_path):
     assert rows(spark.table("tally_bad"), "votes", "balance") == [(1, 1)]
 
 
-def test_anchored_cap_orders_across_chunks(spark, tmp_path):
-    (tmp_path / "in").mkdir()
-    write(tmp_path / "in/a.json", *[record(n, stamp(n * 7 % 600)) for n in range(600)], record(1000, "odd"))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
-    try:
-        run(FB.anchored_cap(FB.read_feedback(spark, str(tmp_path / "in")), "mode", limit=3), "ordered")
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    times = sorted(n * 7 % 600 for n in range(600))
-    expected, anchor, count = [], None, 0
-    for t in times:
-        if anchor is None or t - anchor >= 60:
-            anchor, count = t, 0
-        count += 1
-        if count <= 3:
-            expected.append(t)
-    assert sorted(r.match_id * 7 % 600 for r in spark.table("ordered").collect()) == expected
-
-
 def test_landing_quarantines_broken_documents(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.json").write_text(json.dumps(match(1)) + "\n{broken\n" + json.dumps({"duration": 5}))
