@@ -19,6 +19,7 @@ from matchlens.llm.common import free_names, word_count, written
 
 BUCKET = 4096
 FAN_IN = 64
+RESERVE = 4                  # times the mass of an open document that smaller ones can take or give: then it may meet the next one
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, most: int = 3) -> DataFrame:
@@ -61,18 +62,44 @@ def _transfer(part: np.ndarray, size: np.ndarray, a: int, b: int, draw: float) -
     part[a], part[b] = min(1.0, max(0.0, new_a)), min(1.0, max(0.0, new_b))
 
 
+def _shares(part: np.ndarray, size: np.ndarray, a: int, reserve: np.ndarray) -> np.ndarray:
+    """What share of a's mass each document of the reserve can take or give, whichever way it goes."""
+    up, down = (1 - part[a]) * size[a], part[a] * size[a]
+    return np.minimum(part[reserve] * size[reserve] / up, (1 - part[reserve]) * size[reserve] / down)
+
+
 def _settle(part: np.ndarray, size: np.ndarray, a: int, reserve: np.ndarray, draw: float) -> None:
     """Settles a against the reserve at once: its mass moves from or to documents of the reserve, each by the same share of it either way."""
     up, down = (1 - part[a]) * size[a], part[a] * size[a]
-    share = np.minimum(part[reserve] * size[reserve] / up, (1 - part[reserve]) * size[reserve] / down)
-    last = int(np.searchsorted(np.cumsum(share), 1.0)) + 1       # no more of them than needed
-    reserve, share = reserve[:last], share[:last] / share[:last].sum()
+    share = _shares(part, size, a, reserve)
+    share = share / share.sum()
     to_a = draw * (up + down) < down
     moved = -up if to_a else down
     part[a] = 1.0 if to_a else 0.0
     part[reserve] = np.clip(part[reserve] + moved * share / size[reserve], 0.0, 1.0)
 
 
+def _too_large(part: np.ndarray, size: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """Of the fractions of a whole source, by descending size: settles documents larger than all mass there is to take or to leave out.
+
+    Nothing near the target is left if such a document is drawn; its mass goes to the smaller ones, by what they can take or give.
+    """
+    while len(rest) > 1:
+        taken, left = part[rest] * size[rest], (1 - part[rest]) * size[rest]
+        if size[rest[0]] > taken.sum():
+            part[rest[1:]] += taken[0] * left[1:] / left[1:].sum() / size[rest[1:]] if taken[0] <= left[1:].sum() else 0
+            part[rest[0]] = 0.0
+        elif size[rest[0]] > left.sum():
+            part[rest[1:]] -= left[0] * taken[1:] / taken[1:].sum() / size[rest[1:]] if left[0] <= taken[1:].sum() else 0
+            part[rest[0]] = 1.0
+        else:
+            break
+        np.clip(part, 0.0, 1.0, out=part)
+        rest = rest[1:]
+        rest = rest[(part[rest] > 0) & (part[rest] < 1)]
+    return rest
+
+
 def _round_group(frame: pd.DataFrame, level: int, seed: int) -> pd.DataFrame:
     """Settles all fractions of a group but one at most, which stays a fraction.
 
@@ -85,20 +112,20 @@ def _round_group(frame: pd.DataFrame, level: int, seed: int) -> pd.DataFrame:
     random = np.random.default_rng([seed, level, zlib.crc32(name), int(frame["bucket"].iloc[0])])
     part, size = frame["part"].to_numpy(dtype=float, copy=True), frame["size"].to_numpy(dtype=float)
     rest = np.flatnonzero((part > 0) & (part < 1))
+    if frame["alone"].iloc[0]:
+        rest = _too_large(part, size, rest)
     while len(rest) > 1:
-        # What the documents from each place on can take or give at least.
-        room = np.cumsum((size[rest] * np.minimum(part[rest], 1 - part[rest]))[::-1])[::-1]
         draws = random.random(len(rest))
         open_at, at = rest[0], 1
-        while at < len(rest):
-            if room[at] >= size[open_at] and (at + 1 == len(rest) or room[at + 1] < max(size[open_at], size[rest[at]])):
-                _settle(part, size, open_at, rest[at:][::-1], draws[at])
+        while at < len(rest) and open_at >= 0:
+            behind = rest[at + 1:]
+            enough = all(_shares(part, size, a, behind).sum() >= RESERVE for a in (open_at, rest[at]))
+            if not enough and _shares(part, size, open_at, rest[at:]).sum() >= 1:
+                _settle(part, size, open_at, rest[at:], draws[at])
                 break
             _transfer(part, size, open_at, rest[at], draws[at])
             open_at = next((i for i in (open_at, rest[at]) if 0 < part[i] < 1), -1)
             at += 1
-            if open_at < 0:
-                break
         # Settled by the smaller ones, or nothing open: they go on. Else the open one is the last.
         rest = rest[at:]
         rest = rest[(part[rest] > 0) & (part[rest] < 1)]
@@ -106,7 +133,7 @@ def _round_group(frame: pd.DataFrame, level: int, seed: int) -> pd.DataFrame:
     return frame
 
 
-_ROWS = "doc_id long, source string, size long, n long, whole long, part double, bucket long"
+_ROWS = "doc_id long, source string, size long, n long, whole long, part double, bucket long, alone boolean"
 
 
 def _round_level(rows: DataFrame, level: int, seed: int) -> DataFrame:
@@ -125,7 +152,7 @@ def copies(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float
         (F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0) * F.col("n")).alias("wanted"))
     buckets = F.ceil(F.col("n_docs") / BUCKET)
     rows = rows.select("doc_id", "source", "size", "n", F.floor("wanted").alias("whole"), F.when(F.col("size") > 0, F.col("wanted") - F.floor("wanted")).otherwise(0.0).alias("part"),
-                       F.pmod(F.xxhash64("doc_id", "size"), buckets).alias("bucket"))
+                       F.pmod(F.xxhash64("doc_id", "size"), buckets).alias("bucket"), (buckets == 1).alias("alone"))
     widest = aims.agg(F.max("n_docs")).first()[0] or 0
     levels, left = [], -(-widest // BUCKET)
     fraction = (F.col("part") > 0) & (F.col("part") < 1) & (F.col("size") > 0)

@@ -1,13 +1,13 @@
 """Approximate nearest neighbours by a permutation index.
 
 Every vector is represented by its nearest pivots in order. A block of vectors keeps an inverted file: for each pivot, who has it near and at
-which place. A query reads the lists of its own nearest pivots, ranks by the footrule distance of the two orders, and the best
-candidates are compared exactly. All vectors are indexed; pivots are a bounded sample.
+which place. A query reads the lists of its own nearest pivots, ranks by the footrule distance of the two orders (weighed by the vectors'
+lengths, where these differ), and the best candidates are compared exactly. All vectors are indexed; pivots are a bounded sample.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -69,6 +69,20 @@ def footrule_gain(near: np.ndarray, lists: tuple[np.ndarray, np.ndarray, np.ndar
     return np.bincount(np.concatenate([who[s] for s in spans]), weights=gains, minlength=n)
 
 
+CALIBRATED = 16              # queries of a group, and their pairs with SAMPLE vectors of a block, that tell which cosine a gain stands for
+SAMPLE = 256
+SPREAD = 1.0                 # deviations: a long vector of uncertain direction is worth a look
+
+
+def cosine_of(gains: np.ndarray, cosines: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray]:
+    """Gains and the cosines that pairs with them may well have, ascending: a deviation above the means of bins, up to 1 for equal orders."""
+    order = np.argsort(gains, kind="stable")
+    bins = np.array_split(order, min(16, len(order)))
+    x = np.array([gains[b].mean() for b in bins])
+    y = np.maximum.accumulate(np.array([cosines[b].mean() + SPREAD * cosines[b].std() for b in bins]))
+    return np.append(x, max(most, x[-1] + 1)), np.append(y, 1.0)
+
+
 _BLOCK = "block int, n int, vectors binary, member_ends binary, members binary, starts binary, who binary, place binary"
 _FOUND = "query_id long, vec_id long, score double"
 
@@ -130,6 +144,26 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = 20) -> DataFrame:
         "query_id", "rank", "vec_id", "score")
 
 
+def _expected(matrix: np.ndarray, asked: np.ndarray, near_asked: np.ndarray, lists: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Callable[[np.ndarray], np.ndarray]:
+    """From a query's pivots to the inner product (over the query's length) that footrule distance and length make likely for each vector.
+
+    Orders of pivots tell directions; a vector's length is known. Of equal lengths the nearest by footrule distance come first.
+    """
+    n, k = len(matrix), near_asked.shape[1]
+    lengths = np.linalg.norm(matrix, axis=1)
+    some = np.arange(0, n, max(1, n // SAMPLE))
+    few = range(min(CALIBRATED, len(asked)))
+    gains = np.concatenate([footrule_gain(near_asked[q], lists, n)[some] for q in few])
+    cosines = np.concatenate([matrix[some] @ asked[q] / (lengths[some] * np.linalg.norm(asked[q])) for q in few])
+    x, y = cosine_of(gains, cosines, k * (k + 1) / 2)
+
+    def worth(near: np.ndarray) -> np.ndarray:
+        gain = footrule_gain(near, lists, n)
+        # A little of the gain itself keeps the order where the bins' means don't rise.
+        return lengths * (np.interp(gain, x, y) + gain * (1e-6 / x[-1]))
+    return worth
+
+
 def _search_block(row: dict, pivots: np.ndarray, dims: int, most: int, top: int) -> pa.RecordBatch:
     """The nearest of one block to each query of a group."""
     n = row["n"]
@@ -139,9 +173,10 @@ def _search_block(row: dict, pivots: np.ndarray, dims: int, most: int, top: int)
     lists = tuple(np.frombuffer(row[c], t) for c, t in (("starts", np.int64), ("who", np.int32), ("place", np.int16)))
     ids, asked = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["asked"]).reshape(-1, dims)
     out_q, out_v, out_s = [], [], []
-    for query_id, vector, near in zip(ids, asked, near_pivots(asked, pivots), strict=True):
-        gain = footrule_gain(near, lists, n)
-        best = np.argpartition(-gain, most - 1)[:most] if most < n else np.arange(n)
+    near_asked = near_pivots(asked, pivots)
+    worth = _expected(matrix, asked, near_asked, lists) if most < n else None
+    for query_id, vector, near in zip(ids, asked, near_asked, strict=True):
+        best = np.argpartition(-worth(near), most - 1)[:most] if most < n else np.arange(n)
         score = matrix[best] @ vector
         # A class more than `top`: the query's own may have no other member.
         keep = np.argsort(-score, kind="stable")[:top + 1]

@@ -1,13 +1,15 @@
 """Ids of whole texts by a public tokenizer, tokenized word by word.
 
 The vocabulary drops white space and no token crosses it, so a text's ids are those of its words in turn. Words repeat:
-each Python worker tokenizes a word once and looks it up from then on, in a table of bounded size.
+a task tokenizes a word once and looks it up from then on, in a table of bounded size. Only the most frequent words stay for the worker's next task.
 """
 
 from __future__ import annotations
 
 import os
+import unicodedata
 from itertools import chain
+from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +26,36 @@ class WordIds:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(tokenizer if os.path.sep in tokenizer else public_tokenizers.path(tokenizer))
         self.most = most
+        self._learn_rules()
         self.clear()
 
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _learn_rules(self) -> None:
+        """What the tokenizer does with spaces, capitals and closing marks: which words need not be tokenized on their own."""
+        if self._ids("word\nanother  word") != self._ids("word") + self._ids("another") + self._ids("word"):
+            raise ValueError("the tokenizer doesn't go word by word")
+        # Every capital between letters, and at either end of a word.
+        self.folds = all(self._ids(f"{a}b{a}{a}x{a}") == self._ids(f"{b}b{b}{b}x{b}") for a, b in zip(ascii_uppercase, ascii_lowercase, strict=True))
+        apart = [",", "."]
+        self.marks = tuple(m for m in apart if all(self._ids(f"a{x}{m}") == self._ids(f"a{x}") + self._ids(m) for x in ascii_lowercase))
+
+    def _core(self, word: str) -> str:
+        """The word without a closing mark, if the tokenizer sets that apart: behind a letter that stays one when it is normalized."""
+        if word[-1:] not in self.marks or not word[:-1].isalpha():
+            return word
+        core = word[:-1]
+        return core if core.isascii() or unicodedata.normalize("NFC", core).lower().isalpha() else word
+
+    def rest(self, most: int = 60_000, often: int = 8) -> None:
+        """Between two tasks only words stay that were met often."""
+        if len(self.words) > most:
+            self._forget(often)
+            if len(self.words) > most:
+                self.clear()
+        self.seen[:len(self.words)] = 0
+
     def clear(self) -> None:
         self.ids = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 16, np.int64)
@@ -33,9 +63,9 @@ class WordIds:
         self.seen = np.zeros(1 << 16, np.int32)
         self.words, self.used = _Numbered(), 0
 
-    def _forget(self) -> None:
-        """Keeps the words that were met more than once."""
-        kept = np.flatnonzero(self.seen[:len(self.words)] > 1)
+    def _forget(self, often: int = 2) -> None:
+        """Keeps the words that were met so often."""
+        kept = np.flatnonzero(self.seen[:len(self.words)] >= often)
         words = list(self.words)
         starts, lengths, ids = self.starts[kept], self.lengths[kept], self.ids
         self.clear()
@@ -56,12 +86,12 @@ class WordIds:
         if not new:
             return
         first, count = len(self.words) - len(new), len(new)
-        # A letter word with a closing comma or full stop is the word's ids and the mark's; capitals A-Z don't matter.
-        cores = [w[:-1] if w[-1:] in (",", ".") and w[:-1].isalpha() else w for w in new]
-        plain = [c.lower() if c.isascii() and c.isalpha() else c for c in cores]
+        # A word with a closing mark is the word's ids and the mark's; capitals A-Z may not matter.
+        cores = [self._core(w) for w in new]
+        plain = [c.lower() if self.folds and c.isascii() and c.isalpha() else c for c in cores]
         number = self.words.get
         at = [number(c, first) for c in plain]
-        fresh = list(dict.fromkeys([c for c, n in zip(plain, at, strict=True) if n >= first] + [",", "."]))
+        fresh = list(dict.fromkeys([c for c, n in zip(plain, at, strict=True) if n >= first] + list(self.marks)))
         known = dict(zip(fresh, (e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)), strict=True))
         starts, lengths, table = self.starts, self.lengths, self.ids
         ids = [known[c] if n >= first else table[starts[n]:starts[n] + lengths[n]].tolist() for c, n in zip(plain, at, strict=True)]

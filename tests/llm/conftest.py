@@ -38,3 +38,14 @@ def documents(spark, sample_texts):
 @pytest.fixture(scope="session")
 def no_documents(spark):
     return spark.createDataFrame([], DOCS)
+
+
+CLASHING = "n long, total long, size long, _size long, k int, _k int, doc int, _doc int, source_ int, _source int, name int, hash int, _hash int, drops int, _drops int, gone int, _gone int, set_ int, n_lines int, n_dropped int, of int, copy int, line int"
+
+
+@pytest.fixture(scope="session")
+def clashing(spark, sample_texts):
+    """Documents whose other columns have the names that operators would like to use."""
+    names = [c.split()[0] for c in CLASHING.split(", ")]
+    rows = [(k, t, "a" if k % 3 else "b", *(100 * k + j for j in range(len(names)))) for k, t in enumerate(sample_texts)]
+    return spark.createDataFrame(rows, f"doc_id long, text string, source string, {CLASHING}")

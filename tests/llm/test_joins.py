@@ -200,3 +200,17 @@ def test_short_lines_recur(spark):
     texts = [f"Log in\nown {x} text\n{k}\nRead more\n\n12 {k}" for k, x in enumerate("abcdef")] + ["Rare\nown g text", "Rare\nown h text", "Rare\nown i text", "Rare\nown j text"]
     found = whole_lines(spark, texts)
     assert [found[k] for k in range(10)] == [0] + [2] * 5 + [0] * 4
+
+
+def test_columns_of_any_name_come_through(clashing):
+    """Rows keep all their columns; where the operator adds columns of that name, its own take their place."""
+    from matchlens.llm import mixing
+    before = {r.doc_id: r.asDict() for r in clashing.collect()}
+    for out in (linededup.deduped(clashing, counts=False), partenum.without_near_copies(clashing, 3, 90), mixing.mixed(clashing)):
+        assert out.columns == clashing.columns
+        got = out.collect()
+        assert got
+        for r in got:
+            assert {k: v for k, v in r.asDict().items() if k != "text"} == {k: v for k, v in before[r.doc_id].items() if k != "text"}
+    counted = linededup.deduped(clashing)
+    assert sorted(counted.columns) == sorted(clashing.columns) and {r.doc_id: r.n_lines for r in counted.collect()}[5] == before[5]["text"].count("\n") + 1

@@ -3,9 +3,11 @@
 import base64
 import hashlib
 import re
+import unicodedata
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -31,6 +33,27 @@ def test_word_by_word_equals_whole_texts():
                 assert ids[a:b].tolist() == ids_of(text, 7).tolist()
 
 
+@pytest.mark.parametrize("mark", [",", "."])
+def test_every_letter_before_a_closing_mark(mark):
+    points = [chr(c) for c in range(0x20000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c))[0] in "LM"]
+    texts = [f"a{c}{mark} {c}{mark}" for c in points]
+    ids, bounds = WordIds("word_bpe_49k.json").encode(pa.array(texts), 7)
+    expected = TOKENIZER.encode_batch(texts, add_special_tokens=False)
+    assert all(ids[a:b - 1].tolist() == e.ids for a, b, e in zip(bounds, bounds[1:], expected, strict=False))
+
+
+def test_rules_are_those_of_the_tokenizer():
+    with pytest.raises(ValueError):
+        WordIds("byte_bpe_50k.json")
+    table = WordIds("word_bpe_49k.json")
+    texts = pa.array(["Often often OFTEN, " * 20 + "once", "पहाड़, İ."])
+    for _ in range(3):
+        ids, bounds = table.encode(texts, 7)
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)] == [ids_of(t.as_py(), 7).tolist() for t in texts]
+        table.rest(most=2)
+        assert len(table.words) <= 4
+
+
 @pytest.mark.parametrize("ids", [
     [], [0], [1], [49407], [2 ** 32 - 1] * 3, [2 ** 59, 1, 2 ** 60, 2 ** 63, 0], list(range(3000)), [1] * 5000, [0] * 59 + [2 ** 40] + [3] * 70])
 def test_simple8b_round_trip(ids):
@@ -139,6 +162,26 @@ def test_mix(documents, no_documents, monkeypatch):
     assert mixing.mix(no_documents).collect() == []
 
 
+def test_sources_come_within_a_median_document(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = mixing.mix(docs).toPandas()
+    for _, own in found.groupby("source", dropna=False):
+        assert abs(own["taken"].sum() - own["target"].iloc[0]) <= own["size"].median()
+
+
+def test_a_large_document_is_settled_by_small_ones():
+    size = np.concatenate([[5000], np.full(400, 50)])
+    taken = []
+    for bucket in range(300):
+        frame = pd.DataFrame({"doc_id": range(401), "source": "a", "size": size, "n": 1, "whole": 0, "part": 0.3, "bucket": bucket, "alone": True})
+        out = mixing._round_group(frame, 0, 1)
+        still = out[(out["part"] > 0) & (out["part"] < 1)]
+        assert len(still) <= 1 and (still["size"] == 50).all()
+        assert (out["part"] * out["size"]).sum() == pytest.approx(0.3 * size.sum())
+        taken.append(out.loc[out["size"] == 5000, "part"].iloc[0])
+    assert set(taken) == {0.0, 1.0} and np.mean(taken) == pytest.approx(0.3, abs=0.08)      # its expectation is kept
+
+
 def test_mixed_rows(documents, no_documents):
     counts = {}
     for r in mixing.mix(documents).collect():
@@ -226,6 +269,27 @@ def test_recall_and_order(spark):
     assert hits / (20 * len(queries)) >= 0.9
 
 
+@pytest.mark.parametrize(("n", "spread"), [(20_000, 1.0), (200_000, 0.0), (200_000, 1.0)])
+def test_recall_at_size_and_with_unequal_lengths(n, spread):
+    """The blocks of a larger table, searched as the tasks do, against all inner products."""
+    random = np.random.default_rng(n)
+    matrix = random.standard_normal((n, 32)).astype(np.float32).astype(float)
+    matrix *= random.lognormal(0, spread, n)[:, None] / np.linalg.norm(matrix, axis=1, keepdims=True)
+    pivots = matrix[random.choice(n, permutation._pivots(n), replace=False)]
+    pivots = pivots / np.linalg.norm(pivots, axis=1, keepdims=True)
+    asked = matrix[random.choice(n, 20, replace=False)]
+    near, blocks = permutation.near_pivots(asked, pivots), -(-n // permutation.BLOCK)
+    most, found = -(-permutation._candidates(n) // blocks), [[] for _ in asked]
+    for b in range(blocks):
+        rows = np.arange(b, n, blocks)
+        lists = permutation.inverted(permutation.near_pivots(matrix[rows], pivots), len(pivots))
+        worth = permutation._expected(matrix[rows], asked, near, lists)
+        for q, own in enumerate(near):
+            found[q].append(rows[np.argpartition(-worth(own), most - 1)[:most]])
+    hits = [np.isin(np.argsort(-(matrix @ q))[:20], np.concatenate(f)).sum() for q, f in zip(asked, found, strict=True)]
+    assert sum(hits) / (20 * len(asked)) >= 0.9
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(k, [1.0, 0.5]) for k in range(60)] + [(100, [0.0, 0.0]), (101, None), (102, [1.0, None]), (103, [nan, 1.0]), (104, [inf, 1.0]), (105, [1.0]), (106, [2.0, 1.0]),
