@@ -340,6 +340,7 @@ QUERIES["scan_events"] = "SELECT event_id, user_id, event_type, cents, k FROM ev
 QUERIES["latest_version_per_key"] = """
 SELECT o_custkey, o_orderkey, o_orderstatus FROM orders QUALIFY row_number() OVER (
   PARTITION BY o_custkey ORDER BY o_orderstatus = 'F' DESC, o_orderdate DESC, o_orderkey DESC) = 1"""
+QUERIES["upserted_versions"] = QUERIES["latest_version_per_key"]
 QUERIES["recent_n_per_account"] = """
 SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rec_no
 FROM orders QUALIFY rec_no <= 5"""
@@ -740,6 +741,9 @@ SELECT event_id, CAST(rating AS BIGINT) AS rating, mode, CASE WHEN k % 4 > 0 THE
 QUERIES["cap_per_window"] = """
 SELECT event_id, mode FROM feedback
 QUALIFY row_number() OVER (PARTITION BY mode, CAST(ts AS DATE) ORDER BY ts, event_id) <= 60"""
+QUERIES["fan_out_sinks"] = f"""
+SELECT CASE WHEN problem IS NULL THEN sink ELSE 'quarantine' END AS sink, event_id, mode
+FROM ({QUERIES["validate_feedback"]}) AS checked, (VALUES ('late'), ('steady')) AS s(sink) WHERE problem IS NULL OR sink = 'late'"""
 QUERIES["anchored_cap"] = """
 SELECT event_id, f.mode FROM feedback f ASOF JOIN (
   WITH RECURSIVE starts AS (SELECT mode, min(ts) AS anchor FROM feedback GROUP BY mode

@@ -18,8 +18,11 @@ from matchlens.plans.role_impact import role_inputs
 from matchlens.plans.share import keep
 from matchlens.sources.bind import LIMITS, Bound
 from matchlens.sources import sinks
+from matchlens.session import new_folder
 from matchlens.sources.landing import latest_version
+from matchlens.sources.versioned import VersionedTable
 from matchlens.streaming import feedback as FB
+from matchlens.streaming.fanout import FanOut
 
 KEY = ["match_id", "idx"]
 LOG = ["ts", "event_id"]
@@ -81,6 +84,16 @@ def latest_version_per_key(b: Bound) -> DataFrame:
                           [F.col("o_orderdate"), F.col("o_orderkey")]).drop("o_orderdate")
 
 
+@query
+def upserted_versions(b: Bound) -> DataFrame:
+    """The same by upserts of three batches into a versioned table."""
+    orders = b.table("orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_orderdate")
+    table = VersionedTable(b.spark, new_folder(b.spark, "orders"), "o_custkey", lambda: F.col("o_orderstatus") == "F", ["o_orderdate", "o_orderkey"], buckets=16)
+    for epoch in range(3):
+        table.upsert(orders.where(F.pmod(F.xxhash64("o_orderkey"), F.lit(3)) == epoch), epoch)
+    return table.read().drop("o_orderdate")
+
+
 @query
 def recent_n_per_account(b: Bound) -> DataFrame:
     orders = b.table("orders").select("o_custkey", "o_orderkey", "o_orderdate")
@@ -746,6 +759,30 @@ def anchored_cap(b: Bound) -> DataFrame:
     return A.anchored_cap(feedback(b), "mode", "ts", ("event_id",), limit=FB.MAX_PER_MINUTE, seconds=86400).select("event_id", "mode")
 
 
+@query
+def fan_out_sinks(b: Bound) -> DataFrame:
+    """What two sinks and the quarantine got of four batches; one sink was down at first and caught up."""
+    checked = FB.validate_feedback(feedback(b)).select("event_id", "mode", "problem", "ts")
+    where, tries = new_folder(b.spark, "fanout"), []
+
+    def sink(name: str, good: bool, down: int = 0):
+        def write(batch: DataFrame, epoch: int) -> None:
+            if down:
+                tries.append(epoch)
+                if len(tries) <= down:
+                    raise OSError(f"{name} is down")
+            rows = batch.where(F.col("problem").isNull() if good else F.col("problem").isNotNull()).select(F.lit(name).alias("sink"), "event_id", "mode")
+            FB.folder_sink(f"{where}/out/{name}", "parquet")(rows, epoch)
+        return write
+    names = ["late", "quarantine", "steady"]
+    fan = FanOut(b.spark, {"late": sink("late", True, 2), "quarantine": sink("quarantine", False), "steady": sink("steady", True)}, where)
+    for epoch in range(4):
+        fan(checked.where(F.pmod(F.unix_date(F.to_date("ts")), F.lit(4)) == epoch).drop("ts"), epoch)
+    if not fan.wait(600) or any(fan.replay(name) for name in names):
+        raise RuntimeError("a sink did not catch up")
+    return T.union([b.spark.read.parquet(f"{where}/out/{name}").drop("batch") for name in names])
+
+
 @query
 def vote_tally(b: Bound) -> DataFrame:
     day = F.date_diff(F.to_date("start"), F.lit("2024-01-01").cast("date"))

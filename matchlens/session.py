@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -21,3 +25,14 @@ def build(app: str = "matchlens", master: str | None = None, **conf: str) -> Spa
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that driver and executors share; one of this machine in local mode, where none is set."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="matchlens-")
+        spark.sparkContext.setCheckpointDir(shared)
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -28,7 +28,7 @@ _PLACE = ["file", "row"]
 class VersionedTable:
     """Rows with a key, of which one counts: a final one beats any other, then the newest by recency (ties: the last place).
 
-    One writer at a time. Rows without a key are the caller's to keep out. keep_seconds: how long replaced files stay for readers under way.
+    One writer at a time. Rows without a key are the caller's to keep out; bucket and turn are the table's own names. keep_seconds: how long replaced files stay for readers under way.
     """
 
     def __init__(self, spark: SparkSession, path: str, key: str, final: Callable[[], Column], recency: list[str], buckets: int = 64, keep_seconds: float = 3600.0):
@@ -104,7 +104,7 @@ class VersionedTable:
         chosen = sorted(buckets if buckets is not None else now["buckets"])
         if not chosen:
             return
-        rows = self._live_rows({b: now["buckets"][b] for b in chosen}, now).drop("bucket")
+        rows = self._live_rows({b: now["buckets"][b] for b in chosen}, now)
         turn = now["turn"] = now["turn"] + 1
         bucket = F.pmod(F.xxhash64(self._key), F.lit(self._buckets)).cast("int")
         rows.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self._path}/data/turn={turn}")
@@ -138,12 +138,12 @@ class VersionedTable:
     def _live_rows(self, buckets: dict[str, dict], now: dict) -> DataFrame:
         rows = self._scan({b: x["batches"] for b, x in buckets.items()}, now)
         dead = [f"{self._path}/dead/turn={t}/bucket={b}" for b, x in sorted(buckets.items()) for t in x["dead"]]
+        columns = [c for c in rows.columns if c not in ("bucket", "turn")]
         if not dead:
-            return rows
+            return rows.select(*columns)
         places = self._spark.read.option("basePath", f"{self._path}/dead").parquet(*dead).select(F.col("file").alias("_file"), F.col("row").alias("_row"))
         if sum(x["dead_rows"] for x in buckets.values()) <= BROADCAST_DEAD:
             places = F.broadcast(places)
-        columns = rows.columns
         placed = rows.select("*", F.col("_metadata.file_path").alias("_at"), F.col("_metadata.row_index").alias("_nth"))
         return placed.join(places, (F.col("_at") == F.col("_file")) & (F.col("_nth") == F.col("_row")), "left_anti").select(*columns)
 
@@ -152,4 +152,4 @@ class VersionedTable:
         now = self.manifest()
         if not now["buckets"]:
             raise ValueError(f"{self._path} has no rows yet")
-        return self._live_rows(now["buckets"], now).drop("bucket")
+        return self._live_rows(now["buckets"], now)

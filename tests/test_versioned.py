@@ -22,6 +22,7 @@ def batch(spark, rows):
 
 
 def found(t):
+    assert t.read().columns == ["id", "parsed", "at", "players"]
     return sorted((r.id, r.parsed, r.at, r.players[0].gold) for r in t.read().collect())
 
 
