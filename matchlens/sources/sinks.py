@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from matchlens.sources.document_files import write_files
+
 
 def match_filename(match_id: Column, idx: Column, request_id: Column) -> Column:
     """One name per document: a match may have many focal players, and a player many requests."""
@@ -22,8 +24,8 @@ def write_documents(documents: DataFrame, path: str) -> None:
 
 
 def write_text_files(documents: DataFrame, path: str) -> None:
-    """One text file per document under filename=<name>/; for small selections."""
-    (documents.select("document", "filename").write.mode("overwrite").partitionBy("filename").text(path))
+    """One text file per document, of its own name."""
+    write_files(documents, path)
 
 
 def json_line(*columns: str) -> Column:
