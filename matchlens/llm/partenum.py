@@ -245,7 +245,7 @@ def sketches(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Data
             found.where("kind = 1").select("signature", "set").distinct())
 
 
-def _possible(percent: int, a: str, b: str) -> Column:
+def possible(percent: int, a: str, b: str) -> Column:
     """Sizes and parities allow the similarity: a pair that fails can't be similar."""
     n_a, n_b = F.col(f"{a}.n"), F.col(f"{b}.n")
     apart = F.bit_count(F.col(f"{a}.f0").bitwiseXOR(F.col(f"{b}.f0"))).cast("long")
@@ -317,10 +317,10 @@ def links(docs: DataFrame, documents: DataFrame, members: DataFrame, width: int,
     wide = written(wide.drop("m"), "members")
     # Only sets with a possible partner go on; first in the own block, then, in groups of several blocks, in the others.
     same = (F.col("a.signature") == F.col("b.signature")) & (F.col("a.block") == F.col("b.block")) & (F.col("a.set") != F.col("b.set"))
-    hopeful = written(wide.alias("a").join(wide.alias("b"), same & _possible(percent, "a", "b"), "left_semi").select("set").distinct(), "hopeful")
+    hopeful = written(wide.alias("a").join(wide.alias("b"), same & possible(percent, "a", "b"), "left_semi").select("set").distinct(), "hopeful")
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     rest = wide.where("blocks > 1").join(hopeful, "set", "left_anti").withColumn("block", every)
-    more = rest.alias("a").join(wide.where("blocks > 1").alias("b"), same & _possible(percent, "a", "b"), "left_semi").select("set").distinct()
+    more = rest.alias("a").join(wide.where("blocks > 1").alias("b"), same & possible(percent, "a", "b"), "left_semi").select("set").distinct()
     hopeful = written(hopeful.union(more), "hopeful")
     wide = written(wide.join(hopeful, "set", "left_semi"), "hopeful-members")
     sets = sets_of(docs, distinct.join(hopeful, "set", "left_semi").select("doc_id"), width)
@@ -331,7 +331,7 @@ def links(docs: DataFrame, documents: DataFrame, members: DataFrame, width: int,
     own = distinct.drop("doc_id").join(hopeful, "set", "left_semi")
     for side in ("a", "b"):
         near = near.join(own.select(F.col("set").alias(side), F.struct(*columns).alias(f"of_{side}")), side)
-    first = written(verified(near.where(_possible(percent, "of_a", "of_b")).select("a", "b"), sets, percent), "links")
+    first = written(verified(near.where(possible(percent, "of_a", "of_b")).select("a", "b"), sets, percent), "links")
     # Members whose component isn't that of the hub, against those of all other components.
     labels = components(first)
     marked = wide.join(labels.withColumnRenamed("node", "set"), "set", "left").withColumn("label", F.coalesce("label", "set"))
@@ -339,7 +339,7 @@ def links(docs: DataFrame, documents: DataFrame, members: DataFrame, width: int,
     main = marked.groupBy("signature").agg(F.min(F.struct("set", "label")).alias("hub")).select("signature", F.col("hub.label").alias("main"))
     others = salted_join(marked, main, ["signature"], ["set"]).where("label <> main").withColumn("block", every)
     left = others.alias("a").join(marked.alias("b"), (F.col("a.signature") == F.col("b.signature")) & (F.col("a.block") == F.col("b.block"))
-                                  & (F.col("a.label") != F.col("b.label")) & _possible(percent, "a", "b"))
+                                  & (F.col("a.label") != F.col("b.label")) & possible(percent, "a", "b"))
     pairs = left.select(F.least("a.set", "b.set").alias("a"), F.greatest("a.set", "b.set").alias("b")).distinct()
     return first.union(written(verified(pairs, sets, percent), "links"))
 
