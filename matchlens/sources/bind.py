@@ -19,7 +19,8 @@ from matchlens.operators import carry, players as P
 from matchlens.plans.share import keep
 from matchlens.sources.landing import values
 
-CHUNK_SECONDS = 300       # order-preserving slice of one event log
+CROWD = 200_000           # rows of a player's log, about, that one task orders; longer logs are cut by time
+MOST_CROWDED = 10_000     # logs that are cut: the table of their chunks goes to every task
 
 # The same rules on the scale of cents, days and seconds-in-a-month.
 LIMITS = replace(DEFAULTS, cluster_span=172800, kp_high=50, collapse_loss=100000,
@@ -189,11 +190,18 @@ class Bound:
 
     # --- logs ---------------------------------------------------------------------
 
+    @cached_property
+    def crowded(self) -> DataFrame:
+        """Players whose log is cut, with its start and the width of a chunk. Beyond MOST_CROWDED of them, the others have less than a MOST_CROWDEDth of all rows each."""
+        logs = self.ev.groupBy("match_id", "idx").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("_from"), F.max("t").alias("_to"))
+        top = logs.where(F.col("n") > CROWD).orderBy(F.desc("n"), "match_id", "idx").limit(MOST_CROWDED)
+        return keep(top.select("match_id", "idx", "_from", F.greatest(F.floor((F.col("_to") - F.col("_from") + 1) * CROWD / F.col("n")), F.lit(1)).alias("_width")))
+
     @cached_property
     def purchases(self) -> DataFrame:
-        return self.ev.select("match_id", "idx", "is_radiant", "ts", "event_id", "t",
-                              F.col("event_type").alias("key"),
-                              F.floor(F.col("t") / CHUNK_SECONDS).alias("chunk"))
+        cut = F.coalesce(F.floor((F.col("t") - F.col("_from")) / F.col("_width")), F.lit(0))
+        rows = self.ev.join(F.broadcast(self.crowded), ["match_id", "idx"], "left")
+        return rows.select("match_id", "idx", "is_radiant", "ts", "event_id", "t", F.col("event_type").alias("key"), cut.cast("bigint").alias("chunk"))
 
     @cached_property
     def kills(self) -> DataFrame:
