@@ -1,6 +1,6 @@
 """Documents about accounts over their sampled matches.
 
-``wanted`` is a table (account_id, n, role, model[, request_id]); several requests may name one account, each gets its own
+``wanted`` is a table (account_id, n, role, model[, request_id, note, mmr]); several requests may name one account, each gets its own
 document. The sample is taken first; detectors and
 series then run on the sampled matches only.
 """
@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from matchlens.functions import text as X
 from matchlens.operators import career as C, documents as T, players as P, series as S
-from matchlens.params import DEFAULTS, WRAPPERS, Thresholds
+from matchlens.params import DEFAULTS, PROFILE_RULES, WRAPPERS, Thresholds
 from matchlens.plans.deviations import anomaly_topk
+from matchlens.plans.match_facts import note_lines, rule_lines
 from matchlens.plans.share import keep
 from matchlens.sources.sinks import profile_filename
 
@@ -124,7 +125,10 @@ class AccountProfile:
             line(caveats.filter("patches is not null"), "limits", F.lit(5), F.concat(F.lit("patches "), c("patches")))])
 
     def documents(self) -> DataFrame:
-        """(account_id[, request_id], wrapper, document, filename)."""
+        """(account_id[, request_id], wrapper, document, filename): the facts, their limits, the reader's question if there is one, and the rules.
+
+        wanted may have note and mmr; a column it lacks asks for nothing.
+        """
         by = C.who(self.wanted)
         names = list(SECTIONS)
         heading = F.create_map(*[F.lit(x) for kv in SECTIONS.items() for x in kv])
@@ -135,7 +139,10 @@ class AccountProfile:
                  .withColumn("section_ord", F.array_position(F.array(*map(F.lit, names)), F.col("section")))
                  .withColumn("group_ord", F.when(limits, 2).otherwise(1))
                  .withColumn("group_tag", F.when(limits, "data_limitations").otherwise("profile_data"))
-                 .join(self.wanted.select(*by, wrapper.alias("wrapper")), by))
+                 )
+        asked = self.wanted.select(*by, "role", *(F.col(c) if c in self.wanted.columns else F.lit(None).cast("string").alias(c) for c in ("note", "mmr")))
+        extra = T.union([note_lines(asked), rule_lines(asked, PROFILE_RULES)])
+        parts = parts.unionByName(extra.select(parts.columns)).join(self.wanted.select(*by, wrapper.alias("wrapper")), by)
         size = self.sample.groupBy(*by).agg(F.count("*").alias("_n"))
         name = profile_filename(F.col("account_id"), F.coalesce("_n", F.lit(0)), *[F.col(c) for c in by if c != "account_id"])
         return T.assemble(parts, by).join(size, by, "left").withColumn("filename", name).drop("_n")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import match, person, rows
 from matchlens.operators import bench, career as C, detectors as D, players as P, series as S
-from matchlens.params import GENERAL_BENCH
+from matchlens.params import GENERAL_BENCH, PROFILE_RULES
 from matchlens.plans.account_profile import AccountProfile
 from matchlens.plans.deviations import anomaly_topk
 from matchlens.plans.match_facts import MatchFacts
@@ -295,3 +295,15 @@ def test_focus_hides_sections(texts):
     text = texts["draft"].document
     assert "## COMBAT" not in text and "## UNUSUAL IN THE DATA" in text
     assert "0:00 Tango" in texts["farm"].document                       # the full purchase log
+
+
+def test_profile_documents_have_question_and_rules(spark, silver):
+    plain = wanted(spark).withColumn("request_id", F.lit(1)).withColumns({"note": F.lit(None).cast("string"), "mmr": F.lit(None).cast("string")})
+    asked = wanted(spark, role="2").withColumn("request_id", F.lit(2)).withColumns({"note": F.lit("  why do I lose\n late? "), "mmr": F.lit("4200")})
+    texts = {r.request_id: r.document for r in AccountProfile(silver(*career_docs()), plain.union(asked)).documents().collect()}
+    method = lambda t: [x.split(". ")[1] for x in t.split("<method>")[1].split("</method>")[0].strip().split("\n")]
+    assert "player_question" not in texts[1] and "<player_question>\nwhy do I lose\nlate?\n</player_question>" in texts[2]
+    everyone = [key for key, need in PROFILE_RULES if need is None]
+    assert [x for x in method(texts[1]) if x in everyone] == everyone == method(texts[1])
+    assert method(texts[2]) == ["note_priority", "role.2", *everyone[:-1], "calibrate", "language"]
+    assert "request_id" not in wanted(spark).columns and "<method>" in AccountProfile(silver(*career_docs()), wanted(spark)).documents().first().document
