@@ -2,132 +2,19 @@
 
 A document is kept if its perplexity isn't above its language's quantile among trusted documents, with some slack for short texts. The model
 (wordmodel) grows with the trusted text and stays in sharded tables.
-
-The model of four folded symbols below is bounded by construction; `judged` doesn't use it.
 """
 
 from __future__ import annotations
 
-import unicodedata
-from collections.abc import Iterator
-from functools import cache
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchlens.llm import wordmodel
-from matchlens.llm.common import slices, small_ids, small_rows, written
+from matchlens.llm.common import small_ids, small_rows, written
 
-ORDER = 4
-BITS = 5
-GRAMS = 1 << ORDER * BITS
 QUANTILE = 0.995
 SLACK = 2.0                  # the mean over n tokens is uncertain: a text's limit is exp(SLACK / sqrt(n)) times its language's
-POOLED = ""
-SPACE, DIGIT, STOP, MARK, OTHER, LINE = 0, 27, 28, 29, 30, 31
-
-
-@cache
-def symbols() -> np.ndarray:
-    """The symbol of each code point of the first plane; all others count as OTHER."""
-    out = np.full(1 << 16, OTHER, np.uint8)
-    for point in range(1 << 16):
-        char = chr(point)
-        base = unicodedata.normalize("NFKD", char)[:1].lower()
-        kind = unicodedata.category(char)
-        if "a" <= base <= "z":
-            out[point] = ord(base) - 96
-        elif kind[0] == "L":
-            out[point] = 1 + point % 26
-        elif kind[0] == "N":
-            out[point] = DIGIT
-        elif char in ".,;:!?":
-            out[point] = STOP
-        elif kind[0] in "PS":
-            out[point] = MARK
-        elif kind[0] == "Z" or char in "\t\r\f\v":
-            out[point] = SPACE
-    out[ord("\n")] = LINE
-    return out
-
-
-def grams_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The grams of all texts in turn and the bounds of each text: one gram per symbol, the first after line ends."""
-    pad = "\n" * (ORDER - 1)
-    data = np.frombuffer("".join(pad + (t or "") for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    coded = np.where(data < 1 << 16, symbols()[data & 0xFFFF], OTHER).astype(np.uint32)
-    grams = np.zeros(max(0, len(coded) - ORDER + 1), np.uint32)
-    for k in range(ORDER):
-        grams = grams << np.uint32(BITS) | coded[k:k + len(grams)]
-    sizes = np.array([len(t or "") for t in texts], np.int64)
-    starts = np.cumsum(sizes + ORDER - 1) - (sizes + ORDER - 1)
-    return grams, np.stack([starts, starts + sizes], axis=1)
-
-
-def counts(trusted: DataFrame) -> DataFrame:
-    """lang, gram, n of all trusted text (lang, text), and the sums over languages under POOLED."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, np.ndarray] = {}
-        for batch in slices(batches, "text"):
-            grams, bounds = grams_of(batch.column("text").to_pylist())
-            names = batch.column("lang").to_pylist()
-            for name in dict.fromkeys(names):
-                own = np.concatenate([grams[a:b] for (a, b), n in zip(bounds, names, strict=True) if n == name])
-                found[name] = found.get(name, 0) + np.bincount(own, minlength=GRAMS)
-        for name, n in found.items():
-            gram = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(gram), pa.string()), pa.array(gram, pa.int32()), pa.array(n[gram], pa.int64())],
-                                             ["lang", "gram", "n"])
-    rows = trusted.select("lang", "text").mapInArrow(count, "lang string, gram int, n long")
-    pooled = rows.withColumn("lang", F.explode(F.array(F.col("lang"), F.lit(POOLED))))
-    return pooled.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-
-
-def discounted(counted: DataFrame) -> DataFrame:
-    """lang, size, gram, alpha (discounted share in its context) and, per context, gamma (weight of the shorter gram).
-
-    Orders below the highest count the different symbols before a gram. Discounts come from the numbers of grams with counts 1 to 4; where
-    these are 0 a discount is 0.5, 1, 1.5.
-    """
-    levels = [counted.select("lang", F.lit(ORDER).alias("size"), "gram", "n")]
-    for size in range(ORDER - 1, 0, -1):
-        suffix = F.col("gram").bitwiseAND((1 << size * BITS) - 1)
-        levels.append(levels[-1].groupBy("lang", suffix.alias("gram")).agg(F.count(F.lit(1)).alias("n")).select(
-            "lang", F.lit(size).alias("size"), "gram", "n"))
-    every = levels[0]
-    for level in levels[1:]:
-        every = every.unionByName(level)
-    every = written(every, "gram-counts")
-    ones = [F.sum((F.col("n") == k).cast("long")).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)]
-    rates = every.groupBy("lang", "size").agg(*ones).withColumn("y", F.col("n1") / F.nullif(F.col("n1") + 2 * F.col("n2"), F.lit(0.0)))
-    cut = [F.coalesce(F.least(F.greatest(k - (k + 1) * F.col("y") * F.col(f"n{k + 1}") / F.nullif(F.col(f"n{k}"), F.lit(0.0)), F.lit(0.0)), F.lit(float(k))),
-                      F.lit(k / 2)).alias(f"d{k}") for k in (1, 2, 3)]
-    rates = rates.select("lang", "size", *cut)
-    many = [F.sum((F.col("n") == 1).cast("long")).alias("m1"), F.sum((F.col("n") == 2).cast("long")).alias("m2"),
-            F.sum((F.col("n") > 2).cast("long")).alias("m3"), F.sum("n").alias("total")]
-    contexts = every.groupBy("lang", "size", F.shiftright("gram", BITS).alias("context")).agg(*many)
-    cut_of = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-    return (every.withColumn("context", F.shiftright("gram", BITS)).join(contexts, ["lang", "size", "context"]).join(rates, ["lang", "size"])
-            .select("lang", "size", "gram", (F.greatest(F.col("n") - cut_of, F.lit(0.0)) / F.col("total")).alias("alpha"),
-                    ((F.col("d1") * F.col("m1") + F.col("d2") * F.col("m2") + F.col("d3") * F.col("m3")) / F.col("total")).alias("gamma")))
-
-
-def models(rows: DataFrame) -> dict[str, np.ndarray]:
-    """Negative log probability of the last symbol of each gram, by language. At most 2^20 + 2^15 + ... rows of each reach the driver."""
-    frame, out = rows.toPandas(), {}
-    for lang, own in frame.groupby("lang"):
-        lower = np.full(1 << BITS, 1 / (1 << BITS))
-        for size in range(1, ORDER + 1):
-            part = own[own["size"] == size]
-            alpha, gamma = np.zeros(1 << size * BITS), np.ones(1 << (size - 1) * BITS)
-            gram = part["gram"].to_numpy()
-            alpha[gram] = part["alpha"].to_numpy()
-            gamma[gram >> BITS] = part["gamma"].to_numpy()
-            lower = alpha + np.repeat(gamma, 1 << BITS) * np.tile(lower, 1 << BITS if size > 1 else 1)
-        out[lang] = -np.log(np.maximum(lower, 1e-12)).astype(np.float32)
-    return out
+POOLED = wordmodel.POOLED
 
 
 def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:

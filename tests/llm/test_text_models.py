@@ -62,54 +62,6 @@ def test_trigrams_stay_in_their_text():
 # --- perplexity ---------------------------------------------------------------------------
 
 
-def brute_model(texts):
-    """Interpolated modified Kneser-Ney over lists of symbols, by dictionaries."""
-    order = quality.ORDER
-    counts = [{} for _ in range(order + 1)]
-    for text in texts:
-        coded = [quality.LINE] * (order - 1) + [int(quality.symbols()[ord(c)]) for c in text]
-        for k in range(len(text)):
-            gram = tuple(coded[k:k + order])
-            counts[order][gram] = counts[order].get(gram, 0) + 1
-    for size in range(order - 1, 0, -1):
-        for gram in counts[size + 1]:
-            counts[size][gram[1:]] = counts[size].get(gram[1:], 0) + 1
-
-    def cuts(size):
-        n = [sum(v == k for v in counts[size].values()) for k in range(5)]
-        if not n[1]:
-            return [0, 0.5, 1, 1.5]
-        y = n[1] / (n[1] + 2 * n[2])
-        return [0] + [min(max(k - (k + 1) * y * n[k + 1] / n[k], 0), k) if n[k] else k / 2 for k in (1, 2, 3)]
-    d = [None] + [cuts(size) for size in range(1, order + 1)]
-
-    def p(gram):
-        if not gram:
-            return 1 / 32
-        size, context = len(gram), gram[:-1]
-        own = {g: n for g, n in counts[size].items() if g[:-1] == context}
-        if not own:
-            return p(gram[1:])
-        total = sum(own.values())
-        gamma = sum(d[size][min(n, 3)] for n in own.values()) / total
-        n = own.get(gram, 0)
-        return max(n - d[size][min(n, 3)], 0) / total + gamma * p(gram[1:])
-    return p
-
-
-def test_model_equals_dictionaries(spark):
-    texts = ["abc abd, abe.", "abab 12\nxyz", "aaaa", "hello there abc"]
-    trusted = spark.createDataFrame([("en", t) for t in texts], "lang string, text string")
-    model = quality.models(quality.discounted(quality.counts(trusted).groupBy("lang", "gram").agg(F.sum("n").alias("n"))))
-    p = brute_model(texts)
-    assert set(model) == {"en", quality.POOLED}
-    for code in [*range(0, quality.GRAMS, 4099), *np.flatnonzero(model["en"] < 3)[:200]]:
-        gram = tuple(int(code) >> 5 * k & 31 for k in (3, 2, 1, 0))
-        assert math.exp(-model["en"][code]) == pytest.approx(p(gram), rel=1e-4)
-    for context in (0, 1 << 5, 5000):
-        assert np.exp(-model["en"][context * 32:context * 32 + 32].astype(float)).sum() == pytest.approx(1, abs=1e-4)
-
-
 def test_judged_documents(spark, documents, no_documents):
     labels = spark.createDataFrame([(k, 1, 0) for k in range(0, 40, 2)] + [(0, 1, 0), (1, 0, 0), (3, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")
     found = quality.judged(documents, labels).collect()
