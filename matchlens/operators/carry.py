@@ -48,6 +48,39 @@ def row_numbers(df: DataFrame, keys: list[str], order: list[str], out: str,
     return prefix_sum(df, keys, order, F.lit(1).cast("bigint"), out, chunk)
 
 
+def last_before(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str, chunk: str | None = None) -> DataFrame:
+    """Adds the last value that isn't null of the rows before each row.
+
+    A chunk's summary is its own last value; of two neighbours' summaries the later one counts if it is there, so they combine like sums.
+    """
+    parts = keys + ([chunk] if chunk else [])
+    earlier = Window.partitionBy(*parts).orderBy(*order).rowsBetween(UNBOUNDED_BEFORE, -1)
+    local = df.withColumn(out, F.last(value, ignorenulls=True).over(earlier))
+    if chunk is None:
+        return local
+    last = df.groupBy(*parts).agg(F.max_by(value, F.when(value.isNotNull(), F.struct(*order))).alias("_last"))
+    before = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(UNBOUNDED_BEFORE, -1)
+    carried = last.select(*parts, F.last("_last", ignorenulls=True).over(before).alias("_carried"))
+    return local.join(carried, parts).withColumn(out, F.coalesce(out, "_carried")).drop("_carried")
+
+
+def rows_away(df: DataFrame, keys: list[str], order: list[str], value: str, out: str, k: int, chunk: str | None = None) -> DataFrame:
+    """Adds the value k rows later (earlier, if k is negative), null where there is no such row.
+
+    Across chunks rows meet by their number in the group: each is sent to its own and to the one that looks for it.
+    """
+    if chunk is None:
+        return df.withColumn(out, F.lead(value, k).over(Window.partitionBy(*keys).orderBy(*order)))
+    columns = df.columns
+    numbered = row_numbers(df, keys, order, "_nth", chunk)
+    own = F.struct(F.col("_nth").alias("_for"), F.struct(*columns).alias("_own"), F.lit(None).cast(df.schema[value].dataType).alias("_value"))
+    other = F.struct((F.col("_nth") - k).alias("_for"), F.lit(None).cast(df.select(F.struct(*columns).alias("x")).schema["x"].dataType).alias("_own"),
+                     F.col(value).alias("_value"))
+    sent = numbered.select(*(F.col(c).alias(f"_{c}_key") for c in keys), F.inline(F.array(own, other)))
+    met = sent.groupBy(*(f"_{c}_key" for c in keys), "_for").agg(F.max_by("_own", F.col("_own").isNotNull()).alias("_own"), F.max("_value").alias("_value"))
+    return met.where("_own is not null").select("_own.*", F.col("_value").alias(out))
+
+
 def value_counts(df: DataFrame, keys: list[str], value: str, cells: Column | None = None) -> DataFrame:
     """Counts per value with their place in the group's order: ``_start``, ``_end``, ``_all``.
 

@@ -1,7 +1,7 @@
 """Operators over the per-minute series of a match or player.
 
-Series are long form (one row per minute) and bounded by the length of a match, so every
-window here is partitioned by match or by (match, player).
+Series are long form (one row per minute). Those of a match are short, and windows run by match or by (match, player); for series that outgrow
+a task the functions that look along them take ``chunk``, so many minutes at a time, whose results are carried over (see carry).
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchlens.operators import carry
 from matchlens.params import DEFAULTS, Thresholds
 
 KEY = ["match_id", "idx"]
@@ -42,13 +43,16 @@ def per_side(df: DataFrame, *values: str) -> DataFrame:
     return both.withColumns({v: (sign * F.col(v)).cast("bigint") for v in values})
 
 
-def sign_swings(adv: DataFrame) -> DataFrame:
+def in_chunks(df: DataFrame, chunk: int | None) -> tuple[DataFrame, str | None]:
+    return (df, None) if chunk is None else (df.withColumn("_chunk", F.floor(F.col("m") / chunk)), "_chunk")
+
+
+def sign_swings(adv: DataFrame, chunk: int | None = None) -> DataFrame:
     """Minutes whose sign differs from the last non-zero one, for both sides."""
     sign = F.signum("gold").cast("int")
-    before = F.last(F.when(F.col("gold") != 0, sign), ignorenulls=True).over(
-        by_minute().rowsBetween(Window.unboundedPreceding, -1))
-    turned = (adv.select("match_id", "m", "gold", sign.alias("_sign"), before.alias("_before"))
-              .filter("_sign <> 0 and _sign <> _before"))
+    points, cut = in_chunks(adv.select("match_id", "m", "gold", sign.alias("_sign")), chunk)
+    known = carry.last_before(points, ["match_id"], ["m"], F.nullif(F.col("_sign"), F.lit(0)), "_before", cut)
+    turned = known.filter("_sign <> 0 and _sign <> _before").select("match_id", "m", "gold")
     return per_side(turned, "gold").select(
         "match_id", "is_radiant", "m", "gold",
         F.when(F.col("gold") > 0, "ahead").otherwise("behind").alias("swing"))
@@ -87,17 +91,20 @@ def thin_series(df: DataFrame, keys: list[str], step: int = DEFAULTS.thin_step)
     return grid.join(df, [*keys, "m"], "left")
 
 
-def longest_stall(minutes: DataFrame, p: Thresholds = DEFAULTS) -> DataFrame:
+def longest_stall(minutes: DataFrame, p: Thresholds = DEFAULTS, chunk: int | None = None) -> DataFrame:
     """Longest run of minutes with an income below a share of the player's own mean."""
     own = Window.partitionBy(*KEY)
-    steps = (minutes.select(*KEY, "m", "gold").filter("gold is not null")
-             .withColumn("_delta", F.col("gold") - F.lag("gold").over(own.orderBy("m")))
-             .withColumn("_mean", F.avg("_delta").over(own))
-             .withColumn("_points", F.count("*").over(own))
-             .filter((F.col("_points") >= p.stall_from + p.stall_length + 1) & (F.col("_mean") > 0)
-                     & (F.col("m") >= p.stall_from)
-                     & (F.col("_delta") < F.col("_mean") * p.stall_ratio)))
-    runs = (steps.withColumn("_run", F.col("m") - F.row_number().over(own.orderBy("m")))
+    points, cut = in_chunks(minutes.select(*KEY, "m", "gold").filter("gold is not null"), chunk)
+    steps = carry.rows_away(points, KEY, ["m"], "gold", "_earlier", -1, cut).withColumn("_delta", F.col("gold") - F.col("_earlier"))
+    mean, count = F.avg("_delta"), F.count("*")
+    if cut is None:
+        steps = steps.withColumn("_mean", mean.over(own)).withColumn("_points", count.over(own))
+    else:
+        steps = steps.join(steps.groupBy(*KEY).agg(mean.alias("_mean"), count.alias("_points")), KEY)
+    steps = steps.filter((F.col("_points") >= p.stall_from + p.stall_length + 1) & (F.col("_mean") > 0)
+                         & (F.col("m") >= p.stall_from) & (F.col("_delta") < F.col("_mean") * p.stall_ratio))
+    # A run is what keeps its distance to the numbering; a run over several chunks is one group.
+    runs = (carry.row_numbers(steps, KEY, ["m"], "_nth", cut).withColumn("_run", F.col("m") - F.col("_nth"))
             .groupBy(*KEY, "_run")
             .agg(F.min("m").alias("start"), F.max("m").alias("end"),
                  F.sum("_delta").alias("span"), F.first("_mean").alias("mean")))
@@ -110,10 +117,11 @@ def longest_stall(minutes: DataFrame, p: Thresholds = DEFAULTS) -> DataFrame:
                     F.bround("mean").cast("bigint").alias("average")))
 
 
-def worst_drop(adv: DataFrame, p: Thresholds = DEFAULTS) -> DataFrame:
+def worst_drop(adv: DataFrame, p: Thresholds = DEFAULTS, chunk: int | None = None) -> DataFrame:
     """The fixed-length stretch in which a side's lead fell most, when the loss is large."""
-    change = F.lead("gold", p.collapse_window).over(by_minute()) - F.col("gold")
-    moves = adv.select("match_id", "m", change.alias("change")).filter("change is not null")
+    points, cut = in_chunks(adv.select("match_id", "m", "gold"), chunk)
+    later = carry.rows_away(points, ["match_id"], ["m"], "gold", "_later", p.collapse_window, cut)
+    moves = later.select("match_id", "m", (F.col("_later") - F.col("gold")).alias("change")).filter("change is not null")
     worst = F.min_by(F.struct("m", "change"), F.struct("change", "m"))
     return (per_side(moves, "change").groupBy("match_id", "is_radiant").agg(worst.alias("_w"))
             .select("match_id", "is_radiant", F.col("_w.m").alias("start"),
