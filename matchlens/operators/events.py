@@ -113,6 +113,41 @@ def inside(events: DataFrame, windows: DataFrame, t: str = "t") -> DataFrame:
     return events.join(windows, "match_id").filter(F.col(t).between(F.col("lo"), F.col("hi")))
 
 
+def _level(width: Column) -> Column:
+    """The least level whose cells, of 2 ** level, are as wide as the window: it touches two of them at most."""
+    return F.ceil(F.log2(F.greatest(width, F.lit(0)) + 1)).cast("int")
+
+
+def _cell(t: Column, level: Column) -> Column:
+    return F.floor(t / F.pow(F.lit(2.0), level)).cast("bigint")
+
+
+def inside_many(events: DataFrame, windows: DataFrame, t: str = "t") -> DataFrame:
+    """The same for matches with very many windows of any widths: an event meets only windows near it.
+
+    Windows stand in the one or two cells that they touch at the level of their width; an event looks into one cell of each level that there is, at
+    most one for every doubling of widths. So events and windows that meet are at most two cells apart, and their number follows the result.
+    """
+    placed = windows.where("lo <= hi").withColumn("_level", _level(F.col("hi") - F.col("lo")))
+    placed = placed.withColumn("_cell", F.explode(F.sequence(_cell(F.col("lo"), F.col("_level")), _cell(F.col("hi"), F.col("_level")))))
+    levels = placed.agg(F.collect_set("_level").alias("levels")).scalar()            # one number for each doubling
+    looked = events.where(F.col(t).isNotNull()).withColumn("_level", F.explode(levels)).withColumn("_cell", _cell(F.col(t), F.col("_level")))
+    met = looked.join(placed, ["match_id", "_level", "_cell"])
+    return met.filter(F.col(t).between(F.col("lo"), F.col("hi"))).drop("_level", "_cell")
+
+
+def overlapping_many(spans: DataFrame, windows: DataFrame) -> DataFrame:
+    """Intervals that touch windows of matches with very many of both: one of the two starts inside the other."""
+    ends = spans.withColumns({"_from": F.coalesce("start", F.lit(0)).cast("bigint"), "_to": F.coalesce("end", F.lit(0)).cast("bigint")})
+    columns = [*spans.columns, *(c for c in windows.columns if c != "match_id")]
+    begun = inside_many(ends, windows, "_from").where("_to >= lo").select("match_id", *(c for c in columns if c != "match_id"))
+    # The window starts after the interval did and before it ended.
+    own = ends.withColumnsRenamed({"_from": "lo", "_to": "hi"})
+    later = inside_many(windows.withColumnsRenamed({"lo": "_lo", "hi": "_hi"}).where("_lo <= _hi"), own, "_lo").where("_lo > lo")
+    later = later.drop("lo", "hi").withColumnsRenamed({"_lo": "lo", "_hi": "hi"})
+    return begun.unionByName(later.select(begun.columns))
+
+
 def overlapping(spans: DataFrame, windows: DataFrame) -> DataFrame:
     """Intervals that touch the window of their match."""
     start, end = F.coalesce("start", F.lit(0)), F.coalesce("end", F.lit(0))

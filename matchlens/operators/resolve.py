@@ -39,14 +39,15 @@ def _grams(text: Column, size: int) -> Column:
 def resolve_name(requests: DataFrame, names: DataFrame) -> DataFrame:
     """Id of each (request_id, needle): exact name first, else the only name containing it.
 
-    Names are indexed by their pieces of one to three characters, linear in their length. A longer needle looks only
-    at the names that have its rarest piece, and these are then searched. A needle is unique when the smallest and the largest
+    Names are indexed by their pieces of one to three characters, each with a number for its name: linear in a name's length. A longer needle looks only
+    at the names that have its rarest piece, and these are then fetched and searched. A needle is unique when the smallest and the largest
     id found agree.
     """
     label = X.normal_name(F.col("name"))
     known = names.select(label.alias("_label"), F.col("id").cast("bigint").alias("id")).filter("_label <> ''")
     known = known.groupBy("_label").agg(F.max("id").alias("id"))        # a repeated name: the last wins
-    pieces = known.select("id", "_label", F.explode(F.concat(*[_grams(F.col("_label"), n) for n in (1, 2, 3)])).alias("_piece"))
+    known = known.withColumn("_key", F.xxhash64("_label"))              # stands for the label, which is looked up and compared last
+    pieces = known.select("id", "_key", F.explode(F.concat(*[_grams(F.col("_label"), n) for n in (1, 2, 3)])).alias("_piece"))
     index = pieces.groupBy("_piece").agg(F.count("*").alias("_n"), F.min("id").alias("_lo"), F.max("id").alias("_hi"))
     asked = requests.withColumn("_needle", X.normal_name(F.col("needle")))
     needles = asked.select("_needle").distinct().filter("_needle <> ''")
@@ -56,7 +57,7 @@ def resolve_name(requests: DataFrame, names: DataFrame) -> DataFrame:
     rarest = (parts.join(index, "_piece").groupBy("_needle", "_all")
               .agg(F.count("*").alias("_found"), F.min_by("_piece", F.struct("_n", "_piece")).alias("_piece"))
               .filter("_found = _all"))                                 # a piece no name has: no name contains the needle
-    longer = (rarest.join(pieces, "_piece").filter(F.contains("_label", "_needle"))
+    longer = (rarest.join(pieces.select("_piece", "_key"), "_piece").join(known, "_key").filter(F.contains("_label", "_needle"))
               .groupBy("_needle").agg(F.min("id").alias("_lo"), F.max("id").alias("_hi")))
     found = short.unionByName(longer)
     exact = known.select(F.col("_label").alias("_needle"), F.col("id").alias("_exact"))

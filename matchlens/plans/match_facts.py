@@ -300,7 +300,7 @@ class MatchFacts:
         names = self.players.select("match_id", F.col("idx").alias("who"), "hero_name", F.col("is_radiant"))
 
         def log(rows: DataFrame, offset: int, what: Column) -> DataFrame:
-            hit = E.inside(rows.withColumnRenamed("idx", "who").drop("is_radiant"), spans).join(names, ["match_id", "who"])
+            hit = E.inside_many(rows.withColumnRenamed("idx", "who").drop("is_radiant"), spans).join(names, ["match_id", "who"])
             return T._lines(hit, "window", F.col("t") + offset, F.concat(X.mmss(F.col("t")), F.lit(" "), short, what))
 
         kills = log(self.t.kills, 10 ** 6, F.concat(F.lit(" killed "), X.without(F.col("victim_npc"), X.HERO_PREFIX)))
@@ -310,7 +310,7 @@ class MatchFacts:
         outcome = G.fight_outcome(self.t.fights, self.t.fight_players, self.players, self.p).join(spanned, KEY + ["fight_no"])
         fights = T.union([T.fight_lines(outcome).withColumn("section", F.lit("window")).withColumn("ord", F.col("ord") * 100),
                           self._participants(outcome, "window")]).withColumn("ord", F.col("ord") + 3 * 10 ** 6)
-        objectives = self._objective_lines(E.inside(self._objectives, spans), "window", F.col("t") + 4 * 10 ** 6)
+        objectives = self._objective_lines(E.inside_many(self._objectives, spans), "window", F.col("t") + 4 * 10 ** 6)
         happened = T.union([kills, purchases, fights, objectives])
         quiet = focal.select(*DOC).join(happened.select(*DOC).distinct(), DOC, "left_anti")
         return T.union([team, series, happened, T._lines(quiet, "window", F.lit(9 * 10 ** 6), F.lit("quiet: no events"))])

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
-from matchlens.operators import carry, series as S
+from matchlens.operators import carry, events as E, series as S
 from matchlens.params import DEFAULTS
 
 
@@ -55,3 +55,24 @@ def test_one_long_series_is_many_tasks(spark):
         assert away.where("later = m + 5").count() == 299_995 and away.where("later is null").count() == 5
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_many_windows_meet_events_near_them(spark):
+    """Windows of all widths against a plain join; the pairs that meet follow the result, not events times windows."""
+    shuffled = random.Random(5)
+    events = [(k % 2, k, shuffled.randrange(-500, 100_000)) for k in range(1500)] + [(0, 9000, None)]
+    windows = [(k % 2, k, lo, lo + shuffled.choice([0, 1, 3, 60, 61, 900]), k) for k in range(800) for lo in [shuffled.randrange(-500, 100_000)]]
+    windows += [(0, 9001, -10 ** 6, 10 ** 6, 1), (0, 9002, 50, 40, 1)]
+    e = spark.createDataFrame(events, "match_id long, id long, t long").repartition(3)
+    w = spark.createDataFrame(windows, "match_id long, win long, lo long, hi long, depth int").repartition(3)
+    assert rows(E.inside_many(e, w).select("match_id", "id", "win")) == rows(E.inside(e, w).select("match_id", "id", "win")) != []
+    assert sorted(E.inside_many(e, w).columns) == sorted(E.inside(e, w).columns)
+    met = E.inside_many(e, w.where("hi - lo < 1000").withColumns({"real_lo": F.col("lo"), "real_hi": F.col("hi")}))
+    narrow = E.inside(e, w.where("hi - lo < 1000")).count()
+    cells = w.where("hi - lo < 1000 and lo <= hi").withColumn("_level", E._level(F.col("hi") - F.col("lo"))).withColumn("width", F.pow(F.lit(2.0), "_level"))
+    near = E.inside(e, cells.withColumns({"lo": F.col("lo") - F.col("width"), "hi": F.col("hi") + F.col("width")})).count()
+    assert met.count() == narrow and near <= 4 * narrow + 50                          # what can share a cell is no further away than a cell
+    spans = spark.createDataFrame([(m, k, a, a + d if d is not None else None) for k in range(300) for m in [k % 2] for a in [shuffled.randrange(0, 100_000)]
+                                   for d in [shuffled.choice([None, 0, 40, 5000])]], "match_id long, fight_no long, start int, end int")
+    pick = ["match_id", "fight_no", "win", "start", "end", "lo", "hi"]
+    assert rows(E.overlapping_many(spans, w), *pick) == rows(E.overlapping(spans, w.where("lo <= hi")), *pick) != []
