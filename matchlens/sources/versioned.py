@@ -28,11 +28,13 @@ _PLACE = ["file", "row"]
 class VersionedTable:
     """Rows with a key, of which one counts: a final one beats any other, then the newest by recency (ties: the last place).
 
-    One writer at a time. Rows without a key are the caller's to keep out; bucket and turn are the table's own names. keep_seconds: how long replaced files stay for readers under way.
+    Buckets go by the column `by` (the key itself, if none is named); rows of a key must agree in it. One writer at a time. Rows without a key are the caller's to keep out; bucket and turn are the table's own names. keep_seconds: how long replaced files stay for readers under way.
     """
 
-    def __init__(self, spark: SparkSession, path: str, key: str, final: Callable[[], Column], recency: list[str], buckets: int = 64, keep_seconds: float = 3600.0):
+    def __init__(self, spark: SparkSession, path: str, key: str, final: Callable[[], Column], recency: list[str], buckets: int = 64, keep_seconds: float = 3600.0,
+                 by: str | None = None):
         self._spark, self._path, self._key, self._final, self._recency, self._buckets = spark, path.rstrip("/"), key, final, recency, buckets
+        self._by = by or key
         self._store = Store(spark, self._path)
         self._manifest, self._keep = Record(self._store, "manifest"), keep_seconds
 
@@ -54,13 +56,20 @@ class VersionedTable:
 
     def _add(self, batch: DataFrame, now: dict) -> None:
         turn = now["turn"] = now["turn"] + 1
-        bucket = F.pmod(F.xxhash64(self._key), F.lit(self._buckets)).cast("int")
-        (batch.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self._path}/data/turn={turn}"))
+        self._write_rows(batch, turn)
         touched = self._written(f"data/turn={turn}")
         for b in touched:
             now["buckets"].setdefault(b, {"batches": [], "live": None, "dead": [], "rows": 0, "dead_rows": 0})["batches"].append(turn)
         self._index(touched, {b: [turn] for b in touched}, now)
 
+    def _bucket(self, by: Column) -> Column:
+        return F.pmod(F.xxhash64(by), F.lit(self._buckets)).cast("int")
+
+    def _write_rows(self, rows: DataFrame, turn: int) -> None:
+        """Sorted within files, so that a filter on the bucketing column skips most of them."""
+        placed = rows.withColumn("bucket", self._bucket(F.col(self._by))).repartition("bucket").sortWithinPartitions("bucket", self._by, *self._recency)
+        placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{self._path}/data/turn={turn}")
+
     def _index(self, touched: list[str], fresh: dict[str, list[int]], now: dict) -> None:
         """New index and dead places of the touched buckets, from their old index and the keys of fresh batches; then the manifest."""
         if touched:
@@ -106,8 +115,7 @@ class VersionedTable:
             return
         rows = self._live_rows({b: now["buckets"][b] for b in chosen}, now)
         turn = now["turn"] = now["turn"] + 1
-        bucket = F.pmod(F.xxhash64(self._key), F.lit(self._buckets)).cast("int")
-        rows.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self._path}/data/turn={turn}")
+        self._write_rows(rows, turn)
         for b in chosen:
             entry = now["buckets"][b]
             stale = [f"data/turn={t}/bucket={b}" for t in entry["batches"]] + [f"dead/turn={t}/bucket={b}" for t in entry["dead"]] + [f"live/turn={entry['live']}/bucket={b}"]
@@ -147,9 +155,15 @@ class VersionedTable:
         placed = rows.select("*", F.col("_metadata.file_path").alias("_at"), F.col("_metadata.row_index").alias("_nth"))
         return placed.join(places, (F.col("_at") == F.col("_file")) & (F.col("_nth") == F.col("_row")), "left_anti").select(*columns)
 
-    def read(self) -> DataFrame:
-        """The rows that count, one per key, as the last manifest has them."""
+    def read(self, of: DataFrame | None = None) -> DataFrame:
+        """The rows that count, one per key, as the last manifest has them; or those whose bucketing column is among of's, read from their buckets alone."""
         now = self.manifest()
         if not now["buckets"]:
             raise ValueError(f"{self._path} has no rows yet")
-        return self._live_rows(now["buckets"], now)
+        if of is None:
+            return self._live_rows(now["buckets"], now)
+        kind = T.StructType.fromJson(json.loads(now["schema"]))[self._by].dataType
+        wanted = of.select(F.col(self._by).cast(kind)).distinct()
+        chosen = {str(r["bucket"]) for r in wanted.select(self._bucket(F.col(self._by)).alias("bucket")).distinct().collect()}     # a row a bucket
+        held = {b: x for b, x in now["buckets"].items() if b in chosen} or dict([next(iter(now["buckets"].items()))])
+        return self._live_rows(held, now).join(wanted, self._by, "left_semi")
