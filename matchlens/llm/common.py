@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -51,7 +52,7 @@ def word_count(text: Column) -> Column:
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut into pieces whose texts hold about `most` bytes: the memory of a task doesn't follow a batch."""
-    for batch in batches:
+    for batch in until_end(batches):
         start, held = 0, 0
         sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
         for at, size in enumerate(sizes):
@@ -63,6 +64,16 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20)
             yield batch.slice(start)
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)          # where the C library has it
+
+
+def give_back() -> None:
+    """Memory that Arrow and the allocator hold for later goes back to the system: workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def until_end(batches: Iterator[pa.RecordBatch], *endings: Callable[[], None]) -> Iterator[pa.RecordBatch]:
     """The batches, and the endings after the last one: what a task kept for its rows doesn't stay in a worker that later tasks use."""
     try:
@@ -70,7 +81,7 @@ def until_end(batches: Iterator[pa.RecordBatch], *endings: Callable[[], None]) -
     finally:
         for ending in endings:
             ending()
-        pa.default_memory_pool().release_unused()
+        give_back()
 
 
 def free_names(df: DataFrame, *names: str) -> list[str]:
@@ -95,7 +106,10 @@ def small_rows(rows: DataFrame) -> DataFrame:
 
 
 def salted_join(rows: DataFrame, small: DataFrame, keys: list[str], by: list[str], how: str = "inner") -> DataFrame:
-    """rows joined with one row per key, where one key may be that of a third of all rows: these go to SALTS partitions."""
+    """rows joined with one row per key, where one key may be that of a third of all rows: these go to SALTS partitions.
+
+    What is still too large for a task then, adaptive execution cuts further: the rows stand on the left.
+    """
     dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int"))
     spread = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return dealt.join(spread, [*keys, "_salt"], how).drop("_salt")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchlens.llm.common import slices, until_end
-from matchlens.llm.tokens import TOKENIZER, word_ids
+from matchlens.llm.tokens import SLICE, TOKENIZER, word_ids
 
 GROUP_TOKENS = 1 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -83,7 +83,7 @@ def pack_documents(docs: DataFrame, capacity: int = 4096, end: int = 2, linear:
             sequence += n
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=_ARROW)
 
-        for batch in until_end(slices(batches, "text"), table.rest):
+        for batch in until_end(slices(batches, "text", SLICE), table.rest):
             ids, bounds = table.encode(batch.column("text"), end)
             ids = ids.astype("<u4")
             for doc_id, lo, hi in zip(batch.column("doc_id").to_pylist(), bounds, bounds[1:], strict=False):

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchlens.llm.common import free_names, salted_join, slices, small_ids, until_end, written
+from matchlens.llm.common import free_names, give_back, salted_join, slices, small_ids, until_end, written
 from matchlens.llm.components import components
 from matchlens.llm.shingles import forget_words, mixed, shingle_set
 
@@ -83,7 +83,7 @@ def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
 
 # --- the join ----------------------------------------------------------------------------------------------------------
 
-ENTRIES = 1_000_000          # signatures of a part, and those that a task holds before it deals them out
+ENTRIES = 500_000            # signatures of a part, and those that a task holds before it deals them out
 MOST_MET = 200_000           # names of sets that a task remembers
 BLOCK = 256                  # members of a large group that others are compared with at once
 FLAGS = 512                  # bits of a set's parity: their differences count at most the sets' differences
@@ -239,6 +239,7 @@ def sketches(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Data
             yield dealer.rows(task)
 
     def meet(packed: pa.Table) -> pa.Table:
+        give_back()
         return pa.Table.from_batches(list(_rows_of_part(packed)), schema=_FOUND_ARROW)
     found = written(texts.mapInArrow(deal, _PACKED).groupBy("part").applyInArrow(meet, _FOUND), "sketches")
     return (found.where("kind = 0").select("doc_id", "set", "n", "flags", "more"),

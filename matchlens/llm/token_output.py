@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from matchlens.llm.common import new_path, slices, until_end
-from matchlens.llm.tokens import TOKENIZER, word_ids
+from matchlens.llm.tokens import SLICE, TOKENIZER, word_ids
 
 #: Ids per word and bits per id of selectors 0 to 13.
 LAYOUTS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
@@ -125,7 +125,7 @@ def write_tokens(docs: DataFrame, path: str, end: int = 1, tokenizer: str = TOKE
                 "offsets": offsets.tolist(), "doc_ids": names, "ends": ends,
                 "escape_at": apart.tolist(), "escape_ids": [int(i) for i in ids[apart]]}], schema=_FILE_ARROW)
 
-        for batch in until_end(slices(batches, "text"), table.rest):
+        for batch in until_end(slices(batches, "text", SLICE), table.rest):
             ids, bounds = table.encode(batch.column("text"), end)
             for doc_id, lo, hi in zip(batch.column("doc_id").to_pylist(), bounds, bounds[1:], strict=False):
                 held.append(ids[lo:hi])

@@ -1,7 +1,7 @@
 """Ids of whole texts by a public tokenizer, tokenized word by word.
 
 The vocabulary drops white space and no token crosses it, so a text's ids are those of its words in turn. Words repeat:
-a task tokenizes a word once and looks it up from then on, in a table of bounded size. Only the most frequent words stay for the worker's next task.
+a task tokenizes a word once and looks it up from then on, in a table of bounded size. Words that repeat stay for the worker's next task, up to a bound.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 
 TOKENIZER = "word_bpe_49k.json"
+BATCH = 8192                 # words that are tokenized at once
+SLICE = 1 << 20              # bytes of texts that are encoded at once: a slice needs some forty times as much for a moment
 
 
 class WordIds:
@@ -48,8 +50,8 @@ class WordIds:
         core = word[:-1]
         return core if core.isascii() or unicodedata.normalize("NFC", core).lower().isalpha() else word
 
-    def rest(self, most: int = 60_000, often: int = 8) -> None:
-        """Between two tasks only words stay that were met often."""
+    def rest(self, most: int = 200_000, often: int = 2) -> None:
+        """Between two tasks no more words stay than this, and of more only those that were met often."""
         if len(self.words) > most:
             self._forget(often)
             if len(self.words) > most:
@@ -87,12 +89,16 @@ class WordIds:
             return
         first, count = len(self.words) - len(new), len(new)
         # A word with a closing mark is the word's ids and the mark's; capitals A-Z may not matter.
-        cores = [self._core(w) for w in new]
+        marks, core = self.marks, self._core
+        cores = [core(w) if w.endswith(marks) else w for w in new]
         plain = [c.lower() if self.folds and c.isascii() and c.isalpha() else c for c in cores]
         number = self.words.get
         at = [number(c, first) for c in plain]
         fresh = list(dict.fromkeys([c for c, n in zip(plain, at, strict=True) if n >= first] + list(self.marks)))
-        known = dict(zip(fresh, (e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)), strict=True))
+        known = {}
+        for k in range(0, len(fresh), BATCH):            # what the tokenizer returns is much larger than the ids
+            part = fresh[k:k + BATCH]
+            known.update(zip(part, (e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
         starts, lengths, table = self.starts, self.lengths, self.ids
         ids = [known[c] if n >= first else table[starts[n]:starts[n] + lengths[n]].tolist() for c, n in zip(plain, at, strict=True)]
         ids = [x if len(c) == len(w) else x + known[w[-1]] for x, c, w in zip(ids, cores, new, strict=True)]
