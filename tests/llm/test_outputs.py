@@ -54,6 +54,28 @@ def test_rules_are_those_of_the_tokenizer():
         assert len(table.words) <= 4
 
 
+def test_words_of_letters_go_straight_to_the_model():
+    points = [chr(c) for c in range(0x20000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c))[0] in "LMN"]
+    texts = [f"{c} x{c}y X{c} {c}{c}z e\u0301{c} \u1100\u1161{c}" for c in points] + ["ΟΔΟΣ ΣΑΣ ΟΔΟΣ. don't DON'T,", "été ÉTÉ, naïve. Ångström", "", None]
+    table = WordIds("word_bpe_49k.json")
+    expected = TOKENIZER.encode_batch([t or "" for t in texts], add_special_tokens=False)
+    for _ in range(2):
+        ids, bounds = table.encode(pa.array(texts), 7)
+        assert all(ids[a:b - 1].tolist() == e.ids for a, b, e in zip(bounds, bounds[1:], expected, strict=False))
+    table.clear()
+    met = []
+
+    class Watched:
+        model = table.tokenizer.model
+
+        def encode_batch_fast(self, words, **options):
+            met.extend(words)
+            return TOKENIZER.encode_batch_fast(words, **options)
+    table.tokenizer = Watched()
+    ids, _ = table.encode(pa.array(["Une phrase écrite, 12 mots. Été"]), 7)
+    assert ids.tolist() == ids_of("Une phrase écrite, 12 mots. Été", 7).tolist() and set(met) == {"12", ",", "."}
+
+
 @pytest.mark.parametrize("ids", [
     [], [0], [1], [49407], [2 ** 32 - 1] * 3, [2 ** 59, 1, 2 ** 60, 2 ** 63, 0], list(range(3000)), [1] * 5000, [0] * 59 + [2 ** 40] + [3] * 70])
 def test_simple8b_round_trip(ids):
