@@ -48,7 +48,7 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         count, bits = LAYOUTS[k]
         span = 1 << (count.bit_length() - 1)
         ahead = np.maximum(widest[span][:, :BLOCK], widest[span][:, count - span:count - span + BLOCK])
-        selector[ahead <= bits] = k
+        np.copyto(selector, np.int8(k), where=ahead <= bits)
     taken = np.array([c for c, _ in LAYOUTS])
     size = np.full(blocks, BLOCK)
     if blocks:
@@ -70,14 +70,15 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for k, (count, bits) in enumerate(LAYOUTS):
         mine = np.flatnonzero(chosen == k)
         if len(mine):
-            values = grid[row[mine][:, None], at[mine][:, None] + np.arange(count)]
+            values = grid.ravel().take((row[mine] * grid.shape[1] + at[mine])[:, None] + np.arange(count))
             words[mine] |= np.bitwise_or.reduce(values << (np.arange(count) * bits).astype(np.uint64), axis=1)
     return words, np.searchsorted(row, np.arange(blocks)), apart
 
 
 def bit_lengths(ids: np.ndarray) -> np.ndarray:
     """Bits of each number, by the exponents of its halves."""
-    low = np.frexp((ids & np.uint64(0xFFFFFFFF)).astype(np.float64))[1].astype(np.uint8)
+    low = (ids & np.uint64(0xFFFFFFFF)).astype(np.float64).view(np.uint64) >> np.uint64(52)
+    low = (np.maximum(low, np.uint64(1022)) - np.uint64(1022)).astype(np.uint8)
     high = ids >> np.uint64(32)
     if not high.any():
         return low
