@@ -22,7 +22,27 @@ MOST_BATCHES = 16            # of a bucket, before it is compacted
 MOST_DEAD = 0.25             # of its rows
 BROADCAST_DEAD = 500_000     # places, some 100 bytes each; more of them meet the rows by a shuffle
 
-_PLACE = ["file", "row"]
+#: Where a row is: numbers instead of its file's path, which would be most of a key's bytes. A path is named by turn, part and piece (and the bucket).
+_PLACE = ["of_turn", "part", "piece", "row"]
+_STORED = ", ".join(["file string", "row long", "of_turn int", "part int", "piece int", "bucket int"])      # file: in tables of before
+
+
+def _place(path: Column, row: Column) -> list[Column]:
+    """The place of a row from the path that Spark gives a written file: .../turn=<turn>/bucket=<bucket>/part-<part>-....c<piece>.<...>"""
+    name = F.substring_index(path, "/", -1)
+    found = (F.substring_index(F.substring_index(path, "/turn=", -1), "/", 1), F.substring(F.substring_index(name, "-", 2), 6, 20),
+             F.substring(F.substring_index(F.substring_index(name, ".", 2), ".", -1), 2, 20))
+    return [c.cast("int").alias(n) for c, n in zip(found, _PLACE, strict=False)] + [row.alias("row")]
+
+
+def _stored_place(names: list[str]) -> list[Column]:
+    old = _place(F.col("file"), F.col("row"))
+    return [F.coalesce(n, c).alias(a) for n, c, a in zip(_PLACE, old, names, strict=True)]
+
+
+
+def _of(columns: str) -> T.StructType:
+    return T.StructType.fromDDL(columns)
 
 
 class VersionedTable:
@@ -66,8 +86,8 @@ class VersionedTable:
         return F.pmod(F.xxhash64(by), F.lit(self._buckets)).cast("int")
 
     def _write_rows(self, rows: DataFrame, turn: int) -> None:
-        """Sorted within files, so that a filter on the bucketing column skips most of them."""
-        placed = rows.withColumn("bucket", self._bucket(F.col(self._by))).repartition("bucket").sortWithinPartitions("bucket", self._by, *self._recency)
+        """Sorted within files, so that a filter on the bucketing column skips most of them. A bucket that outgrows a task is written by several."""
+        placed = rows.withColumn("bucket", self._bucket(F.col(self._by))).hint("rebalance", "bucket").sortWithinPartitions("bucket", self._by, *self._recency)
         placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{self._path}/data/turn={turn}")
 
     def _index(self, touched: list[str], fresh: dict[str, list[int]], now: dict) -> None:
@@ -78,11 +98,13 @@ class VersionedTable:
             candidates = self._keys(fresh, now)
             old = [f"{self._path}/live/turn={now['buckets'][b]['live']}/bucket={b}" for b in touched if now["buckets"][b]["live"] is not None]
             if old:
-                candidates = candidates.unionByName(self._spark.read.option("basePath", f"{self._path}/live").parquet(*old).select(candidates.columns))
+                kept = self._spark.read.schema(T.StructType([*(x for x in candidates.schema if x.name not in _PLACE), *(x for x in _of(_STORED) if x.name != "bucket")]))
+                kept = kept.option("basePath", f"{self._path}/live").parquet(*old)
+                candidates = candidates.unionByName(kept.select(*(c for c in candidates.columns if c not in _PLACE), *_stored_place(_PLACE)))
             best = candidates.groupBy("bucket", "key").agg(F.max(rank).alias("best")).select("bucket", "key", "best.*")
             best.write.mode("overwrite").partitionBy("bucket").parquet(f"{self._path}/live/turn={turn}")
             live = self._spark.read.parquet(f"{self._path}/live/turn={turn}")
-            dead = candidates.join(live.select(*_PLACE), _PLACE, "left_anti").select("bucket", *_PLACE)
+            dead = candidates.join(live.select("bucket", *_PLACE), ["bucket", *_PLACE], "left_anti").select("bucket", *_PLACE)
             dead.write.mode("overwrite").partitionBy("bucket").parquet(f"{self._path}/dead/turn={turn}")
             counts = {str(r["bucket"]): r["n"] for r in live.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()}      # a row a bucket
             lost = {}
@@ -105,7 +127,7 @@ class VersionedTable:
         """bucket, key, final, recency and place of the rows of batches: a scan of these columns alone."""
         rows = self._scan(batches, now)
         return rows.select("bucket", F.col(self._key).alias("key"), self._final().cast("int").alias("final"), *(F.col(c).alias(f"r{k}") for k, c in enumerate(self._recency)),
-                           F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+                           *_place(F.col("_metadata.file_path"), F.col("_metadata.row_index")))
 
     def compact(self, buckets: list[str] | None = None) -> None:
         """Writes the rows that count of the buckets (all, if none are named) into one batch each. Other buckets are not touched."""
@@ -149,11 +171,14 @@ class VersionedTable:
         columns = [c for c in rows.columns if c not in ("bucket", "turn")]
         if not dead:
             return rows.select(*columns)
-        places = self._spark.read.option("basePath", f"{self._path}/dead").parquet(*dead).select(F.col("file").alias("_file"), F.col("row").alias("_row"))
+        mine, gone = [f"_{n}_here" for n in _PLACE], [f"_{n}_dead" for n in _PLACE]
+        places = self._spark.read.schema(_STORED).option("basePath", f"{self._path}/dead").parquet(*dead).select(F.col("bucket").alias("_bucket_dead"), *_stored_place(gone))
         if sum(x["dead_rows"] for x in buckets.values()) <= BROADCAST_DEAD:
             places = F.broadcast(places)
-        placed = rows.select("*", F.col("_metadata.file_path").alias("_at"), F.col("_metadata.row_index").alias("_nth"))
-        return placed.join(places, (F.col("_at") == F.col("_file")) & (F.col("_nth") == F.col("_row")), "left_anti").select(*columns)
+        at = _place(F.col("_metadata.file_path"), F.col("_metadata.row_index"))
+        placed = rows.select("*", *(c.alias(n) for c, n in zip(at, mine, strict=True)))
+        same = [F.col(a) == F.col(b) for a, b in zip(["bucket", *mine], ["_bucket_dead", *gone], strict=True)]
+        return placed.join(places, same, "left_anti").select(*columns)
 
     def read(self, of: DataFrame | None = None) -> DataFrame:
         """The rows that count, one per key, as the last manifest has them; or those whose bucketing column is among of's, read from their buckets alone."""

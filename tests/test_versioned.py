@@ -81,3 +81,35 @@ def test_documents_meet_no_exchange(spark, tmp_path):
     assert "BroadcastHashJoin" in plan and "players" in plan and not re.search("Exchange (hash|range|Round|Single)", plan) and "Aggregate" not in plan
     keys = t._keys({b: x["batches"] for b, x in t.manifest()["buckets"].items()}, t.manifest())
     assert "players" not in keys._jdf.queryExecution().executedPlan().toString()
+
+
+def test_places_are_numbers_and_tables_of_before_go_on(spark, tmp_path):
+    t = table(spark, tmp_path, keep_seconds=3600.0)
+    t.upsert(batch(spark, [(i, False, 1) for i in range(12)]), 0)
+    t.upsert(batch(spark, [(i, True, 2) for i in range(2)]), 1)
+    for folder in ("live", "dead"):
+        assert "string" not in [kind for _, kind in spark.read.parquet(str(tmp_path / folder)).dtypes]
+    now = t.manifest()
+    scanned = t._scan({b: x["batches"] for b, x in now["buckets"].items()}, now)
+    path = F.col("_metadata.file_path")
+    files_of = scanned.select("bucket", *versioned._place(path, F.col("_metadata.row_index")), path.alias("file"))
+    for folder, turns in (("live", {x["live"] for x in now["buckets"].values()}), ("dead", {d for x in now["buckets"].values() for d in x["dead"]})):
+        for turn in turns:                                                   # as they were: the path itself
+            where = str(tmp_path / folder / f"turn={turn}")
+            old = spark.read.parquet(where).join(files_of, ["bucket", *versioned._PLACE]).drop("of_turn", "part", "piece")
+            spark.createDataFrame(old.collect(), old.schema).write.mode("overwrite").partitionBy("bucket").parquet(where)
+    kept = [(i, i < 2, 1 + (i < 2), 1 + (i < 2)) for i in range(12)]
+    assert found(t) == kept
+    t.upsert(batch(spark, [(i, True, 3) for i in range(1, 5)]), 2)
+    assert found(t) == [(i, True, 3, 3) if 1 <= i < 5 else k for i, k in enumerate(kept)]
+
+
+def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
+    key, before = "spark.sql.adaptive.advisoryPartitionSizeInBytes", spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set(key, "64k")
+    try:
+        t = VersionedTable(spark, str(tmp_path), "id", lambda: F.col("id") < 0, ["at"], buckets=1)
+        t.upsert(spark.range(0, 40_000, 1, 4).select("id", F.sha2(F.col("id").cast("string"), 256).alias("at")), 0)
+    finally:
+        spark.conf.set(key, before)
+    assert len([f for f in files(tmp_path) if f.endswith(".parquet")]) > 1 and t.read().count() == 40_000
