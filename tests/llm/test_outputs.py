@@ -14,7 +14,9 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from matchlens.llm import media, mixing, packing, permutation, token_output, warc
+from matchlens.llm.common import small_batches
 from matchlens.llm.tokens import WordIds, word_ids
 
 TOKENIZER = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
@@ -131,6 +133,26 @@ def test_packing_covers_every_id(documents, no_documents):
     assert packing.pack_documents(no_documents).collect() == []
 
 
+@pytest.mark.parametrize("stage", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_send_texts_in_small_batches(spark, stage):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some words "), 1000).alias("text"),
+                                                  F.lit("en").alias("lang"), F.lit("a").alias("source"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["size"])
+    try:
+        dict(corpus_pipeline.STAGES)[stage](spark, docs.limit(0), "")
+        found = [r.size for r in docs.mapInArrow(sizes, "size long").collect()]
+        assert sum(found) > 30_000_000 and max(found) < 6_000_000
+        spark.conf.set(name, 1 << 20)                    # a bound that somebody has chosen stays
+        small_batches(spark)
+        assert spark.conf.get(name) == str(1 << 20)
+    finally:
+        spark.conf.unset(name)
+
+
 def test_costs_are_balanced():
     random = np.random.default_rng(2)
     lengths = random.integers(1, 900, 4000).tolist()
