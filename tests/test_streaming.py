@@ -1,7 +1,9 @@
 """Streams driven to completion over files."""
 
 import json
+import os
 import threading
+import time
 
 from pyspark.sql import functions as F
 
@@ -40,9 +42,13 @@ def one_by_one(spark, where):
     return spark.readStream.schema(FB.FEEDBACK).option("maxFilesPerTrigger", 1).json(where)
 
 
+BEGAN = time.time() - 1000
+
+
 def feed(path, first, batches):
     for k in range(first, first + batches):
         write(path / f"{k:03}.json", record(2 * k + 2), record(2 * k + 1, rating=5))
+        os.utime(path / f"{k:03}.json", (BEGAN + k, BEGAN + k))      # the source takes files by age, and those of one tick in any order
 
 
 def ids(spark, path):
