@@ -36,10 +36,11 @@ def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> Da
     rows = rows.withColumn("row", F.xxhash64("doc_id", "lang", "text"))
     # The pooled model is counted only if a row needs it.
     pooled = not rows.where((F.col("model") == POOLED) & (F.col("n_symbols") > 0)).isEmpty()
-    table, unknown = wordmodel.values(written(wordmodel.counted(trusted, pooled), "gram-counts"))
-    sums = wordmodel.scored(rows.where("n_symbols > 0").select("row", "model", "text", "trusted"), table)
-    found = rows.drop("text").join(sums, "row", "left").join(small_rows(unknown.withColumnRenamed("lang", "model")), "model", "left")
-    perplexity = F.when(F.col("n_symbols") > 0, F.exp(-F.col("unknown") - F.col("total") / F.col("tokens")))
+    sums, models = wordmodel.scored(rows.where("n_symbols > 0").select("row", "model", "text", "trusted"), pooled)
+    found = rows.drop("text").join(sums, "row", "left").join(small_rows(models), "model", "left")
+    # The end of a text, too, is left out of a trusted text that alone has it.
+    total = F.col("total") + F.when(F.col("trusted") & (F.col("texts") <= 1), 0.0).otherwise(F.col("last"))
+    perplexity = F.when(F.col("n_symbols") > 0, F.exp(-F.col("unknown") - total / F.col("tokens")))
     found = written(found.withColumn("perplexity", perplexity), "perplexities")
     seen = found.where("trusted and perplexity is not null")
     seen = seen.select(F.explode(F.array_distinct(F.array(F.col("model"), F.lit(POOLED)))).alias("model"), "perplexity")

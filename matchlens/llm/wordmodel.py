@@ -1,31 +1,41 @@
 """Interpolated modified Kneser-Ney over word trigrams, per language, with counts and look-ups that stay sharded.
 
-Every token is kept as it is (in lower case); a gram is named by 64 bits of its language and tokens. The log probability of a text is a sum of one value
+Every token is kept as it is (in lower case) and named by 64 bits of its language and letters. The log probability of a text is a sum of one value
 for each of its grams that trusted text has: value(gram) is what the gram changes against its shorter gram, and the weight it leaves to shorter
-grams as a context. So a document's score is one join of its counted grams with the table of values, and a sum by document.
+grams as a context. All of these but a word's own probability belong to the middle word of a trigram. So trigrams travel packed to shards by their
+middle word, which count the trusted ones and score the others, and only sums by text come back. To keep what is on disk at once below the input,
+shards are done in several passes over the texts, each of which frees its shuffle.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import cache, reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlens.llm.common import slices, written
+from matchlens.llm.common import new_path, removed, slices
 
-WORDS = 3
-HOT_SHARE = 1 << 16          # grams with more than this part of all grams of their size go to every task: 3 * HOT_SHARE at most
+HOT_SHARE = 50               # a middle word with more than this part of all tokens goes to SPREAD shards
+SPREAD = 4
+PASSES = 4
+SHARD = 2_000_000            # trigrams of a shard, about
+SLICE = 8 << 20              # bytes of text that are packed at once
 POOLED = ""
 START, END = np.uint64(1), np.uint64(2)
 # Scripts without spaces give a token for each letter.
-_ALONE = r"฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿\U00020000-\U0003ffff"
-_MARKS = r"̀-֑ͯ-ׇً-ٟऀ-෿"
-_TOKEN = re.compile(rf"\n|[{_ALONE}]|(?:(?![{_ALONE}])[\w{_MARKS}])+|\S")
+_ALONE = r"฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿\U00020000-\U0003ffff"
+_MARKS = r"̀-֑ͯ-ׇً-ٟऀ-෿"
+_WORD = rf"(?:(?![{_ALONE}])[\w{_MARKS}])+"
+_TOKEN = re.compile(rf"\n|[{_ALONE}]|{_WORD}|\S")
 
 
 def tokens(text: str | None) -> list[str]:
@@ -38,166 +48,424 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
-def _hash(token: str) -> int:
-    return xxhash.xxh3_64_intdigest(token.encode("utf-8", "surrogatepass"))
-
-
-class Grams:
-    """The grams of texts, under a language each: keys by size and place, and the tokens' number of each text."""
-
-    def __init__(self, texts: list[str | None], langs: list[str], seen: dict[str, int]) -> None:
-        words, sizes = [], []
-        for text in texts:
-            own = tokens(text)
-            sizes.append(len(own) + 3)
-            words += [START, START]
-            for token in own:
-                found = seen.get(token)
-                if found is None:
-                    if len(seen) > 1 << 20:
-                        seen.clear()
-                    found = seen[token] = np.uint64(_hash(token))
-                words.append(found)
-            words.append(END)
-        token = np.array(words, np.uint64)
-        self.sizes = np.array(sizes, np.int64)
-        self.ends = np.cumsum(self.sizes)
-        self.text = np.repeat(np.arange(len(texts)), self.sizes)
-        self.place = np.arange(len(token)) - np.repeat(self.ends - self.sizes, self.sizes)
-        seeds = np.array([_hash(f"\0{x}") for x in langs], np.uint64)[self.text] if len(texts) else np.array([], np.uint64)
-        before = lambda x: np.concatenate([np.zeros(min(1, len(x)), np.uint64), x[:-1]])
-        self.one = _mix(token + seeds)
-        self.two = _mix(before(self.one) * np.uint64(3) + token)
-        self.three = _mix(before(self.two) * np.uint64(5) + token)
-        self.context_two, self.context_one = before(self.two), before(self.one)
-
-    def of_texts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """text, key and number of every gram; the start of a text counts as context."""
-        short, full = self.place >= 1, self.place >= 2
-        text = np.concatenate([self.text[short], self.text[short], self.text[full]])
-        key = np.concatenate([self.one[short], self.two[short], self.three[full]])
-        order = np.lexsort((key, text))
-        text, key = text[order], key[order]
-        first = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (key[1:] != key[:-1])])) if len(key) else np.array([], np.int64)
-        return text[first], key[first], np.diff(np.append(first, len(key)))
-
-
-_COLUMNS = ["lang", "k3", "k2", "k1", "c3", "c2", "n"]
-
-
-def counted(trusted: DataFrame, pooled: bool) -> DataFrame:
-    """The trigrams of trusted text (lang, text) with their number, parts and contexts; with pooled also under POOLED."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, int] = {}
-        for batch in slices(batches, "text"):
-            texts, own = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
-            kept = [k for k, x in enumerate(texts) if x]
-            for langs in [own, [POOLED if x != POOLED else None for x in own]][:1 + pooled]:
-                used = [k for k in kept if langs[k] is not None]
-                if not used:
-                    continue
-                grams = Grams([texts[k] for k in used], [langs[k] for k in used], seen)
-                full = np.flatnonzero(grams.place >= 2)
-                _, first, n = np.unique(grams.three[full], return_index=True, return_counts=True)
-                at = full[first]
-                keys = [grams.three[at], grams.two[at], grams.one[at], grams.context_two[at], grams.context_one[at]]
-                names = pa.array([langs[k] for k in used], pa.string()).take(pa.array(grams.text[at]))
-                yield pa.RecordBatch.from_arrays([names, *(pa.array(x.view(np.int64)) for x in keys), pa.array(n, pa.int64())], _COLUMNS)
-    rows = trusted.select("lang", "text").mapInArrow(count, "lang string, k3 long, k2 long, k1 long, c3 long, c2 long, n long")
-    return rows.groupBy("lang", "k3", "k2", "k1", "c3", "c2").agg(F.sum("n").alias("n"))
-
-
-def _rates(level: DataFrame) -> DataFrame:
-    """lang, d1, d2, d3: the discounts of one size."""
-    n = [F.sum((F.col("c") == k).cast("long")).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)]
-    rates = level.groupBy("lang").agg(*n).withColumn("y", F.col("n1") / F.nullif(F.col("n1") + 2 * F.col("n2"), F.lit(0.0)))
-    return rates.select("lang", *[
-        F.coalesce(F.least(F.greatest(k - (k + 1) * F.col("y") * F.col(f"n{k + 1}") / F.nullif(F.col(f"n{k}"), F.lit(0.0)), F.lit(0.0)), F.lit(float(k))),
-                   F.lit(k / 2)).alias(f"d{k}") for k in (1, 2, 3)])
-
-
-def _cut() -> Column:
-    return F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-
-
-def _shares(level: DataFrame, context: str) -> tuple[DataFrame, DataFrame]:
-    """level with alpha, and per context its gamma. No gram loses more than its count, so alpha isn't negative; gamma is kept above 0."""
-    cut = level.join(_rates(level), "lang").withColumn("cut", F.least(_cut(), F.col("c").cast("double")))
-    contexts = cut.groupBy("lang", context).agg(F.sum("c").alias("total"), F.greatest(F.sum("cut") / F.sum("c"), F.lit(1e-6)).alias("gamma"))
-    shares = cut.join(contexts, ["lang", context]).withColumn("alpha", (F.col("c") - F.col("cut")) / F.col("total"))
-    return shares.drop("d1", "d2", "d3", "cut", "total"), contexts.select("lang", F.col(context).alias("key"), "gamma")
-
-
-def values(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(key, value, raw) of grams and contexts, raw being their number in trusted text, and (lang, unknown), the log probability of an unseen token."""
-    three = counts.withColumn("c", F.col("n"))
-    two = written(counts.groupBy("lang", "k2", "k1", "c2").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("raw")), "bigrams")
-    one = written(two.groupBy("lang", "k1").agg(F.count(F.lit(1)).alias("c"), F.sum("raw").alias("raw")), "words")
-    first, base = _shares(one.withColumn("c1", F.lit(0)), "c1")
-    kinds = one.groupBy("lang").agg((F.count(F.lit(1)) + 1).alias("kinds"))
-    unknown = base.join(kinds, "lang").select("lang", (F.col("gamma") / F.col("kinds")).alias("p0"))
-    first = written(first.join(unknown, "lang").select("k1", "raw", (F.col("alpha") + F.col("p0")).alias("p1"), "p0"), "word-shares")
-    second, weight_one = _shares(two, "c2")
-    second = second.join(first.select("k1", "p1"), "k1").select("k2", "raw", (F.col("alpha") + F.col("gamma") * F.col("p1")).alias("p2"), "gamma", "p1")
-    second = written(second, "bigram-shares")
-    third, weight_two = _shares(three, "c3")
-    third = third.join(second.select("k2", "p2"), "k2")
-    every = first.select(F.col("k1").alias("key"), F.log(F.col("p1") / F.col("p0")).alias("value"), "raw").unionByName(
-        second.select(F.col("k2").alias("key"), F.log(F.col("p2") / (F.col("gamma") * F.col("p1"))).alias("value"), "raw")).unionByName(
-        third.select(F.col("k3").alias("key"), F.log((F.col("alpha") + F.col("gamma") * F.col("p2")) / (F.col("gamma") * F.col("p2"))).alias("value"), F.col("n").alias("raw")))
-    # A context stands where its gram does; the start of a text is no gram, and stands once a text: its number is that of what follows.
-    starts = counts.groupBy(F.col("c3").alias("key")).agg(F.sum("n").alias("follow")).unionByName(
-        two.groupBy(F.col("c2").alias("key")).agg(F.sum("raw").alias("follow")))
-    weights = weight_one.unionByName(weight_two).select("key", F.log("gamma").alias("value")).join(starts, "key")
-    both = every.withColumn("follow", F.lit(0).cast("long")).unionByName(weights.select("key", "value", F.lit(0).cast("long").alias("raw"), "follow"))
-    summed = both.groupBy("key").agg(F.sum("value").alias("value"), F.greatest(F.max("raw"), F.max("follow")).alias("raw"))
-    return written(summed, "gram-values"), unknown.select("lang", F.log("p0").alias("unknown"))
-
-
-def _every(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray, np.ndarray], emit: Callable, schema: str) -> DataFrame:
-    """emit(batch, tokens of each text, text, key and number of grams, their place in the table of hot grams or -1)."""
-    shared = docs.sparkSession.sparkContext.broadcast(hot[0])
-
+@cache
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """Of each code point: 0 between tokens, 1 a token of its own, 2 part of a word; and its random number."""
+    every = "".join(map(chr, range(0x110000)))
+    kind = np.ones(len(every), np.uint8)
+    for value, of in ((0, r"\s+"), (2, _WORD), (1, rf"[{_ALONE}]+|\n")):
+        for found in re.finditer(of, every):
+            kind[found.start():found.end()] = value
+    return kind, _mix(np.arange(1, len(every) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+_BASE = 0xD1342543DE82EF95
+
+
+def _named(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The names of the tokens of texts in lower case, one text after the other, and their number in each."""
+    kind_of, number_of = _letters()
+    letters = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    ends = np.cumsum([len(x) for x in texts])
+    kind = kind_of[letters]
+    fresh = np.ones(len(letters) + 1, bool)
+    fresh[1:-1] = (kind[1:] != 2) | (kind[:-1] != 2)
+    fresh[ends] = True
+    start = np.flatnonzero(fresh)
+    start, end = start[:-1], start[1:]
+    kept = kind[start] > 0
+    start, end = start[kept], end[kept]
+    # A token's name is a polynomial in _BASE of its letters' numbers, from running sums over all letters.
+    powers = np.cumprod(np.full(len(letters), _BASE, np.uint64))
+    back = np.cumprod(np.full(len(letters), pow(_BASE, -1, 1 << 64), np.uint64))
+    sums = np.zeros(len(letters) + 1, np.uint64)
+    np.cumsum(number_of[letters] * powers, out=sums[1:])
+    names = _mix((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64))
+    return names, np.diff(np.searchsorted(start, np.concatenate([[0], ends])))
+
+
+def names(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    found, own, held = [(np.array([], np.uint64), np.array([], np.int64))], [], 0
+    for text in texts:
+        own.append((text or "").lower())
+        held += len(own[-1])
+        if held > 1 << 20:
+            found.append(_named(own))
+            own, held = [], 0
+    if own:
+        found.append(_named(own))
+    return np.concatenate([x for x, _ in found]), np.concatenate([n for _, n in found])
+
+
+def _seed(lang: str) -> np.uint64:
+    return np.uint64(int.from_bytes(hashlib.blake2b(lang.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little"))
+
+
+class Laid:
+    """The words of texts under a language each, with START twice before and END behind each text."""
+
+    def __init__(self, texts: list[str | None], langs: list[str]) -> None:
+        found, self.tokens = names(texts)
+        size = self.tokens + 3
+        begin = np.cumsum(size) - size
+        every = np.arange(len(texts))
+        self.text = np.repeat(every, size)
+        word = np.empty(len(self.text), np.uint64)
+        word[begin] = word[begin + 1] = START
+        word[begin + size - 1] = END
+        word[np.arange(len(found)) + 3 * np.repeat(every, self.tokens) + 2] = found
+        seeds = {x: _seed(x) for x in set(langs)}
+        self.word = _mix(word + np.array([seeds[x] for x in langs], np.uint64)[self.text]) if len(texts) else word
+        #: Where a trigram ends.
+        self.full = np.flatnonzero(np.arange(len(word)) - np.repeat(begin, size) >= 2)
+
+    def times(self, own: np.ndarray) -> list[np.ndarray]:
+        """How often a text has the word, the pair and the trigram that end at a place, for own texts; else 0."""
+        at = np.flatnonzero(own[self.text])
+        of = self.text[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        back = lambda k: self.word[np.maximum(at - k, 0)]
+        two = _pair(back(1), back(0))
+        found = []
+        for key in (back(0), two, _pair(_pair(back(2), back(1)), back(0))):
+            n = np.zeros(len(self.word), np.uint32)
+            codes = pd.factorize(_mix(key + of))[0]
+            n[at] = np.bincount(codes)[codes] if len(codes) else 0
+            found.append(n)
+        return found
+
+
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return _mix(_mix(a * np.uint64(3)) + b)
+
+
+def _shard(word: np.ndarray, other: np.ndarray, hot: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of a word; a hot one goes to SPREAD of them, by another word."""
+    salt = np.where(_place(hot, word) >= 0, other >> np.uint64(40), np.uint64(0)) % np.uint64(SPREAD)
+    return (_mix(word + salt * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(shards)).astype(np.int64)
+
+
+def _place(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The place of each in the ascending keys, or -1."""
+    if not len(keys):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, at, -1)
+
+
+def _packed(words: list[np.ndarray], numbers: list[np.ndarray]) -> bytes:
+    """Arrays of equal length: each different word once, then codes and numbers by their bytes, as most of these are zero."""
+    codes, own = pd.factorize(np.concatenate(words))
+    columns = [*np.split(codes, len(words)), *numbers]
+    planes = [np.ascontiguousarray(x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes() for x in columns]
+    raw = b"".join([np.array([len(own), len(words[0])], np.int64).tobytes(), own.astype(np.uint64).tobytes(), *planes])
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpacked(blob: bytes, words: int) -> list[np.ndarray]:
+    raw = np.frombuffer(pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd"), np.uint8)
+    kinds, rows = raw[:16].view(np.int64).tolist()
+    own = raw[16:16 + 8 * kinds].view(np.uint64)
+    planes = raw[16 + 8 * kinds:].reshape(-1, 4, rows)
+    columns = [np.ascontiguousarray(x.T).view(np.uint32).ravel() for x in planes]
+    return [own[x] for x in columns[:words]] + columns[words:]
+
+
+def _grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Group of each key, the groups' keys, and where each occurs first."""
+    codes, own = pd.factorize(key)
+    first = np.empty(len(own), np.int64)
+    first[codes[::-1]] = np.arange(len(codes))[::-1]
+    return codes, own.astype(np.uint64), first
+
+
+def _runs(ordered: np.ndarray) -> list[tuple[int, int]]:
+    """Where each run of equal numbers begins and ends."""
+    edges = np.flatnonzero(np.diff(ordered, prepend=-1, append=-1)).tolist()
+    return list(zip(edges, edges[1:], strict=False))
+
+
+#: Rows between tasks. shard, kind and blob: packed rows; langs names the languages in it, row its texts. level, lang, key, c, n: statistics.
+_ROWS = "shard int, kind int, langs array<string>, row array<long>, blob binary, level int, lang string, key long, c long, n long"
+_TYPES = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("langs", pa.list_(pa.string())), ("row", pa.list_(pa.int64())), ("blob", pa.binary()),
+                    ("level", pa.int32()), ("lang", pa.string()), ("key", pa.int64()), ("c", pa.int64()), ("n", pa.int64())])
+_TRIGRAMS, _PAIRS, _WORDS = 0, 1, 2
+
+
+def _measured(docs: DataFrame, share: int) -> DataFrame:
+    """row and tokens of each text; key and n of middle words that are frequent in some slice."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, keys = {}, shared.value
-        for batch in slices(batches, "text", 1 << 20):
-            grams = Grams(batch.column("text").to_pylist(), batch.column("model").to_pylist(), seen)
-            text, key, n = grams.of_texts()
-            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1) if len(keys) else np.zeros(len(key), np.int64)
-            yield emit(batch, grams.sizes - 2, text, key, n, np.where(keys[at] == key, at, -1) if len(keys) else at - 1)
-    return docs.mapInArrow(run, schema)
-
-
-def scored(docs: DataFrame, table: DataFrame) -> DataFrame:
-    """row, tokens and total (sum of values of its grams) of docs (row, model, text, trusted).
-
-    A trusted text is scored without the grams that only it has: else each would look better than any text that wasn't counted.
+        for batch in slices(batches, "text", SLICE):
+            laid = Laid(batch.column("text").to_pylist(), batch.column("model").to_pylist())
+            codes, own = pd.factorize(laid.word[laid.full - 1])
+            n = np.bincount(codes, minlength=len(own))
+            often = np.flatnonzero(n * share > len(codes))
+            none, nothing = pa.nulls(batch.num_rows, pa.int64()), pa.nulls(len(often), pa.int64())
+            columns = [(batch.column("row"), nothing), (pa.array(laid.tokens + 1, pa.int64()), nothing),
+                       (none, pa.array(own[often].astype(np.uint64).view(np.int64))), (none, pa.array(n[often], pa.int64()))]
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in columns], ["row", "tokens", "key", "n"])
+    return docs.select("row", "model", "text").mapInArrow(run, "row long, tokens long, key long, n long")
+
+
+def _sent(docs: DataFrame, pooled: bool, hot: np.ndarray, shards: int, turn: int | None) -> DataFrame:
+    """Packed trigrams of all texts to the shards of this turn by their middle word; turn None: of trusted texts to shards by their last word."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", SLICE):
+            texts, langs, own = (batch.column(x).to_pylist() for x in ("text", "model", "trusted"))
+            k = len(texts)
+            if pooled:                                   # trusted texts count for the pooled model as well; that copy isn't scored
+                more = [j for j in range(k) if own[j] and langs[j] != POOLED]
+                texts, langs, own = texts + [texts[j] for j in more], langs + [POOLED] * len(more), own + [True] * len(more)
+            laid = Laid(texts, langs)
+            known = sorted(set(langs))
+            lang = np.array([known.index(x) for x in langs], np.int64)
+            at, word = laid.full, laid.word
+            if turn is None:
+                shard = _shard(word[at], word[at - 1], hot, shards)
+                numbers = []
+            else:
+                shard = _shard(word[at - 1], word[at - 2], hot, shards)
+                kept = shard % PASSES == turn
+                at, shard = at[kept], shard[kept]
+                one, two, three = laid.times(np.array(own, bool))
+                numbers = [np.minimum(laid.text[at], k), one[at - 1], two[at - 1], two[at], three[at]]
+            numbers = [lang[laid.text[at]], *numbers]
+            order = np.argsort(shard.astype(np.uint16) if shards < 1 << 16 else shard, kind="stable")
+            at, shard, numbers = at[order], shard[order], [x[order] for x in numbers]
+            rows = batch.column("row") if turn is not None else None
+            for a, b in _runs(shard):
+                blob = _packed([word[at[a:b] - 1], word[at[a:b] - 2], word[at[a:b]]], [x[a:b] for x in numbers])
+                row = pa.array([rows.to_pylist() if rows is not None else None], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_pydict({
+                    "shard": [int(shard[a])], "kind": [_TRIGRAMS], "langs": [known], "row": row, "blob": [blob],
+                    **{x: [None] for x in ("level", "lang", "key", "c", "n")}}, _TYPES)
+    used = docs if turn is not None else docs.where("trusted")
+    return used.select("row", "model", "text", "trusted").mapInArrow(run, _ROWS)
+
+
+class _Languages(dict):
+    """Numbers of languages, given as they come."""
+
+    def __missing__(self, lang: str) -> int:
+        self[lang] = len(self)
+        return self[lang]
+
+    def of(self, langs: list[str], local: np.ndarray) -> np.ndarray:
+        return np.array([self[x] for x in langs], np.int64)[local]
+
+
+def _counted(sent: DataFrame, hot: np.ndarray, shards: int) -> DataFrame:
+    """From the trusted trigrams by last word: numbers of grams by their counts, and for the shards by middle word what doesn't belong to that word:
+    of each last word the number of words before it, and the pairs of hot words, which several shards hold.
+    """
+    def count(table: pa.Table) -> pa.Table:
+        ids, parts, out = _Languages(), [], []
+        for langs, blob in zip(table["langs"].to_pylist(), table["blob"].to_pylist(), strict=True):
+            *words, lang = _unpacked(blob, 3)
+            parts.append([*words, ids.of(langs, lang)])
+        middle, before, last, lang = (np.concatenate(x) for x in zip(*parts, strict=True))
+        names = list(ids)
+
+        def statistics(level: int, lang: np.ndarray, c: np.ndarray) -> None:
+            for (x, value), n in zip(*np.unique(np.stack([lang, c], 1), axis=0, return_counts=True), strict=True):
+                out.append({"level": level, "lang": names[x], "c": int(value), "n": int(n)})
+        codes, _, first = _grouped(_pair(_pair(before, middle), last))
+        n = np.bincount(codes)
+        middle, last, lang = middle[first], last[first], lang[first]
+        statistics(3, lang, n)
+        codes, _, first = _grouped(_pair(middle, last))
+        c2, raw = np.bincount(codes), np.bincount(codes, n).astype(np.int64)
+        middle, last, lang = middle[first], last[first], lang[first]
+        statistics(2, lang, c2)
+        codes, word, first = _grouped(last)
+        c1, often = np.bincount(codes), _place(hot, word) >= 0
+        statistics(1, lang[first][~often], c1[~often])
+        for j in np.flatnonzero(often):
+            out.append({"level": 0, "lang": names[lang[first[j]]], "key": int(word[j].view(np.int64)), "c": int(c1[j]), "n": int(raw[codes == j].sum())})
+
+        # A word's number goes where it is a middle word, and where it follows one.
+        each = np.arange(SPREAD, dtype=np.uint64) << np.uint64(40)
+        copied = np.where(_place(hot, middle) >= 0, SPREAD, 1)
+        entry = np.repeat(np.arange(len(middle)), copied)
+        salt = each[np.arange(len(entry)) - np.repeat(np.cumsum(copied) - copied, copied)]
+        to = _shard(middle[entry], salt, hot, shards)
+        needed = ~often[codes[entry]]
+        own = np.flatnonzero(~often)
+        shard = np.concatenate([to[needed], _shard(word[own], word[own], hot, shards)])
+        which = np.concatenate([codes[entry][needed], own])
+        both = np.unique(shard * len(word) + which) if len(word) else np.array([], np.int64)
+        shard, which = both // max(len(word), 1), both % max(len(word), 1)
+        for a, b in _runs(shard):
+            out.append({"shard": int(shard[a]), "kind": _WORDS, "blob": _packed([word[which[a:b]]], [c1[which[a:b]]])})
+        spread = copied[entry] > 1
+        entry, to = entry[spread], to[spread]
+        for x in np.unique(to).tolist():
+            at = np.unique(entry[to == x])
+            out.append({"shard": x, "kind": _PAIRS, "langs": names, "blob": _packed([middle[at], last[at]], [lang[at], c2[at], raw[at]])})
+        return pa.Table.from_pylist(out, _TYPES)
+    return sent.groupBy("shard").applyInArrow(count, _ROWS)
+
+
+def _cuts(counts: dict[int, int]) -> list[float]:
+    """The discounts of one size, from the numbers of grams by count."""
+    n = [counts.get(k, 0) for k in range(5)]
+    if not n[1] + 2 * n[2]:
+        return [0.0] * 4
+    y = n[1] / (n[1] + 2 * n[2])
+    return [0.0, *(min(max(k - (k + 1) * y * n[k + 1] / n[k], 0.0), float(k)) if n[k] else 0.0 for k in (1, 2, 3))]
+
+
+def _cut(cuts: np.ndarray, lang: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """What each count loses: never more than it has, so no share is negative."""
+    return np.minimum(cuts[lang, np.minimum(c, 3)], c)
+
+
+def _scored(sent: DataFrame, model: dict[str, tuple], hot: np.ndarray, hot_c1: np.ndarray) -> DataFrame:
+    """row and total: the sums of values of the trigrams in a shard, of each text."""
+    def score(table: pa.Table) -> pa.Table:
+        kinds, blobs, langs, rows = (table[x].to_pylist() for x in ("kind", "blob", "langs", "row"))
+        ids, parts, given, words = _Languages(), [], [], [(np.array([], np.uint64), np.array([], np.int64))]
+        for kind, blob, own in zip(kinds, blobs, langs, strict=True):
+            if kind == _TRIGRAMS:
+                middle, before, last, lang, _, one, *_ = _unpacked(blob, 3)
+                used = one > 0
+                if used.any():
+                    parts.append([middle[used], before[used], last[used], ids.of(own, lang[used])])
+            elif kind == _PAIRS:
+                middle, last, lang, c2, raw = _unpacked(blob, 2)
+                given.append([middle, last, ids.of(own, lang), c2.astype(np.int64), raw.astype(np.int64)])
+            else:
+                word, c1 = _unpacked(blob, 1)
+                words.append((word, c1.astype(np.int64)))
+        empty = pa.table({"row": pa.array([], pa.int64()), "total": pa.array([], pa.float64())})
+        if not parts and not given:
+            return empty
+        none = [np.array([], np.uint64)] * 3 + [np.array([], np.int64)]
+        middle, before, last, lang = (np.concatenate(x) for x in zip(none, *parts, strict=True))
+        cuts = np.array([[model[x][level] for level in range(3)] for x in ids])          # language, size - 1, count
+        total1, p0 = (np.array([model[x][k] for x in ids]) for k in (3, 4))
+
+        # Trigrams and their contexts.
+        codes, three, first = _grouped(_pair(_pair(before, middle), last))
+        n3 = np.bincount(codes, minlength=len(three))
+        middle, before, last, lang = middle[first], before[first], last[first], lang[first]
+        cut3 = _cut(cuts[:, 2], lang, n3)
+        context, contexts, _ = _grouped(_pair(before, middle))
+        n_context = np.bincount(context, n3, len(contexts))
+        gamma3 = np.maximum(np.bincount(context, cut3, len(contexts)) / n_context, 1e-6)
+
+        # Pairs: of a hot word as given, else as counted here.
+        cold = np.flatnonzero(_place(hot, middle) < 0)
+        codes, _, first = _grouped(_pair(middle[cold], last[cold]))
+        first = cold[first]
+        pairs = [[middle[first], last[first], lang[first], np.bincount(codes, minlength=len(first)), np.bincount(codes, n3[cold], len(first)).astype(np.int64)], *given]
+        head, tail, of, c2, raw2 = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        two = _pair(head, tail)
+        in_word, heads, first = _grouped(head)
+        cut2, total2 = _cut(cuts[:, 1], of, c2), np.bincount(in_word, c2)
+        gamma2 = np.maximum(np.bincount(in_word, cut2) / total2, 1e-6)
+        follow = np.bincount(in_word, raw2)
+
+        # Words. START is a context only.
+        word, c1 = (np.concatenate(x) for x in zip(*words, (hot, hot_c1), strict=True))
+        _, word, at = _grouped(word)
+        number = pd.Index(word)
+        c1 = c1[at]
+
+        def p1(wanted: np.ndarray, lang: np.ndarray) -> np.ndarray:
+            at = number.get_indexer(wanted)
+            c = np.where(at >= 0, c1[at], 0)
+            return np.where(c > 0, (c - _cut(cuts[:, 0], lang, c)) / total1[lang], 0) + p0[lang]
+        share = p1(tail, of)
+        p2 = (c2 - cut2) / total2[in_word] + gamma2[in_word] * share
+        value2 = np.log(p2 / (gamma2[in_word] * share))
+        value1 = np.log(p1(heads, of[first]) / p0[of[first]]) + np.log(gamma2)
+        place2 = pd.Index(two)
+        below = gamma3[context] * p2[place2.get_indexer(_pair(middle, last))]
+        value3 = np.log(((n3 - cut3) / n_context[context] + below) / below)
+        log3 = np.log(gamma3)
+
+        def values(index: pd.Index, wanted: np.ndarray, n: np.ndarray, raw: np.ndarray, value: np.ndarray) -> np.ndarray:
+            """A trusted text is scored without the grams that only it has: else each would look better than any text that wasn't counted."""
+            at = index.get_indexer(wanted)
+            return np.where((at >= 0) & (raw[at] > n), value[at], 0) if len(value) else np.zeros(len(wanted))
+        indexes = [(pd.Index(heads), follow, value1), (pd.Index(contexts), n_context, log3), (place2, raw2, value2), (pd.Index(three), n3, value3)]
+        out_rows, out_totals = [], []
+        for kind, blob, row in zip(kinds, blobs, rows, strict=True):
+            if kind != _TRIGRAMS:
+                continue
+            middle, before, last, _, text, *times = _unpacked(blob, 3)
+            start = _pair(before, middle)
+            value = sum(values(index, wanted, n, raw, value) for (index, raw, value), wanted, n in
+                        zip(indexes, (middle, start, _pair(middle, last), _pair(start, last)), times, strict=True))
+            total = np.bincount(text, value, len(row) + 1)[:len(row)]
+            some = np.flatnonzero(total)
+            out_rows.append(np.array(row, np.int64)[some])
+            out_totals.append(total[some])
+        return pa.table({"row": np.concatenate(out_rows), "total": np.concatenate(out_totals)}) if out_rows else empty
+    return sent.groupBy("shard").applyInArrow(score, "row long, total double")
+
+
+@contextmanager
+def _freed(spark: SparkSession) -> Iterator[None]:
+    """Within, the shuffle files of a query go when it has ended, not when the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
+def scored(docs: DataFrame, pooled: bool) -> tuple[DataFrame, DataFrame]:
+    """row, tokens and total (sum of values of its grams) of docs (row, model, text, trusted); and (model, unknown, last, texts): the log probability of an
+    unseen token, the value of a text's end, and the number of trusted texts. With pooled, trusted text is counted under POOLED as well.
     """
-    most = table.agg(F.sum("raw")).first()[0] or 0
-    # Keys of one size have a third of all numbers, so at most 3 * HOT_SHARE keys have more than 1 in HOT_SHARE of a size.
-    least = most / (3 * HOT_SHARE)
-    frame = table.where(F.col("raw") > least).toPandas()
-    keys = frame["key"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    hot = (keys[order], frame["value"].to_numpy(float)[order], frame["raw"].to_numpy(np.int64)[order])
-    shared = docs.sparkSession.sparkContext.broadcast(hot[1:])
-
-    def near(batch: pa.RecordBatch, n_tokens: np.ndarray, text: np.ndarray, key: np.ndarray, n: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-        value, raw = shared.value
-        own = np.array(batch.column("trusted").to_pylist(), bool)
-        used = at >= 0
-        used[used] = ~own[text[used]] | (raw[at[used]] > n[used])
-        total = np.bincount(text[used], value[at[used]] * n[used], batch.num_rows)
-        return pa.RecordBatch.from_arrays([batch.column("row"), pa.array(n_tokens, pa.int64()), pa.array(total, pa.float64())], ["row", "tokens", "total"])
-
-    def far(batch: pa.RecordBatch, n_tokens: np.ndarray, text: np.ndarray, key: np.ndarray, n: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-        rest = at < 0
-        return pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(text[rest])), batch.column("trusted").take(pa.array(text[rest])),
-                                           pa.array(key[rest].view(np.int64)), pa.array(n[rest], pa.int32())], ["row", "trusted", "key", "times"])
-    base = _every(docs, hot, near, "row long, tokens long, total double")
-    cold = table.where(F.col("raw") <= least)
-    found = _every(docs, hot, far, "row long, trusted boolean, key long, times int").join(cold, "key").where("not trusted or raw > times")
-    rest = found.select("row", F.lit(None).cast("long").alias("tokens"), (F.col("value") * F.col("times")).alias("total"))
-    # Repeated rows are equal: each brings the same sum, so the number of base rows divides both.
-    every = base.withColumn("rows", F.lit(1)).unionByName(rest.withColumn("rows", F.lit(0)))
-    return every.groupBy("row").agg(F.max("tokens").alias("tokens"), (F.sum("total") / F.sum("rows")).alias("total"))
+    spark = docs.sparkSession
+    with _freed(spark):
+        return _all_scored(spark, docs, pooled)
+
+
+def _all_scored(spark: SparkSession, docs: DataFrame, pooled: bool) -> tuple[DataFrame, DataFrame]:
+    def kept(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+        path = new_path(spark, name)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path), path
+    measured, _ = kept(_measured(docs, HOT_SHARE), "text-sizes")
+    every = measured.agg(F.sum("tokens")).first()[0] or 0
+    often = measured.where("key is not null").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") * 2 * HOT_SHARE > every)
+    langs = [x[0] for x in docs.where("trusted").select("model").distinct().collect()]
+    langs = sorted({*langs, POOLED} if pooled else langs)
+    ends = {x: _mix(np.array([END], np.uint64) + _seed(x))[0] for x in langs}
+    hot = np.unique(np.array([*(np.int64(x[0]).view(np.uint64) for x in often.select("key").collect()), *ends.values()], np.uint64))
+    shards = PASSES * max(2, math.ceil(every / SHARD / PASSES))
+    counted, path = kept(_counted(_sent(docs, pooled, hot, max(2, shards // 2), None), hot, shards), "gram-counts")
+    counts: dict[str, list[dict[int, int]]] = {x: [{}, {}, {}] for x in langs}
+    for r in counted.where("level > 0").groupBy("lang", "level", "c").agg(F.sum("n").alias("n")).collect():
+        counts[r.lang][r.level - 1][r.c] = r.n
+    hot_words = {np.int64(r.key).view(np.uint64): r for r in counted.where("level = 0").groupBy("lang", "key").agg(F.sum("c").alias("c"), F.sum("n").alias("n")).collect()}
+    for r in hot_words.values():
+        counts[r.lang][0][r.c] = counts[r.lang][0].get(r.c, 0) + 1
+    model, ends_of = {}, []
+    for lang, own in counts.items():
+        if not own[0]:
+            continue
+        cuts = [_cuts(x) for x in own]
+        total = sum(c * n for c, n in own[0].items())
+        gamma = max(sum(min(cuts[0][min(c, 3)], c) * n for c, n in own[0].items()) / total, 1e-6)
+        p0 = gamma / (sum(own[0].values()) + 1)
+        model[lang] = (*cuts, total, p0)
+        end = hot_words[ends[lang]]
+        ends_of.append((lang, math.log(p0), math.log(((end.c - min(cuts[0][min(end.c, 3)], end.c)) / total + p0) / p0), end.n))
+    hot_c1 = np.array([hot_words[x].c if x in hot_words else 0 for x in hot], np.int64)
+    sums = []
+    for turn in range(PASSES if model else 0):
+        sent = _sent(docs, pooled, hot, shards, turn).unionByName(counted.where(f"shard % {PASSES} = {turn}"))
+        sums.append(kept(_scored(sent, model, hot, hot_c1).groupBy("row").agg(F.sum("total").alias("total")), "text-sums")[0])
+    removed(spark, path)
+    # Repeated rows are equal: each brings the same sum.
+    found = measured.where("row is not null").groupBy("row").agg(F.max("tokens").alias("tokens"), F.count(F.lit(1)).alias("times"))
+    empty = spark.createDataFrame([], "row long, total double")
+    found = found.join(reduce(DataFrame.unionByName, sums, empty).groupBy("row").agg(F.sum("total").alias("total")), "row", "left")
+    return found.select("row", "tokens", F.coalesce(F.col("total") / F.col("times"), F.lit(0.0)).alias("total")), spark.createDataFrame(
+        ends_of, "model string, unknown double, last double, texts long")
