@@ -34,9 +34,7 @@ def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> Da
     languages = small_ids(trusted.select(F.col("lang").alias("_known")).distinct(), "languages")
     rows = rows.join(languages, F.col("_own") == F.col("_known"), "left").withColumn("model", F.coalesce("_known", F.lit(POOLED))).drop("_own", "_known")
     rows = rows.withColumn("row", F.xxhash64("doc_id", "lang", "text"))
-    # The pooled model is counted only if a row needs it.
-    pooled = not rows.where((F.col("model") == POOLED) & (F.col("n_symbols") > 0)).isEmpty()
-    sums, models = wordmodel.scored(rows.where("n_symbols > 0").select("row", "model", "text", "trusted"), pooled)
+    sums, models = wordmodel.scored(rows.where("n_symbols > 0").select("row", "model", "text", "trusted"))
     found = rows.drop("text").join(sums, "row", "left").join(small_rows(models), "model", "left")
     # The end of a text, too, is left out of a trusted text that alone has it.
     total = F.col("total") + F.when(F.col("trusted") & (F.col("texts") <= 1), 0.0).otherwise(F.col("last"))

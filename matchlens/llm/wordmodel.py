@@ -22,12 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlens.llm.common import new_path, removed, slices
+from matchlens.llm.common import BATCH_BYTES, give_back, new_path, removed, slices
 
 HOT_SHARE = 50               # a middle word with more than this part of all tokens goes to SPREAD shards
 SPREAD = 4
-PASSES = 4
-SHARD = 2_000_000            # trigrams of a shard, about
+PASSES = 3
+SHARD = 4_000_000            # trigrams of a shard, about
+LEAST_SHARDS = 8
 SLICE = 8 << 20              # bytes of text that are packed at once
 POOLED = ""
 START, END = np.uint64(1), np.uint64(2)
@@ -48,6 +49,21 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces of about SLICE bytes of text, from batches of any size."""
+    def joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    held, size = [], 0
+    for batch in slices(batches, "text", SLICE):
+        held.append(batch)
+        size += batch.nbytes
+        if size > SLICE - SLICE // 8:
+            yield joined(held)
+            held, size = [], 0
+    if held:
+        yield joined(held)
+
+
 @cache
 def _letters() -> tuple[np.ndarray, np.ndarray]:
     """Of each code point: 0 between tokens, 1 a token of its own, 2 part of a word; and its random number."""
@@ -60,6 +76,12 @@ def _letters() -> tuple[np.ndarray, np.ndarray]:
 
 
 _BASE = 0xD1342543DE82EF95
+_CHUNK = 1 << 16
+
+
+@cache
+def _powers(letters: int) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.cumprod(np.full(letters, x, np.uint64)) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
 
 
 def _named(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -76,10 +98,9 @@ def _named(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     kept = kind[start] > 0
     start, end = start[kept], end[kept]
     # A token's name is a polynomial in _BASE of its letters' numbers, from running sums over all letters.
-    powers = np.cumprod(np.full(len(letters), _BASE, np.uint64))
-    back = np.cumprod(np.full(len(letters), pow(_BASE, -1, 1 << 64), np.uint64))
+    powers, back = _powers(2 * _CHUNK) if len(letters) <= 2 * _CHUNK else _powers.__wrapped__(len(letters))
     sums = np.zeros(len(letters) + 1, np.uint64)
-    np.cumsum(number_of[letters] * powers, out=sums[1:])
+    np.cumsum(number_of[letters] * powers[:len(letters)], out=sums[1:])
     names = _mix((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64))
     return names, np.diff(np.searchsorted(start, np.concatenate([[0], ends])))
 
@@ -89,7 +110,7 @@ def names(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     for text in texts:
         own.append((text or "").lower())
         held += len(own[-1])
-        if held > 1 << 20:
+        if held > _CHUNK:
             found.append(_named(own))
             own, held = [], 0
     if own:
@@ -119,18 +140,24 @@ class Laid:
         #: Where a trigram ends.
         self.full = np.flatnonzero(np.arange(len(word)) - np.repeat(begin, size) >= 2)
 
-    def times(self, own: np.ndarray) -> list[np.ndarray]:
-        """How often a text has the word, the pair and the trigram that end at a place, for own texts; else 0."""
-        at = np.flatnonzero(own[self.text])
-        of = self.text[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        back = lambda k: self.word[np.maximum(at - k, 0)]
-        two = _pair(back(1), back(0))
+    def times(self, own: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+        """How often a text has the middle word, the first and the last pair and the trigram of those at these places, for own texts; else 0.
+
+        The places have all trigrams that begin with the same pair, or none.
+        """
+        salt = self.text.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        every, some = self.full[own[self.text[self.full]]], np.flatnonzero(own[self.text[at]])
+        back = lambda at, k: self.word[at - k]
+        here = at[some]
+        first = _pair(back(here, 2), back(here, 1))
         found = []
-        for key in (back(0), two, _pair(_pair(back(2), back(1)), back(0))):
-            n = np.zeros(len(self.word), np.uint32)
-            codes = pd.factorize(_mix(key + of))[0]
-            n[at] = np.bincount(codes)[codes] if len(codes) else 0
-            found.append(n)
+        for key in (back(every, 1), first, _pair(back(every, 1), back(every, 0)), _pair(first, back(here, 0))):
+            whole = len(key) == len(every) and len(found) in (0, 2)
+            codes = pd.factorize(_mix(key + salt[every if whole else here]))[0]
+            times = np.bincount(codes)[codes] if len(codes) else codes
+            n = np.zeros(len(self.word), np.uint32) if whole else np.zeros(len(at), np.uint32)
+            n[every if whole else some] = times
+            found.append(n[at] if whole else n)
         return found
 
 
@@ -140,16 +167,21 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _shard(word: np.ndarray, other: np.ndarray, hot: np.ndarray, shards: int) -> np.ndarray:
     """The shard of a word; a hot one goes to SPREAD of them, by another word."""
-    salt = np.where(_place(hot, word) >= 0, other >> np.uint64(40), np.uint64(0)) % np.uint64(SPREAD)
-    return (_mix(word + salt * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(shards)).astype(np.int64)
+    salted = word.copy()
+    at = np.flatnonzero(_among(hot, word))
+    salted[at] += (other[at] >> np.uint64(40)) % np.uint64(SPREAD) * np.uint64(0x9E3779B97F4A7C15)
+    return ((_mix(salted) >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
-def _place(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """The place of each in the ascending keys, or -1."""
-    if not len(keys):
-        return np.full(len(wanted), -1)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, at, -1)
+def _among(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Whether each is one of a few keys."""
+    bits = np.uint64((1 << 16) - 1)
+    some = np.zeros(1 << 16, bool)
+    some[keys & bits] = True
+    found = some[wanted & bits]
+    at = np.flatnonzero(found)
+    found[at] = np.isin(wanted[at], keys)
+    return found
 
 
 def _packed(words: list[np.ndarray], numbers: list[np.ndarray]) -> bytes:
@@ -161,13 +193,18 @@ def _packed(words: list[np.ndarray], numbers: list[np.ndarray]) -> bytes:
     return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
-def _unpacked(blob: bytes, words: int) -> list[np.ndarray]:
-    raw = np.frombuffer(pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd"), np.uint8)
+def _unpacked(blob: pa.Buffer, words: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """The different words, the arrays' places in these, and the numbers."""
+    raw = np.frombuffer(pa.decompress(blob.slice(8), int.from_bytes(blob.slice(0, 8), "little"), "zstd"), np.uint8)
     kinds, rows = raw[:16].view(np.int64).tolist()
     own = raw[16:16 + 8 * kinds].view(np.uint64)
     planes = raw[16 + 8 * kinds:].reshape(-1, 4, rows)
     columns = [np.ascontiguousarray(x.T).view(np.uint32).ravel() for x in planes]
-    return [own[x] for x in columns[:words]] + columns[words:]
+    return own, columns[:words], columns[words:]
+
+
+def _blobs(table: pa.Table) -> Iterator[pa.Buffer]:
+    return (x.as_buffer() for x in table["blob"])
 
 
 def _grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -192,24 +229,28 @@ _TRIGRAMS, _PAIRS, _WORDS = 0, 1, 2
 
 
 def _measured(docs: DataFrame, share: int) -> DataFrame:
-    """row and tokens of each text; key and n of middle words that are frequent in some slice."""
+    """row, model, trusted and tokens of each text; key and n of tokens that are frequent in some slice."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", SLICE):
-            laid = Laid(batch.column("text").to_pylist(), batch.column("model").to_pylist())
-            codes, own = pd.factorize(laid.word[laid.full - 1])
-            n = np.bincount(codes, minlength=len(own))
-            often = np.flatnonzero(n * share > len(codes))
-            none, nothing = pa.nulls(batch.num_rows, pa.int64()), pa.nulls(len(often), pa.int64())
-            columns = [(batch.column("row"), nothing), (pa.array(laid.tokens + 1, pa.int64()), nothing),
-                       (none, pa.array(own[often].astype(np.uint64).view(np.int64))), (none, pa.array(n[often], pa.int64()))]
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in columns], ["row", "tokens", "key", "n"])
-    return docs.select("row", "model", "text").mapInArrow(run, "row long, tokens long, key long, n long")
+        for batch in _slices(batches):
+            found, tokens = names(batch.column("text").to_pylist())
+            # A frequent word makes the number of its last bits frequent; START comes once a text.
+            last = (found & np.uint64(0xFFFF)).astype(np.int64)
+            some = found[(np.bincount(last, minlength=1 << 16) * share > len(found))[last]]
+            own, n = np.unique(np.concatenate([some, np.repeat(START, batch.num_rows)]), return_counts=True)
+            often = np.flatnonzero(n * share > len(found) + batch.num_rows)
+            columns = [batch.column("row"), batch.column("model"), batch.column("trusted"), pa.array(tokens + 1, pa.int64())]
+            more = [pa.array(own[often].view(np.int64)), pa.array(n[often], pa.int64())]
+            columns = [pa.concat_arrays([x, pa.nulls(len(often), x.type)]) for x in columns] + [pa.concat_arrays([pa.nulls(batch.num_rows, x.type), x]) for x in more]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "model", "trusted", "tokens", "key", "n"])
+    return docs.select("row", "model", "trusted", "text").mapInArrow(run, "row long, model string, trusted boolean, tokens long, key long, n long")
 
 
 def _sent(docs: DataFrame, pooled: bool, hot: np.ndarray, shards: int, turn: int | None) -> DataFrame:
     """Packed trigrams of all texts to the shards of this turn by their middle word; turn None: of trusted texts to shards by their last word."""
+    passes = PASSES
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", SLICE):
+        for batch in _slices(batches):
             texts, langs, own = (batch.column(x).to_pylist() for x in ("text", "model", "trusted"))
             k = len(texts)
             if pooled:                                   # trusted texts count for the pooled model as well; that copy isn't scored
@@ -224,10 +265,9 @@ def _sent(docs: DataFrame, pooled: bool, hot: np.ndarray, shards: int, turn: int
                 numbers = []
             else:
                 shard = _shard(word[at - 1], word[at - 2], hot, shards)
-                kept = shard % PASSES == turn
+                kept = shard % passes == turn
                 at, shard = at[kept], shard[kept]
-                one, two, three = laid.times(np.array(own, bool))
-                numbers = [np.minimum(laid.text[at], k), one[at - 1], two[at - 1], two[at], three[at]]
+                numbers = [np.minimum(laid.text[at], k), *laid.times(np.array(own, bool), at)]
             numbers = [lang[laid.text[at]], *numbers]
             order = np.argsort(shard.astype(np.uint16) if shards < 1 << 16 else shard, kind="stable")
             at, shard, numbers = at[order], shard[order], [x[order] for x in numbers]
@@ -259,15 +299,15 @@ def _counted(sent: DataFrame, hot: np.ndarray, shards: int) -> DataFrame:
     """
     def count(table: pa.Table) -> pa.Table:
         ids, parts, out = _Languages(), [], []
-        for langs, blob in zip(table["langs"].to_pylist(), table["blob"].to_pylist(), strict=True):
-            *words, lang = _unpacked(blob, 3)
-            parts.append([*words, ids.of(langs, lang)])
+        for langs, blob in zip(table["langs"].to_pylist(), _blobs(table), strict=True):
+            own, codes, (lang,) = _unpacked(blob, 3)
+            parts.append([*(own[x] for x in codes), ids.of(langs, lang)])
         middle, before, last, lang = (np.concatenate(x) for x in zip(*parts, strict=True))
         names = list(ids)
 
         def statistics(level: int, lang: np.ndarray, c: np.ndarray) -> None:
-            for (x, value), n in zip(*np.unique(np.stack([lang, c], 1), axis=0, return_counts=True), strict=True):
-                out.append({"level": level, "lang": names[x], "c": int(value), "n": int(n)})
+            for x, n in zip(*(y.tolist() for y in np.unique(c * len(names) + lang, return_counts=True)), strict=True):
+                out.append({"level": level, "lang": names[x % len(names)], "c": x // len(names), "n": n})
         codes, _, first = _grouped(_pair(_pair(before, middle), last))
         n = np.bincount(codes)
         middle, last, lang = middle[first], last[first], lang[first]
@@ -277,14 +317,14 @@ def _counted(sent: DataFrame, hot: np.ndarray, shards: int) -> DataFrame:
         middle, last, lang = middle[first], last[first], lang[first]
         statistics(2, lang, c2)
         codes, word, first = _grouped(last)
-        c1, often = np.bincount(codes), _place(hot, word) >= 0
+        c1, often = np.bincount(codes), _among(hot, word)
         statistics(1, lang[first][~often], c1[~often])
         for j in np.flatnonzero(often):
             out.append({"level": 0, "lang": names[lang[first[j]]], "key": int(word[j].view(np.int64)), "c": int(c1[j]), "n": int(raw[codes == j].sum())})
 
         # A word's number goes where it is a middle word, and where it follows one.
         each = np.arange(SPREAD, dtype=np.uint64) << np.uint64(40)
-        copied = np.where(_place(hot, middle) >= 0, SPREAD, 1)
+        copied = np.where(_among(hot, middle), SPREAD, 1)
         entry = np.repeat(np.arange(len(middle)), copied)
         salt = each[np.arange(len(entry)) - np.repeat(np.cumsum(copied) - copied, copied)]
         to = _shard(middle[entry], salt, hot, shards)
@@ -322,25 +362,24 @@ def _cut(cuts: np.ndarray, lang: np.ndarray, c: np.ndarray) -> np.ndarray:
 def _scored(sent: DataFrame, model: dict[str, tuple], hot: np.ndarray, hot_c1: np.ndarray) -> DataFrame:
     """row and total: the sums of values of the trigrams in a shard, of each text."""
     def score(table: pa.Table) -> pa.Table:
-        kinds, blobs, langs, rows = (table[x].to_pylist() for x in ("kind", "blob", "langs", "row"))
+        kinds, langs = table["kind"].to_pylist(), table["langs"].to_pylist()
         ids, parts, given, words = _Languages(), [], [], [(np.array([], np.uint64), np.array([], np.int64))]
-        for kind, blob, own in zip(kinds, blobs, langs, strict=True):
+        for kind, blob, known in zip(kinds, _blobs(table), langs, strict=True):
+            own, codes, numbers = _unpacked(blob, 1 + (kind == _PAIRS) + 2 * (kind == _TRIGRAMS))
             if kind == _TRIGRAMS:
-                middle, before, last, lang, _, one, *_ = _unpacked(blob, 3)
-                used = one > 0
-                if used.any():
-                    parts.append([middle[used], before[used], last[used], ids.of(own, lang[used])])
+                used = np.flatnonzero(numbers[2])
+                if len(used):
+                    parts.append([*(own[x[used]] for x in codes), ids.of(known, numbers[0][used])])
             elif kind == _PAIRS:
-                middle, last, lang, c2, raw = _unpacked(blob, 2)
-                given.append([middle, last, ids.of(own, lang), c2.astype(np.int64), raw.astype(np.int64)])
+                given.append([*(own[x] for x in codes), ids.of(known, numbers[0]), *(x.astype(np.int64) for x in numbers[1:])])
             else:
-                word, c1 = _unpacked(blob, 1)
-                words.append((word, c1.astype(np.int64)))
+                words.append((own[codes[0]], numbers[0].astype(np.int64)))
         empty = pa.table({"row": pa.array([], pa.int64()), "total": pa.array([], pa.float64())})
         if not parts and not given:
             return empty
         none = [np.array([], np.uint64)] * 3 + [np.array([], np.int64)]
         middle, before, last, lang = (np.concatenate(x) for x in zip(none, *parts, strict=True))
+        del parts
         cuts = np.array([[model[x][level] for level in range(3)] for x in ids])          # language, size - 1, count
         total1, p0 = (np.array([model[x][k] for x in ids]) for k in (3, 4))
 
@@ -354,7 +393,7 @@ def _scored(sent: DataFrame, model: dict[str, tuple], hot: np.ndarray, hot_c1: n
         gamma3 = np.maximum(np.bincount(context, cut3, len(contexts)) / n_context, 1e-6)
 
         # Pairs: of a hot word as given, else as counted here.
-        cold = np.flatnonzero(_place(hot, middle) < 0)
+        cold = np.flatnonzero(~_among(hot, middle))
         codes, _, first = _grouped(_pair(middle[cold], last[cold]))
         first = cold[first]
         pairs = [[middle[first], last[first], lang[first], np.bincount(codes, minlength=len(first)), np.bincount(codes, n3[cold], len(first)).astype(np.int64)], *given]
@@ -383,50 +422,72 @@ def _scored(sent: DataFrame, model: dict[str, tuple], hot: np.ndarray, hot_c1: n
         below = gamma3[context] * p2[place2.get_indexer(_pair(middle, last))]
         value3 = np.log(((n3 - cut3) / n_context[context] + below) / below)
         log3 = np.log(gamma3)
+        del middle, before, last, lang, codes, cut3, context, below, pairs, head, tail, p2, share, cold
 
-        def values(index: pd.Index, wanted: np.ndarray, n: np.ndarray, raw: np.ndarray, value: np.ndarray) -> np.ndarray:
+        def standing(at: np.ndarray, n: np.ndarray, raw: np.ndarray, value: np.ndarray) -> np.ndarray:
             """A trusted text is scored without the grams that only it has: else each would look better than any text that wasn't counted."""
-            at = index.get_indexer(wanted)
-            return np.where((at >= 0) & (raw[at] > n), value[at], 0) if len(value) else np.zeros(len(wanted))
-        indexes = [(pd.Index(heads), follow, value1), (pd.Index(contexts), n_context, log3), (place2, raw2, value2), (pd.Index(three), n3, value3)]
+            found = np.where(at >= 0, value[at], 0)
+            own = np.flatnonzero(n)
+            found[own[raw[at[own]] <= n[own]]] = 0
+            return found
+        place1, place_context, place3 = pd.Index(heads), pd.Index(contexts), pd.Index(three)
         out_rows, out_totals = [], []
-        for kind, blob, row in zip(kinds, blobs, rows, strict=True):
+        for kind, blob, row in zip(kinds, _blobs(table), table["row"], strict=True):
             if kind != _TRIGRAMS:
                 continue
-            middle, before, last, _, text, *times = _unpacked(blob, 3)
+            own, (middle, before, last), (_, text, *times) = _unpacked(blob, 3)
+            # Only a word that trusted text has can begin a known pair, and only known pairs can make a known trigram.
+            at = place1.get_indexer(own)[middle]
+            known = np.flatnonzero(at >= 0)
+            at, text, one, two, pair, trigram = (x[known] for x in (at, text, *times))
+            middle, before, last = (own[x[known]] for x in (middle, before, last))
             start = _pair(before, middle)
-            value = sum(values(index, wanted, n, raw, value) for (index, raw, value), wanted, n in
-                        zip(indexes, (middle, start, _pair(middle, last), _pair(start, last)), times, strict=True))
-            total = np.bincount(text, value, len(row) + 1)[:len(row)]
+            value = standing(at, one, follow, value1)
+            at_start, at_pair = place_context.get_indexer(start), place2.get_indexer(_pair(middle, last))
+            value += standing(at_pair, pair, raw2, value2)
+            if len(three):
+                value += standing(at_start, two, n_context, log3)
+                both = np.flatnonzero((at_start >= 0) & (at_pair >= 0))
+                value[both] += standing(place3.get_indexer(_pair(start[both], last[both])), trigram[both], n3, value3)
+            row = row.values.to_numpy()
+            total = np.bincount(text, value, len(row) + 1)[:len(row)].astype(float)
             some = np.flatnonzero(total)
-            out_rows.append(np.array(row, np.int64)[some])
+            out_rows.append(row[some])
             out_totals.append(total[some])
         return pa.table({"row": np.concatenate(out_rows), "total": np.concatenate(out_totals)}) if out_rows else empty
-    return sent.groupBy("shard").applyInArrow(score, "row long, total double")
+
+    def run(table: pa.Table) -> pa.Table:
+        try:
+            return score(table)
+        finally:
+            give_back()
+    return sent.groupBy("shard").applyInArrow(run, "row long, total double")
 
 
 @contextmanager
-def _freed(spark: SparkSession) -> Iterator[None]:
-    """Within, the shuffle files of a query go when it has ended, not when the driver happens to collect its garbage."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
+def _settings(spark: SparkSession) -> Iterator[None]:
+    """Within, the shuffle files of a query go when it has ended, not when the driver happens to collect its garbage, and rows go to Python in small batches."""
+    wanted = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+        for name, value in before.items():
+            spark.conf.set(name, value) if value is not None else spark.conf.unset(name)
 
 
-def scored(docs: DataFrame, pooled: bool) -> tuple[DataFrame, DataFrame]:
+def scored(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """row, tokens and total (sum of values of its grams) of docs (row, model, text, trusted); and (model, unknown, last, texts): the log probability of an
-    unseen token, the value of a text's end, and the number of trusted texts. With pooled, trusted text is counted under POOLED as well.
+    unseen token, the value of a text's end, and the number of trusted texts. If a text's model is POOLED, all trusted text is counted there as well.
     """
     spark = docs.sparkSession
-    with _freed(spark):
-        return _all_scored(spark, docs, pooled)
+    with _settings(spark):
+        return _all_scored(spark, docs)
 
 
-def _all_scored(spark: SparkSession, docs: DataFrame, pooled: bool) -> tuple[DataFrame, DataFrame]:
+def _all_scored(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     def kept(df: DataFrame, name: str) -> tuple[DataFrame, str]:
         path = new_path(spark, name)
         df.write.parquet(path)
@@ -434,11 +495,14 @@ def _all_scored(spark: SparkSession, docs: DataFrame, pooled: bool) -> tuple[Dat
     measured, _ = kept(_measured(docs, HOT_SHARE), "text-sizes")
     every = measured.agg(F.sum("tokens")).first()[0] or 0
     often = measured.where("key is not null").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") * 2 * HOT_SHARE > every)
-    langs = [x[0] for x in docs.where("trusted").select("model").distinct().collect()]
-    langs = sorted({*langs, POOLED} if pooled else langs)
+    uses = measured.where("row is not null").select("model", "trusted").distinct().collect()
+    langs = sorted({x.model for x in uses if x.trusted})
+    pooled = bool(langs) and any(x.model == POOLED for x in uses)      # counted only if a text needs it
+    langs = sorted({*langs, POOLED}) if pooled else langs
     ends = {x: _mix(np.array([END], np.uint64) + _seed(x))[0] for x in langs}
-    hot = np.unique(np.array([*(np.int64(x[0]).view(np.uint64) for x in often.select("key").collect()), *ends.values()], np.uint64))
-    shards = PASSES * max(2, math.ceil(every / SHARD / PASSES))
+    frequent = np.array([x[0] for x in often.select("key").collect()], np.int64).view(np.uint64)
+    hot = np.unique(np.concatenate([np.array([*ends.values()], np.uint64), *(_mix(frequent + _seed(x)) for x in langs)]))
+    shards = PASSES * max(LEAST_SHARDS, math.ceil(every / SHARD / PASSES))
     counted, path = kept(_counted(_sent(docs, pooled, hot, max(2, shards // 2), None), hot, shards), "gram-counts")
     counts: dict[str, list[dict[int, int]]] = {x: [{}, {}, {}] for x in langs}
     for r in counted.where("level > 0").groupBy("lang", "level", "c").agg(F.sum("n").alias("n")).collect():

@@ -1,6 +1,7 @@
 """Language identification and perplexity."""
 
 import math
+import os
 import zlib
 
 import numpy as np
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from matchlens.llm import langid, quality, wordmodel
+from matchlens.llm.common import shared_folder
 
 SF = "/root/testdata/sf0.01"
 
@@ -161,3 +163,40 @@ def test_word_model_equals_dictionaries(spark):
         own = ["<", "<", *wordmodel.tokens(text), ">"]
         logs = [math.log(p(tuple(own[j - 2:j + 1]))) for j in range(2, len(own))]
         assert found[k] == pytest.approx(math.exp(-sum(logs) / len(logs)), rel=1e-6)
+
+
+def test_names_follow_tokens():
+    random = np.random.default_rng(4)
+    letters = [*"aAbİΣς'-_ \t\n\r\u00a0\u0301\u3000\u4e00\u3042\u0e01\u0915\u094d\U00020000\U0001f600\0.,", "the "]
+    texts = [None, "", " ", "\n", *("".join(random.choice(letters, int(n))) for n in random.integers(1, 60, 400)), "ab" * 100_000, "", "ab ba aab aba baa"]
+    found, n = wordmodel.names(texts)
+    words = [x for text in texts for x in wordmodel.tokens(text)]
+    assert n.tolist() == [len(wordmodel.tokens(x)) for x in texts] and len(found) == len(words)
+    assert len(set(found.tolist())) == len(set(words)) == len(set(zip(found.tolist(), words, strict=True)))
+
+
+def wordy(spark):
+    random = np.random.default_rng(8)
+    words = ["w%d" % k for k in range(3000)] + ["the"] * 600
+    rows = [(k, " ".join(random.choice(words, 150)), ["en", "fr", None][k % 3]) for k in range(400)] + [(5, "the same row", "en")] * 2
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(0, 400, 2)], "doc_id long, quality int, toxic int")
+    return rows, spark.createDataFrame(rows, "doc_id long, text string, lang string"), labels
+
+
+def test_grams_do_not_stay_on_disk(spark):
+    rows, docs, labels = wordy(spark)
+    size = lambda: sum(os.path.getsize(f"{at}/{x}") for at, _, names in os.walk(shared_folder(spark).removeprefix("file:")) for x in names)
+    before = size()
+    assert len(quality.judged(docs, labels).collect()) == len(rows)
+    assert size() - before < sum(len(x[1]) for x in rows)
+
+
+@pytest.mark.parametrize(("share", "passes", "least"), [(1, 1, 1), (30, 2, 3), (1 << 16, 3, 5)])
+def test_shards_do_not_matter(spark, monkeypatch, share, passes, least):
+    _, docs, labels = wordy(spark)
+    result = lambda: sorted(quality.judged(docs, labels).select("doc_id", "lang", "perplexity", "keep").collect(), key=repr)
+    wanted = result()
+    for name, value in (("HOT_SHARE", share), ("PASSES", passes), ("LEAST_SHARDS", least)):
+        monkeypatch.setattr(wordmodel, name, value)
+    for a, b in zip(result(), wanted, strict=True):
+        assert (a.doc_id, a.lang, a.keep) == (b.doc_id, b.lang, b.keep) and a.perplexity == pytest.approx(b.perplexity)
