@@ -29,7 +29,7 @@ SPREAD = 4
 PASSES = 3
 SHARD = 4_000_000            # trigrams of a shard, about
 LEAST_SHARDS = 8
-SLICE = 8 << 20              # bytes of text that are packed at once
+SLICE = 12 << 20             # bytes of text that are packed at once
 POOLED = ""
 START, END = np.uint64(1), np.uint64(2)
 # Scripts without spaces give a token for each letter.
@@ -488,9 +488,9 @@ def scored(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _all_scored(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    def kept(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    def kept(df: DataFrame, name: str, *by: str) -> tuple[DataFrame, str]:
         path = new_path(spark, name)
-        df.write.parquet(path)
+        df.write.partitionBy(*by).parquet(path)
         return spark.read.schema(df.schema).parquet(path), path
     measured, _ = kept(_measured(docs, HOT_SHARE), "text-sizes")
     every = measured.agg(F.sum("tokens")).first()[0] or 0
@@ -503,7 +503,8 @@ def _all_scored(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFr
     frequent = np.array([x[0] for x in often.select("key").collect()], np.int64).view(np.uint64)
     hot = np.unique(np.concatenate([np.array([*ends.values()], np.uint64), *(_mix(frequent + _seed(x)) for x in langs)]))
     shards = PASSES * max(LEAST_SHARDS, math.ceil(every / SHARD / PASSES))
-    counted, path = kept(_counted(_sent(docs, pooled, hot, max(2, shards // 2), None), hot, shards), "gram-counts")
+    counted = _counted(_sent(docs, pooled, hot, max(2, shards // 2), None), hot, shards)
+    counted, path = kept(counted.withColumn("turn", F.pmod("shard", F.lit(PASSES))), "gram-counts", "turn")
     counts: dict[str, list[dict[int, int]]] = {x: [{}, {}, {}] for x in langs}
     for r in counted.where("level > 0").groupBy("lang", "level", "c").agg(F.sum("n").alias("n")).collect():
         counts[r.lang][r.level - 1][r.c] = r.n
@@ -524,8 +525,9 @@ def _all_scored(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFr
     hot_c1 = np.array([hot_words[x].c if x in hot_words else 0 for x in hot], np.int64)
     sums = []
     for turn in range(PASSES if model else 0):
-        sent = _sent(docs, pooled, hot, shards, turn).unionByName(counted.where(f"shard % {PASSES} = {turn}"))
+        sent = _sent(docs, pooled, hot, shards, turn).unionByName(counted.where(f"turn = {turn}").drop("turn"))
         sums.append(kept(_scored(sent, model, hot, hot_c1).groupBy("row").agg(F.sum("total").alias("total")), "text-sums")[0])
+        removed(spark, f"{path}/turn={turn}")            # no later turn needs it
     removed(spark, path)
     # Repeated rows are equal: each brings the same sum.
     found = measured.where("row is not null").groupBy("row").agg(F.max("tokens").alias("tokens"), F.count(F.lit(1)).alias("times"))
