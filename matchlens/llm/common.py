@@ -127,8 +127,9 @@ def small_rows(rows: DataFrame) -> DataFrame:
 def salted_join(rows: DataFrame, small: DataFrame, keys: list[str], by: list[str], how: str = "inner") -> DataFrame:
     """rows joined with one row per key, where one key may be that of a third of all rows: these go to SALTS partitions.
 
-    What is still too large for a task then, adaptive execution cuts further: the rows stand on the left.
+    What is still too large for a task then, adaptive execution cuts further: the rows stand on the left. The copies of `small` are never
+    broadcast: Spark's estimate doesn't count them, and SALTS times a table that just fits would pass through the driver.
     """
     dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int"))
-    spread = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    spread = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
     return dealt.join(spread, [*keys, "_salt"], how).drop("_salt")

@@ -271,13 +271,13 @@ PAIRS = 1024                 # pairs that one copy of a set serves
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of which 100 |A and B| >= percent |A or B|.
 
-    Set a may be that of very many pairs: it is sent once for every PAIRS of them.
+    Set a may be that of very many pairs: it is sent once for every PAIRS of them, and no broadcast takes these copies for one.
     """
     pairs = written(pairs, "pairs")
     fan = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PAIRS).cast("int").alias("parts"))
     dealt = salted_join(pairs, fan, ["a"], ["b"]).select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
     of_a = sets.join(fan, sets["set"] == fan["a"]).select(
-        "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("shingles").alias("of_a"))
+        "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("shingles").alias("of_a")).hint("merge")
     both = dealt.join(sets.select(F.col("set").alias("b"), F.col("shingles").alias("of_b")), "b").join(of_a, ["a", "part"])
     common = F.size(F.array_intersect("of_a", "of_b"))
     union = F.size("of_a") + F.size("of_b") - common

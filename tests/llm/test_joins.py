@@ -6,7 +6,9 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from matchlens.llm import linededup, partenum
+from matchlens.llm import components as linked
+from matchlens.llm import linededup, partenum, setsketch
+from matchlens.llm.common import salted_join, written
 from matchlens.llm.components import components
 from matchlens.llm.shingles import shingle_set
 
@@ -87,6 +89,44 @@ def test_chains_become_one_component(spark):
     assert components(chain.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_salted_copies_of_a_table_are_not_broadcast(spark, how):
+    """Spark estimates the table without its copies: one that just fits would be sixteen times too large for the driver."""
+    rows = spark.range(60).selectExpr("if(id % 10 = 0, null, id % 7) k", "id v")
+    small = written(spark.range(5).selectExpr("if(id = 4, null, id) k", "id * id w"), "small")
+    found = salted_join(rows, small, ["k"], ["v"], how)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    squares = {k: k * k for k in range(4)}
+    expected = [(None if v % 10 == 0 else v % 7, v) for v in range(60)]
+    assert sorted((tuple(r) for r in found.select("k", "v", "w").collect()), key=repr) == sorted(
+        ((k, v, squares.get(k)) for k, v in expected if k in squares or how == "left"), key=repr)
+
+
+def copies_broadcast(plan):
+    """Whether a broadcast of the plan's tree holds an exploded table."""
+    lines = plan.split("\n")
+    for at, line in enumerate(lines):
+        for below in lines[at + 1:] if "BroadcastExchange" in line else []:
+            if re.search(r"\w", below).start() <= line.index("BroadcastExchange"):
+                break
+            if "Generate explode" in below:
+                return True
+    return False
+
+
+@pytest.mark.parametrize("operator", [partenum.jaccard_components, setsketch.near_duplicates])
+def test_joins_of_near_copies_broadcast_no_copies(documents, monkeypatch, operator):
+    plans = []
+
+    def seen(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString().rstrip()))
+        return written(df, name)
+    for module in (partenum, setsketch, linked):
+        monkeypatch.setattr(module, "written", seen)
+    plans.append(("result", operator(documents, 3, 70)._jdf.queryExecution().executedPlan().toString().rstrip()))
+    assert sum("Generate explode" in plan for _, plan in plans) > 3 and [name for name, plan in plans if copies_broadcast(plan)] == []
+
+
 def test_one_document_of_each_group_stays(documents):
     kept = partenum.without_near_copies(documents, 3, 90)
     assert kept.columns == documents.columns
