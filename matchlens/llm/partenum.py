@@ -318,10 +318,11 @@ def links(docs: DataFrame, documents: DataFrame, members: DataFrame, width: int,
     wide = written(wide.drop("m"), "members")
     # Only sets with a possible partner go on; first in the own block, then, in groups of several blocks, in the others.
     same = (F.col("a.signature") == F.col("b.signature")) & (F.col("a.block") == F.col("b.block")) & (F.col("a.set") != F.col("b.set"))
-    hopeful = written(wide.alias("a").join(wide.alias("b"), same & possible(percent, "a", "b"), "left_semi").select("set").distinct(), "hopeful")
+    # Parquet stores what a set repeats for each of its signatures once: rows of that size would be broadcast at many times its files' size.
+    hopeful = written(wide.alias("a").join(wide.alias("b").hint("merge"), same & possible(percent, "a", "b"), "left_semi").select("set").distinct(), "hopeful")
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     rest = wide.where("blocks > 1").join(hopeful, "set", "left_anti").withColumn("block", every)
-    more = rest.alias("a").join(wide.where("blocks > 1").alias("b"), same & possible(percent, "a", "b"), "left_semi").select("set").distinct()
+    more = rest.alias("a").join(wide.where("blocks > 1").alias("b").hint("merge"), same & possible(percent, "a", "b"), "left_semi").select("set").distinct()
     hopeful = written(hopeful.union(more), "hopeful")
     wide = written(wide.join(hopeful, "set", "left_semi"), "hopeful-members")
     sets = sets_of(docs, distinct.join(hopeful, "set", "left_semi").select("doc_id"), width)
@@ -339,7 +340,7 @@ def links(docs: DataFrame, documents: DataFrame, members: DataFrame, width: int,
     marked = written(marked, "marked")
     main = marked.groupBy("signature").agg(F.min(F.struct("set", "label")).alias("hub")).select("signature", F.col("hub.label").alias("main"))
     others = salted_join(marked, main, ["signature"], ["set"]).where("label <> main").withColumn("block", every)
-    left = others.alias("a").join(marked.alias("b"), (F.col("a.signature") == F.col("b.signature")) & (F.col("a.block") == F.col("b.block"))
+    left = others.alias("a").join(marked.alias("b").hint("merge"), (F.col("a.signature") == F.col("b.signature")) & (F.col("a.block") == F.col("b.block"))
                                   & (F.col("a.label") != F.col("b.label")) & possible(percent, "a", "b"))
     pairs = left.select(F.least("a.set", "b.set").alias("a"), F.greatest("a.set", "b.set").alias("b")).distinct()
     return first.union(written(verified(pairs, sets, percent), "links"))

@@ -226,7 +226,8 @@ def links(docs: DataFrame, sketched: DataFrame, width: int, percent: int) -> Dat
     parity = distinct.select("set", "n", "more", *(F.col("flags")[k].alias(f"f{k}") for k in range(FLAGS // 64)))
     marked = written(marked.join(parity, "set"), "marked")
     others = marked.where("label <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = others.alias("a").join(marked.alias("b"), (F.col("a.band") == F.col("b.band")) & (F.col("a.block") == F.col("b.block"))
+    # Parquet stores what a set repeats for each of its bands once: no broadcast of many times its files' size.
+    met = others.alias("a").join(marked.alias("b").hint("merge"), (F.col("a.band") == F.col("b.band")) & (F.col("a.block") == F.col("b.block"))
                                  & (F.col("a.label") != F.col("b.label")) & possible(percent, "a", "b"))
     rest = written(met.select(F.least("a.set", "b.set").alias("a"), F.greatest("a.set", "b.set").alias("b")).distinct(), "rest-pairs")
     more = written(_likely(rest, distinct, percent), "likely")

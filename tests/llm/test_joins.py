@@ -103,13 +103,13 @@ def test_salted_copies_of_a_table_are_not_broadcast(spark, how):
 
 
 def copies_broadcast(plan):
-    """Whether a broadcast of the plan's tree holds an exploded table."""
+    """Whether a broadcast of the plan's tree holds an exploded table, or the parities of a set again for each band or signature."""
     lines = plan.split("\n")
     for at, line in enumerate(lines):
         for below in lines[at + 1:] if "BroadcastExchange" in line else []:
             if re.search(r"\w", below).start() <= line.index("BroadcastExchange"):
                 break
-            if "Generate explode" in below:
+            if "Generate explode" in below or re.search(r"\bf0#", below) and re.search(r"\b(band|signature)#", below):
                 return True
     return False
 
